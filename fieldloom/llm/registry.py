@@ -7,13 +7,20 @@ import importlib
 #: Query name: (module, function); the modules are imported when a query is asked for.
 QUERIES = {
     "op2_best_fit_packing": ("packing", "op2_query"),
+    "op3_quality_rules": ("line_rules", "op3_query"),
+    "op4_quality_classifier": ("quality", "op4_query"),
+    "op6_topk_search": ("topk", "op6_query"),
+    "op7_language_id": ("language", "op7_query"),
     "op8_mixing": ("mixing", "op8_query"),
 }
 
+#: Query name: module whose ORACLE_SQL gives its rows.
+ORACLES = {"op6_topk_search": "topk"}
+
 
 def queries() -> dict:
     return {name: getattr(importlib.import_module(f"{__package__}.{module}"), function) for name, (module, function) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: importlib.import_module(f"{__package__}.{module}").ORACLE_SQL for name, module in ORACLES.items()}
