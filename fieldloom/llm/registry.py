@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality_classifier": ("quality", "op4_query"),
     "op6_topk_search": ("topk", "op6_query"),
     "op7_language_id": ("language", "op7_query"),
+    "op10_jaccard_join": ("jaccard", "op10_query"),
     "op8_mixing": ("mixing", "op8_query"),
 }
 
