@@ -6,6 +6,7 @@ import importlib
 
 #: Query name: (module, function); the modules are imported when a query is asked for.
 QUERIES = {
+    "op1_suffix_dedup": ("suffix_dedup", "op1_query"),
     "op2_best_fit_packing": ("packing", "op2_query"),
     "op3_quality_rules": ("line_rules", "op3_query"),
     "op4_quality_classifier": ("quality", "op4_query"),

@@ -20,7 +20,7 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_SYMBOLS = np.random.default_rng(20260101).integers(1, 1 << 63, 256, dtype=np.uint64)
+SYMBOLS = np.random.default_rng(20260101).integers(1, 1 << 63, 256, dtype=np.uint64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -81,5 +81,5 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return np.zeros(0, np.uint64)
     up, down = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_SYMBOLS[data] * up[: len(data)], out=sums[1:])
+    np.cumsum(SYMBOLS[data] * up[: len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
