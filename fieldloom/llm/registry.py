@@ -13,11 +13,12 @@ QUERIES = {
     "op6_topk_search": ("topk", "op6_query"),
     "op7_language_id": ("language", "op7_query"),
     "op10_jaccard_join": ("jaccard", "op10_query"),
+    "op9_warc_revisits": ("warc", "op9_query"),
     "op8_mixing": ("mixing", "op8_query"),
 }
 
 #: Query name: module whose ORACLE_SQL gives its rows.
-ORACLES = {"op6_topk_search": "topk"}
+ORACLES = {"op6_topk_search": "topk", "op9_warc_revisits": "warc"}
 
 
 def queries() -> dict:
