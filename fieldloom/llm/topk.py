@@ -23,9 +23,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNIT, K, QUERY_STEP = 1024, 10, 100
-SHARD, BLOCK = 4096, 512
-#: Rounds stop when at most this many vectors can still be among the best.
-FEW = 64
+SHARD, BLOCK = 16384, 128
+#: Rounds stop when at most this share of a shard can still be among the best: to score those exactly costs less than a round.
+FEW = 1 / 4
 NEVER = -(1 << 62)
 
 
@@ -62,7 +62,7 @@ class ImpactIndex:
         level = int(top.max()) if len(live) else 0
         best = np.zeros(0, np.int64)
         while True:
-            level = level // 2 if level > 8 else min(level, 0) - 1 if level > -8 else level * 4
+            level = level // 4 if level > 8 else min(level, 0) - 1 if level > -8 else level * 4
             rows, impacts = [], []
             for j, d in enumerate(live):
                 q, column = int(query[d]), self.values[:, d]
@@ -78,7 +78,10 @@ class ImpactIndex:
                     done[j] = to
             if rows:
                 at, gain = np.concatenate(rows), np.concatenate(impacts)
-                np.add.at(sums, at, gain)
+                if np.abs(gain).sum(dtype=float) < 2**53:  # exact in doubles
+                    sums += np.bincount(at, gain, n).astype(np.int64)
+                else:
+                    np.add.at(sums, at, gain)
                 seen += np.bincount(at, minlength=n)
             ended = bool((done == n).all())
             bound = np.where(allowed, sums + (len(live) - seen) * (level - 1), NEVER)
@@ -89,7 +92,7 @@ class ImpactIndex:
             exact = np.sort(self.vectors[best] @ query)[::-1]
             floor = exact[k - 1] if len(exact) >= k else None
             possible = np.flatnonzero(allowed if floor is None else allowed & (bound >= floor))
-            if ended or len(possible) <= FEW:
+            if ended or len(possible) <= FEW * n:
                 break
         scores = self.vectors[possible] @ query
         order = np.lexsort((ids[possible], -scores))[:k]
