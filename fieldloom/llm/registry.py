@@ -13,6 +13,7 @@ QUERIES = {
     "op6_topk_search": ("topk", "op6_query"),
     "op7_language_id": ("language", "op7_query"),
     "op10_jaccard_join": ("jaccard", "op10_query"),
+    "op5_paragraph_dedup": ("paragraphs", "op5_query"),
     "op9_warc_revisits": ("warc", "op9_query"),
     "op8_mixing": ("mixing", "op8_query"),
 }
