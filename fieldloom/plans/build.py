@@ -13,7 +13,7 @@ from ..operators import contexts as ctx
 from ..operators import ids, reshape, rules, taxonomy
 from ..operators.reshape import TraitMap, column_or_constant, conform
 from ..sources import program as prog
-from .database import TABLES, VALUE_TYPES, Database, bind_databases, value_type_order
+from .database import ENTITY_TYPES, RECORD_BASES, TABLES, VALUE_BASES, VALUE_TYPES, Database, bind_databases, value_type_order
 
 #: Fields that a program may give for a whole dataset or for a trait.
 DATASET_FIELDS = "entity_type value_type basis_of_value replicates basis_of_record life_stage source_id measurement_remarks collection_date individual_id location_name repeat_measurements_id unit_in".split()
@@ -36,8 +36,8 @@ def trait_maps(program: dict) -> list[TraitMap]:
 
 
 def vocabulary(schema: dict) -> tuple[str, ...]:
-    """All terms of the controlled vocabularies (lists of values) in a schema."""
-    return tuple(dict.fromkeys([*VALUE_TYPES, *[v for s in schema.values() if isinstance(s, dict) for v in (s.get("values") or {})]]))
+    """All terms of the controlled vocabularies, and of lists of values in a schema."""
+    return tuple(dict.fromkeys([*ENTITY_TYPES, *VALUE_TYPES, *VALUE_BASES, *RECORD_BASES, *[v for s in schema.values() if isinstance(s, dict) for v in (s.get("values") or {})]]))
 
 
 def process_dataset(
@@ -131,6 +131,8 @@ def process_dataset(
     methods = ids.method_ids(listed)
     renamed = methods.select(*[F.col(c).alias(f"_m_{c}") for c in methods.columns])
     long = long.drop("method_id").join(F.broadcast(renamed), (F.col("trait_name") == F.col("_m_trait_name")) & F.col("methods").eqNullSafe(F.col("_m_methods")), "left").withColumn("method_id", F.col("_m_method_id"))
+    # all tables below fan out from these rows: computed once, kept on executors (and rebuilt if one is lost)
+    long = long.drop(*[c for c in long.columns if c.startswith("_m_")]).persist()
     if filter_missing:
         long = long.filter(F.coalesce(F.col("error") != rules.MISSING_VALUE, F.lit(True)))
 

@@ -22,6 +22,10 @@ TABLES = {
 TABLES["excluded_data"] = ["error", *TABLES["traits"]]
 #: Value types in sort order; record and value bases.
 VALUE_TYPES = "raw minimum mean median maximum mode range bin standard_error standard_deviation unknown".split()
+#: What a value can be of, and how it and its record came about.
+ENTITY_TYPES = "individual population metapopulation subspecies species subsection section subgenus genus subtribe tribe supertribe subfamily family superfamily infraorder suborder order superorder subclass class subphylum phylum subdivision division kingdom".split()
+VALUE_BASES = "measurement expert_score model_derived unknown".split()
+RECORD_BASES = "field field_experiment captive_cultivated lab preserved_specimen literature".split()
 PIVOT_KEYS = "dataset_id observation_id value_type method_id method_context_id repeat_measurements_id".split()
 
 
