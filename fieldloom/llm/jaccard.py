@@ -43,6 +43,8 @@ SKETCH_BITS, SLICE_BITS = 20, 14
 FRAGMENTS, SALT = 4, 500
 #: Shingles of one shard, about.
 SHARD_SHINGLES = 1 << 18
+#: Groups beyond this size are walked without their largest component.
+LARGE_GROUP = 64
 
 _CLASS = np.uint64(0xA0761D6478BD642F)
 
@@ -211,11 +213,12 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     return whole.join(size("a"), "a").join(size("b"), "b").filter(f"100 * both >= {PERCENT} * (n_a + n_b - both)").select("a", "b")
 
 
-def crossing_pairs(shared: DataFrame, found: DataFrame) -> DataFrame:
+def crossing_pairs(shared: DataFrame, found: DataFrame, packs: int) -> DataFrame:
     """All fitting pairs of classes at a shared first shingle whose components differ; each once.
 
     Only shingles with several components are looked at.  Their classes are grouped with those of similar
-    size: band k holds sizes from (4/3)**k on, and each class also visits the band above its own.
+    size: band k holds sizes from (4/3)**k on, and each class also visits the band above its own.  Many groups
+    are packed together, so that a task walks them in a few vector steps.
     """
     shared = shared.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").drop("_n")
     shared = shared.withColumn("component", F.coalesce("component", "node"))
@@ -223,22 +226,46 @@ def crossing_pairs(shared: DataFrame, found: DataFrame) -> DataFrame:
     rows = shared.join(several, "shingle").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int"))
     rows = rows.withColumn("at", F.explode(F.array("band", F.col("band") + 1)))
 
-    def meet(table: pa.Table) -> pa.Table:
-        node, n, place, component, own = (table.column(x).to_numpy() for x in ("node", "n", "place", "component", "own"))
-        out_a, out_b = [], []
-        largest = np.argmax(np.bincount(np.unique(component, return_inverse=True)[1]))
-        main = component == np.unique(component)[largest]
-        # a pair of different components has a member outside the largest one; walk those only
-        for k in np.flatnonzero(~main):
-            ok = (component != component[k]) & (main | (node > node[k])) & (own[k] | own)
-            ok &= _fits(n[k], n, n[k] - place[k], n - place)
-            out_a.append(np.minimum(node[ok], node[k]))
-            out_b.append(np.maximum(node[ok], node[k]))
-        pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)]), axis=1) if out_a else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
-
-    rows = rows.withColumn("own", F.col("band") == F.col("at"))
-    return rows.groupBy("shingle", "at").applyInArrow(meet, "a long, b long").distinct()
+    rows = rows.withColumn("own", F.col("band") == F.col("at")).withColumn("pack", F.pmod(F.xxhash64("shingle", "at"), F.lit(packs)).cast("int"))
+    return rows.groupBy("pack").applyInArrow(_crossing, "a long, b long").distinct()
+
+
+def _crossing(table: pa.Table) -> pa.Table:
+    """Fitting pairs of different components in each group (shingle, at) of a pack of groups."""
+    shingle, at, node, n, place, component, own = (table.column(x).to_numpy() for x in ("shingle", "at", "node", "n", "place", "component", "own"))
+    order = np.lexsort((node, at, shingle))
+    shingle, at, node, n, place, component, own = (x[order] for x in (shingle, at, node, n, place, component, own))
+    new = np.ones(len(node), bool)
+    new[1:] = (shingle[1:] != shingle[:-1]) | (at[1:] != at[:-1])
+    group = np.cumsum(new) - 1
+    sizes = np.bincount(group)
+    out = []
+
+    def keep(i: np.ndarray, j: np.ndarray) -> None:
+        i, j = i[component[i] != component[j]], j[component[i] != component[j]]
+        ok = (own[i] | own[j]) & _fits(n[i], n[j], n[i] - place[i], n[j] - place[j])
+        out.append(np.stack([np.minimum(node[i[ok]], node[j[ok]]), np.maximum(node[i[ok]], node[j[ok]])]))
+
+    small = sizes[group] <= LARGE_GROUP
+    index = np.flatnonzero(small)
+    for lag in range(1, int(sizes[sizes <= LARGE_GROUP].max(initial=0))):
+        i, j = index[:-lag], index[lag:]
+        same = group[i] == group[j]
+        if not same.any():
+            break
+        keep(i[same], j[same])
+    # in a large group, a pair of different components has a member outside the largest one; walk only those
+    starts = np.cumsum(sizes) - sizes
+    for g in np.flatnonzero(sizes > LARGE_GROUP):
+        every = np.arange(starts[g], starts[g] + sizes[g])
+        _, code, count = np.unique(component[every], return_inverse=True, return_counts=True)
+        outside = every[code != count.argmax()]
+        main = code == count.argmax()
+        for k in outside:
+            j = every[main | (every > k)]
+            keep(np.full(len(j), k), j)
+    pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
+    return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
@@ -252,7 +279,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     best = votes.groupBy("node").agg(F.max(F.struct("votes", F.col("partner"))).alias("best"))
     links = materialize(verify(docs, classes, best.select(F.col("best.partner").alias("a"), F.col("node").alias("b"))))
     found = materialize(components(links))
-    pairs = materialize(crossing_pairs(shared, found))
+    pairs = materialize(crossing_pairs(shared, found, shards))
     more = materialize(verify(docs, classes, pairs))
     # the second round's links join components, not classes
     label = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
