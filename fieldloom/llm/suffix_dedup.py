@@ -327,7 +327,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     first = materialize(first)
     total = first.agg(F.sum("n")).first()[0] or 0
     partitions = shuffle_partitions(spark)
-    blocks, shards = max(4 * partitions, total // BLOCK_BYTES), max(2 * partitions, total // SHARD_BYTES)
+    # each block sends a message to each shard: no more of both than the data's size or an even load asks for
+    blocks, shards = max(3 * partitions, total // BLOCK_BYTES), max(partitions, total // SHARD_BYTES)
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
     copies = digest.join(first.filter("rows > 1").select("_content", "first"), "_content").filter("id > first").select("id", "_content").distinct()
     copies = materialize(copies.withColumn("doc_id", F.when(F.col("id") < LAST, F.col("id"))).select(block.alias("_block"), "doc_id", "_content"))
