@@ -8,12 +8,13 @@ leave room for enough overlap.
 Overlaps are counted vertically: the order of hashes is cut into ``FRAGMENTS``; each pair's shingles meet
 fragment by fragment, partial overlaps are counted separately and summed per pair.
 
-Pairs come in two rounds, which lose no link and don't list all pairs of a group:
+Pairs come in rounds, which lose no link and don't list all pairs of a group:
 
-1. each class is paired with one partner only, the one that most of its shared first shingles name as the
-   first fitting one; verified links give components;
-2. all fitting pairs that share a first shingle and lie in *different* components are verified.  A link that
-   neither round verifies joins classes that are connected already.
+1. each class is paired with two partners at most, those that most of its shared first shingles propose among
+   its fitting neighbours by size; verified links give components;
+2. while many fitting pairs that share a first shingle lie in *different* components, each class tries two
+   more of them, which joins components; then all that are left are verified.  A link that no round verifies
+   joins classes that are connected already.
 
 Skew: copies collapse before anything is paired; a hub's partners are salted into groups of ``SALT`` with
 the hub's set copied to each; no task gets all documents of a frequent shingle's pairs.
@@ -45,6 +46,10 @@ FRAGMENTS, SALT = 4, 500
 SHARD_SHINGLES = 1 << 18
 #: Groups beyond this size are walked without their largest component.
 LARGE_GROUP = 64
+#: Classes that a shingle proposes to each of its classes in the first round, and how many of them each class tries.
+NEIGHBOURS, TRIES = 8, 2
+#: Pairs per class between components below which all are verified at once.
+ENOUGH = 3
 
 _CLASS = np.uint64(0xA0761D6478BD642F)
 
@@ -144,9 +149,10 @@ def _unpack(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 def shared_first_shingles(packed: DataFrame) -> DataFrame:
-    """Classes with a first shingle that another class has too: (shingle, node, n, place, partner).
+    """Classes with a first shingle that another class has too: (shingle, node, n, place, partners).
 
-    ``partner`` is the smallest fitting class at that shingle that precedes this one, or null.
+    ``partners`` are fitting classes at that shingle: of the ``NEIGHBOURS`` before this one by size, and the
+    first that is large enough.
     """
 
     def meet(table: pa.Table) -> pa.Table:
@@ -160,15 +166,19 @@ def shared_first_shingles(packed: DataFrame) -> DataFrame:
         index = np.arange(len(shingle))
         # rows are ordered by group and size: the first row of the group that is large enough, and the row just before
         first = np.searchsorted(group * (1 << 40) + n, group * (1 << 40) + -(-PERCENT * n // 100))
-        partner = np.full(len(shingle), -1)
-        for other in (index - 1, first):
-            ok = (other >= first) & (other < index)
+        others = [index - lag for lag in range(1, NEIGHBOURS + 1)] + [np.where(first < index - NEIGHBOURS, first, -1)]
+        names, fits = [], []
+        for other in others:
+            ok = (other >= first) & (other < index) & (other >= 0)
             o = np.where(ok, other, 0)
-            partner = np.where(ok & _fits(n[o], n, n[o] - place[o], n - place), o, partner)
-        found = pa.array(node[np.maximum(partner, 0)] if len(node) else node, pa.int64(), mask=partner < 0)
-        return pa.table({"shingle": pa.array(shingle.astype(np.int64)), "node": pa.array(node), "n": pa.array(n), "place": pa.array(place), "partner": found})
+            fits.append(ok & _fits(n[o], n, n[o] - place[o], n - place) if len(n) else ok)
+            names.append(node[o])
+        fits, names = np.stack(fits, axis=1), np.stack(names, axis=1)
+        bounds = np.concatenate(([0], np.cumsum(fits.sum(axis=1)))).astype(np.int32)
+        found = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(names[fits], pa.int64()))
+        return pa.table({"shingle": pa.array(shingle.astype(np.int64)), "node": pa.array(node), "n": pa.array(n), "place": pa.array(place), "partners": found})
 
-    return packed.groupBy("shard").applyInArrow(meet, "shingle long, node long, n long, place long, partner long")
+    return packed.groupBy("shard").applyInArrow(meet, "shingle long, node long, n long, place long, partners array<long>")
 
 
 def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -214,20 +224,20 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def crossing_pairs(shared: DataFrame, found: DataFrame, packs: int) -> DataFrame:
-    """All fitting pairs of classes at a shared first shingle whose components differ; each once.
+    """All fitting pairs (a, b, votes) of classes whose components differ; votes are the packs that propose a pair.
 
     Only shingles with several components are looked at.  Their classes are grouped with those of similar
     size: band k holds sizes from (4/3)**k on, and each class also visits the band above its own.  Many groups
     are packed together, so that a task walks them in a few vector steps.
     """
-    shared = shared.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").drop("_n")
+    shared = shared.drop("partners").join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").drop("_n")
     shared = shared.withColumn("component", F.coalesce("component", "node"))
     several = shared.groupBy("shingle").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a <> _b").select("shingle")
     rows = shared.join(several, "shingle").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int"))
     rows = rows.withColumn("at", F.explode(F.array("band", F.col("band") + 1)))
 
     rows = rows.withColumn("own", F.col("band") == F.col("at")).withColumn("pack", F.pmod(F.xxhash64("shingle", "at"), F.lit(packs)).cast("int"))
-    return rows.groupBy("pack").applyInArrow(_crossing, "a long, b long").distinct()
+    return rows.groupBy("pack").applyInArrow(_crossing, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("votes"))
 
 
 def _crossing(table: pa.Table) -> pa.Table:
@@ -275,12 +285,29 @@ def similar_components(docs: DataFrame) -> DataFrame:
     total = own.agg(F.sum(F.col("n_shingles") * (100 - PERCENT) / 100 + 1)).first()[0] or 0
     shards = max(4 * shuffle_partitions(docs.sparkSession), int(total) // SHARD_SHINGLES)
     shared = materialize(shared_first_shingles(first_shingles(docs.filter("doc_id is not null"), levels, shards)))
-    votes = shared.filter("partner is not null").groupBy("node", "partner").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("node").agg(F.max(F.struct("votes", F.col("partner"))).alias("best"))
-    links = materialize(verify(docs, classes, best.select(F.col("best.partner").alias("a"), F.col("node").alias("b"))))
+    votes = shared.select("node", F.explode("partners").alias("partner")).groupBy("node", "partner").agg(F.count("*").alias("votes"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("votes"), "partner"))
+    best = votes.withColumn("_place", place).filter(F.col("_place") <= TRIES)
+    tries = materialize(best.select(F.col("partner").alias("a"), F.col("node").alias("b")))
+    links = materialize(verify(docs, classes, tries))
+    tried = tries.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     found = materialize(components(links))
-    pairs = materialize(crossing_pairs(shared, found, shards))
-    more = materialize(verify(docs, classes, pairs))
+    while True:
+        pairs = materialize(crossing_pairs(shared, found, shards).join(tried, ["a", "b"], "left_anti"))
+        each = pairs.select(F.col("a").alias("node"), F.col("b").alias("partner"), "votes").unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("partner"), "votes"))
+        n_pairs, n_nodes = pairs.count(), each.select("node").distinct().count()
+        if n_pairs <= ENOUGH * n_nodes:
+            break
+        best = each.withColumn("_place", place).filter(F.col("_place") <= TRIES)
+        tries = materialize(best.select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")).distinct())
+        new = materialize(verify(docs, classes, tries))
+        tried = tried.unionByName(tries)
+        if new.isEmpty():
+            pairs = pairs.join(tries, ["a", "b"], "left_anti")
+            break
+        links = links.unionByName(new)
+        found = materialize(components(links))
+    more = materialize(verify(docs, classes, pairs.select("a", "b")))
     # the second round's links join components, not classes
     label = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
     joined = more.join(label("a"), "a", "left").join(label("b"), "b", "left")

@@ -66,6 +66,9 @@ def test_small_salt_and_shards_change_nothing(spark, monkeypatch):
     data = near_copies(9)
     monkeypatch.setattr(jaccard, "SALT", 7)
     monkeypatch.setattr(jaccard, "SHARD_SHINGLES", 64)
+    monkeypatch.setattr(jaccard, "ENOUGH", 0)
+    monkeypatch.setattr(jaccard, "TRIES", 1)
+    monkeypatch.setattr(jaccard, "LARGE_GROUP", 5)
     got = jaccard.similar_components(corpus.frame(spark, data)).collect()
     want = plain_components(plain_sets(data))
     assert {r.doc_id: r.component_id for r in got} == want
