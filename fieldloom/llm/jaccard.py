@@ -8,13 +8,17 @@ leave room for enough overlap.
 Overlaps are counted vertically: the order of hashes is cut into ``FRAGMENTS``; each pair's shingles meet
 fragment by fragment, partial overlaps are counted separately and summed per pair.
 
+Before a pair's sets travel, parity bitmaps bound its overlap: each shingle flips one of 2 to 4 bits per shingle of
+its class, and two sets differ in at least as many shingles as their bitmaps differ in bits.  Pairs whose bound
+is below the threshold are dropped, which loses no link.
+
 Pairs come in rounds, which lose no link and don't list all pairs of a group:
 
 1. each class is paired with two partners at most, those that most of its shared first shingles propose among
-   its fitting neighbours by size; verified links give components;
-2. while many fitting pairs that share a first shingle lie in *different* components, each class tries two
-   more of them, which joins components; then all that are left are verified.  A link that no round verifies
-   joins classes that are connected already.
+   its fitting neighbours by size and whose bitmaps allow; verified links give components;
+2. all fitting pairs that share a first shingle, lie in *different* components and whose bitmaps allow are listed
+   once.  While they outnumber the classes, each class tries two of them, then twice as many a round, which joins components; then all that
+   are left between components are verified.  A link that no round verifies joins classes that are connected already.
 
 Skew: copies collapse before anything is paired; a hub's partners are salted into groups of ``SALT`` with
 the hub's set copied to each; no task gets all documents of a frequent shingle's pairs.
@@ -46,10 +50,13 @@ FRAGMENTS, SALT = 4, 500
 SHARD_SHINGLES = 1 << 18
 #: Groups beyond this size are walked without their largest component.
 LARGE_GROUP = 64
-#: Classes that a shingle proposes to each of its classes in the first round, and how many of them each class tries.
-NEIGHBOURS, TRIES = 8, 2
-#: Pairs per class between components below which all are verified at once.
-ENOUGH = 3
+#: Classes that a shingle proposes to each of its classes in the first round, how many of a class' proposals are
+#: compared by bitmap, and how many each class tries first.
+NEIGHBOURS, PROPOSALS, TRIES = 8, 6, 2
+#: Pairs per class between components up to which all are verified at once.
+ENOUGH = 1
+#: Log2 of the bits of the smallest and the largest bitmap; beyond the largest, bounds are looser and as safe.
+LEAST_BITS, MOST_BITS = 6, 16
 
 _CLASS = np.uint64(0xA0761D6478BD642F)
 
@@ -60,6 +67,17 @@ def _signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return tb.mix((sums[at[1:]] - sums[at[:-1]]) * (np.diff(at) > 0) ^ np.diff(at).astype(np.uint64)).astype(np.int64)
 
 
+def _bitmaps(h: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """For each row, which of its 2**k bits an odd number of its shingles hit; 2**k is at least twice their number."""
+    n = np.diff(at)
+    width = 1 << np.clip(np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
+    ends = np.cumsum(width)
+    row = np.repeat(np.arange(len(n)), n)
+    hits = np.bincount((ends - width)[row] + (h & (width[row] - 1).astype(np.uint64)).astype(np.int64), minlength=int(width.sum()))
+    packed = np.packbits((hits & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [packed[a // 8 : b // 8] for a, b in zip(ends - width, ends)]
+
+
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """First row, shingles and row starts of each slice of a batch with a text column."""
     data, offsets = tb.text_bytes(batch.column("text"))
@@ -68,22 +86,22 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
 
 
 def digest(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n_shingles, node) of each row, and the sketch: log2 of the number of shingles in each hash cell."""
+    """(doc_id, n_shingles, node, bits) of each row, and the sketch: log2 of the number of shingles in each hash cell."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_shingles", "node", "slice", "counts"]
+        names = ["doc_id", "n_shingles", "node", "bits", "slice", "counts"]
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             for low, h, at in _rows(batch):
                 n = len(at) - 1
                 sketch += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, n), pa.array(np.diff(at)), pa.array(_signatures(h, at)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, n), pa.array(np.diff(at)), pa.array(_signatures(h, at)), pa.array(_bitmaps(h, at), pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         for k, part in enumerate(np.split(sketch, 1 << (SKETCH_BITS - SLICE_BITS))):
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([part.astype("<u4").tobytes()])], names=names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([part.astype("<u4").tobytes()])], names=names)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = materialize(texts.mapInArrow(work, "doc_id long, n_shingles long, node long, slice int, counts binary"))
+    out = materialize(texts.mapInArrow(work, "doc_id long, n_shingles long, node long, bits binary, slice int, counts binary"))
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x, "<u4").astype(np.uint64) for x in table.column("counts").to_pylist())
@@ -181,6 +199,41 @@ def shared_first_shingles(packed: DataFrame) -> DataFrame:
     return packed.groupBy("shard").applyInArrow(meet, "shingle long, node long, n long, place long, partners array<long>")
 
 
+def _within_bound(table: pa.RecordBatch) -> np.ndarray:
+    """Whether the bitmaps of each pair allow an overlap that reaches the threshold."""
+    bits = [table.column(x).to_pylist() for x in ("bits_a", "bits_b")]
+    n = table.column("n_a").to_numpy() + table.column("n_b").to_numpy()
+    wide, narrow = (np.array([f(len(x), len(y)) for x, y in zip(*bits)], np.int64) for f in (max, min))
+    apart = np.zeros(len(n), np.int64)
+    for size in np.unique(wide * (1 << MOST_BITS) + narrow):
+        w, k = divmod(int(size), 1 << MOST_BITS)
+        at = np.flatnonzero((wide == w) & (narrow == k))
+        folded = []
+        for side in bits:
+            lengths = np.array([len(side[i]) for i in at])
+            both = np.zeros((len(at), k), np.uint8)
+            for length in np.unique(lengths):  # a wider bitmap folds onto a narrower one by parity
+                rows = np.flatnonzero(lengths == length)
+                flat = np.frombuffer(b"".join(side[i] for i in at[rows]), np.uint8).reshape(len(rows), length // k, k)
+                both[rows] = np.bitwise_xor.reduce(flat, axis=1)
+            folded.append(both)
+        apart[at] = np.bitwise_count(folded[0] ^ folded[1]).sum(axis=1)
+    return (n - apart) // 2 >= -(-PERCENT * n // (100 + PERCENT))
+
+
+def promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b, votes) of classes that their bitmaps don't rule out."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1 << 11):
+                part = batch.slice(low, 1 << 11)
+                yield part.select(["a", "b", "votes"]).filter(pa.array(_within_bound(part)))
+
+    side = lambda x: classes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    return pairs.select("a", "b", "votes").join(side("a"), "a").join(side("b"), "b").mapInArrow(work, "a long, b long, votes long")
+
+
 def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose sets reach the threshold.
 
@@ -189,7 +242,7 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     salted = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
     pairs = pairs.join(salted, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
     sends = pairs.select("a", "salt", F.col("b").alias("node")).unionByName(pairs.select("a", "salt", F.col("a").alias("node")).distinct())
-    sends = sends.join(classes, "node").select("doc_id", "node", "a", "salt")
+    sends = sends.join(classes.select("node", "doc_id"), "node").select("doc_id", "node", "a", "salt")
     targets = materialize(sends)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(targets, "doc_id")
 
@@ -281,35 +334,33 @@ def _crossing(table: pa.Table) -> pa.Table:
 def similar_components(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     own, levels = digest(docs)
-    classes = materialize(own.filter("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles")))
+    per_node = own.filter("n_shingles > 0 and doc_id is not null").groupBy("node")
+    classes = materialize(per_node.agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.first("bits").alias("bits")))
     total = own.agg(F.sum(F.col("n_shingles") * (100 - PERCENT) / 100 + 1)).first()[0] or 0
     shards = max(4 * shuffle_partitions(docs.sparkSession), int(total) // SHARD_SHINGLES)
     shared = materialize(shared_first_shingles(first_shingles(docs.filter("doc_id is not null"), levels, shards)))
-    votes = shared.select("node", F.explode("partners").alias("partner")).groupBy("node", "partner").agg(F.count("*").alias("votes"))
-    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("votes"), "partner"))
-    best = votes.withColumn("_place", place).filter(F.col("_place") <= TRIES)
-    tries = materialize(best.select(F.col("partner").alias("a"), F.col("node").alias("b")))
+    votes = shared.select(F.col("node").alias("b"), F.explode("partners").alias("a")).groupBy("a", "b").agg(F.count("*").alias("votes"))
+    place = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("votes"), "a"))
+    proposals = promising(votes.withColumn("_place", place).filter(F.col("_place") <= PROPOSALS), classes)
+    tries = materialize(proposals.withColumn("_place", place).filter(F.col("_place") <= TRIES).select("a", "b"))
     links = materialize(verify(docs, classes, tries))
-    tried = tries.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tried = tries.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found = materialize(components(links))
-    while True:
-        pairs = materialize(crossing_pairs(shared, found, shards).join(tried, ["a", "b"], "left_anti"))
-        each = pairs.select(F.col("a").alias("node"), F.col("b").alias("partner"), "votes").unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("partner"), "votes"))
-        n_pairs, n_nodes = pairs.count(), each.select("node").distinct().count()
-        if n_pairs <= ENOUGH * n_nodes:
-            break
-        best = each.withColumn("_place", place).filter(F.col("_place") <= TRIES)
-        tries = materialize(best.select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")).distinct())
-        new = materialize(verify(docs, classes, tries))
-        tried = tried.unionByName(tries)
-        if new.isEmpty():
-            pairs = pairs.join(tries, ["a", "b"], "left_anti")
-            break
-        links = links.unionByName(new)
+    label = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    pairs = materialize(promising(crossing_pairs(shared, found, shards).join(tried, ["a", "b"], "left_anti"), classes))
+    n_classes = classes.count()
+    each_tries = TRIES
+    while pairs.count() > ENOUGH * n_classes:
+        each = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"), "votes")
+        place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("votes"), "a", "b"))
+        tries = materialize(each.withColumn("_place", place).filter(F.col("_place") <= each_tries).select("a", "b").distinct())
+        each_tries *= 2
+        links = links.unionByName(materialize(verify(docs, classes, tries)))
         found = materialize(components(links))
+        left = pairs.join(tries, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
+        pairs = materialize(left.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b", "votes"))
     more = materialize(verify(docs, classes, pairs.select("a", "b")))
     # the second round's links join components, not classes
-    label = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
     joined = more.join(label("a"), "a", "left").join(label("b"), "b", "left")
     merged = components(joined.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")))
     merged = merged.select(F.col("node").alias("component"), F.col("component").alias("whole"))
@@ -318,7 +369,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     lowest = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = placed.join(lowest, "component").select("node", "component_id")
     alone = F.when(F.col("n_shingles") == 0, F.col("doc_id"))
-    out = own.join(named, "node", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce(alone, "component_id")))
+    out = own.drop("bits").join(named, "node", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce(alone, "component_id")))
     return out.select("doc_id", "n_shingles", "component_id")
 
 
