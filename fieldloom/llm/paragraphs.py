@@ -4,15 +4,18 @@ Paragraphs are sentences of a line, joined with those that follow until they hav
 passage is cut alike wherever it stands, but for its first sentences).  In lower case and with single spaces
 they are hashed; equal ones are one class.  Classes are banded by MinHash over shingles of five words:
 ``BANDS`` bands of ``ROWS`` values find a pair of Jaccard similarity 0.75 with probability above 0.98.
-Classes that collide in a band are paired with the band's first and with their predecessor, verified by exact
-Jaccard similarity of their shingle sets, and clustered by connected components.
+Classes that collide in a band are paired with the bucket's first and with their predecessor, verified by exact
+Jaccard similarity of their shingle sets, and clustered by connected components.  Buckets that still hold several
+components are then compared whole: all their pairs of different components, in blocks of ``BLOCK`` by ``BLOCK``
+classes.  So each pair that collides in a band is verified or connected already.
 
 Of each cluster that spans documents, the paragraph with the smallest (doc_id, number) stays.  Others are
 repeats; they are removed where consecutive repeats of a document have ``MIN_RUN`` words or more, so that
 single stock sentences stay.
 
 Skew: equal paragraphs collapse before banding; classes carry their smallest place, so no task gets all
-copies; messages are packed by shard.
+copies; messages are packed by shard; a large bucket's blocks are dealt over all tasks (their number grows with the
+square of the components that share a bucket, as all their pairs count).
 
 Edge cases: null and empty texts have no paragraphs; paragraphs with fewer words than ``MIN_WORDS`` (only at
 the end of a line) take no part; rows with a null doc_id take no part; rows that repeat a doc_id count as one
@@ -35,6 +38,8 @@ from .storage import materialize, shuffle_partitions
 
 MIN_WORDS, MIN_RUN, PERCENT = 8, 25, 75
 BANDS, ROWS = 6, 2
+#: Classes on each side of a block of pairs; sets that are sent to a task at once, about.
+BLOCK, PACKED = 256, 1 << 12
 _SEEDS = np.random.default_rng(5).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _STEP = np.uint64(0x9FB21C651E98DF25)
 _PLACE = "doc_id long, number int, start int, end int, words int, class long"
@@ -145,7 +150,10 @@ def band_messages(docs: DataFrame, shards: int) -> DataFrame:
 
 
 def candidates(messages: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes that collide in a band: with the band's first class, and with the one before."""
+    """Pairs (a, b, null) of classes that collide in a band: with the bucket's first class, and with the one before.
+
+    Buckets with more pairs than these are listed by member as (class, null, key).
+    """
 
     def meet(table: pa.Table) -> pa.Table:
         raw = table.column("packed").to_pylist()
@@ -159,14 +167,18 @@ def candidates(messages: DataFrame) -> DataFrame:
         same = np.flatnonzero(key[1:] == key[:-1]) + 1
         head = np.searchsorted(key, key[same])
         pairs = np.unique(np.stack([np.concatenate((code[head], code[same - 1])), np.concatenate((code[same], code[same]))]), axis=1)
-        return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
+        # the first and the predecessor are all pairs of up to three classes
+        more = np.searchsorted(key, key, "right") - np.searchsorted(key, key) > 3
+        none = lambda n: pa.nulls(n, pa.int64())
+        b = pa.chunked_array([pa.array(pairs[1]), none(int(more.sum()))])
+        keys = pa.chunked_array([none(pairs.shape[1]), pa.array(key[more].astype(np.int64))])
+        return pa.table({"a": pa.array(np.concatenate((pairs[0], code[more]))), "b": b, "key": keys})
 
-    return messages.groupBy("shard").applyInArrow(meet, "a long, b long").distinct()
+    return messages.groupBy("shard").applyInArrow(meet, "a long, b long, key long")
 
 
-def verify(docs: DataFrame, own: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose shingle sets reach the threshold, from the texts of one place of each class."""
-    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+def class_sets(docs: DataFrame, own: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(class, shingles) of the wanted classes, from the texts of one place of each."""
     spots = own.join(wanted, "class", "left_semi").groupBy("class").agg(F.min(F.struct("doc_id", "number")).alias("p"))
     by_doc = materialize(spots.select(F.col("p.doc_id").alias("_d"), "class").groupBy("_d").agg(F.collect_set("class").alias("classes")))
     texts = docs.join(by_doc, F.col("doc_id") == F.col("_d")).select("text", "classes")
@@ -183,13 +195,98 @@ def verify(docs: DataFrame, own: DataFrame, pairs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(code[found]), pa.array([h[at[i] : at[i + 1]].astype(np.int64) for i in found], pa.list_(pa.int64()))], names=["class", "shingles"])
 
     # documents share an id only where rows repeat it: one set per class
-    each = texts.mapInArrow(sets, "class long, shingles array<long>").groupBy("class").agg(F.min("shingles").alias("shingles"))
-    each = materialize(each)
+    return materialize(texts.mapInArrow(sets, "class long, shingles array<long>").groupBy("class").agg(F.min("shingles").alias("shingles")))
+
+
+def verify(docs: DataFrame, own: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose shingle sets reach the threshold."""
+    each = class_sets(docs, own, pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct())
     side = lambda x: each.select(F.col("class").alias(x), F.col("shingles").alias(f"s_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("n", F.size(F.array_intersect("s_a", "s_b")))
     return both.filter(100 * F.col("n") >= PERCENT * (F.size("s_a") + F.size("s_b") - F.col("n"))).select("a", "b")
 
 
+def open_blocks(members: DataFrame, found: DataFrame, shards: int) -> DataFrame:
+    """(key, i, j, class, component): the classes of each block of pairs that has different components.
+
+    A bucket's classes, ordered by component, are cut into groups; blocks are the pairs of its groups.
+    """
+    rows = members.join(found.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    several = rows.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a <> _b").select("key")
+    rows = rows.join(several, "key").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
+
+    def number(table: pa.Table) -> pa.Table:
+        key, code, component = (table.column(x).to_numpy() for x in ("key", "class", "component"))
+        order = np.lexsort((code, component, key))
+        key = key[order]
+        group = (np.arange(len(key)) - np.searchsorted(key, key)) // BLOCK
+        return pa.table({"key": key, "class": code[order], "component": component[order], "g": group.astype(np.int32)})
+
+    rows = materialize(rows.groupBy("shard").applyInArrow(number, "key long, class long, component long, g int"))
+    groups = rows.groupBy("key", "g").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    left = groups.select("key", F.col("g").alias("i"), F.col("low").alias("low_i"), F.col("high").alias("high_i"))
+    blocks = left.join(groups.withColumnRenamed("g", "j"), "key").filter("i <= j AND (low_i <> high OR high_i <> low)")
+    blocks = blocks.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("g"))
+    return blocks.join(rows, ["key", "g"]).select("key", "i", "j", "g", "class", "component")
+
+
+def _links_of_block(sets: list[np.ndarray], component: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Similar pairs of different components, as indices: left ones with the others, or all pairs if all are left."""
+    size = np.array([len(x) for x in sets])
+    _, name, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, shared = np.repeat(np.arange(len(sets)), size), count[name] > 1
+    row, name = row[shared], (np.cumsum(count > 1) - 1)[name[shared]]
+    rows, columns = np.flatnonzero(left), np.flatnonzero(left if left.all() else ~left)
+    both = np.zeros((len(rows), len(columns)), np.float32)
+    order = np.argsort(name, kind="stable")
+    row, name = row[order], name[order]
+    for low in range(0, int(count[count > 1].size), 1 << 13):
+        here = slice(*np.searchsorted(name, [low, low + (1 << 13)]))
+        has = np.zeros((len(sets), int(name[here].max()) - low + 1), np.float32)
+        has[row[here], name[here] - low] = 1
+        both += has[rows] @ has[columns].T
+    both = both.astype(np.int64)
+    good = 100 * both >= PERCENT * (size[rows][:, None] + size[columns] - both)
+    i, j = np.nonzero(good & (component[rows][:, None] != component[columns]))
+    return rows[i], columns[j]
+
+
+def links_in_blocks(blocks: DataFrame, each: DataFrame) -> DataFrame:
+    """All similar pairs (a, b) of different components in the blocks, from the classes' sets; many blocks a task."""
+    packs = max(shuffle_partitions(blocks.sparkSession), blocks.count() // PACKED)
+
+    def work(table: pa.Table) -> pa.Table:
+        key, i, j, g, code, component = (table.column(x).to_numpy() for x in ("key", "i", "j", "g", "class", "component"))
+        shingles = table.column("shingles").combine_chunks()
+        values, at = shingles.values.to_numpy(), shingles.offsets.to_numpy()
+        order = np.lexsort((code, g, j, i, key))
+        apart = np.zeros(len(order) - 1, bool)
+        for x in (key, i, j):
+            apart |= np.diff(x[order]) != 0
+        out = []
+        for here in np.split(order, np.flatnonzero(apart) + 1):
+            a, b = _links_of_block([values[at[k] : at[k + 1]] for k in here], component[here], g[here] == i[here])
+            out.append(np.stack([code[here[a]], code[here[b]]]))
+        pairs = np.concatenate(out, axis=1)
+        pairs = np.unique(np.stack([pairs.min(axis=0), pairs.max(axis=0)]), axis=1)
+        return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
+
+    sent = blocks.join(each, "class").withColumn("pack", F.pmod(F.xxhash64("key", "i", "j"), F.lit(packs)).cast("int"))
+    return sent.groupBy("pack").applyInArrow(work, "a long, b long")
+
+
+def linked_classes(docs: DataFrame, own: DataFrame, shards: int) -> DataFrame:
+    """(node, component) of all classes that collide in a band and are similar."""
+    met = materialize(candidates(band_messages(docs, shards)))
+    links = materialize(verify(docs, own, met.filter("key is null").select("a", "b").distinct()))
+    found = materialize(components(links))
+    blocks = materialize(open_blocks(met.filter("key is not null").select("key", F.col("a").alias("class")), found, shards))
+    if blocks.isEmpty():
+        return found
+    more = links_in_blocks(blocks, class_sets(docs, own, blocks.select("class").distinct()))
+    return components(links.unionByName(more))
+
+
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     """One row per paragraph of a cluster that spans documents.
 
@@ -200,8 +297,7 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     own = materialize(places(docs))
     total = own.count()
     shards = max(shuffle_partitions(docs.sparkSession), total * BANDS >> 18)
-    pairs = materialize(candidates(band_messages(docs, shards)))
-    links = components(verify(docs, own, pairs)).select(F.col("node").alias("class"), "component")
+    links = linked_classes(docs, own, shards).select(F.col("node").alias("class"), "component")
     # each class' smallest place and number of documents, combined before the shuffle
     known = own.groupBy("class").agg(F.min(F.struct("doc_id", "number")).alias("p"), F.max("doc_id").alias("last"))
     known = known.join(links, "class", "left").withColumn("component", F.coalesce("component", "class"))

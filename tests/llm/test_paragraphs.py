@@ -92,6 +92,31 @@ def test_repeats_match_brute_force(spark):
     assert sum(r.removed for r in got) > 10
 
 
+def test_large_template_bucket_matches_all_pairs(spark, monkeypatch):
+    """Many pairs of similar paragraphs that share a stock beginning: each pair is found, however full its bucket."""
+    monkeypatch.setattr(paragraphs, "BLOCK", 32, raising=False)
+    draw = random.Random(7)
+    fresh = lambda n: " ".join("".join(draw.choice("abcdefghij") for _ in range(9)) for _ in range(n))
+    stock, rows = fresh(24), []
+    for k in range(150):
+        tail = fresh(8)
+        rows += [(2 * k + x, f"{stock} {tail} {end}.", "en", "s", 1) for x, end in enumerate(("one", "two"))]
+    frame = corpus.frame(spark, rows).select("doc_id", "text")
+    data = [paragraphs.tb.text_bytes(paragraphs.pa.array([t])) for _, t, *_ in rows]
+    codes, sets, keys = [], [], []
+    for part, offsets in data:
+        _, _, start, end, _ = paragraphs.cut(part, offsets)
+        code, h, at = paragraphs.classes_of(part, start, end)
+        codes.append(int(code[0]))
+        sets.append(set(h[at[0] : at[1]].tolist()))
+        keys.append(set(paragraphs.band_keys(h, at)[0].tolist()))
+    similar = lambda i, j: 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if keys[i] & keys[j] and similar(i, j)}
+    assert len(want) > 140 and all(j == i + 1 for i, j in want)
+    got = {r.doc_id: r.first_doc for r in paragraphs.repeated_paragraphs(frame).collect()}
+    assert got == {x: i for i, j in want for x in (i, j)}
+
+
 def test_removal_and_empty(spark):
     frame = corpus.frame(spark, data(), _gone="clash")
     out = paragraphs.remove_paragraphs(frame.drop("_gone"))
