@@ -144,8 +144,9 @@ def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, most_repeats:
     columns = docs.columns
     docs = docs.withColumn("size", text_size(F.col("text")))
     docs = docs.withColumn("_nr", F.row_number().over(Window.partitionBy("doc_id").orderBy("size", F.xxhash64("source"))))
-    counts = mix_counts(docs.select("doc_id", "source", "size"), block_words, most_repeats).filter("taken > 0")
-    counts = counts.withColumn("_nr", F.row_number().over(Window.partitionBy("doc_id").orderBy("size", F.xxhash64("source"))))
+    # both sides number all rows of a doc_id, also those of which nothing is taken
+    counts = mix_counts(docs.select("doc_id", "source", "size"), block_words, most_repeats)
+    counts = counts.withColumn("_nr", F.row_number().over(Window.partitionBy("doc_id").orderBy("size", F.xxhash64("source")))).filter("taken > 0")
     # the partial pass takes the stream's words before tail: the document's first words or, if offset < tail < end, a part of them
     counts = counts.select(F.col("doc_id").alias("_d"), F.col("_nr").alias("_n"), "taken")
     joined = docs.join(counts, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_nr") == F.col("_n")))

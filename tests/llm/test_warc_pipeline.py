@@ -77,6 +77,18 @@ def test_stages_match_plain_versions(spark, tmp_path):
     assert docs.agg(F.sum("length")).first()[0] > 0
 
 
+def test_mix_keeps_worded_twins_and_null_ids(spark):
+    """An empty row that shares its doc_id, or the missing one, with worded rows doesn't shift what these give."""
+    rows = [(7, "", "en", "s1", 0), (7, "a b c d e", "en", "s1", 9), (8, "f g h", "en", "s2", 5), (None, None, "en", "s1", None), (None, " ", "en", "s2", 1), (None, "i j k l", "en", "s1", 7), (None, "m n", "en", "s2", 3)]
+    frame = corpus.frame(spark, rows)
+    counts = mixing.mix_counts(frame.select("doc_id", "source", mixing.text_size(F.col("text")).alias("size"))).collect()
+    want = Counter({(r.doc_id, r.source, r["size"]): r.taken for r in counts if r.taken})
+    got, total = mixing.mix_documents(frame).collect(), Counter()
+    for r in got:
+        total[next((d, s, len(corpus.words(t))) for d, t, _, s, _ in rows if d == r.doc_id and s == r.source and t and t.startswith(r.text.strip()) and r.text.strip())] += len(corpus.words(r.text))
+    assert len(want) == 4 and total == want
+
+
 def test_registry_and_guard(tmp_path):
     assert [sorted(k.split("_")[0] for k in registry.QUERIES)] == [sorted(f"op{n}" for n in range(1, 11))]
     assert set(registry.ORACLES) <= set(registry.QUERIES)
