@@ -91,7 +91,7 @@ def test_mixing(spark):
     for r in got:
         taken[r.source] += r.taken
         assert r.source_size == sizes[r.source] and abs(r.target - target[r.source]) < 1e-6 * max(1, r.target) and 0 <= r.taken <= 3 * r.size
-    assert all(abs(taken[s] - target[s]) <= 1 for s in names)
+    assert all(abs(taken[s] - target[s]) <= max(1, 0.03 * target[s]) for s in names)
     again = mixing.mix_counts(sized.repartition(3), block_words=16).collect()
     key = lambda rs: Counter((r.doc_id, r.source, r.size, r.taken) for r in rs)
     assert key(again) == key(got)
@@ -101,6 +101,43 @@ def test_mixing(spark):
     assert mixing.mix_counts(sized.limit(0)).count() == 0
 
 
+def plain_targets(sizes):
+    """Targets by pouring: all open sources rise by weight until the first is full, and so on; names in code-point order."""
+    names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
+    weight = {s: k % 3 + 1 for k, s in enumerate(names)}
+    target, left = dict.fromkeys(names, 0.0), float(sum(sizes.values()))
+    while left > 1e-9:
+        open_ = [s for s in names if 3 * sizes[s] - target[s] > 1e-9]
+        step = min(left / sum(weight[s] for s in open_), *[(3 * sizes[s] - target[s]) / weight[s] for s in open_])
+        for s in open_:
+            target[s] += step * weight[s]
+        left -= step * sum(weight[s] for s in open_)
+    return target
+
+
+@pytest.mark.parametrize("sizes", [{"a": 4, "b": 8}, {"a": 4, "b": 8, "c": 1}, {"a": 5, "b": 10, "c": 15, None: 5}, {"a": 1, "b": 1, "c": 1}, {"a": 0, "b": 0}, {"a": 0, "b": 7}, {"a": 1000, "b": 3, "c": 2, "d": 9000, "e": 1}])
+def test_targets_of_tied_equal_and_tiny_sources(spark, sizes):
+    data = [(k, s, 1) for k, s in enumerate(x for s, n in sizes.items() for x in [s] * n)] + [(-k, s, 0) for k, s in enumerate(sizes)]
+    got = mixing.mix_counts(spark.createDataFrame(data, "doc_id long, source string, size long"), block_words=4).collect()
+    want, taken = plain_targets(sizes), Counter()
+    for r in got:
+        taken[r.source] += r.taken
+        assert abs(r.target - want[r.source]) < 1e-6 and r.source_size == sizes[r.source] and 0 <= r.taken <= 3 * r.size
+    assert all(abs(taken[s] - want[s]) <= max(4, 0.05 * want[s]) for s in sizes)
+    assert all((r.first_slot is None) == (r.taken == 0) for r in got)
+
+
+def test_the_schedule_decides_the_mix(spark, monkeypatch):
+    sized = spark.createDataFrame([(k, "abc"[k % 3], 3 + k % 50) for k in range(900)], "doc_id long, source string, size long")
+    order = lambda: {r.doc_id: r.first_slot for r in mixing.mix_counts(sized, block_words=20).collect()}
+    by_ratio = order()
+    monkeypatch.setattr(mixing, "GOLDEN", 1)
+    by_range = order()
+    assert by_ratio != by_range
+    slots = mixing.mix_documents(corpus.frame(spark), block_words=16, slot="at")
+    assert slots.columns == [*corpus.SCHEMA.names, "at"] and slots.filter("at is null").count() == 0
+
+
 def test_schedule_is_even(spark):
     sources = mixing.plan_sources(spark.createDataFrame([("a", 60000), ("b", 20000), (None, 9000)], "source string, size long"), block_words=10)
     first = mixing.schedule(sources).filter("slot < 1000").groupBy("source").count().collect()
@@ -118,7 +155,6 @@ def test_packing(spark):
     data = corpus.rows() + [(3000, "mark \x01 \x01x it's <|endoftext|> É́ b", "en", "s", 1)]
     got = packing.pack(packing.cut_pieces(corpus.frame(spark, data, offset=1, length=2)), 2048).collect()
     tok = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    tok.encode_special_tokens = True
     want = Counter()
     for doc_id, text, *_ in data:
         ids = np.array(tok.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
@@ -126,6 +162,7 @@ def test_packing(spark):
             part = ids[p : p + 2048]
             want[doc_id, p // 2048, p, len(part), zlib.crc32(part.tobytes())] += 1
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    assert tok.encode("hello <|endoftext|> world", add_special_tokens=False).ids == [3306, 49407, 1002]
     check_places(got, 2048)
 
 

@@ -68,7 +68,8 @@ def test_stages_match_plain_versions(spark, tmp_path):
             assert all(len(r[1].encode()) == want[r[0]][1] - want[r[0]][2] and r[4] == len(r[1]) for r in got if r[1] is not None and r[1].isascii())
             assert len(got) == len(before)
         elif name == "source_mixing":
-            taken = mixing.mix_counts(spark.createDataFrame([(r[0], r[3], len(corpus.words(r[1]))) for r in before], "doc_id long, source string, size long")).collect()
+            texts = spark.createDataFrame([(r[0], r[3], r[1]) for r in before], "doc_id long, source string, text string")
+            taken = mixing.mix_counts(texts.select("doc_id", "source", mixing.text_size(F.col("text")).alias("size"), F.xxhash64("text").alias("code"))).collect()
             total = Counter()
             for r in got:
                 total[r[0]] += len(corpus.words(r[1]))
@@ -81,7 +82,7 @@ def test_mix_keeps_worded_twins_and_null_ids(spark):
     """An empty row that shares its doc_id, or the missing one, with worded rows doesn't shift what these give."""
     rows = [(7, "", "en", "s1", 0), (7, "a b c d e", "en", "s1", 9), (8, "f g h", "en", "s2", 5), (None, None, "en", "s1", None), (None, " ", "en", "s2", 1), (None, "i j k l", "en", "s1", 7), (None, "m n", "en", "s2", 3)]
     frame = corpus.frame(spark, rows)
-    counts = mixing.mix_counts(frame.select("doc_id", "source", mixing.text_size(F.col("text")).alias("size"))).collect()
+    counts = mixing.mix_counts(frame.select("doc_id", "source", mixing.text_size(F.col("text")).alias("size"), F.xxhash64("text").alias("code"))).collect()
     want = Counter({(r.doc_id, r.source, r["size"]): r.taken for r in counts if r.taken})
     got, total = mixing.mix_documents(frame).collect(), Counter()
     for r in got:
