@@ -42,7 +42,8 @@ class WordTokenizer:
 
     The vocabulary's pre-tokenizer never joins characters across white space, so a text's ids are
     those of its words one after another.  Each distinct word (told apart by a 64-bit hash) is
-    tokenized once; that is several times faster than tokenizing whole texts.
+    tokenized once; that is several times faster than tokenizing whole texts.  Literals of special tokens
+    (none has white space) get the special ids, inside words too, as in a plain call for the whole text.
     """
 
     #: Stands alone between words that are tokenized in one call.
@@ -52,7 +53,6 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         (self.mark,) = self._encode(self.MARK)
         self._clear()
 
