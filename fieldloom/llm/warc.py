@@ -5,13 +5,15 @@ the version that the crawler held.  It is joined as of its date to the latest ea
 same canonical URL.  If the validators agree it is resolved, and the response's headers are updated by the
 revisit's, as RFC 9111 (3.2) and RFC 9110 permit: not those that describe the message's body or connection.
 
-The as-of join needs no task to sort all captures of one URL: URLs are cut into date ranges; the latest
-response of each range (one row) is carried to the ranges after it, and only a range's captures are ordered.
+The as-of join needs no task to sort all captures of one URL: URLs are cut into date ranges (between quantiles of
+all dates, so that a stray date doesn't widen them); the latest response of each range (one row, with what it
+brings) is carried to the ranges after it, and only a range's captures are ordered.
 
 Edge cases: a response of the same date isn't earlier; of several responses with one date the largest
-record_id counts; a revisit without validators is ``unverified``, one whose validators differ ``mismatch``,
+record_id counts, of those that share it too the one with the largest validators, digest and headers; a revisit without validators is ``unverified``, one whose validators differ ``mismatch``,
 one without an earlier response ``unresolved``; URLs that are null match nothing; records without a date are
-``unresolved`` and aren't matched; header names are compared in lower case, and null headers are empty;
+``unresolved`` and aren't matched; header names are compared in lower case, of spellings that differ in case the one
+that sorts last counts, and null headers are empty;
 repeated records are resolved each; extra columns of records are ignored.
 """
 
@@ -48,29 +50,49 @@ def merged_headers(stored: Column, fresh: Column) -> Column:
     return F.map_concat(F.map_filter(F.coalesce(stored, empty), lambda k, _: ~F.coalesce(F.array_contains(F.map_keys(permitted), k), F.lit(False))), permitted)
 
 
+def lower_names(headers: Column) -> Column:
+    """Headers by lower-case names; of those that differ in case only, the one that sorts last. Null headers are empty."""
+    entries = F.transform(F.array_sort(F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>")))), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    last = lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"])
+    return F.map_from_entries(F.filter(entries, last))
+
+
+def date_chunk(records: DataFrame) -> Column:
+    """Number of a date's range: ranges between quantiles of all dates, each cut evenly, of about CHUNK_ROWS rows."""
+    shares = [0.0, 0.0001, 0.001, *[k / 64 for k in range(1, 64)], 0.999, 0.9999]
+    cuts, n = records.agg(F.percentile_approx("date", shares, 100_000), F.count("date")).first()
+    cuts = sorted(set(cuts or [0]))
+    parts = max(1, -(-n // len(cuts) // CHUNK_ROWS))
+    level = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("date")))
+    low = F.element_at(F.array(*[F.lit(c).cast("long") for c in cuts]), F.greatest(level, F.lit(1)))
+    width = F.element_at(F.array(*[F.lit(max(1, -(-(b - a) // parts))).cast("long") for a, b in zip(cuts, [*cuts[1:], cuts[-1] + parts])]), F.greatest(level, F.lit(1)))
+    # dates below the smallest or beyond the largest quantile lie in the outermost parts
+    return level.cast("long") * (parts + 2) + F.greatest(F.lit(-1), F.least(F.lit(parts), F.floor((F.col("date") - low) / width)))
+
+
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """One row per revisit: record_id, key, response_id, status, digest and merged headers (null unless resolved)."""
-    lower = F.transform_keys(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, _: F.lower(k))
-    records = records.select(*RECORD_COLUMNS[:-1], lower.alias("headers")).withColumn("key", canonical_url(F.col("url")))
-    spread = records.agg(F.min("date").alias("low"), F.max("date").alias("high"), F.count("*").alias("n")).first()
-    width = max(1, ((spread["high"] or 0) - (spread["low"] or 0) + 1) * CHUNK_ROWS // max(1, spread["n"]))
-    keyed = records.filter("key is not null and date is not null").withColumn("chunk", F.expr(f"(date - {spread['low'] or 0}) div {width}"))
-    stand = F.when(F.col("type") == "response", F.struct("date", "record_id"))
-    marks = keyed.select("key", "chunk", "date", "record_id", "type").withColumn("stand", stand)
+    records = records.select(*RECORD_COLUMNS[:-1], lower_names(F.col("headers")).alias("headers")).withColumn("key", canonical_url(F.col("url")))
+    records = records.withColumn("date", F.col("date").cast("long"))
+    keyed = records.filter("key is not null and date is not null").withColumn("chunk", date_chunk(records))
+    # what a response is later than, and what it brings; of equal dates and ids, the largest content counts
+    entries = F.array_sort(F.map_entries("headers"))
+    stand = F.when(F.col("type") == "response", F.struct("date", "record_id", "etag", "last_modified", "digest", entries.alias("entries")))
+    marks = keyed.withColumn("stand", stand)
     ends = marks.groupBy("key", "chunk").agg(F.max("stand").alias("own"))
     carried = ends.select("key", "chunk", F.max("own").over(Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
     within = Window.partitionBy("key", "chunk").orderBy("date").rangeBetween(Window.unboundedPreceding, -1)
     found = marks.withColumn("near", F.max("stand").over(within)).filter("type = 'revisit'").join(carried, ["key", "chunk"])
-    found = found.select(F.col("record_id").alias("_id"), F.col("date").alias("_date"), F.coalesce("near", "carried")["record_id"].alias("response_id")).distinct()
-    revisits = records.filter("type = 'revisit'").join(found, (F.col("record_id") == F.col("_id")) & F.col("date").eqNullSafe(F.col("_date")), "left")
-    stored = records.filter("type = 'response'").select(F.col("record_id").alias("_r"), F.col("etag").alias("r_etag"), F.col("last_modified").alias("r_modified"), F.col("digest").alias("r_digest"), F.col("headers").alias("r_headers")).dropDuplicates(["_r"])
-    out = revisits.join(stored, F.col("response_id") == F.col("_r"), "left")
-    weak = lambda c: F.regexp_replace(F.col(c), r"^W/", "")
-    agrees = F.when(F.col("etag").isNotNull(), F.coalesce(weak("etag") == weak("r_etag"), F.lit(False))).when(F.col("last_modified").isNotNull(), F.coalesce(F.col("last_modified") == F.col("r_modified"), F.lit(False)))
-    status = F.when(F.col("_r").isNull(), "unresolved").when(agrees.isNull(), "unverified").when(agrees, "resolved").otherwise("mismatch")
+    out = found.withColumn("r", F.coalesce("near", "carried")).select("record_id", "key", "etag", "last_modified", "headers", "r")
+    apart = records.filter("type = 'revisit' and (key is null or date is null)").select("record_id", "key", "etag", "last_modified", "headers", F.lit(None).cast(out.schema["r"].dataType).alias("r"))
+    out = out.unionByName(apart)
+    weak = lambda c: F.regexp_replace(c, r"^W/", "")
+    agrees = F.when(F.col("etag").isNotNull(), F.coalesce(weak(F.col("etag")) == weak(F.col("r.etag")), F.lit(False))).when(F.col("last_modified").isNotNull(), F.coalesce(F.col("last_modified") == F.col("r.last_modified"), F.lit(False)))
+    status = F.when(F.col("r").isNull(), "unresolved").when(agrees.isNull(), "unverified").when(agrees, "resolved").otherwise("mismatch")
     out = out.withColumn("status", status)
     resolved = F.col("status") == "resolved"
-    return out.select("record_id", "key", F.when(F.col("_r").isNotNull(), F.col("response_id")).alias("response_id"), "status", F.when(resolved, F.col("r_digest")).alias("digest"), F.when(resolved, merged_headers(F.col("r_headers"), F.col("headers"))).alias("headers"))
+    merged = merged_headers(F.map_from_entries("r.entries"), F.col("headers"))
+    return out.select("record_id", "key", F.col("r.record_id").alias("response_id"), "status", F.when(resolved, F.col("r.digest")).alias("digest"), F.when(resolved, merged).alias("headers"))
 
 
 def header_text(headers: Column) -> Column:

@@ -40,6 +40,20 @@ def test_revisits(spark, monkeypatch):
     assert warc.resolve_revisits(frame.limit(0)).count() == 0
 
 
+def test_revisits_with_repeated_names_ids_and_stray_dates(spark, monkeypatch):
+    monkeypatch.setattr(warc, "CHUNK_ROWS", 2)
+    rows = [
+        record(1, 10, "response", "x", headers={"ETag": "x", "etag": "x2", "Vary": "a"}), record(1, 10, "response", "w"), record(2, 20, "revisit", "x", headers={"CACHE-CONTROL": "1", "Cache-Control": "2"}),
+        record(3, 1 << 60, "revisit", "x"), record(4, 0, "response", "o"), record(5, -(1 << 60), "revisit", "x"), record(6, 9, "revisit", "o"),
+    ]
+    rows += [record(100 + k, 100 + k, "response" if k % 2 else "revisit", f"e{k - k % 2}") for k in range(40)]
+    frame = spark.createDataFrame(rows, COLUMNS)
+    got = {r.record_id: r for r in warc.resolve_revisits(frame).collect()}
+    assert (got[2].response_id, got[2].status) == (1, "resolved") and got[2].headers == {"etag": "x2", "vary": "a", "cache-control": "2"}
+    assert (got[3].response_id, got[5].response_id, got[6].status) == (139, None, "resolved")
+    assert all(got[100 + k].response_id == (99 + k if k else 1) for k in range(0, 40, 2))
+
+
 def test_stages_match_plain_versions(spark, tmp_path):
     """Each stage on its own input against a plain version of what it must do."""
     rows = [r for r in corpus.rows(3, 60) if r[0] is not None]
