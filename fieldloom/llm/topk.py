@@ -1,11 +1,11 @@
 """Operator 6: exact top-k by inner product, on an impact-ordered score-at-a-time index.
 
-Candidates are hashed into shards of about ``SHARD`` vectors, queries into blocks; a shard meets each block
-once.  A shard's index has one posting list per component, ordered by value, so that the largest impacts
-(query component times value) stand at one end.  A query takes posting segments in rounds of falling impact
-level, all lists down to the level, and adds their impacts to accumulators.  What a vector can still gain is
-less than the level for each component not seen.  A query ends a shard only when that bound leaves few
-possible members of its top k; those are scored again exactly, from their whole vectors.
+Candidates are hashed into shards of about ``SHARD`` vectors; queries go to the shards, ``BLOCK`` at a time, so that
+an index is built once for so many.  A shard's index has one posting list per component, ordered by value, so that
+the largest impacts (query component times value) stand at one end.  A query takes posting segments in rounds of
+falling impact level, all lists down to the level, and adds their impacts to accumulators.  What a vector can still
+gain is less than the level for each component not seen.  A query ends a shard only when that bound proves that all
+but a few can't be members of its top k; those few are scored again exactly, from their whole vectors.
 
 Components become floor(1024 * x); scores are integers and ties go to the smaller vec_id.
 
@@ -23,10 +23,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNIT, K, QUERY_STEP = 1024, 10, 100
-SHARD, BLOCK = 16384, 128
+#: Vectors of a shard, queries that meet it at once, about.
+SHARD, BLOCK = 16384, 4096
+#: Impact levels of the rounds, as shares of a query's largest impact; after these they fall by four each.
+LEVELS = (1 / 8, 0.0, -1 / 32, -1 / 8)
 #: Rounds stop when at most this share of a shard can still be among the best: to score those exactly costs less than a round.
-FEW = 1 / 4
+FEW = 1 / 8
 NEVER = -(1 << 62)
+#: Sums of doubles are exact below this.
+EXACT = 1 << 53
 
 
 def quantised(vector: Column) -> Column:
@@ -37,66 +42,82 @@ def quantised(vector: Column) -> Column:
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    rows = column.to_pylist()
-    out = np.zeros((len(rows), width), np.int64)
-    for k, row in enumerate(rows):
-        out[k, : len(row)] = row
+    """Rows of a list column as rows of a matrix, the shorter ones ended by zeros."""
+    lists = column.combine_chunks()
+    values, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+    if (sizes == width).all():
+        return values.reshape(len(sizes), width)
+    out = np.zeros((len(sizes), width), np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    out[row, np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = values
     return out
 
 
+def _width(column: pa.ChunkedArray) -> int:
+    return int(np.diff(column.combine_chunks().offsets.to_numpy()).max(initial=0))
+
+
 class ImpactIndex:
-    """Posting lists of one shard, ordered by value within each component."""
+    """Posting lists of one shard (rows of ``lists`` and ``values``), ordered by value within each component."""
 
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable")
-        self.values = np.take_along_axis(vectors, self.order, axis=0)
-
-    def search(self, query: np.ndarray, allowed: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """(row, score) of the k best allowed rows, by falling score and rising id."""
-        n = len(self.vectors)
-        live = np.flatnonzero(query)
-        top = np.array([max(query[d] * self.values[0, d], query[d] * self.values[-1, d]) for d in live])
-        sums, seen = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        done = np.zeros(len(live), np.int64)  # postings taken from each list
-        level = int(top.max()) if len(live) else 0
-        best = np.zeros(0, np.int64)
+        self.lists = np.ascontiguousarray(np.argsort(vectors, axis=0, kind="stable").T)
+        self.values = np.ascontiguousarray(np.take_along_axis(vectors, self.lists.T, axis=0).T)
+        self.largest = float(np.abs(vectors).max(initial=0))
+        self.numbers = {t: (vectors.astype(t), self.values.astype(t)) for t in (np.float64, np.int64)}
+
+    def search(self, query: np.ndarray, allowed: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and scores of the k best allowed rows, by falling score and rising id."""
+        n, live = len(self.vectors), np.flatnonzero(query)
+        weights = query[live]
+        # in doubles, if they are exact, an accumulator holds the sum of a row's impacts, times unit, and how many they are
+        unit = 1 << len(live).bit_length()
+        exact = float(np.abs(weights).sum()) * max(self.largest, 1) * unit < EXACT
+        unit = unit if exact else 1
+        vectors, values = self.numbers[np.float64 if exact else np.int64]
+        query = query.astype(values.dtype)
+        accumulators, sums, seen = np.zeros(n), np.zeros(n, values.dtype), np.zeros(n, np.int64)
+        top = int(np.maximum(self.values[live, 0] * weights, self.values[live, -1] * weights).max(initial=1))
+        done, best, step = [0] * len(live), np.zeros(0, np.int64), 0
         while True:
-            level = level // 4 if level > 8 else min(level, 0) - 1 if level > -8 else level * 4
+            share = LEVELS[step] if step < len(LEVELS) else LEVELS[-1] * 4.0 ** (step - len(LEVELS) + 1)
+            level, step = int(top * share), step + 1
             rows, impacts = [], []
-            for j, d in enumerate(live):
-                q, column = int(query[d]), self.values[:, d]
+            for j, (d, q) in enumerate(zip(live.tolist(), weights.tolist())):
+                column, taken = self.values[d], done[j]
                 if q > 0:  # the largest values first: all with q * v >= level
-                    to = n - int(np.searchsorted(column, -(-level // q)))
-                    span = slice(n - to, n - done[j])
+                    done[j] = n - int(column.searchsorted(-(-level // q)))
+                    span = slice(n - done[j], n - taken)
                 else:
-                    to = int(np.searchsorted(column, level // q, "right"))
-                    span = slice(done[j], to)
-                if to > done[j]:
-                    rows.append(self.order[span, d])
-                    impacts.append(column[span] * q)
-                    done[j] = to
+                    done[j] = int(column.searchsorted(level // q, "right"))
+                    span = slice(taken, done[j])
+                if done[j] > taken:
+                    rows.append(self.lists[d, span])
+                    impacts.append(values[d, span] * (q * unit))
             if rows:
                 at, gain = np.concatenate(rows), np.concatenate(impacts)
-                if np.abs(gain).sum(dtype=float) < 2**53:  # exact in doubles
-                    sums += np.bincount(at, gain, n).astype(np.int64)
+                if exact:
+                    gain += 1
+                    accumulators += np.bincount(at, gain, n)
+                    sums = np.floor(accumulators / unit)
+                    seen = accumulators - sums * unit
                 else:
                     np.add.at(sums, at, gain)
-                seen += np.bincount(at, minlength=n)
-            ended = bool((done == n).all())
-            bound = np.where(allowed, sums + (len(live) - seen) * (level - 1), NEVER)
-            if ended:
-                bound = np.where(allowed, sums, NEVER)
+                    seen += np.bincount(at, minlength=n)
+            ended = min(done, default=n) == n
+            # a component not seen yet adds less than the level
+            bound = sums if ended else sums + (len(live) - seen) * (level - 1)
+            bound = np.where(allowed, bound, NEVER)
             best = np.union1d(best, np.argpartition(-bound, min(k, n - 1))[: k + 1])
             best = best[allowed[best]]
-            exact = np.sort(self.vectors[best] @ query)[::-1]
-            floor = exact[k - 1] if len(exact) >= k else None
-            possible = np.flatnonzero(allowed if floor is None else allowed & (bound >= floor))
+            known = np.sort(vectors[best] @ query)[::-1]
+            possible = np.flatnonzero(allowed & (bound >= known[k - 1])) if len(known) >= k else np.flatnonzero(allowed)
             if ended or len(possible) <= FEW * n:
                 break
-        scores = self.vectors[possible] @ query
+        scores = (vectors[possible] @ query).astype(np.int64)
         order = np.lexsort((ids[possible], -scores))[:k]
-        return [(int(possible[o]), int(scores[o])) for o in order]
+        return possible[order], scores[order]
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
@@ -109,15 +130,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     right = asked.withColumn("block", F.pmod(key, F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("query", key)
 
     def meet(own: pa.Table, asks: pa.Table) -> pa.Table:
-        out = {"query_id": [], "query": [], "vec_id": [], "score": []}
+        out = [[np.zeros(0, np.int64)] for _ in range(4)]
         if own.num_rows and asks.num_rows:
-            width = max(max(len(v) for v in t.column("v").to_pylist()) for t in (own, asks))
+            width = max(_width(t.column("v")) for t in (own, asks))
             index, ids = ImpactIndex(_matrix(own.column("v"), width)), own.column("vec_id").to_numpy()
             for query_id, code, query in zip(asks.column("vec_id").to_pylist(), asks.column("query").to_pylist(), _matrix(asks.column("v"), width)):
-                for row, score in index.search(query, ids != query_id, ids, k):
-                    for name, x in (("query_id", query_id), ("query", code), ("vec_id", int(ids[row])), ("score", score)):
-                        out[name].append(x)
-        return pa.table({name: pa.array(x, pa.int64()) for name, x in out.items()})
+                rows, scores = index.search(query, ids != query_id, ids, k)
+                for x, more in zip(out, (np.full(len(rows), query_id), np.full(len(rows), code), ids[rows], scores)):
+                    x.append(more)
+        return pa.table({name: pa.array(np.concatenate(x)) for name, x in zip(("query_id", "query", "vec_id", "score"), out)})
 
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(meet, "query_id long, query long, vec_id long, score long")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")).cast("int"))

@@ -206,3 +206,18 @@ def test_topk(spark):
         best = sorted((-sum(a * b for a, b in zip(u, v)), i) for i, v in clean if i != q)[:10]
         want.update((q, k + 1, i, -s) for k, (s, i) in enumerate(best))
     assert Counter((r.query_id, r.rank, r.vec_id, r.score) for r in got) == want
+
+
+@pytest.mark.parametrize("scale", [3, 1 << 20, 1 << 28])
+def test_impact_index(scale):
+    """Small integers with many ties, and sums beyond what doubles hold exactly."""
+    import numpy as np
+
+    draw = np.random.default_rng(scale)
+    vectors, ids = draw.integers(-scale, scale + 1, (700, 9)), draw.permutation(700)
+    vectors[:50] = 0
+    index = topk.ImpactIndex(vectors)
+    for query in [*draw.integers(-scale, scale + 1, (20, 9)), vectors[3], np.zeros(9, np.int64)]:
+        rows, scores = index.search(query, ids != 7, ids, 10)
+        want = sorted((-int(s), int(i)) for s, i in zip(vectors @ query, ids) if i != 7)[:10]
+        assert [(-int(s), int(i)) for s, i in zip(scores, ids[rows])] == want
