@@ -5,23 +5,27 @@ Documents are sets of word shingles; documents with equal sets are one class.  A
 threshold share one of their first shingles, where in addition their sizes and the positions of that shingle
 leave room for enough overlap.
 
-Overlaps are counted vertically: the order of hashes is cut into ``FRAGMENTS``; each pair's shingles meet
-fragment by fragment, partial overlaps are counted separately and summed per pair.
+Overlaps are counted vertically: the global order is cut into ``FRAGMENTS`` of about equal numbers of shingles; each
+pair's shingles meet fragment by fragment, partial overlaps are counted separately and summed per pair.
 
 Before a pair's sets travel, parity bitmaps bound its overlap: each shingle flips one of 2 to 4 bits per shingle of
 its class, and two sets differ in at least as many shingles as their bitmaps differ in bits.  Pairs whose bound
 is below the threshold are dropped, which loses no link.
 
-Pairs come in rounds, which lose no link and don't list all pairs of a group:
+Pairs come in three rounds, which lose no link and don't list all pairs of a group:
 
 1. each class is paired with two partners at most, those that most of its shared first shingles propose among
    its fitting neighbours by size and whose bitmaps allow; verified links give components;
-2. all fitting pairs that share a first shingle, lie in *different* components and whose bitmaps allow are listed
-   once.  While they outnumber the classes, each class tries two of them, then twice as many a round, which joins components; then all that
-   are left between components are verified.  A link that no round verifies joins classes that are connected already.
+2. classes that share a first shingle and lie in *different* components are compared by bitmap where the shingle's
+   classes meet; each is paired with the two that the bitmaps find nearest there;
+3. the same once more with the components of both rounds, and all pairs whose bitmaps allow are verified.
+
+What the bitmaps rule out never leaves the task.  A link that no round verifies joins classes that are connected
+already.
 
 Skew: copies collapse before anything is paired; a hub's partners are salted into groups of ``SALT`` with
-the hub's set copied to each; no task gets all documents of a frequent shingle's pairs.
+the hub's set copied to each; the shingles of one family of classes are dealt to several tasks, about
+``PACK_ENTRIES`` classes each; within a map task a class sends its first shingles once, however many copies it has.
 
 Edge cases: documents without words have no set and are linked with nothing; documents with fewer than five
 words link when all words are equal; rows with a null doc_id have n_shingles but no component_id and take no
@@ -48,13 +52,17 @@ SKETCH_BITS, SLICE_BITS = 20, 14
 FRAGMENTS, SALT = 4, 500
 #: Shingles of one shard, about.
 SHARD_SHINGLES = 1 << 18
+#: Entries (class at a shingle) of a family that one task compares, about.
+PACK_ENTRIES = 1 << 16
 #: Groups beyond this size are walked without their largest component.
 LARGE_GROUP = 64
 #: Classes that a shingle proposes to each of its classes in the first round, how many of a class' proposals are
-#: compared by bitmap, and how many each class tries first.
+#: compared by bitmap, and how many each class tries in a round.
 NEIGHBOURS, PROPOSALS, TRIES = 8, 6, 2
-#: Pairs per class between components up to which all are verified at once.
-ENOUGH = 1
+#: Pairs whose bitmaps are compared at once, about.
+CHUNK = 1 << 15
+#: Log2 of the bits of the filter by which documents find out whether their sets are wanted: 1 MB, whatever the corpus' size.
+FILTER_BITS = 23
 #: Log2 of the bits of the smallest and the largest bitmap; beyond the largest, bounds are looser and as safe.
 LEAST_BITS, MOST_BITS = 6, 16
 
@@ -113,6 +121,19 @@ def digest(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     return out.filter("slice is null").drop("slice", "counts"), levels.reshape(-1)
 
 
+def order_keys(h: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Places of shingles in the global order, rare ones first, as numbers."""
+    return levels[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(58) | h >> np.uint64(6)
+
+
+def pivots(levels: np.ndarray) -> np.ndarray:
+    """Where the global order is cut into fragments of about as many shingles each."""
+    order = np.argsort(levels, kind="stable")
+    total = np.cumsum(2.0 ** levels[order])
+    cell = order[np.searchsorted(total, total[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS)]
+    return levels[cell].astype(np.uint64) << np.uint64(58) | cell.astype(np.uint64) << np.uint64(58 - SKETCH_BITS)
+
+
 def _prefix_length(n: np.ndarray) -> np.ndarray:
     """How many first shingles two sets of n and more shingles must look at: n - ceil(0.75 n) + 1."""
     return n - -(-PERCENT * n // 100) + 1
@@ -129,16 +150,18 @@ def first_shingles(docs: DataFrame, levels: np.ndarray, shards: int) -> DataFram
     entry = np.dtype([("shingle", "<u8"), ("node", "<i8"), ("n", "<i4"), ("place", "<i4")])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for batch in batches:
             for _, h, at in _rows(batch):
-                sizes = np.diff(at)
+                sizes, nodes = np.diff(at), _signatures(h, at)
+                once = np.array([x not in sent and not sent.add(x) for x in nodes.tolist()], bool)  # copies in this task send nothing
                 row = np.repeat(np.arange(len(sizes)), sizes)
                 order = np.lexsort((h, levels[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], row))
                 place = np.arange(len(h)) - at[row]
-                keep = place < _prefix_length(sizes)[row]
+                keep = (place < _prefix_length(sizes)[row]) & once[row]
                 out = np.empty(int(keep.sum()), entry)
                 row = row[keep]
-                out["shingle"], out["node"], out["n"], out["place"] = h[order][keep], _signatures(h, at)[row], sizes[row], place[keep]
+                out["shingle"], out["node"], out["n"], out["place"] = h[order][keep], nodes[row], sizes[row], place[keep]
                 shard = (out["shingle"] & np.uint64(0xFFFFFFFF)).astype(np.int64) * shards >> 32
                 by = np.argsort(shard, kind="stable")
                 out, shard = out[by], shard[by]
@@ -199,26 +222,34 @@ def shared_first_shingles(packed: DataFrame) -> DataFrame:
     return packed.groupBy("shard").applyInArrow(meet, "shingle long, node long, n long, place long, partners array<long>")
 
 
-def _within_bound(table: pa.RecordBatch) -> np.ndarray:
-    """Whether the bitmaps of each pair allow an overlap that reaches the threshold."""
-    bits = [table.column(x).to_pylist() for x in ("bits_a", "bits_b")]
-    n = table.column("n_a").to_numpy() + table.column("n_b").to_numpy()
-    wide, narrow = (np.array([f(len(x), len(y)) for x, y in zip(*bits)], np.int64) for f in (max, min))
-    apart = np.zeros(len(n), np.int64)
-    for size in np.unique(wide * (1 << MOST_BITS) + narrow):
-        w, k = divmod(int(size), 1 << MOST_BITS)
-        at = np.flatnonzero((wide == w) & (narrow == k))
-        folded = []
-        for side in bits:
-            lengths = np.array([len(side[i]) for i in at])
-            both = np.zeros((len(at), k), np.uint8)
-            for length in np.unique(lengths):  # a wider bitmap folds onto a narrower one by parity
-                rows = np.flatnonzero(lengths == length)
-                flat = np.frombuffer(b"".join(side[i] for i in at[rows]), np.uint8).reshape(len(rows), length // k, k)
-                both[rows] = np.bitwise_xor.reduce(flat, axis=1)
-            folded.append(both)
-        apart[at] = np.bitwise_count(folded[0] ^ folded[1]).sum(axis=1)
-    return (n - apart) // 2 >= -(-PERCENT * n // (100 + PERCENT))
+class Bitmaps:
+    """Parity bitmaps of rows; those of one width lie in one matrix of 64-bit words."""
+
+    def __init__(self, bits: list[bytes], n: np.ndarray):
+        self.n, self.width = n, np.array([len(x) for x in bits], np.int64) // 8
+        self.place, self.words = np.zeros(len(bits), np.int64), {}
+        for w in np.unique(self.width).tolist():
+            rows = np.flatnonzero(self.width == w)
+            self.place[rows] = np.arange(len(rows))
+            self.words[w] = np.frombuffer(b"".join(bits[k] for k in rows), "<u8").reshape(len(rows), w)
+
+    def _folded(self, rows: np.ndarray, width: int, narrow: int) -> np.ndarray:
+        """Bitmaps of rows of one width, folded by parity onto a narrower one."""
+        words = self.words[width][self.place[rows]]
+        return words if width == narrow else np.bitwise_xor.reduce(words.reshape(len(rows), width // narrow, narrow), axis=1)
+
+    def slack(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """By how much the largest possible overlap of rows i and j exceeds what they need; negative if they can't be linked."""
+        n, apart = self.n[i] + self.n[j], np.zeros(len(i), np.int64)
+        code = self.width[i] << 32 | self.width[j]
+        for c in np.unique(code).tolist():
+            w, v = c >> 32, c & 0xFFFFFFFF
+            at = np.flatnonzero(code == c)
+            for low in range(0, len(at), CHUNK):
+                k = at[low : low + CHUNK]
+                a, b = self._folded(i[k], w, min(w, v)), self._folded(j[k], v, min(w, v))
+                apart[k] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+        return (n - apart) // 2 - -(-PERCENT * n // (100 + PERCENT))
 
 
 def promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -228,86 +259,154 @@ def promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         for batch in batches:
             for low in range(0, batch.num_rows, 1 << 11):
                 part = batch.slice(low, 1 << 11)
-                yield part.select(["a", "b", "votes"]).filter(pa.array(_within_bound(part)))
+                both = Bitmaps(part.column("bits_a").to_pylist() + part.column("bits_b").to_pylist(), np.concatenate([part.column(x).to_numpy() for x in ("n_a", "n_b")]))
+                row = np.arange(part.num_rows)
+                yield part.select(["a", "b", "votes"]).filter(pa.array(both.slack(row, row + len(row)) >= 0))
 
     side = lambda x: classes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
     return pairs.select("a", "b", "votes").join(side("a"), "a").join(side("b"), "b").mapInArrow(work, "a long, b long, votes long")
 
 
-def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _cell(ids: np.ndarray) -> np.ndarray:
+    return (tb.mix(ids.astype(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _filter(ids: DataFrame) -> np.ndarray:
+    """Bits (one of 2**FILTER_BITS for an id) of the ids in the first column, packed; made of one array per task."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.unique(np.concatenate([np.zeros(0, np.int64), *[_cell(b.column(0).to_numpy()) for b in batches]]))
+        yield pa.RecordBatch.from_arrays([pa.array(cells >> 14, pa.int32()), pa.array(cells & 16383, pa.int32())], names=["part", "cell"])
+
+    def gather(table: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << 14, np.uint8)
+        bits[table.column("cell").to_numpy()] = 1
+        return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()])})
+
+    out = np.zeros((1 << (FILTER_BITS - 14), 1 << 11), np.uint8)
+    for r in ids.mapInArrow(mark, "part int, cell int").distinct().groupBy("part").applyInArrow(gather, "part int, bits binary").collect():
+        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def verify(docs: DataFrame, levels: np.ndarray, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose sets reach the threshold.
 
     Each class' set goes to the groups of its pairs, cut into fragments; partial overlaps are summed per pair.
+    Only texts of wanted classes (as a filter of fixed size tells) are read as sets and leave their tasks.
     """
     salted = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
     pairs = pairs.join(salted, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
     sends = pairs.select("a", "salt", F.col("b").alias("node")).unionByName(pairs.select("a", "salt", F.col("a").alias("node")).distinct())
-    sends = sends.join(classes.select("node", "doc_id"), "node").select("doc_id", "node", "a", "salt")
-    targets = materialize(sends)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(targets, "doc_id")
+    sends = materialize(sends.join(classes.select("node", "doc_id"), "node"))
+    wanted, cuts = _filter(sends.select("doc_id").distinct()), pivots(levels)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, a, salt = (batch.column(x).to_numpy() for x in ("node", "a", "salt"))
+            cell = _cell(batch.column("doc_id").to_numpy())
+            batch = batch.filter(pa.array((wanted[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)))
             for low, h, at in _rows(batch):
-                n = len(at) - 1
-                own = _signatures(h, at) == node[low : low + n]
-                edges = [(k << 64) // FRAGMENTS for k in range(1, FRAGMENTS)]
-                rows = {x: [] for x in ("a", "salt", "node", "fragment", "shingles")}
-                for k in np.flatnonzero(own):
-                    parts = np.split(h[at[k] : at[k + 1]], np.searchsorted(h[at[k] : at[k + 1]], np.array(edges, np.uint64)))
-                    for f, part in enumerate(parts):
-                        for x, y in zip(rows, (a[low + k], salt[low + k], node[low + k], f, part.astype("<u8").tobytes())):
-                            rows[x].append(y)
-                kinds = {"a": pa.int64(), "salt": pa.int32(), "node": pa.int64(), "fragment": pa.int32(), "shingles": pa.binary()}
-                yield pa.RecordBatch.from_arrays([pa.array(rows[x], kinds[x]) for x in kinds], names=list(kinds))
+                row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+                fragment = np.searchsorted(cuts, order_keys(h, levels), "right")
+                order = np.lexsort((h, fragment, row))
+                ends = np.cumsum(np.bincount(row * FRAGMENTS + fragment, minlength=(len(at) - 1) * FRAGMENTS))
+                raw = h[order].astype("<u8").tobytes()
+                parts = [raw[8 * a : 8 * b] for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(_signatures(h, at), FRAGMENTS)), pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(at) - 1)), pa.array(parts, pa.binary())], names=["node", "fragment", "shingles"])
 
     def overlap(table: pa.Table) -> pa.Table:
         hub = table.column("a")[0].as_py()
         sets = {x: np.frombuffer(s, "<u8") for x, s in zip(table.column("node").to_pylist(), table.column("shingles").to_pylist())}
         mine = sets.pop(hub, np.zeros(0, "<u8"))
-        both = [int(np.isin(s, mine, assume_unique=True).sum()) if len(mine) else 0 for s in sets.values()]
-        return pa.table({"a": pa.array([hub] * len(sets), pa.int64()), "b": pa.array(list(sets), pa.int64()), "part": pa.array(both, pa.int64())})
+        size = np.array([len(s) for s in sets.values()], np.int64)
+        hit = np.isin(np.concatenate(list(sets.values()) or [mine[:0]]), mine)
+        both = np.diff(np.concatenate(([0], np.cumsum(hit)))[np.concatenate(([0], np.cumsum(size)))])
+        return pa.table({"a": pa.array([hub] * len(sets), pa.int64()), "b": pa.array(list(sets), pa.int64()), "part": pa.array(both)})
 
-    fragments = texts.mapInArrow(cut, "a long, salt int, node long, fragment int, shingles binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
+    fragments = texts.mapInArrow(cut, "node long, fragment int, shingles binary").join(sends.drop("doc_id"), "node")
     parts = fragments.groupBy("a", "salt", "fragment").applyInArrow(overlap, "a long, b long, part long")
     whole = parts.groupBy("a", "b").agg(F.sum("part").alias("both"))
     size = lambda x: classes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"))
     return whole.join(size("a"), "a").join(size("b"), "b").filter(f"100 * both >= {PERCENT} * (n_a + n_b - both)").select("a", "b")
 
 
-def crossing_pairs(shared: DataFrame, found: DataFrame, packs: int) -> DataFrame:
-    """All fitting pairs (a, b, votes) of classes whose components differ; votes are the packs that propose a pair.
+def crossing_pairs(shared: DataFrame, found: DataFrame, classes: DataFrame, packs: int, tries: int | None = None) -> DataFrame:
+    """Pairs (a, b) of classes of different components that share a first shingle, fit, and whose bitmaps allow a link.
 
     Only shingles with several components are looked at.  Their classes are grouped with those of similar
     size: band k holds sizes from (4/3)**k on, and each class also visits the band above its own.  Many groups
-    are packed together, so that a task walks them in a few vector steps.
-    """
-    shared = shared.drop("partners").join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").drop("_n")
-    shared = shared.withColumn("component", F.coalesce("component", "node"))
-    several = shared.groupBy("shingle").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a <> _b").select("shingle")
-    rows = shared.join(several, "shingle").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int"))
-    rows = rows.withColumn("at", F.explode(F.array("band", F.col("band") + 1)))
-
-    rows = rows.withColumn("own", F.col("band") == F.col("at")).withColumn("pack", F.pmod(F.xxhash64("shingle", "at"), F.lit(packs)).cast("int"))
-    return rows.groupBy("pack").applyInArrow(_crossing, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("votes"))
+    are packed together, so that a task walks them in a few vector steps; shingles whose least component is the same
+    (a family) are dealt to as few packs as hold them, so that a pair isn't found too often.
 
-
-def _crossing(table: pa.Table) -> pa.Table:
-    """Fitting pairs of different components in each group (shingle, at) of a pack of groups."""
+    With ``tries``, only the pairs that have most slack, so many for each class.
+    """
+    rows = shared.drop("partners").join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").drop("_n")
+    rows = rows.withColumn("component", F.coalesce("component", "node"))
+    several = rows.groupBy("shingle").agg(F.min("component").alias("family"), F.max("component").alias("_b"), F.count("*").alias("_m")).filter("family <> _b")
+    several = materialize(several.select("shingle", "family", "_m"))
+    salts = several.groupBy("family").agg(F.ceil(F.sum("_m") / PACK_ENTRIES).alias("salts"))
+    pack = F.pmod(F.xxhash64("family", F.pmod(F.xxhash64("shingle"), F.col("salts"))), F.lit(packs)).cast("int")
+    several = several.join(salts, "family").select("shingle", pack.alias("pack"))
+    rows = rows.join(several, "shingle").join(classes.select("node", "bits"), "node")
+    rows = rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int"))
+    rows = rows.withColumn("at", F.explode(F.array("band", F.col("band") + 1))).withColumn("own", F.col("band") == F.col("at")).drop("band")
+    pairs = rows.groupBy("pack").applyInArrow(lambda t: _crossing(t, tries), "a long, b long, slack long").groupBy("a", "b").agg(F.max("slack").alias("slack"))
+    if tries is None:
+        return pairs.select("a", "b")
+    each = pairs.select("a", "b", "slack", F.explode(F.array("a", "b")).alias("node"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("slack"), "a", "b"))
+    return each.withColumn("_place", place).filter(F.col("_place") <= tries).select("a", "b").distinct()
+
+
+def _best(a: np.ndarray, b: np.ndarray, slack: np.ndarray, tries: int) -> np.ndarray:
+    """Indices of the pairs that are among the best of their a or their b."""
+    keep = [np.zeros(0, np.int64)]
+    for side in (a, b):
+        order = np.lexsort((b, a, -slack, side))
+        rank = np.arange(len(order)) - np.searchsorted(side[order], side[order])
+        keep.append(order[rank < tries])
+    return np.unique(np.concatenate(keep))
+
+
+def _crossing(table: pa.Table, tries: int | None) -> pa.Table:
+    """Possible links of different components in each group (shingle, at) of a pack of groups."""
     shingle, at, node, n, place, component, own = (table.column(x).to_numpy() for x in ("shingle", "at", "node", "n", "place", "component", "own"))
     order = np.lexsort((node, at, shingle))
     shingle, at, node, n, place, component, own = (x[order] for x in (shingle, at, node, n, place, component, own))
+    names, first, which = np.unique(node, return_index=True, return_inverse=True)
+    bits = table.column("bits").combine_chunks().take(pa.array(order[first])).to_pylist()
+    bitmaps = Bitmaps(bits, n[first])
     new = np.ones(len(node), bool)
     new[1:] = (shingle[1:] != shingle[:-1]) | (at[1:] != at[:-1])
     group = np.cumsum(new) - 1
     sizes = np.bincount(group)
-    out = []
+    out, met, waiting = [np.zeros((3, 0), np.int64)], [], 0
+
+    def compare() -> None:
+        """Compares what has met, each pair once."""
+        nonlocal met, waiting
+        if met:
+            code = np.unique(np.concatenate(met))
+            a, b = code // len(names), code % len(names)
+            slack = bitmaps.slack(a, b)
+            a, b, slack = a[slack >= 0], b[slack >= 0], slack[slack >= 0]
+            if tries is not None:
+                best = _best(a, b, slack, tries)
+                a, b, slack = a[best], b[best], slack[best]
+            out.append(np.stack([a, b, slack]))
+        met, waiting = [], 0
 
     def keep(i: np.ndarray, j: np.ndarray) -> None:
-        i, j = i[component[i] != component[j]], j[component[i] != component[j]]
+        nonlocal waiting
+        apart = component[i] != component[j]
+        i, j = i[apart], j[apart]
         ok = (own[i] | own[j]) & _fits(n[i], n[j], n[i] - place[i], n[j] - place[j])
-        out.append(np.stack([np.minimum(node[i[ok]], node[j[ok]]), np.maximum(node[i[ok]], node[j[ok]])]))
+        a, b = which[i[ok]], which[j[ok]]
+        met.append(np.minimum(a, b) * len(names) + np.maximum(a, b))
+        waiting += len(a)
+        if waiting > 1 << 21:
+            compare()
 
     small = sizes[group] <= LARGE_GROUP
     index = np.flatnonzero(small)
@@ -322,13 +421,16 @@ def _crossing(table: pa.Table) -> pa.Table:
     for g in np.flatnonzero(sizes > LARGE_GROUP):
         every = np.arange(starts[g], starts[g] + sizes[g])
         _, code, count = np.unique(component[every], return_inverse=True, return_counts=True)
-        outside = every[code != count.argmax()]
         main = code == count.argmax()
-        for k in outside:
+        for k in every[~main]:
             j = every[main | (every > k)]
             keep(np.full(len(j), k), j)
-    pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
-    return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
+    compare()
+    a, b, slack = np.unique(np.concatenate(out, axis=1), axis=1)
+    if tries is not None:
+        best = _best(a, b, slack, tries)
+        a, b, slack = a[best], b[best], slack[best]
+    return pa.table({"a": pa.array(names[a]), "b": pa.array(names[b]), "slack": pa.array(slack)})
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
@@ -343,29 +445,13 @@ def similar_components(docs: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("votes"), "a"))
     proposals = promising(votes.withColumn("_place", place).filter(F.col("_place") <= PROPOSALS), classes)
     tries = materialize(proposals.withColumn("_place", place).filter(F.col("_place") <= TRIES).select("a", "b"))
-    links = materialize(verify(docs, classes, tries))
-    tried = tries.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = materialize(components(links))
-    label = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
-    pairs = materialize(promising(crossing_pairs(shared, found, shards).join(tried, ["a", "b"], "left_anti"), classes))
-    n_classes = classes.count()
-    each_tries = TRIES
-    while pairs.count() > ENOUGH * n_classes:
-        each = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"), "votes")
-        place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("votes"), "a", "b"))
-        tries = materialize(each.withColumn("_place", place).filter(F.col("_place") <= each_tries).select("a", "b").distinct())
-        each_tries *= 2
-        links = links.unionByName(materialize(verify(docs, classes, tries)))
+    links = materialize(verify(docs, levels, classes, tries))
+    for most in (TRIES, None):
         found = materialize(components(links))
-        left = pairs.join(tries, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
-        pairs = materialize(left.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b", "votes"))
-    more = materialize(verify(docs, classes, pairs.select("a", "b")))
-    # the second round's links join components, not classes
-    joined = more.join(label("a"), "a", "left").join(label("b"), "b", "left")
-    merged = components(joined.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")))
-    merged = merged.select(F.col("node").alias("component"), F.col("component").alias("whole"))
-    placed = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).join(merged, "component", "left")
-    placed = materialize(placed.select("node", "doc_id", F.coalesce("whole", "component").alias("component")))
+        pairs = materialize(crossing_pairs(shared, found, classes, shards, most))
+        links = materialize(links.unionByName(verify(docs, levels, classes, pairs)))
+    found = materialize(components(links))
+    placed = materialize(classes.join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component")))
     lowest = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = placed.join(lowest, "component").select("node", "component_id")
     alone = F.when(F.col("n_shingles") == 0, F.col("doc_id"))

@@ -66,7 +66,7 @@ def test_small_salt_and_shards_change_nothing(spark, monkeypatch):
     data = near_copies(9)
     monkeypatch.setattr(jaccard, "SALT", 7)
     monkeypatch.setattr(jaccard, "SHARD_SHINGLES", 64)
-    monkeypatch.setattr(jaccard, "ENOUGH", 0)
+    monkeypatch.setattr(jaccard, "PACK_ENTRIES", 8)
     monkeypatch.setattr(jaccard, "TRIES", 1)
     monkeypatch.setattr(jaccard, "LARGE_GROUP", 5)
     got = jaccard.similar_components(corpus.frame(spark, data)).collect()
@@ -74,6 +74,31 @@ def test_small_salt_and_shards_change_nothing(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_compared_pairs_of_a_large_group():
+    """All fitting pairs of different components in a large and a small group, and the best of them."""
+    import numpy as np
+    import pyarrow as pa
+
+    draw = np.random.default_rng(4)
+    base = np.unique(draw.integers(0, 1 << 63, 200, dtype=np.uint64))
+    sets = [np.unique(np.where(draw.random(len(base)) < draw.choice([0, 0.05, 0.1, 0.4]), draw.integers(0, 1 << 63, len(base), dtype=np.uint64), base)) for _ in range(150)]
+    at = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+    m, bits = len(sets), jaccard._bitmaps(np.concatenate(sets), at)
+    component = np.where(draw.random(m) < 0.6, 0, np.arange(m)).astype(np.int64)
+    rows = np.concatenate((np.arange(m), np.arange(0, m, 9)))
+    table = pa.table({"shingle": np.repeat([5, 6], [m, len(rows) - m]), "at": np.full(len(rows), 3), "node": rows * 10, "n": np.diff(at)[rows], "place": np.zeros(len(rows), np.int64), "component": component[rows], "own": np.ones(len(rows), bool), "bits": pa.array([bits[k] for k in rows], pa.binary())})
+    for tries in (None, 1):
+        got = jaccard._crossing(table, tries).to_pydict()
+        pairs = {(a // 10, b // 10): s for a, b, s in zip(got["a"], got["b"], got["slack"])}
+        assert all(component[a] != component[b] and a < b for a, b in pairs)
+        links = {(i, j) for i in range(m) for j in range(i + 1, m) if component[i] != component[j] and 100 * (k := len(np.intersect1d(sets[i], sets[j]))) >= 75 * (len(sets[i]) + len(sets[j]) - k)}
+        if tries is None:
+            assert links <= set(pairs) and len(links) > 100
+            every = pairs
+        else:
+            assert set(pairs) < set(every) and {x for p in every for x in p} == {x for p in pairs for x in p}
+
+
 def test_keep_one_of_each(spark):
     data = corpus.rows() + near_copies(5, 2, 10)
     want = plain_components(plain_sets(data))
