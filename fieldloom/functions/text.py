@@ -44,6 +44,11 @@ def if_else(test: Column, yes, no) -> Column:
     return F.when(test, lit(yes)).when(~test, lit(no))
 
 
+def replace_null(x: Column, value) -> Column:
+    """``x``, or ``value`` where it is missing."""
+    return F.coalesce(x, value if isinstance(value, Column) else F.lit(value))
+
+
 def is_in(column: Column, values) -> Column:
     """Membership that is never null."""
     return F.coalesce(column.isin(list(values)), F.lit(False)) if values else F.lit(False)
@@ -75,6 +80,19 @@ def has_unsupported_characters(x: Column, exceptions: str = "") -> Column:
     return x.rlike(rf"[^\x00-\x7E{exceptions}]")
 
 
+#: Letters beyond ASCII whose bytes names and places may have.
+EXCEPTION_LETTERS = "ÁÅÀÂÄÆÃĀâíåæäãàáíÇčóöøéèłńl°êÜüùúû±µµ“”‘’-–—≈˜×≥≤"
+
+
+def unsupported_bytes(x: Column, exceptions: str = EXCEPTION_LETTERS) -> Column:
+    """Where (from 1) the UTF-8 form of a text has bytes other than ASCII (below 0x7F) and those of the exceptions."""
+    allowed = sorted({b for b in exceptions.encode() if b >= 0x7F})
+    size = F.octet_length(x)
+    byte = lambda k: F.conv(F.hex(F.substring(F.encode(x, "UTF-8"), k, F.lit(1))), 16, 10).cast("int")
+    places = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
+    return F.when(x.isNotNull(), F.filter(places, lambda k: (byte(k) >= 0x7F) & ~byte(k).isin(allowed)))
+
+
 def all_tokens_in(x: Column, allowed: Column, separator: str = " ") -> Column:
     """Whether every token of a text is in an array."""
     return F.size(F.array_except(F.split(x, separator), allowed)) == 0
@@ -117,11 +135,16 @@ def number_text(x: Column) -> Column:
         return F.when(fixed_width <= scientific_width, plain).otherwise(short)
 
     finite = _let(_let(_let(F.format_string("%.14e", F.abs(x)), parts), lengths), text)
+    # most numbers need no more than 15 digits as Java writes them, between 0.001 and ten million, where fixed is the
+    # shorter notation but for one digit before five or six zeros
+    written = x.cast("string")
+    usual = F.abs(x).between(0.001, 9999999.0) & (F.length(written) <= 16) & ~written.rlike(r"^-?[1-9]0{5,}\.0$")
     return (
         F.when(F.isnan(x), "NaN")
         .when(x == float("inf"), "Inf")
         .when(x == float("-inf"), "-Inf")
         .when(x == 0, "0")
+        .when(usual, F.regexp_replace(written, r"\.0$", ""))
         .when(x.isNotNull(), F.concat(F.when(x < 0, "-").otherwise(""), finite))
     )
 

@@ -28,7 +28,7 @@ def map_contexts(df: DataFrame, rules: DataFrame, columns: list[str]) -> DataFra
     for c in columns:
         table = rules.filter(F.col("var_in") == c).select("dataset_id", F.coalesce("find", "value").alias("_find"), F.col("value").alias("_v"), "rule")
         table = table.groupBy("dataset_id", "_find").agg(F.min_by(F.struct("_v"), "rule")["_v"].alias(f"{c}_mapped")).withColumnRenamed("dataset_id", "_d")
-        df = df.join(F.broadcast(table), (F.col("dataset_id") == F.col("_d")) & (F.col(c).cast("string") == F.col("_find")), "left").drop("_d", "_find")
+        df = df.join(table, (F.col("dataset_id") == F.col("_d")) & (F.col(c).cast("string") == F.col("_find")), "left").drop("_d", "_find")
     return df
 
 
@@ -73,7 +73,7 @@ def property_order(column: str = "location_property"):
 def attach_locations(df: DataFrame, locations: DataFrame) -> DataFrame:
     """Adds location_id by name; null for species and where the entity type is missing."""
     names = locations.select("dataset_id", F.col("location_name").alias("_name"), F.col("location_id").alias("_id")).distinct().withColumnRenamed("dataset_id", "_d")
-    out = df.join(F.broadcast(names), F.col("dataset_id").eqNullSafe(F.col("_d")) & F.col("location_name").eqNullSafe(F.col("_name")), "left")
+    out = df.join(names, F.col("dataset_id").eqNullSafe(F.col("_d")) & F.col("location_name").eqNullSafe(F.col("_name")), "left")
     return out.withColumn("location_id", F.when(F.col("entity_type") != "species", F.col("_id"))).drop("_d", "_name", "_id")
 
 
@@ -81,7 +81,7 @@ def override_by_location(df: DataFrame, locations: DataFrame, fields: list[str])
     """Row attributes replaced by location properties of the same name, where the location has them."""
     wide = locations.filter(F.col("location_property").isin(fields)).groupBy("dataset_id", "location_id").agg(*[F.max(F.when(F.col("location_property") == f, F.col("value"))).alias(f"_{f}") for f in fields])
     wide = wide.withColumnRenamed("dataset_id", "_d").withColumnRenamed("location_id", "_l")
-    out = df.join(F.broadcast(wide), (F.col("dataset_id") == F.col("_d")) & (F.col("location_id") == F.col("_l")), "left")
+    out = df.join(wide, (F.col("dataset_id") == F.col("_d")) & (F.col("location_id") == F.col("_l")), "left")
     return out.withColumns({f: F.coalesce(F.col(f"_{f}"), F.col(f)) for f in fields}).drop("_d", "_l", *[f"_{f}" for f in fields])
 
 

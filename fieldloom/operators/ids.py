@@ -1,7 +1,7 @@
 """Dense, padded identifiers by sorted or first-seen order, and the ids of populations, individuals and observations.
 
-Ids are computed on the different keys, which are few, and joined back; no task sorts all measurements of a
-dataset.  A missing key has no id.
+Ids are computed on the different keys and joined back.  Keys that are about as many as rows (``many``) are numbered
+in ranges, so that no task sorts all measurements of a dataset.  A missing key has no id.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_in, pad_id, paste
+from .ranks import ranked
 
 POPULATION_ENTITIES = ["individual", "population", "metapopulation"]
 #: Parts of an observation's key, in order.
@@ -17,7 +18,7 @@ OBSERVATION_KEY = ["taxon_name", "population_id", "individual_id", "temporal_con
 REPEAT_KEY = ["dataset_id", "observation_id", "trait_name", "value_type", "method_id", "method_context_id"]
 
 
-def dense_id(df: DataFrame, key: Column, name: str, by: list[str], first_seen: str | None = None, prefix: str = "", where: Column | None = None) -> DataFrame:
+def dense_id(df: DataFrame, key: Column, name: str, by: list[str], first_seen: str | None = None, prefix: str = "", where: Column | None = None, many: bool = False) -> DataFrame:
     """Adds ``name``: the padded number of each row's key among the keys of its group.
 
     Keys are numbered in order of their text or, with ``first_seen`` (a column that orders rows), of their
@@ -26,8 +27,11 @@ def dense_id(df: DataFrame, key: Column, name: str, by: list[str], first_seen: s
     df = df.withColumn("_key", key.cast("string") if where is None else F.when(where, key.cast("string")))
     order = F.min(first_seen) if first_seen else F.min("_key")
     keys = df.filter(F.col("_key").isNotNull()).groupBy(*by, "_key").agg(order.alias("_order"))
-    window = Window.partitionBy(*by)
-    keys = keys.withColumn("_id", F.row_number().over(window.orderBy("_order"))).withColumn("_n", F.count("*").over(window))
+    if many:
+        keys = ranked(keys, by, ["_order"], "_id", "_n")
+    else:
+        window = Window.partitionBy(*by)
+        keys = keys.withColumn("_id", F.row_number().over(window.orderBy("_order"))).withColumn("_n", F.count("*").over(window))
     keys = keys.select(*[F.col(b).alias(f"_by_{b}") for b in by], F.col("_key").alias("_key2"), F.concat(F.lit(prefix), pad_id(F.col("_id"), F.col("_n"))).alias("_new"))
     same = [F.col(b).eqNullSafe(F.col(f"_by_{b}")) for b in by] + [F.col("_key") == F.col("_key2")]
     out = df.join(keys, same, "left").withColumn(name, F.col("_new"))
@@ -48,9 +52,9 @@ def population_ids(df: DataFrame, row: str = "_row") -> DataFrame:
 
 def individual_ids(df: DataFrame, row: str = "_row") -> DataFrame:
     """individual_id within taxon and population, from the mapped column or, if it is empty, from parsing_id."""
-    dataset = Window.partitionBy("dataset_id")
+    mapped = df.groupBy(F.col("dataset_id").alias("_d")).agg((F.count("individual_id") > 0).alias("_mapped"))
     record = Window.partitionBy("dataset_id", "parsing_id")
-    df = df.withColumn("_mapped", F.count("individual_id").over(dataset) > 0)
+    df = df.join(mapped, F.col("dataset_id").eqNullSafe(F.col("_d"))).drop("_d")
     df = df.withColumn("_any", F.bool_or(F.when(F.col("value").isNotNull(), F.col("entity_type").contains("individual"))).over(record))
     given = F.when(F.col("individual_id").isNull() & (F.col("entity_type") == "individual"), F.col("parsing_id")).otherwise(F.col("individual_id"))
     df = df.withColumn("individual_id", F.when(F.col("_mapped"), given).when(F.col("_any"), F.col("parsing_id")))
@@ -62,7 +66,7 @@ def individual_ids(df: DataFrame, row: str = "_row") -> DataFrame:
 
 def observation_ids(df: DataFrame) -> DataFrame:
     """observation_id: sorted number of the observation's key within the dataset, for rows with a value."""
-    return dense_id(df, paste(OBSERVATION_KEY, "-"), "observation_id", ["dataset_id"], where=F.col("value").isNotNull())
+    return dense_id(df, paste(OBSERVATION_KEY, "-"), "observation_id", ["dataset_id"], where=F.col("value").isNotNull(), many=True)
 
 
 def repeat_measurement_ids(df: DataFrame, repeated: Column, row: str = "_row") -> DataFrame:
@@ -90,9 +94,5 @@ def parsing_ids(df: DataFrame, individual: str | None, is_long: bool, row: str =
         key = F.coalesce(F.col(individual).cast("string"), F.concat(F.lit("temp_"), F.col(row).cast("string")))
     else:
         key = F.col(row)
-    if is_long or individual:
-        df = dense_id(df, key, "_parsed", ["dataset_id"], row)
-    else:
-        window = Window.partitionBy("dataset_id")
-        df = df.withColumn("_parsed", pad_id(F.row_number().over(window.orderBy(row)), F.count("*").over(window)))
+    df = dense_id(df, key, "_parsed", ["dataset_id"], row, many=True)
     return df.withColumn("parsing_id", F.concat_ws("_", "dataset_id", "_parsed")).drop("_parsed")

@@ -53,8 +53,9 @@ def map_long(df: DataFrame, maps: list[TraitMap], trait: str, vocabulary: tuple[
     """Rows of long data whose trait is mapped, with the map's names, units, methods and overrides."""
     known = [m for m in maps if m.trait_name is not None]
     spark = df.sparkSession
-    table = spark.createDataFrame([(k, m.var_in, m.trait_name, m.unit_in, m.methods) for k, m in enumerate(known)], "trait_index int, _var string, _trait string, _unit string, _methods string")
-    out = df.join(F.broadcast(table.dropDuplicates(["_var"])), F.col(trait) == F.col("_var"))
+    first = {m.var_in: k for k, m in reversed(list(enumerate(known)))}  # of several maps of one name, the first
+    table = spark.createDataFrame([(k, m.var_in, m.trait_name, m.unit_in, m.methods) for k, m in enumerate(known) if first[m.var_in] == k], "trait_index int, _var string, _trait string, _unit string, _methods string")
+    out = df.join(table, F.col(trait) == F.col("_var"))
     for name in sorted({k for m in known for k in m.overrides}):
         value = F.col(name).cast("string") if name in df.columns else F.lit(None).cast("string")
         chain = None

@@ -53,7 +53,7 @@ def substitute(df: DataFrame, rules: list[tuple[str, str, str | None]], trait: s
     for name in dict.fromkeys(t for t, _, _ in rules):
         rows += [(name, k, v) for k, (v, _) in compose([(low(f), low(r)) for t, f, r in rules if t == name]).items()]
     table = df.sparkSession.createDataFrame(rows, "_t string, _find string, _to string")
-    out = df.join(F.broadcast(table), (F.col(trait) == F.col("_t")) & (F.col(value) == F.col("_find")), "left")
+    out = df.join(table, (F.col(trait) == F.col("_t")) & (F.col(value) == F.col("_find")), "left")
     return out.withColumn(value, F.when(F.col("_find").isNotNull(), F.col("_to")).otherwise(F.col(value))).drop("_t", "_find", "_to")
 
 
@@ -82,7 +82,7 @@ DICTIONARY = "trait_name string, type string, units string, min double, max doub
 def with_dictionary(df: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Adds _type, _units, _min, _max, _levels and _known of each row's trait (first entry of a trait)."""
     table = dictionary.dropDuplicates(["trait_name"]).select(F.col("trait_name").alias("_trait"), *[F.col(c).alias(f"_{c}") for c in ("type", "units", "min", "max", "levels")])
-    return df.join(F.broadcast(table), F.col("trait_name") == F.col("_trait"), "left").withColumn("_known", F.col("_trait").isNotNull()).drop("_trait")
+    return df.join(table, F.col("trait_name") == F.col("_trait"), "left").withColumn("_known", F.col("_trait").isNotNull()).drop("_trait")
 
 
 def value_error(excluded: Column | None = None) -> Column:
@@ -130,25 +130,37 @@ def convert_units(df: DataFrame, conversions: dict[str, Conversion]) -> DataFram
     """Values in the dictionary's units, and ``unit``; rows must have dictionary columns and ``error``.
 
     Values whose unit fits stay as written.  Both ends of a range or bin (``lo--hi``) are converted and not
-    swapped.  Rows in error keep value and unit.  Each step is a column of its own, so that no expression
-    holds another many times.
+    swapped.  Rows in error keep value and unit.  Categorical traits have no unit, in error or not.
+    Factors are plain columns, and each step is a column of its own, so that rows stay in generated code and no
+    expression holds another many times.
     """
     key = F.concat_ws("-", F.coalesce("unit_in", F.lit("NA")), F.coalesce("_units", F.lit("NA")))
     numeric = F.col("error").isNull() & (F.col("_type") == "numeric")
     same = F.coalesce(F.col("unit_in") == F.col("_units"), F.lit(False))
-    table = df.sparkSession.createDataFrame([(k, c.reciprocal, [list(s) for s in zip(*c.steps)][0] if c.steps else [], [float(n) for _, n in c.steps]) for k, c in conversions.items()], "_key string, _reciprocal double, _signs array<string>, _numbers array<double>")
+    most = max([1, *[len(c.steps) for c in conversions.values()]])
+    rows = [(k, c.reciprocal, *[x for n in range(most) for x in (c.steps[n] if n < len(c.steps) else (None, None))]) for k, c in conversions.items()]
+    table = df.sparkSession.createDataFrame(rows, "_key string, _reciprocal double, " + ", ".join(f"_sign{n} string, _by{n} double" for n in range(most)))
     out = df.withColumns({"_change": F.coalesce(numeric & ~same, F.lit(False)), "_wanted": key})
-    out = out.join(F.broadcast(table), F.col("_wanted") == F.col("_key"), "left").withColumn("_known", F.col("_key").isNotNull() & F.col("_change"))
+    out = out.join(table, F.col("_wanted") == F.col("_key"), "left").withColumn("_known", F.col("_key").isNotNull() & F.col("_change"))
 
     def converted(x: Column) -> Column:
-        start = F.when(F.col("_reciprocal").isNull(), x).when(x == 0, float("inf")).otherwise(F.col("_reciprocal") / x)
-        return F.aggregate(F.arrays_zip("_signs", "_numbers"), start, lambda y, s: F.when(s["_signs"] == "*", y * s["_numbers"]).otherwise(y / s["_numbers"]))
-
-    ends = F.when(is_in(F.col("value_type"), RANGE_TYPES), F.split("value", "--")).otherwise(F.array("value"))
-    out = out.withColumn("_ends", F.when(F.col("_known"), F.transform(ends, lambda p: converted(to_number(p)))))
-    out = out.withColumn("_new", F.array_join(F.transform("_ends", number_text), "--"))
+        x = F.when(F.col("_reciprocal").isNull(), x).when(x == 0, float("inf")).otherwise(F.col("_reciprocal") / x)
+        for n in range(most):
+            x = F.when(F.col(f"_sign{n}") == "*", x * F.col(f"_by{n}")).when(F.col(f"_sign{n}") == "/", x / F.col(f"_by{n}")).otherwise(x)
+        return x
+
+    two = is_in(F.col("value_type"), RANGE_TYPES)
+    out = out.withColumn("_number", F.when(F.col("_known") & ~two, to_number(F.col("value"))))
+    out = out.withColumn("_number", converted(F.col("_number")))
+    both = F.transform(F.split("value", "--"), lambda p: number_text(converted(to_number(p))))
+    out = out.withColumn("_new", F.when(F.col("_known") & two, F.array_join(both, "--")).otherwise(number_text(F.col("_number"))))
     return out.withColumns({
-        "unit": F.when(F.col("error").isNotNull(), F.col("unit_in")).when(F.col("_type") == "categorical", F.lit(None)).when(F.col("_change") & ~F.col("_known"), F.col("unit_in")).otherwise(F.col("_units")),
+        "unit": F.when(F.col("_type") == "categorical", F.lit(None)).when(F.col("_known"), F.col("_units")).otherwise(F.col("unit_in")),
         "value": F.when(F.col("_known"), F.col("_new")).otherwise(F.col("value")),
         "error": F.when(F.col("_change") & ~F.col("_known"), NO_CONVERSION).otherwise(F.col("error")),
-    }).drop("_change", "_wanted", "_key", "_reciprocal", "_signs", "_numbers", "_known", "_ends", "_new")
+    }).drop("_change", "_wanted", "_key", "_reciprocal", "_known", "_number", "_new", *[f"_{x}{n}" for n in range(most) for x in ("sign", "by")])
+
+
+def read_conversions(rows: list[dict]) -> dict[str, Conversion]:
+    """Conversions by ``from-to`` from rows of unit_from, unit_to and function (text, parsed and never evaluated)."""
+    return {f"{r['unit_from']}-{r['unit_to']}": parse_conversion(r["function"]) for r in rows}

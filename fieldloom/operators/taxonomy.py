@@ -20,14 +20,17 @@ def update_names(df: DataFrame, updates: list[tuple[str, str, str | None]]) -> D
         return df.withColumn("taxonomic_resolution", F.lit(None).cast("string"))
     rows = [(k, name, updates[last][2]) for k, (name, last) in compose([(f, r) for f, r, _ in updates]).items()]
     table = df.sparkSession.createDataFrame(rows, "_find string, _to string, _resolution string")
-    out = df.join(F.broadcast(table), F.col("taxon_name") == F.col("_find"), "left")
+    out = df.join(table, F.col("taxon_name") == F.col("_find"), "left")
     hit = F.col("_find").isNotNull()
     return out.withColumns({"taxon_name": F.when(hit, F.col("_to")).otherwise(standardise_name(F.col("taxon_name"))), "taxonomic_resolution": F.col("_resolution")}).drop("_find", "_to", "_resolution")
 
 
 def accept_names(df: DataFrame, taxa: DataFrame) -> DataFrame:
-    """taxon_name becomes the accepted name of the aligned name, where the list has one."""
-    names = first_per_key(taxa.select("aligned_name", F.col("taxon_name").alias("_accepted")).withColumn("_o", F.col("_accepted")), ["aligned_name"], "_o").select(F.col("aligned_name").alias("_aligned"), "_accepted")
+    """taxon_name becomes the accepted name of the aligned name, where the list has one.
+
+    The list is joined as it stands: an aligned name that it has twice gives two rows.
+    """
+    names = taxa.select(F.col("aligned_name").alias("_aligned"), F.col("taxon_name").alias("_accepted"))
     out = df.join(names, F.col("taxon_name") == F.col("_aligned"), "left")
     return out.withColumn("taxon_name", F.coalesce("_accepted", "taxon_name")).drop("_aligned", "_accepted")
 
@@ -45,7 +48,7 @@ def taxonomic_updates_table(df: DataFrame, taxa: DataFrame | None, excluded: lis
     if excluded:
         spark = df.sparkSession
         gone = spark.createDataFrame([(x,) for x in excluded], "n string").select(standardise_name(F.col("n")).alias("aligned_name")).distinct()
-        rows = rows.join(F.broadcast(gone), "aligned_name", "left_anti").select(*rows.columns)
+        rows = rows.join(gone, "aligned_name", "left_anti").select(*rows.columns)
     if taxa is None:
         return rows.withColumn("taxon_name", F.col("aligned_name"))
     more = [c for c in taxa.columns if c.startswith("aligned_name_")]

@@ -13,10 +13,13 @@ from ..operators import contexts as ctx
 from ..operators import ids, reshape, rules, taxonomy
 from ..operators.reshape import TraitMap, column_or_constant, conform
 from ..sources import program as prog
+from ..sources import scratch
 from .database import ENTITY_TYPES, RECORD_BASES, TABLES, VALUE_BASES, VALUE_TYPES, Database, bind_databases, value_type_order
 
 #: Fields that a program may give for a whole dataset or for a trait.
 DATASET_FIELDS = "entity_type value_type basis_of_value replicates basis_of_record life_stage source_id measurement_remarks collection_date individual_id location_name repeat_measurements_id unit_in".split()
+#: Fields that a location may give for the measurements made there.
+LOCATION_FIELDS = "basis_of_record life_stage collection_date measurement_remarks entity_type".split()
 PEOPLE = ["last_name", "given_name", "ORCID", "affiliation", "additional_role"]
 
 
@@ -104,7 +107,7 @@ def process_dataset(
     locations = ctx.locations_table(spark.createDataFrame(places, "dataset_id string, location_name string, location_property string, value string"))
     if places:
         long = ctx.attach_locations(long, locations)
-        over = sorted({p for _, _, p, _ in places} & set(TABLES["traits"]))
+        over = [f for f in LOCATION_FIELDS if any(p == f for _, _, p, _ in places)]
         if over:
             long = ctx.override_by_location(long, locations, over)
             locations = locations.filter(~F.col("location_property").isin(over))
@@ -130,9 +133,9 @@ def process_dataset(
     listed = spark.createDataFrame([(dataset_id, m.trait_name, m.methods, k) for k, m in enumerate(maps) if m.trait_name] or [], "dataset_id string, trait_name string, methods string, _row int")
     methods = ids.method_ids(listed)
     renamed = methods.select(*[F.col(c).alias(f"_m_{c}") for c in methods.columns])
-    long = long.drop("method_id").join(F.broadcast(renamed), (F.col("trait_name") == F.col("_m_trait_name")) & F.col("methods").eqNullSafe(F.col("_m_methods")), "left").withColumn("method_id", F.col("_m_method_id"))
-    # all tables below fan out from these rows: computed once, kept on executors (and rebuilt if one is lost)
-    long = long.drop(*[c for c in long.columns if c.startswith("_m_")]).persist()
+    long = long.drop("method_id").join(renamed, (F.col("trait_name") == F.col("_m_trait_name")) & F.col("methods").eqNullSafe(F.col("_m_methods")), "left").withColumn("method_id", F.col("_m_method_id"))
+    # all tables below fan out from these rows: written once, so that a compilation holds none in memory
+    long = scratch.keep(long.drop(*[c for c in long.columns if c.startswith("_m_")]))
     if filter_missing:
         long = long.filter(F.coalesce(F.col("error") != rules.MISSING_VALUE, F.lit(True)))
 

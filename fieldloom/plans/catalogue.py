@@ -11,6 +11,7 @@ from ..functions import text as tx
 from ..operators import contexts as ctx
 from ..operators import ids, reshape, rules, taxonomy
 from ..operators.reshape import TraitMap
+from ..sources import scratch, suggest
 from ..sources import tables as src
 from ..sources import triples as tri
 from . import database as db
@@ -44,7 +45,10 @@ def oracle_sql() -> dict[str, str]:
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand, p_type, CAST(p_size AS VARCHAR) AS p_size FROM part")
 def scan_csv_char(t):
-    return reshape.conform(t("part"), ["p_partkey", "p_name", "p_brand", "p_type", "p_size"])
+    part = t("part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    path = scratch.new_path(part.sparkSession)
+    part.write.option("header", True).csv(path)
+    return src.read_csv_text(part.sparkSession, path, multi_line=False).drop("_row")
 
 
 @query("SELECT p_partkey, printf('%.15g', p_retailprice) AS price_text, printf('%.15g', p_retailprice / 7) AS seventh_text FROM part")
@@ -105,7 +109,7 @@ def standardise_doi(t):
 
 @query("SELECT o_orderkey, coalesce(CASE WHEN o_custkey % 3 <> 0 THEN o_orderpriority END, 'unknown') AS priority FROM orders")
 def coalesce_default(t):
-    return t("orders").select("o_orderkey", F.coalesce(F.when(F.col("o_custkey") % 3 != 0, F.col("o_orderpriority")), F.lit("unknown")).alias("priority"))
+    return t("orders").select("o_orderkey", tx.replace_null(F.when(F.col("o_custkey") % 3 != 0, F.col("o_orderpriority")), "unknown").alias("priority"))
 
 
 @query("SELECT o_orderkey, coalesce(s, 'NA') || '-' || o_orderstatus AS pasted, CASE WHEN s IS NULL THEN NULL WHEN s = '1-URGENT' THEN 'first' ELSE 'later' END AS chosen FROM (SELECT *, CASE WHEN o_custkey % 5 <> 0 THEN o_orderpriority END AS s FROM orders)")
@@ -480,10 +484,23 @@ def identifiers_melt(t):
     return identifier_rows(df, [{"var_in": "s_name", "identifier_type": "name"}, {"var_in": "s_nationkey", "identifier_type": "nation"}]).select("observation_id", "identifier_type", "identifier_value")
 
 
-@query("SELECT coalesce(s_nationkey, n_nationkey) AS nationkey, s_name, n_name FROM (SELECT * FROM supplier WHERE s_suppkey % 2 = 0) FULL JOIN nation ON s_nationkey = n_nationkey")
+_METHODS = {
+    "dataset": {"description": "market survey", "sampling_strategy": "all customers"},
+    "source": {"primary": {"key": "Doe_2020", "bibtype": "Article", "author": "J. Doe and A. Roe", "year": "2020", "title": "Markets", "journal": "Trade", "volume": "3", "pages": "1-2"}},
+    "contributors": {"data_collectors": [{"last_name": "Doe", "given_name": "J"}, {"last_name": "Roe", "given_name": "A"}], "dataset_curators": "Poe"},
+}
+
+
+@query(f"""WITH f AS (SELECT c_mktsegment AS trait_name, 'method ' || (c_nationkey % 3) AS methods, min(c_custkey) AS f FROM customer GROUP BY ALL),
+g AS (SELECT *, row_number() OVER (PARTITION BY trait_name ORDER BY f) AS r, count(*) OVER (PARTITION BY trait_name) AS n FROM f)
+SELECT 'd' AS dataset_id, trait_name, methods, {_PAD} AS method_id, 'market survey' AS description, 'all customers' AS sampling_strategy, 'Doe_2020' AS source_primary_key,
+  'J. Doe, A. Roe (2020) Markets. Trade, 3, 1-2.' AS source_primary_citation, NULL AS source_secondary_key, 'J Doe; A Roe' AS data_collectors, 'Poe' AS dataset_curators FROM g""")
 def methods_full_join(t):
-    left = t("supplier").filter("s_suppkey % 2 = 0").select(F.col("s_nationkey").alias("nationkey"), "s_name")
-    return left.join(t("nation").select(F.col("n_nationkey").alias("nationkey"), "n_name"), "nationkey", "full").select("nationkey", "s_name", "n_name")
+    from .build import methods_table
+
+    listed = t("customer").select(F.lit("d").alias("dataset_id"), F.col("c_mktsegment").alias("trait_name"), F.concat(F.lit("method "), (F.col("c_nationkey") % 3).cast("string")).alias("methods"), F.col("c_custkey").alias("_row"))
+    out = methods_table(listed.sparkSession, ids.method_ids(listed), _METHODS, "d")
+    return out.select("dataset_id", "trait_name", "methods", "method_id", "description", "sampling_strategy", "source_primary_key", "source_primary_citation", "source_secondary_key", "data_collectors", "dataset_curators")
 
 
 def _taxa(t):
@@ -517,13 +534,31 @@ def bind_databases(t):
     return db.bind_databases([one, two])["taxa"]
 
 
-@query("""SELECT o_orderkey, o_orderstatus, c_name, n_name, r_name, items, quantity FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey
-          LEFT JOIN (SELECT l_orderkey, count(*) AS items, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS observation_id, 'taxon ' || (o_custkey % 7) AS taxon_name, o_orderpriority AS trait_name, c_name AS location_name,
+  CASE WHEN c_custkey IS NOT NULL THEN 'balance=''' || CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE '' END || '''; nation=''' || n_name || '''' END AS location_properties,
+  CASE o_orderstatus WHEN 'F' THEN 'delay=''none''; state=''done''' WHEN 'O' THEN 'state=''done''' END AS treatment_context_properties,
+  CASE WHEN o_orderpriority <> '5-LOW' THEN 'by ' || o_orderpriority END AS methods, CASE WHEN o_custkey % 7 < 5 THEN 'family ' || (o_custkey % 7) END AS family
+  FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey""")
 def flatten_database(t):
-    items = t("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("items"), F.sum("l_quantity").alias("quantity"))
-    out = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"), "left").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    out = out.join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return out.select("o_orderkey", "o_orderstatus", "c_name", "n_name", "r_name", "items", "quantity")
+    orders, spark = t("orders"), t("region").sparkSession
+    taxon = F.concat(F.lit("taxon "), (F.col("o_custkey") % 7).cast("string"))
+    traits = orders.select(F.lit("d").alias("dataset_id"), taxon.alias("taxon_name"), F.col("o_orderkey").alias("observation_id"), F.col("o_orderpriority").alias("trait_name"), F.col("o_custkey").alias("location_id"), F.col("o_orderstatus").alias("treatment_context_id"), F.lit("01").alias("method_id"))
+    places = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.lit("d").alias("dataset_id"), F.col("c_custkey").alias("location_id"), F.col("c_name").alias("location_name"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("balance"), F.col("n_name").alias("nation"))
+    states = spark.createDataFrame([("d", "state", "treatment_context", "done", None, "treatment_context_id", "F, O"), ("d", "delay", "treatment_context", "none", None, "treatment_context_id", "F"), ("d", "plot", "plot_context", "x", None, "plot_context_id", "01")], ", ".join(f"{c} string" for c in db.TABLES["contexts"]))
+    methods = orders.filter("o_orderpriority <> '5-LOW'").select(F.lit("d").alias("dataset_id"), F.col("o_orderpriority").alias("trait_name"), F.concat(F.lit("by "), "o_orderpriority").alias("methods"), F.lit("01").alias("method_id")).distinct()
+    taxa = orders.filter("o_custkey % 7 < 5").select(taxon.alias("taxon_name"), F.concat(F.lit("family "), (F.col("o_custkey") % 7).cast("string")).alias("family")).distinct()
+    tables = {"traits": traits, "locations": reshape.to_eav(places, ["dataset_id", "location_id", "location_name"], ["balance", "nation"], "location_property"), "contexts": states, "methods": methods, "taxa": taxa}
+    flat = db.flatten_database(db.Database({n: reshape.conform(x, db.TABLES[n]) for n, x in tables.items()}))
+    return flat.select("observation_id", "taxon_name", "trait_name", "location_name", "location_properties", "treatment_context_properties", "methods", "family")
+
+
+@query("SELECT o_orderpriority AS dataset_id, CAST(o_orderkey AS VARCHAR) AS observation_id, CAST(o_custkey AS VARCHAR) AS taxon_name, CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus END AS value FROM orders")
+def sink_roundtrip(t):
+    orders = t("orders")
+    traits = orders.select(F.col("o_orderpriority").alias("dataset_id"), F.col("o_orderkey").alias("observation_id"), F.col("o_custkey").alias("taxon_name"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderstatus")).alias("value"))
+    path = scratch.new_path(orders.sparkSession)
+    src.write_database(db.Database({"traits": reshape.conform(traits, db.TABLES["traits"])}), path)
+    return src.read_database(orders.sparkSession, path)["traits"].select("dataset_id", "observation_id", "taxon_name", "value")
 
 
 @query("SELECT DISTINCT l_partkey AS taxon_name, l_suppkey AS dataset_id FROM lineitem WHERE l_partkey IN (1, 5, 9, 42)")
@@ -538,12 +573,12 @@ def pivot_duplicates(t):
 
 @query("SELECT DISTINCT c_nationkey, c_mktsegment FROM customer")
 def distinct_rows(t):
-    return t("customer").select("c_nationkey", "c_mktsegment").distinct()
+    return suggest.rows_of(t("customer"), ["c_nationkey", "c_mktsegment"])
 
 
 @query("SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL")
 def distinct_values(t):
-    return t("events").select("event_type").filter("event_type is not null").distinct()
+    return suggest.values_of(t("events"), "event_type")
 
 
 @query("""SELECT o_orderkey, CASE k WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 12 END AS position FROM (SELECT o_orderkey, o_orderkey % 3 AS k FROM orders)""")
@@ -572,9 +607,10 @@ def report_records_per_taxon_median(t):
     return reports.median_records_per_taxon(t("events"), "event_type", "user_id")
 
 
-@query("SELECT coalesce(c_nationkey, n_nationkey) AS nationkey, records, n_name FROM (SELECT c_nationkey, count(*) AS records FROM customer WHERE c_nationkey < 20 GROUP BY 1) FULL JOIN nation ON c_nationkey = n_nationkey")
+@query("SELECT coalesce(k, n_nationkey) AS nationkey, records, n_name FROM (SELECT CASE WHEN c_nationkey < 20 THEN c_nationkey ELSE c_nationkey + 100 END AS k, count(*) AS records FROM customer GROUP BY 1) FULL JOIN nation ON k = n_nationkey")
 def report_location_counts(t):
-    return reports.location_counts(t("customer").filter("c_nationkey < 20").withColumnRenamed("c_nationkey", "nationkey"), t("nation").select(F.col("n_nationkey").alias("nationkey"), "n_name"), "nationkey")
+    key = F.when(F.col("c_nationkey") < 20, F.col("c_nationkey")).otherwise(F.col("c_nationkey") + 100)
+    return reports.location_counts(t("customer").withColumn("nationkey", key), t("nation").select(F.col("n_nationkey").alias("nationkey"), "n_name"), "nationkey")
 
 
 @query(f"SELECT event_type, error, count(*) AS records FROM ({_SQL['error_lattice']}) JOIN events USING (event_id) WHERE error IS NOT NULL GROUP BY ALL")
@@ -631,6 +667,26 @@ def validate_dataset(t):
     return findings(t("orders"), {"tokens allowed": ("member", "o_orderpriority", ["1-URGENT", "2-HIGH"]), "name present": ("present", "o_orderstatus", None), "key unique": ("unique", "o_custkey", None)})
 
 
+_PROGRAM = {
+    "source": {"primary": {"key": "a", "bibtype": "Article", "author": "x", "title": "y"}}, "contributors": {"data_collectors": [], "dataset_curators": "x"},
+    "dataset": {"data_is_long_format": True, "taxon_name": "o_custkey", "location_name": "o_orderstatus", "trait_name": "o_orderpriority", "value": "o_totalprice", "basis_of_record": "o_orderstatus"},
+    "identifiers": None, "locations": {"F": {"latitude (deg)": "1", "longitude (deg)": "2"}, "X": {"latitude (deg)": "1"}}, "contexts": None,
+    "traits": [{"var_in": v, "unit_in": "u", "trait_name": "size", "value_type": w, "basis_of_value": "measurement"} for v, w in (("1-URGENT", "raw"), ("2-HIGH", "guess"))],
+    "substitutions": None, "taxonomic_updates": [{"find": "nobody", "replace": "x", "reason": "r", "taxonomic_resolution": "genus"}], "exclude_observations": [{"variable": "taxon_name", "find": "no one, somebody", "reason": "r"}], "questions": None,
+}
+
+
+@query("""SELECT DISTINCT 'traits: all of the data mapped' AS rule, o_orderpriority AS value FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')
+  UNION ALL SELECT DISTINCT 'locations: all of the data described', o_orderstatus FROM orders WHERE o_orderstatus <> 'F'
+  UNION ALL SELECT DISTINCT 'vocabulary: basis_of_record in data', o_orderstatus FROM orders
+  UNION ALL SELECT * FROM (VALUES ('locations: all described in the data', 'X'), ('locations: coordinates or ranges', 'X'), ('source: fields', 'primary.year'), ('traits: value types', 'guess'),
+    ('taxonomic_updates: find in data', 'nobody'), ('exclude_observations: taxon_name in data', 'no one'), ('exclude_observations: taxon_name in data', 'somebody'))""")
+def validate_program(t):
+    from .validate import failures
+
+    return failures(_PROGRAM, t("orders").select([F.col(c).cast("string").alias(c) for c in t("orders").columns]), {"size": {"type": "numeric"}})
+
+
 @query("""SELECT DISTINCT 'https://x/' || n_nationkey AS subject, p AS predicate, o AS object FROM (SELECT n_nationkey, 'https://p/name' AS p, '"' || n_name || '"' AS o FROM nation UNION ALL SELECT n_nationkey, 'https://p/region', '<https://r/' || n_regionkey || '>' FROM nation)""")
 def triples(t):
     df = t("nation").withColumn("region", F.concat(F.lit("https://r/"), F.col("n_regionkey").cast("string")))
@@ -656,6 +712,44 @@ def pipeline_end_to_end(t):
     return df.withColumn("error", rules.range_error(F.col("error"))).select("l_orderkey", "l_linenumber", "trait_name", "value", "unit", "error")
 
 
+_DATASET = {
+    "source": {"primary": {"key": "Doe_2020", "bibtype": "Article", "author": "J. Doe", "year": "2020", "title": "Orders"}}, "contributors": {"data_collectors": [{"last_name": "Doe", "given_name": "J"}], "dataset_curators": "Roe"},
+    "dataset": {"data_is_long_format": False, "taxon_name": "taxon", "location_name": "priority", "basis_of_record": "field"},
+    "locations": {"1-URGENT": {"latitude (deg)": "1", "longitude (deg)": "2"}, "2-HIGH": {"latitude (deg)": "3", "longitude (deg)": "4", "life_stage": "adult"}, "5-LOW": {"latitude (deg)": "5", "longitude (deg)": "6", "unit": "none"}},
+    "contexts": [{"context_property": "progress", "category": "treatment_context", "var_in": "status", "values": [{"find": "F", "value": "finished"}, {"find": "O", "value": "open"}]}],
+    "traits": [{"var_in": "total", "unit_in": "cents", "trait_name": "price", "entity_type": "individual", "value_type": "raw", "basis_of_value": "measurement", "methods": "ledger"}, {"var_in": "status", "unit_in": "none", "trait_name": "state", "entity_type": "species", "value_type": "mode", "basis_of_value": "expert_score", "methods": "asked"}],
+    "substitutions": [{"trait_name": "state", "find": "O", "replace": "open"}],
+    "taxonomic_updates": [{"find": "taxon 1", "replace": "Taxon one", "reason": "x", "taxonomic_resolution": "species"}],
+    "exclude_observations": [{"variable": "taxon_name", "find": "taxon 3", "reason": "x"}],
+}
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS k, 'taxon ' || (o_custkey % 40) AS taxon, o_orderpriority AS loc, o_orderstatus AS st, o_totalprice AS x, CASE o_orderstatus WHEN 'F' THEN '01' WHEN 'O' THEN '02' END AS ctx FROM orders),
+pk AS (SELECT *, loc || 'NA' || coalesce(ctx, 'NA') AS pkey FROM o),
+pf AS (SELECT pkey, row_number() OVER (ORDER BY min(k)) AS r, count(*) OVER () AS n FROM pk GROUP BY pkey),
+p AS (SELECT pk.*, {_PAD} AS pop FROM pk JOIN pf USING (pkey)),
+i AS (SELECT *, row_number() OVER (PARTITION BY taxon, pop ORDER BY k) AS r, count(*) OVER (PARTITION BY taxon, pop) AS n FROM p),
+j AS (SELECT k, taxon, loc, st, x, ctx, pop, {_PAD} AS ind, CASE loc WHEN '2-HIGH' THEN 'adult' END AS stage FROM i),
+l AS (SELECT k, taxon, ctx, pop, ind, stage, CASE loc WHEN '1-URGENT' THEN '01' WHEN '2-HIGH' THEN '02' WHEN '5-LOW' THEN '03' END AS location_id, 'price' AS trait_name, 'individual' AS entity_type, 'raw' AS value_type,
+    CASE WHEN taxon = 'taxon 3' THEN 'Observation excluded in metadata' WHEN x / 100 NOT BETWEEN 20 AND 3000 THEN 'Value out of allowable range' END AS error,
+    printf('%.15g', CASE WHEN taxon = 'taxon 3' THEN x ELSE x / 100 END) AS value, CASE WHEN taxon = 'taxon 3' THEN 'cents' ELSE 'usd' END AS unit,
+    concat_ws('-', taxon, pop, ind, 'NA', 'individual', coalesce(stage, 'NA'), 'NA', 'NA', 'field', 'NA', 'NA') AS okey FROM j
+  UNION ALL SELECT k, taxon, ctx, NULL, NULL, NULL, NULL, 'state', 'species', 'mode', CASE WHEN taxon = 'taxon 3' THEN 'Observation excluded in metadata' WHEN st = 'P' THEN 'Unsupported trait value' END,
+    CASE st WHEN 'O' THEN 'open' ELSE lower(st) END, NULL, concat_ws('-', taxon, 'NA', 'NA', 'NA', 'species', 'NA', 'NA', 'NA', 'field', 'NA', 'NA') FROM j),
+d AS (SELECT *, dense_rank() OVER (ORDER BY okey) AS r FROM l),
+e AS (SELECT *, max(r) OVER () AS n FROM d)
+SELECT error, CASE WHEN taxon = 'taxon 1' THEN 'Taxon one' ELSE 'T' || substr(taxon, 2) END AS taxon_name, taxon AS original_name, {_PAD} AS observation_id, trait_name, value, unit, entity_type, value_type, stage AS life_stage,
+  pop AS population_id, ind AS individual_id, location_id, ctx AS treatment_context_id, '01' AS method_id FROM e""")
+def process_dataset(t):
+    from .build import process_dataset as process
+
+    data = t("orders").select(F.col("o_orderkey").alias("_row"), F.concat(F.lit("taxon "), (F.col("o_custkey") % 40).cast("string")).alias("taxon"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"), tx.number_text(F.col("o_totalprice")).alias("total"))
+    definitions = {"price": {"type": "numeric", "units": "usd", "allowed_values_min": 20, "allowed_values_max": 3000}, "state": {"type": "categorical", "allowed_values_levels": {"f": "", "open": ""}}}
+    built = process(data.sparkSession, "orders", data, _DATASET, definitions, {"cents-usd": rules.parse_conversion("x/100")})
+    out = built["traits"].withColumn("error", F.lit(None).cast("string")).unionByName(built["excluded_data"])
+    return out.select("error", "taxon_name", "original_name", "observation_id", "trait_name", "value", "unit", "entity_type", "value_type", "life_stage", "population_id", "individual_id", "location_id", "treatment_context_id", "method_id")
+
+
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CASE WHEN n_regionkey <> 0 THEN CAST(n_regionkey AS VARCHAR) END AS n_regionkey FROM nation")
 def canonical_types(t):
     text = t("nation").select(F.concat(F.col("n_nationkey").cast("string"), F.lit(".00")).alias("n_nationkey"), "n_name", F.when(F.col("n_regionkey") != 0, F.concat(F.lit("0"), F.col("n_regionkey").cast("string"))).alias("n_regionkey"))

@@ -26,7 +26,7 @@ VALUE_TYPES = "raw minimum mean median maximum mode range bin standard_error sta
 ENTITY_TYPES = "individual population metapopulation subspecies species subsection section subgenus genus subtribe tribe supertribe subfamily family superfamily infraorder suborder order superorder subclass class subphylum phylum subdivision division kingdom".split()
 VALUE_BASES = "measurement expert_score model_derived unknown".split()
 RECORD_BASES = "field field_experiment captive_cultivated lab preserved_specimen literature".split()
-PIVOT_KEYS = "dataset_id observation_id value_type method_id method_context_id repeat_measurements_id".split()
+PIVOT_KEYS = "dataset_id taxon_name original_name observation_id value_type repeat_measurements_id method_id method_context_id".split()
 
 
 @dataclass(frozen=True)
@@ -87,7 +87,7 @@ def flatten_database(db: Database) -> DataFrame:
 
 def pivot_duplicates(traits: DataFrame, keys: list[str] = PIVOT_KEYS) -> DataFrame:
     """Keys and traits that have more than one value, with their number."""
-    return traits.groupBy(*keys, "trait_name").agg(F.count("*").alias("number_of_duplicates")).filter("number_of_duplicates > 1")
+    return traits.groupBy(*dict.fromkeys([*keys, "trait_name"])).agg(F.count("*").alias("number_of_duplicates")).filter("number_of_duplicates > 1")
 
 
 def pivots_wider(traits: DataFrame, keys: list[str] = PIVOT_KEYS) -> bool:

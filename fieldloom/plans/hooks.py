@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import ranked
+
 
 def apply_steps(df: DataFrame, steps: list[dict]) -> DataFrame:
     """Applies steps in order: filter, with (name: expression), select, rename, distinct, group_row_number, group_id."""
@@ -23,7 +25,7 @@ def apply_steps(df: DataFrame, steps: list[dict]) -> DataFrame:
         elif kind == "group_row_number":
             df = df.withColumn(what["name"], F.row_number().over(Window.partitionBy(*what["by"]).orderBy(*what["order"])))
         elif kind == "group_id":
-            groups = df.select(*what["by"]).distinct().withColumn(what["name"], F.row_number().over(Window.orderBy(*what["by"])))
+            groups = ranked(df.select(*what["by"]).distinct(), [], what["by"], what["name"], "_groups").drop("_groups")
             df = df.join(groups, what["by"])
         else:
             raise ValueError(f"no such step: {kind}")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import ranked
+
 
 def trait_counts(df: DataFrame, trait: str, taxon: str) -> DataFrame:
     """Taxa, records and records per taxon (2 digits, half to even) of each trait."""
@@ -39,9 +41,8 @@ def compare_counts(study: DataFrame, everything: DataFrame, column: str) -> Data
 
 def outliers(df: DataFrame, by: list[str], value: str, tie: list[str], low: float = 2.5, high: float = 97.5) -> DataFrame:
     """Rows whose position in their group, in percent, is below ``low`` or above ``high``."""
-    window = Window.partitionBy(*by)
-    position = F.row_number().over(window.orderBy(value, *tie)) / F.count("*").over(window) * 100
-    return df.withColumn("percentile", position).filter((F.col("percentile") < low) | (F.col("percentile") > high))
+    df = ranked(df, by, [value, *tie], "_place", "_of")
+    return df.withColumn("percentile", F.col("_place") / F.col("_of") * 100).drop("_place", "_of").filter((F.col("percentile") < low) | (F.col("percentile") > high))
 
 
 def limits(df: DataFrame, by: str, value: str) -> DataFrame:

@@ -1,23 +1,38 @@
-"""Validation: rules over a program and its data give findings; none stops the others."""
+"""Validation: rules over a folder, a program, its data and what is built from them give findings; none stops the others.
+
+``check_program`` lists all rules with a few of the failing values each; ``failures`` gives all failing values as a
+DataFrame; ``check_folder`` and ``check_build`` cover the files and the built tables.
+"""
 
 from __future__ import annotations
 
+import csv
+import io
 import re
 from collections import Counter
+from collections.abc import Callable
 from functools import reduce
+from pathlib import Path
 
+import yaml
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import EXCEPTION_LETTERS, unsupported_bytes
 from ..operators.rules import exclusions
-from ..sources.program import SECTIONS
-from .database import VALUE_TYPES
+from ..sources.program import DATASET_FIELDS, SECTIONS, read_program
+from .database import ENTITY_TYPES, RECORD_BASES, TABLES, VALUE_BASES, VALUE_TYPES, Database, pivot_duplicates
+from .hooks import apply_steps
 
 #: Required and allowed fields of program sections.
 TRAIT_REQUIRED = ["var_in", "unit_in", "trait_name", "value_type", "basis_of_value"]
 SOURCE_REQUIRED = ["key", "bibtype", "author", "title", "year"]
 CONTRIBUTOR_FIELDS = ["last_name", "given_name", "ORCID", "affiliation", "notes", "additional_role"]
 CATEGORIES = ["plot_context", "treatment_context", "entity_context", "temporal_context", "method_context"]
+#: Vocabularies that a program or a column of its data draws on; ``unknown`` is always allowed.
+VOCABULARIES = {"entity_type": ENTITY_TYPES, "value_type": VALUE_TYPES, "basis_of_value": VALUE_BASES, "basis_of_record": RECORD_BASES}
+#: What a dataset's folder may hold.
+FOLDER = ["data.csv", "metadata.yml", "raw", "output", "README.md"]
 FIELDS = {"substitutions": ["trait_name", "find", "replace"], "taxonomic_updates": ["find", "replace", "reason", "taxonomic_resolution"], "exclude_observations": ["variable", "find", "reason"], "identifiers": ["var_in", "identifier_type", "institution_code"]}
 
 
@@ -40,13 +55,85 @@ def findings(df: DataFrame, rules: dict[str, tuple[str, str, list | None]]) -> D
     return reduce(DataFrame.unionByName, out)
 
 
-def check_program(program: dict, columns: list[str], dictionary: dict, data: DataFrame | None = None) -> list[tuple[str, bool, str]]:
+#: Failing values of a rule that a listing shows.
+SHOWN = 20
+
+
+def vocabularies(schema: dict | None = None) -> dict[str, set[str]]:
+    """Terms of each vocabulary field, those of a schema in their place, and ``unknown``."""
+    own = {f: set((((schema or {}).get(f) or {}).get("values")) or terms) for f, terms in VOCABULARIES.items()}
+    return {f: terms | {"unknown"} for f, terms in own.items()}
+
+
+def check_program(program: dict, columns: list[str], dictionary: dict, data: DataFrame | None = None, schema: dict | None = None) -> list[tuple[str, bool, str]]:
     """(rule, ok, detail) of all rules on a program and, if given, its data (text columns)."""
-    out: list[tuple[str, bool, str]] = []
+    out = [(name, not wrong, ", ".join(wrong[:SHOWN])) for name, wrong in _program_rules(program, columns, dictionary, schema)]
+    for name, wrong in _data_rules(program, data, schema) if data is not None else []:
+        some = sorted(r.value for r in wrong.limit(SHOWN).collect())
+        out.append((name, not some, ", ".join(some)))
+    return out
+
+
+def failures(program: dict, data: DataFrame, dictionary: dict, schema: dict | None = None) -> DataFrame:
+    """All failing values of all rules on a program and its data: (rule, value)."""
+    columns = [c for c in data.columns if c != "_row"]
+    known = [(name, w) for name, wrong in _program_rules(program, columns, dictionary, schema) for w in wrong]
+    out = data.sparkSession.createDataFrame(known, "rule string, value string")
+    return reduce(DataFrame.unionByName, [wrong.select(F.lit(name).alias("rule"), "value") for name, wrong in _data_rules(program, data, schema)], out)
+
+
+def check_folder(folder: str | Path) -> list[tuple[str, bool, str]]:
+    """(rule, ok, detail) of the rules on a dataset's files."""
+    folder = Path(folder)
+    here = sorted(p.name for p in folder.iterdir()) if folder.exists() else []
+    out = [("folder: both files", [f for f in FOLDER[:2] if f not in here]), ("folder: nothing else", [f for f in here if f not in FOLDER])]
+    if "metadata.yml" in here:
+        text = (folder / "metadata.yml").read_text(encoding="utf-8")
+        allowed = {b for b in EXCEPTION_LETTERS.encode() if b >= 0x7F}
+        out.append(("metadata: plain text", [f"line {n + 1}" for n, line in enumerate(text.split("\n")) if any(b >= 0x7F and b not in allowed for b in line.encode())]))
+        try:
+            about = list((read_program(folder / "metadata.yml").get("dataset") or {}))
+            at = about.index("custom_R_code") if "custom_R_code" in about else None
+            out += [("metadata: parses", []), ("dataset: custom step before collection_date", [] if at is None or about[at + 1 : at + 2] == ["collection_date"] else about[at + 1 : at + 2] or ["nothing"])]
+        except yaml.YAMLError as error:
+            out.append(("metadata: parses", [str(error).split("\n")[0]]))
+    if "data.csv" in here:
+        lines = (folder / "data.csv").read_text(encoding="utf-8", errors="replace")
+        rows = list(csv.reader(io.StringIO(lines)))
+        out.append(("data: rows are as long as the header", [f"row {n + 1}" for n, r in enumerate(rows[1:]) if r and len(r) != len(rows[0])]))
+    return [(name, not wrong, ", ".join(map(str, wrong[:SHOWN]))) for name, wrong in out]
+
+
+def check_custom_step(data: DataFrame, steps: list[dict] | Callable[[DataFrame], DataFrame]) -> tuple[str, bool, str]:
+    """A dry run of a dataset's custom step on its data."""
+    try:
+        (steps(data) if callable(steps) else apply_steps(data, steps)).limit(1).collect()
+    except Exception as error:  # whatever a step raises is the finding
+        return ("custom step: runs", False, str(error).split("\n")[0][:200])
+    return ("custom step: runs", True, "")
+
+
+def check_build(build: Callable[[], Database]) -> list[tuple[str, bool, str]]:
+    """(rule, ok, detail) of the rules on what a dataset builds to; ``build`` makes it."""
+    try:
+        db = build()
+        traits = db["traits"]
+        empty = traits.isEmpty()
+    except Exception as error:  # whatever building raises is the finding
+        return [("build: works", False, str(error).split("\n")[0][:200])]
+    shape = [n for n in TABLES if n not in db.tables or n != "taxa" and db[n].columns != TABLES[n]]
+    strange = sorted(r.value for r in traits.filter(F.size(unsupported_bytes(F.col("value"), "")) > 0).select("value").distinct().limit(SHOWN).collect())
+    twice = [f"{r.observation_id} {r.trait_name}" for r in pivot_duplicates(traits).orderBy("observation_id", "trait_name").limit(SHOWN).collect()]
+    found = [("build: works", []), ("build: tables and columns", shape), ("build: traits not empty", ["traits"] if empty else []), ("build: values are plain text", strange), ("build: pivots without duplicates", twice)]
+    return [(name, not wrong, ", ".join(wrong)) for name, wrong in found]
+
+
+def _program_rules(program: dict, columns: list[str], dictionary: dict, schema: dict | None) -> list[tuple[str, list[str]]]:
+    """The rules that need no data, with all values that fail."""
+    out: list[tuple[str, list[str]]] = []
 
     def rule(name: str, wrong) -> None:
-        wrong = [str(w) for w in wrong]
-        out.append((name, not wrong, ", ".join(wrong[:20])))
+        out.append((name, [str(w) for w in wrong]))
 
     records = lambda s: program.get(s) or []
     twice = lambda xs: [x for x, n in Counter(xs).items() if n > 1]
@@ -86,7 +173,13 @@ def check_program(program: dict, columns: list[str], dictionary: dict, data: Dat
     rule("traits: in dictionary", [t["trait_name"] for t in traits if t.get("trait_name") and t["trait_name"] not in dictionary])
     rule("traits: var_in unique", twice(t.get("var_in") for t in traits))
     rule("traits: some named", [] if any(t.get("trait_name") for t in traits) else ["trait_name"])
-    rule("traits: value types", [t["value_type"] for t in traits if t.get("value_type") and t["value_type"] not in VALUE_TYPES and t["value_type"] not in columns])
+    rule("traits: value types", [t["value_type"] for t in traits if t.get("value_type") and t["value_type"] not in vocabularies(schema)["value_type"] and t["value_type"] not in columns])
+    for field, terms in vocabularies(schema).items():
+        if field != "value_type":
+            rule(f"traits: {field} in vocabulary", [t[field] for t in traits if t.get(field) and t[field] not in terms and t[field] not in columns])
+        whole = about.get(field)
+        rule(f"dataset: {field} in vocabulary", [w for w in str(whole).split(" ") if w not in terms] if whole is not None and whole not in columns else [])
+    rule("dataset: fields", [f for f in about if f not in ((((schema or {}).get("metadata") or {}).get("elements") or {}).get("dataset") or {}).get("values", DATASET_FIELDS)])
     if not is_long:
         rule("traits: var_in is a column", [t["var_in"] for t in traits if t.get("trait_name") and t["var_in"] not in columns])
     mapped = {t.get("trait_name") for t in traits}
@@ -98,14 +191,18 @@ def check_program(program: dict, columns: list[str], dictionary: dict, data: Dat
     rule("taxonomic_updates: find unique", twice(u["find"] for u in records("taxonomic_updates")))
     gone = [(e["variable"], e["find"], e.get("reason")) for e in records("exclude_observations")]
     rule("exclude_observations: unique", twice((v, f) for v, f, _ in gone))
-    if data is not None:
-        _check_data(rule, program, data, about, places, contexts, traits, gone, is_long)
     return out
 
 
-def _check_data(rule, program, data, about, places, contexts, traits, gone, is_long) -> None:
+def _data_rules(program: dict, data: DataFrame, schema: dict | None) -> list[tuple[str, DataFrame]]:
     """Rules that compare small lists of a program with the different texts of data columns (as anti joins)."""
-    spark = data.sparkSession
+    spark, out = data.sparkSession, []
+    about, places, contexts, traits = program.get("dataset") or {}, program.get("locations") or {}, program.get("contexts") or [], program.get("traits") or []
+    gone = [(e["variable"], e["find"], e.get("reason")) for e in program.get("exclude_observations") or []]
+    is_long = str(about.get("data_is_long_format")).lower() in ("true", "yes")
+
+    def rule(name: str, wrong: DataFrame) -> None:
+        out.append((name, wrong))
 
     def listed(values) -> DataFrame:
         return spark.createDataFrame([(str(v),) for v in dict.fromkeys(values)], "value string")
@@ -113,25 +210,32 @@ def _check_data(rule, program, data, about, places, contexts, traits, gone, is_l
     def texts(column: str) -> DataFrame:
         return data.select(F.col(f"`{column}`").cast("string").alias("value")).filter("value is not null").distinct()
 
-    few = lambda df: [r.value for r in df.limit(20).collect()]
+    def tokens(column: str) -> DataFrame:
+        return texts(column).select(F.explode(F.split("value", " ")).alias("value")).distinct()
+
     name = about.get("location_name")
     if places and name in data.columns:
-        rule("locations: all of the data described", few(texts(name).join(F.broadcast(listed(places)), "value", "left_anti")))
-        rule("locations: all described in the data", few(listed(places).join(texts(name), "value", "left_anti")))
+        rule("locations: all of the data described", (texts(name).join(listed(places), "value", "left_anti")))
+        rule("locations: all described in the data", (listed(places).join(texts(name), "value", "left_anti")))
     for c in contexts:
         finds = [v.get("find") if v.get("find") is not None else v.get("value") for v in c.get("values") or []]
         if c["var_in"] in data.columns and finds:
-            rule(f"contexts: {c['context_property']}: data in find", few(texts(c["var_in"]).join(F.broadcast(listed(finds)), "value", "left_anti")))
-            rule(f"contexts: {c['context_property']}: find in data", few(listed(finds).join(texts(c["var_in"]), "value", "left_anti")))
+            rule(f"contexts: {c['context_property']}: data in find", (texts(c["var_in"]).join(listed(finds), "value", "left_anti")))
+            rule(f"contexts: {c['context_property']}: find in data", (listed(finds).join(texts(c["var_in"]), "value", "left_anti")))
     taxon, updates = about.get("taxon_name"), program.get("taxonomic_updates") or []
     if updates and taxon in data.columns:
-        rule("taxonomic_updates: find in data", few(listed(u["find"] for u in updates).join(texts(taxon), "value", "left_anti")))
+        rule("taxonomic_updates: find in data", (listed(u["find"] for u in updates).join(texts(taxon), "value", "left_anti")))
     if is_long and about.get("trait_name") in data.columns:
-        rule("traits: all of the data mapped", few(texts(about["trait_name"]).join(F.broadcast(listed(t["var_in"] for t in traits)), "value", "left_anti")))
+        rule("traits: all of the data mapped", (texts(about["trait_name"]).join(listed(t["var_in"] for t in traits), "value", "left_anti")))
     by: dict[str, list[str]] = {}
     for variable, text in exclusions(gone):
         by.setdefault(variable, []).append(text)
     for variable, found in by.items():
         source = variable if variable in data.columns else about.get(variable)
         if source in data.columns:
-            rule(f"exclude_observations: {variable} in data", few(listed(found).join(texts(source), "value", "left_anti")))
+            rule(f"exclude_observations: {variable} in data", (listed(found).join(texts(source), "value", "left_anti")))
+    for field, terms in vocabularies(schema).items():
+        named = [*dict.fromkeys(str(x) for x in [about.get(field), *[t.get(field) for t in traits]] if x is not None)]
+        for column in [x for x in named if x in data.columns and x not in terms]:
+            rule(f"vocabulary: {field} in data", tokens(column).join(listed(terms), "value", "left_anti"))
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from pathlib import Path
 
@@ -9,6 +10,10 @@ import yaml
 
 #: Sections of a program, in order.
 SECTIONS = ["source", "contributors", "dataset", "identifiers", "locations", "contexts", "traits", "substitutions", "taxonomic_updates", "exclude_observations", "questions"]
+#: Fields of a program's dataset section.
+DATASET_FIELDS = "data_is_long_format custom_R_code collection_date taxon_name trait_name value location_name individual_id repeat_measurements_id source_id description basis_of_record basis_of_value entity_type value_type life_stage replicates measurement_remarks unit_in plot_context_id sampling_strategy original_file notes".split()
+#: Columns of a new, empty taxon list.
+TAXON_LIST = "aligned_name taxonomic_dataset aligned_scientific_name_id aligned_name_taxonomic_status aligned_name_alternative_taxonomic_status taxon_name taxon_id scientific_name_authorship taxon_rank taxonomic_status family taxon_distribution establishment_means scientific_name scientific_name_id".split()
 MISSING = (".na", ".na.character", "", None)
 
 
@@ -30,7 +35,12 @@ def clean(x):
 
 
 def read_program(path: str | Path) -> dict:
-    return clean(yaml.load(Path(path).read_text(encoding="utf-8"), _Loader)) or {}
+    """A program; the text of its custom step keeps its lines and indents as they stand in the file."""
+    text = Path(path).read_text(encoding="utf-8")
+    program = clean(yaml.load(text, _Loader)) or {}
+    if (program.get("dataset") or {}).get("custom_R_code") and (m := re.search(r"(?ms)^  custom_R_code:(.*?)(?=^  \w+:)", text)):
+        program["dataset"]["custom_R_code"] = m[1].rstrip("\n")
+    return program
 
 
 def write_program(program: dict, path: str | Path) -> None:
@@ -108,11 +118,35 @@ def add_source(program: dict, bib: dict, kind: str = "primary", drop: tuple[str,
 
 def read_bibtex(text: str) -> dict:
     """The first entry of a BibTeX text."""
-    head = re.search(r"@(\w+)\s*\{\s*([^,]*),", text)
-    if not head:
+    entries = read_bibtex_entries(text)
+    if not entries:
         raise ValueError("no BibTeX entry")
-    fields = re.findall(r"(\w+)\s*=\s*(?:\{((?:[^{}]|\{[^{}]*\})*)\}|\"([^\"]*)\"|(\d+))", text[head.end() :])
-    return {"bibtype": head[1].title(), "key": head[2].strip(), **{k.lower(): re.sub(r"[{}]", "", next(x for x in v if x)) for k, *v in fields if any(v)}}
+    return entries[0]
+
+
+def read_bibtex_entries(text: str) -> list[dict]:
+    """All entries of a BibTeX text, with bibtype and key."""
+    heads = list(re.finditer(r"@(\w+)\s*\{\s*([^,\s]*)\s*,", text))
+    out = []
+    for head, end in zip(heads, [*[h.start() for h in heads[1:]], len(text)]):
+        fields = re.findall(r"(\w+)\s*=\s*(?:\{((?:[^{}]|\{[^{}]*\})*)\}|\"([^\"]*)\"|(\d+))", text[head.end() : end])
+        out.append({"bibtype": head[1].title(), "key": head[2], **{k.lower(): re.sub(r"[{}]", "", next(x for x in v if x)) for k, *v in fields if any(v)}})
+    return out
+
+
+def to_bibtex(source: dict) -> str:
+    """A source as a BibTeX entry: authors joined by ``and``, the title in braces so that it keeps its capitals."""
+    rest = {k: v for k, v in source.items() if k not in ("key", "bibtype") and v is not None}
+    if "author" in rest:
+        rest["author"] = re.sub(r"\s+and\s+", " and ", str(rest["author"]).replace(",", " and "))
+    if "title" in rest:
+        rest["title"] = f"{{{rest['title']}}}"
+    return f"@{source.get('bibtype', 'Misc')}{{{source['key']},\n" + "".join(f"  {k} = {{{v}}},\n" for k, v in rest.items()) + "}\n"
+
+
+def from_bibtex_people(bib: dict) -> dict:
+    """A bibliography entry as plain fields: lists of authors and editors joined by ``and``."""
+    return {k: " and ".join(map(str, v)) if k in ("author", "editor") and isinstance(v, (list, tuple)) else v for k, v in bib.items()}
 
 
 def citation(bib: dict) -> str:
@@ -132,6 +166,23 @@ def add_substitution(program: dict, trait: str, find: str, replace: str | None)
     return {**program, "substitutions": [*old, {"trait_name": trait, "find": find, "replace": replace}]}
 
 
+def add_substitutions_table(programs: dict[str, dict], rows: list[dict], dataset_id: str, trait_name: str, find: str, replace: str) -> tuple[dict[str, dict], list[str]]:
+    """Programs with the substitutions of a table over many datasets, in its order, and notes on those that were there.
+
+    The last four arguments name the table's columns.  A text that a dataset's trait has already is added all the same.
+    """
+    for column in (dataset_id, trait_name, find, replace):
+        if lost := [r for r in rows if column not in r]:
+            raise ValueError(f"'{column}' is not a column in the substitutions table: {lost[:1]}")
+    out, notes = dict(programs), []
+    for r in rows:
+        old = _records(out[r[dataset_id]], "substitutions")
+        if any(s["trait_name"] == r[trait_name] and s["find"] == r[find] for s in old):
+            notes.append(f"{r[dataset_id]}: {r[trait_name]}: '{r[find]}' already exists; review both")
+        out[r[dataset_id]] = {**out[r[dataset_id]], "substitutions": [*old, {"trait_name": r[trait_name], "find": r[find], "replace": r[replace]}]}
+    return out, notes
+
+
 def set_substitutions(program: dict, rows: list[dict]) -> dict:
     return {**program, "substitutions": rows or None}
 
@@ -175,3 +226,44 @@ def exclude_observations(program: dict, variable: str, find: str, reason: str) -
 def discover(folder: str | Path) -> list[str]:
     """Datasets (folders) that have both their files."""
     return sorted(p.name for p in Path(folder).iterdir() if (p / "data.csv").exists() and (p / "metadata.yml").exists())
+
+
+def get_schema(path: str | Path, subsection: str | None = None) -> dict:
+    """A schema document, or one section of it."""
+    schema = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
+    return schema if subsection is None else schema[subsection]
+
+
+def get_version(path: str | Path) -> str:
+    """The version that a compilation's metadata document gives."""
+    return get_schema(path, "metadata")["version"]
+
+
+def git_commit(path: str | Path = ".") -> str | None:
+    """The hash of the last commit of the repository at a path; None if there is none."""
+    for folder in [Path(path).resolve(), *Path(path).resolve().parents]:
+        head = folder / ".git" / "HEAD"
+        if head.is_file():
+            text = head.read_text().strip()
+            if not text.startswith("ref: "):
+                return text
+            name, packed = text[5:], folder / ".git" / "packed-refs"
+            if (folder / ".git" / name).is_file():
+                return (folder / ".git" / name).read_text().strip()
+            found = [line.split(" ")[0] for line in packed.read_text().split("\n") if line.endswith(f" {name}")] if packed.is_file() else []
+            return found[0] if found else None
+    return None
+
+
+def read_conversion_rows(path: str | Path) -> list[dict]:
+    """Rows (unit_from, unit_to, function) of a unit-conversion CSV."""
+    with open(path, encoding="utf-8", newline="") as f:
+        return list(csv.DictReader(f))
+
+
+def set_up(folder: str | Path) -> None:
+    """The configuration folder of a new compilation, with an empty taxon list unless there is one."""
+    path = Path(folder, "config", "taxon_list.csv")
+    path.parent.mkdir(parents=True, exist_ok=True)
+    if not path.exists():
+        path.write_text(",".join(TAXON_LIST) + "\n", encoding="utf-8")

@@ -11,17 +11,21 @@ from pyspark.sql import functions as F
 
 from ..functions.text import number_text, to_number
 from ..plans.database import TABLES, Database
+from .program import to_bibtex
 
 #: Texts that stand for a missing value.
 MISSING_TOKENS = ["", "NA"]
 YAML_MISSING = [".na", ".na.character"]
 #: Tables of the plain-text form of a database.
-PLAINTEXT_TABLES = ["traits", "locations", "contexts", "methods", "excluded_data", "taxonomic_updates", "taxa", "contributors", "identifiers"]
+PLAINTEXT_TABLES = ["traits", "locations", "contexts", "methods", "excluded_data", "taxonomic_updates", "taxa", "contributors"]
 
 
-def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with all columns as text; missing tokens are null; ``_row`` is the order in the file."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("inferSchema", False).csv(path)
+def read_csv_text(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A CSV with all columns as text; missing tokens are null; ``_row`` is the order in the file.
+
+    Without ``multi_line`` quoted texts can't have line ends, and large files are read in parts.
+    """
+    df = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("inferSchema", False).csv(path)
     out = df.select(*[F.when(~F.col(f"`{c}`").isin(MISSING_TOKENS), F.col(f"`{c}`")).alias(c) for c in df.columns])
     return out.withColumn("_row", F.monotonically_increasing_id())
 
@@ -51,16 +55,37 @@ def canonical_text(df: DataFrame, skip: tuple[str, ...] = ("_row",)) -> DataFram
     return df.withColumns(new) if new else df
 
 
-def write_plaintext(db: Database, path: str) -> None:
-    """A database as a folder of CSV tables (missing values are empty) and YAML documents."""
+def write_plaintext(db: Database, path: str, one_file: bool = False) -> None:
+    """A database as CSV tables (missing values are empty), YAML documents, ``sources.bib`` and ``build_info.md``.
+
+    Each table is a folder of parts, which all executors write; with ``one_file``, for small databases, one CSV file.
+    The tables go to ``path`` through Spark; the documents are small and written by the driver.
+    """
     if Path(path).exists():
         shutil.rmtree(path)
     Path(path).mkdir(parents=True)
     for name in PLAINTEXT_TABLES:
         if name in db.tables:
-            db[name].write.option("header", True).option("emptyValue", "").option("nullValue", "").csv(f"{path}/{name}")
-    for name in ("definitions", "schema", "metadata", "build_info", "sources"):
+            target = f"{path}/{name}.csv"
+            table = db[name].coalesce(1) if one_file else db[name]
+            table.write.option("header", True).option("emptyValue", "").option("nullValue", "").csv(f"{target}.parts" if one_file else target)
+            if one_file:
+                (part,) = Path(f"{target}.parts").glob("part-*.csv")
+                part.rename(target)
+                shutil.rmtree(f"{target}.parts")
+    for name in ("definitions", "schema", "metadata"):
         Path(path, f"{name}.yml").write_text(yaml.safe_dump(getattr(db, name), sort_keys=False, allow_unicode=True))
+    Path(path, "sources.bib").write_text("\n".join(to_bibtex(s) for s in {s["key"]: s for s in _entries(db.sources)}.values()), encoding="utf-8")
+    Path(path, "build_info.md").write_text("".join(f"- {k}: {v}\n" for k, v in db.build_info.items()), encoding="utf-8")
+
+
+def _entries(sources: dict) -> list[dict]:
+    """All bibliography entries of one dataset's sources or of several datasets'."""
+    found = []
+    for s in sources.values():
+        if isinstance(s, dict):
+            found += [s] if "key" in s else _entries(s)
+    return found
 
 
 def write_database(db: Database, path: str) -> None:

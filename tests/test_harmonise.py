@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from fieldloom.functions import text as tx
-from fieldloom.operators import ids, rules
+from fieldloom.operators import ids, ranks, reshape, rules, taxonomy
 from fieldloom.plans import build, catalogue, database, validate
 from fieldloom.plans.hooks import apply_steps
 from fieldloom.sources import program as prog
+from fieldloom.sources import suggest
 from fieldloom.sources import tables as src
 from fieldloom.streaming import ingest
 
@@ -95,7 +96,11 @@ def test_sinks_and_flattening(spark, built, tmp_path):
     again = src.read_database(spark, str(tmp_path / "db"))
     assert sorted(map(str, again["traits"].collect())) == sorted(map(str, built["traits"].collect()))
     src.write_plaintext(built.with_version("1.0", None), str(tmp_path / "text"))
-    assert yaml.safe_load((tmp_path / "text" / "build_info.yml").read_text())["version"] == "1.0"
+    assert "- version: 1.0" in (tmp_path / "text" / "build_info.md").read_text() and not (tmp_path / "text" / "identifiers.csv").exists()
+    (entry,) = prog.read_bibtex_entries((tmp_path / "text" / "sources.bib").read_text())
+    assert entry["key"] == "Doe_2020" and entry["author"] == "J. Doe and A. Roe" and entry["title"] == "Leaves"
+    src.write_plaintext(built, str(tmp_path / "small"), one_file=True)
+    assert (tmp_path / "small" / "traits.csv").read_text().split("\n")[0] == ",".join(database.TABLES["traits"])
     flat = database.flatten_database(built)
     assert flat.count() == built["traits"].count() and {"location_properties", "treatment_context_properties", "methods"} <= set(flat.columns)
 
@@ -161,6 +166,83 @@ def test_streaming_rows(spark, tmp_path):
     assert got == [("3", rules.NO_CONVERSION), ("300", None), ("perennial", None)]
 
 
+def test_units_overrides_and_first_maps(spark, folder):
+    columns = "trait_name string, value_type string, value string, unit_in string, error string"
+    rows = [("lifespan", "mode", "p", "mm", "bad"), ("lifespan", "mode", "annual", "mm", None), ("leaf_area", "raw", "3", "cm2", "bad"), ("leaf_area", "raw", "3", "cm2", None), ("leaf_area", "range", "2--4", "1/mm2", None), ("leaf_area", "raw", "3", "ha", None), ("other", "raw", "3", "ha", "bad")]
+    df = rules.with_dictionary(spark.createDataFrame(rows, columns), build.dictionary_frame(spark, DEFINITIONS))
+    got = [(r.value, r.unit, r.error) for r in rules.convert_units(df, CONVERSIONS).collect()]
+    assert sorted(got, key=str) == sorted([("p", None, "bad"), ("annual", None, None), ("3", "cm2", "bad"), ("300", "mm2", None), ("0.5--0.25", "mm2", None), ("3", "ha", rules.NO_CONVERSION), ("3", "ha", "bad")], key=str)
+    taxa = spark.createDataFrame([("a", "z"), ("a", "b")], "aligned_name string, taxon_name string")
+    names = spark.createDataFrame([("a",), ("c",)], "taxon_name string")
+    assert sorted(r.taxon_name for r in taxonomy.accept_names(names, taxa).collect()) == ["b", "c", "z"]
+    data = spark.createDataFrame([("A", "1"), ("B", "2")], "what string, value string")
+    maps = [reshape.TraitMap("A", "first"), reshape.TraitMap("A", "second"), reshape.TraitMap("B", None)]
+    assert [r.trait_name for r in reshape.map_long(data, maps, "what").collect()] == ["first"]
+    # a location's property named like a measurement's value or unit stays a property
+    program = {**PROGRAM, "locations": {n: {**p, "unit": "km"} for n, p in PROGRAM["locations"].items()}}
+    data = src.canonical_text(src.read_csv_text(spark, str(folder / "Doe_2020" / "data.csv")))
+    built = build.process_dataset(spark, "Doe_2020", data, program, DEFINITIONS, CONVERSIONS)
+    assert {r.unit for r in built["traits"].collect()} == {"mm2", None}
+    assert {r.location_property for r in built["locations"].collect()} == {"latitude (deg)", "longitude (deg)", "unit"}
+
+
+def test_ranks_in_ranges(spark):
+    data = [("a" if k % 3 else None, k * 7919 % 1000) for k in range(1000)]
+    got = ranks.ranked(spark.createDataFrame(data, "g string, x long").repartition(5), ["g"], ["x"], "n", "all").collect()
+    for g in ("a", None):
+        mine = sorted(x for h, x in data if h == g)
+        assert sorted((r.x, r.n, r["all"]) for r in got if r.g == g) == [(x, k + 1, len(mine)) for k, x in enumerate(mine)]
+    assert ranks.ranked(spark.createDataFrame([], "g string, x long"), ["g"], ["x"], "n", "all").count() == 0
+
+
+def test_files_programs_and_schema(spark, folder, tmp_path):
+    (tmp_path / "units.csv").write_text("unit_from,unit_to,function\ncm2,mm2,x*100\nC,K,\"x*1\"\n")
+    conversions = rules.read_conversions(prog.read_conversion_rows(tmp_path / "units.csv"))
+    assert conversions["cm2-mm2"] == rules.parse_conversion("x*100") and list(conversions) == ["cm2-mm2", "C-K"]
+    (tmp_path / "s.yml").write_text("metadata: {version: 1.2.3}\ntraits: {elements: {a: 1}}\n")
+    assert prog.get_version(tmp_path / "s.yml") == "1.2.3" and prog.get_schema(tmp_path / "s.yml", "traits") == {"elements": {"a": 1}}
+    assert prog.git_commit(tmp_path) is None
+    prog.set_up(tmp_path)
+    assert (tmp_path / "config" / "taxon_list.csv").read_text().startswith("aligned_name,")
+    (tmp_path / "m.yml").write_text("dataset:\n  custom_R_code: '\n    one\n      two'\n  collection_date: 2020\n")
+    assert prog.read_program(tmp_path / "m.yml")["dataset"]["custom_R_code"] == " '\n    one\n      two'"
+    programs, notes = prog.add_substitutions_table({"x": PROGRAM, "y": {}}, [{"d": "x", "t": "lifespan", "f": "p", "r": "q"}, {"d": "y", "t": "lifespan", "f": "a", "r": "b"}], "d", "t", "f", "r")
+    assert len(programs["x"]["substitutions"]) == 2 and len(programs["y"]["substitutions"]) == 1 and len(notes) == 1
+    with pytest.raises(ValueError):
+        prog.add_substitutions_table({}, [{"d": "x"}], "d", "t", "f", "r")
+    wide = spark.createDataFrame([("n", "1", "s"), ("n", "1", "o"), (None, "2", "s")], "place string, lat string, shade string")
+    assert suggest.add_locations_from({}, wide, "place", ["lat"])["locations"] == {"n": {"lat": "1"}}
+    assert [v["find"] for v in suggest.add_contexts_from({}, wide, ["shade"])["contexts"][0]["values"]] == ["o", "s"]
+    assert [t["var_in"] for t in suggest.add_traits_from({}, wide, long_column="shade")["traits"]] == ["o", "s"]
+
+
+def test_folder_and_build_rules(spark, folder, tmp_path):
+    assert all(ok for _, ok, _ in validate.check_folder(folder / "Doe_2020"))
+    bad = tmp_path / "bad"
+    bad.mkdir()
+    (bad / "data.csv").write_text("a,b\n1,2\n3\n")
+    (bad / "metadata.yml").write_text("dataset:\n  custom_R_code: x\n  notes: \u4e2d\u00e9\n")
+    (bad / "more.txt").write_text("")
+    found = {n: d for n, ok, d in validate.check_folder(bad) if not ok}
+    assert found == {"folder: nothing else": "more.txt", "metadata: plain text": "line 3", "dataset: custom step before collection_date": "notes", "data: rows are as long as the header": "row 2"}
+    df = spark.createDataFrame([("1",)], "x string")
+    assert validate.check_custom_step(df, [{"with": {"y": "x + 1"}}])[1] and not validate.check_custom_step(df, [{"with": {"y": "nothing + 1"}}])[1]
+    make = lambda p: lambda: build.process_dataset(spark, "Doe_2020", src.canonical_text(src.read_csv_text(spark, str(folder / "Doe_2020" / "data.csv"))), p, DEFINITIONS, CONVERSIONS)
+    assert {n for n, ok, _ in validate.check_build(make(PROGRAM)) if not ok} <= {"build: pivots without duplicates"}
+    assert validate.check_build(lambda: 1 / 0)[0][:2] == ("build: works", False)
+    wrong = {**PROGRAM, "traits": [{**PROGRAM["traits"][0], "entity_type": "pebble", "basis_of_value": "life"}], "dataset": {**PROGRAM["dataset"], "basis_of_record": "field moon", "extra": 1}}
+    data = src.read_csv_text(spark, str(folder / "Doe_2020" / "data.csv"))
+    names = {(r.rule, r.value) for r in validate.failures(wrong, data, DEFINITIONS).collect()}
+    assert {("traits: entity_type in vocabulary", "pebble"), ("dataset: basis_of_record in vocabulary", "moon"), ("dataset: fields", "extra"), ("vocabulary: basis_of_value in data", "annual"), ("vocabulary: basis_of_value in data", "weedy")} <= names
+
+
+def test_unsupported_bytes(spark):
+    got = {r.x: r.p for r in spark.createDataFrame([("abc",), ("caf\u00e9",), ("a\u4e2d",), ("",), (None,)], "x string").select("x", tx.unsupported_bytes(F.col("x")).alias("p")).collect()}
+    allowed = set(tx.EXCEPTION_LETTERS.encode())
+    assert got["abc"] == got["caf\u00e9"] == got[""] == [] and got[None] is None
+    assert got["a\u4e2d"] == [k + 1 for k, b in enumerate("a\u4e2d".encode()) if b >= 0x7F and b not in allowed]
+
+
 SMALL = ["standardise_names", "context_links", "observation_id", "repeat_measurements_id", "error_lattice", "unit_conversion_range", "triples", "report_share"]
 
 
