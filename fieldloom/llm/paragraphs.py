@@ -1,24 +1,30 @@
 """Operator 5: near-duplicate paragraphs across documents, by MinHash banding.
 
-Paragraphs are sentences of a line, joined with those that follow until they have ``MIN_WORDS`` words (so a
-passage is cut alike wherever it stands, but for its first sentences).  In lower case and with single spaces
-they are hashed; equal ones are one class.  Classes are banded by MinHash over shingles of five words:
-``BANDS`` bands of ``ROWS`` values find a pair of Jaccard similarity 0.75 with probability above 0.98.
-Classes that collide in a band are paired with the bucket's first and with their predecessor, verified by exact
-Jaccard similarity of their shingle sets, and clustered by connected components.  Buckets that still hold several
-components are then compared whole: all their pairs of different components, in blocks of ``BLOCK`` by ``BLOCK``
-classes.  So each pair that collides in a band is verified or connected already.
+Paragraphs are cut by content, so that a passage is cut alike wherever it stands, but for its first sentences.  Units
+are sentences and ends of lines.  A long unit (``MIN_WORDS`` words; a word without spaces inside, as in Chinese, counts
+by its bytes) ends a paragraph.  Short units gather until they have ``FEW_WORDS`` words and the last word of a unit says so, or they
+have enough words and a long one follows, whatever lines they stand in: verse, lists and wrapped lines are cut where
+their words are.
+In lower case and with single spaces paragraphs are hashed; equal ones are one class.
+
+Classes are banded by MinHash over shingles of five words: ``ROWS`` values a band, and as many bands as bring a pair
+of Jaccard similarity 0.75 together with probability ``RECALL`` (``bands_for``).  Classes that collide in a band are
+paired with the bucket's first and with their predecessor, verified by exact Jaccard similarity of their shingle sets,
+and clustered by connected components.  Buckets that still hold several components are then compared whole: all their
+pairs of different components, in blocks of ``BLOCK`` by ``BLOCK`` classes.  So each pair that collides in a band is
+verified or connected already.
 
 Of each cluster that spans documents, the paragraph with the smallest (doc_id, number) stays.  Others are
 repeats; they are removed where consecutive repeats of a document have ``MIN_RUN`` words or more, so that
 single stock sentences stay.
 
 Skew: equal paragraphs collapse before banding; classes carry their smallest place, so no task gets all
-copies; messages are packed by shard; a large bucket's blocks are dealt over all tasks (their number grows with the
+copies; the places of classes that have more than a thousandth of all places (at most a thousand classes) find their
+cluster by broadcast; messages are packed by shard; a large bucket's blocks are dealt over all tasks (their number grows with the
 square of the components that share a bucket, as all their pairs count).
 
-Edge cases: null and empty texts have no paragraphs; paragraphs with fewer words than ``MIN_WORDS`` (only at
-the end of a line) take no part; rows with a null doc_id take no part; rows that repeat a doc_id count as one
+Edge cases: null and empty texts have no paragraphs; short units that nothing gathers (alone between a line's end and
+a long unit, or at the end of a text) take no part; rows with a null doc_id take no part; rows that repeat a doc_id count as one
 document; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -33,11 +39,24 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .graph import components
+from .idfilter import id_filter, only_wanted
 from .shingles import shingle_sets
 from .storage import materialize, shuffle_partitions
 
 MIN_WORDS, MIN_RUN, PERCENT = 8, 25, 75
-BANDS, ROWS = 6, 2
+#: Words from which a word may end gathered short units, words at which they end in any case, and bytes that count as a word inside a longer one.
+FEW_WORDS, MOST_WORDS, WORD_BYTES = 5, 32, 12
+
+
+def bands_for(rows: int, recall: float, similarity: float = PERCENT / 100) -> int:
+    """How many bands of so many values bring a pair of that similarity together with that probability."""
+    return int(np.ceil(np.log(1 - recall) / np.log(1 - similarity**rows)))
+
+
+ROWS, RECALL = 3, 0.99
+BANDS = bands_for(ROWS, RECALL)
+#: A class is hot if it has more than this part of all places; so there are fewer hot classes than this.
+HOT_SHARE = 1000
 #: Classes on each side of a block of pairs; sets that are sent to a task at once, about.
 BLOCK, PACKED = 256, 1 << 12
 _SEEDS = np.random.default_rng(5).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -46,7 +65,7 @@ _PLACE = "doc_id long, number int, start int, end int, words int, class long"
 
 
 def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Row, number, first byte, byte after the last and words of each paragraph with enough words.
+    """Row, number, first byte, byte after the last and words of each paragraph.
 
     Sentences end at ``.``, ``!`` or ``?`` before white space; lines end at a newline.
     """
@@ -55,21 +74,30 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     if not n:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
     newline = np.concatenate(([0], np.cumsum(data == 10)))
-    line_end = np.ones(n, bool)
-    line_end[:-1] = (rows[1:] != rows[:-1]) | (newline[starts[1:]] != newline[ends[:-1]])
-    stop = line_end | np.isin(data[ends - 1], [0x2E, 0x21, 0x3F])
-    first, last, begin = [], [], 0
-    for k, hard in zip(np.flatnonzero(stop).tolist(), line_end[stop].tolist()):
-        if k + 1 - begin >= MIN_WORDS:
+    row_end, line_end = np.ones(n, bool), np.ones(n, bool)
+    row_end[:-1] = rows[1:] != rows[:-1]
+    line_end[:-1] = row_end[:-1] | (newline[starts[1:]] != newline[ends[:-1]])
+    stops = np.flatnonzero(line_end | np.isin(data[ends - 1], [0x2E, 0x21, 0x3F]))
+    weight = np.concatenate(([0], np.cumsum(np.maximum(1, (ends - starts) // WORD_BYTES))))
+    upto = weight[stops + 1]
+    long = np.diff(upto, prepend=0) >= MIN_WORDS
+    before_long = np.append(long[1:], True) | row_end[stops]
+    # a property of a unit's last word, by which about half of the short units may end a paragraph
+    says = (tb.LOWER[data[starts[stops]]] + ends[stops] - starts[stops]) % 2 == 0
+    least = np.where(says, FEW_WORDS, np.where(long | before_long, MIN_WORDS, MOST_WORDS))
+    forget = row_end[stops] | (line_end[stops] & before_long)
+    first, last, begin, base = [], [], 0, 0
+    for k, total, enough, drops in zip(stops.tolist(), upto.tolist(), least.tolist(), forget.tolist()):
+        if total - base >= enough:
             first.append(begin)
             last.append(k)
-            begin = k + 1
-        elif hard:
-            begin = k + 1
+            begin, base = k + 1, total
+        elif drops:
+            begin, base = k + 1, total
     first, last = np.array(first, np.int64), np.array(last, np.int64)
     row = rows[first]
     number = np.arange(len(row)) - np.searchsorted(row, row)
-    return row, number, starts[first], ends[last], last - first + 1
+    return row, number, starts[first], ends[last], upto[np.searchsorted(stops, last)] - weight[first]
 
 
 def classes_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,11 +205,14 @@ def candidates(messages: DataFrame) -> DataFrame:
     return messages.groupBy("shard").applyInArrow(meet, "a long, b long, key long")
 
 
-def class_sets(docs: DataFrame, own: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(class, shingles) of the wanted classes, from the texts of one place of each."""
-    spots = own.join(wanted, "class", "left_semi").groupBy("class").agg(F.min(F.struct("doc_id", "number")).alias("p"))
-    by_doc = materialize(spots.select(F.col("p.doc_id").alias("_d"), "class").groupBy("_d").agg(F.collect_set("class").alias("classes")))
-    texts = docs.join(by_doc, F.col("doc_id") == F.col("_d")).select("text", "classes")
+def class_sets(docs: DataFrame, known: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(class, shingles) of the wanted classes, from the texts of one place of each.
+
+    Texts without a wanted class mostly (as a filter of fixed size tells) stay in their tasks.
+    """
+    spots = known.join(wanted, "class").select(F.col("p.doc_id").alias("_d"), "class")
+    by_doc = materialize(spots.groupBy("_d").agg(F.collect_set("class").alias("classes")))
+    texts = only_wanted(docs, id_filter(by_doc.select("_d"))).join(by_doc, F.col("doc_id") == F.col("_d")).select("text", "classes")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,9 +229,9 @@ def class_sets(docs: DataFrame, own: DataFrame, wanted: DataFrame) -> DataFrame:
     return materialize(texts.mapInArrow(sets, "class long, shingles array<long>").groupBy("class").agg(F.min("shingles").alias("shingles")))
 
 
-def verify(docs: DataFrame, own: DataFrame, pairs: DataFrame) -> DataFrame:
+def verify(docs: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose shingle sets reach the threshold."""
-    each = class_sets(docs, own, pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct())
+    each = class_sets(docs, known, pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct())
     side = lambda x: each.select(F.col("class").alias(x), F.col("shingles").alias(f"s_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("n", F.size(F.array_intersect("s_a", "s_b")))
     return both.filter(100 * F.col("n") >= PERCENT * (F.size("s_a") + F.size("s_b") - F.col("n"))).select("a", "b")
@@ -275,15 +306,15 @@ def links_in_blocks(blocks: DataFrame, each: DataFrame) -> DataFrame:
     return sent.groupBy("pack").applyInArrow(work, "a long, b long")
 
 
-def linked_classes(docs: DataFrame, own: DataFrame, shards: int) -> DataFrame:
+def linked_classes(docs: DataFrame, known: DataFrame, shards: int) -> DataFrame:
     """(node, component) of all classes that collide in a band and are similar."""
     met = materialize(candidates(band_messages(docs, shards)))
-    links = materialize(verify(docs, own, met.filter("key is null").select("a", "b").distinct()))
+    links = materialize(verify(docs, known, met.filter("key is null").select("a", "b").distinct()))
     found = materialize(components(links))
     blocks = materialize(open_blocks(met.filter("key is not null").select("key", F.col("a").alias("class")), found, shards))
     if blocks.isEmpty():
         return found
-    more = links_in_blocks(blocks, class_sets(docs, own, blocks.select("class").distinct()))
+    more = links_in_blocks(blocks, class_sets(docs, known, blocks.select("class").distinct()))
     return components(links.unionByName(more))
 
 
@@ -297,13 +328,16 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     own = materialize(places(docs))
     total = own.count()
     shards = max(shuffle_partitions(docs.sparkSession), total * BANDS >> 18)
-    links = linked_classes(docs, own, shards).select(F.col("node").alias("class"), "component")
-    # each class' smallest place and number of documents, combined before the shuffle
-    known = own.groupBy("class").agg(F.min(F.struct("doc_id", "number")).alias("p"), F.max("doc_id").alias("last"))
-    known = known.join(links, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    whole = known.groupBy("component").agg(F.min("p").alias("q"), F.max("last").alias("last")).filter(F.col("q.doc_id") < F.col("last"))
-    stays = materialize(known.join(whole.select("component", "q"), "component").select("class", F.col("q.doc_id").alias("first_doc"), F.col("q.number").alias("first_number")))
-    out = own.join(stays, "class").drop("class").distinct()
+    # each class' smallest place, last document and number of places, combined before the shuffle
+    known = materialize(own.groupBy("class").agg(F.min(F.struct("doc_id", "number")).alias("p"), F.max("doc_id").alias("last"), F.count("*").alias("n")))
+    links = linked_classes(docs, known, shards).select(F.col("node").alias("class"), "component")
+    placed = known.join(links, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    whole = placed.groupBy("component").agg(F.min("p").alias("q"), F.max("last").alias("last")).filter(F.col("q.doc_id") < F.col("last"))
+    stays = materialize(placed.join(whole.select("component", "q"), "component").select("class", "n", F.col("q.doc_id").alias("first_doc"), F.col("q.number").alias("first_number")))
+    many = F.col("n") > total / HOT_SHARE  # true of fewer than HOT_SHARE classes
+    hot = F.broadcast(stays.filter(many).drop("n"))
+    rest = own.join(F.broadcast(stays.filter(many).select("class")), "class", "left_anti").join(stays.filter(~many).drop("n"), "class")
+    out = own.join(hot, "class").unionByName(rest).drop("class").distinct()
     out = out.withColumn("repeat", (F.col("doc_id") != F.col("first_doc")) | (F.col("number") != F.col("first_number")))
     mine = Window.partitionBy("doc_id").orderBy("number", "start")
     gap = F.coalesce((F.col("number") != F.lag("number").over(mine) + 1) | ~F.lag("repeat").over(mine) | ~F.col("repeat"), F.lit(True))

@@ -6,13 +6,28 @@ from fieldloom.llm import paragraphs
 
 
 def plain_cut(text):
-    out = []
+    """Paragraphs as lists of lower-case words, unit by unit."""
+    units = []
     for line in (text or "").split("\n"):
-        begin, w = 0, corpus.words(line)
+        w, unit = corpus.words(line), []
         for k, x in enumerate(w):
-            if (x[-1] in ".!?" or k == len(w) - 1) and k + 1 - begin >= paragraphs.MIN_WORDS:
-                out.append(tuple(y.lower() for y in w[begin : k + 1]))
-                begin = k + 1
+            unit.append(x)
+            if x[-1] in ".!?" or k == len(w) - 1:
+                units.append((unit, k == len(w) - 1))
+                unit = []
+    weigh = lambda unit: sum(max(1, len(x.encode()) // paragraphs.WORD_BYTES) for x in unit)
+    out, pending = [], []
+    for n, (unit, line_end) in enumerate(units):
+        pending += unit
+        is_last = n == len(units) - 1
+        next_long = is_last or weigh(units[n + 1][0]) >= paragraphs.MIN_WORDS
+        word = unit[-1].encode().lower()
+        says = (word[0] + len(word)) % 2 == 0
+        if weigh(pending) >= (paragraphs.FEW_WORDS if says else paragraphs.MIN_WORDS if weigh(unit) >= paragraphs.MIN_WORDS or next_long else paragraphs.MOST_WORDS):
+            out.append(tuple(x.lower() for x in pending))
+            pending = []
+        elif line_end and next_long:
+            pending = []
     return out
 
 
@@ -117,6 +132,40 @@ def test_large_template_bucket_matches_all_pairs(spark, monkeypatch):
     assert got == {x: i for i, j in want for x in (i, j)}
 
 
+def test_bands_and_measured_recall():
+    """The bands bring pairs of the threshold's similarity together as often as asked for."""
+    import numpy as np
+
+    assert 1 - (1 - 0.75**paragraphs.ROWS) ** paragraphs.BANDS >= paragraphs.RECALL
+    draw = np.random.default_rng(2)
+    met = []
+    for _ in range(1500):
+        base = draw.integers(0, 1 << 63, 28, dtype=np.uint64)
+        sets = [np.sort(np.concatenate((base[:24], base[k : k + 4] if not k else draw.integers(0, 1 << 63, 4, dtype=np.uint64)))) for k in (0, 24)]
+        keys = paragraphs.band_keys(np.concatenate(sets), np.array([0, len(sets[0]), len(sets[0]) + len(sets[1])]))
+        met.append((keys[0] == keys[1]).any())
+    assert np.mean(met) >= 0.97  # 24 of 32 shingles
+
+
+def test_passages_in_short_lines_are_found(spark):
+    """A wrapped passage, verse of short sentences that starts at any of them, and text without spaces."""
+    draw = random.Random(11)
+    words = [corpus.sentence(draw, 1) + str(k) for k in range(70)]
+    wrapped = "\n".join(" ".join(words[k : k + 7]) for k in range(0, 70, 7))
+    verse = [corpus.sentence(draw, 5) + f"{k}." for k in range(14)]
+    plain = "\n".join("".join(chr(0x4E00 + draw.randrange(3000)) for _ in range(40)) for _ in range(5))
+    rows = []
+    for k in range(4):
+        rows += [(10 * k, prose(draw, 2) + "\n" + wrapped + "\n" + prose(draw, 2)), (10 * k + 1, prose(draw, 1) + "\n" + " ".join(verse[k % 3 :])), (10 * k + 2, plain + "\n" + prose(draw, 1))]
+    gone = {}
+    for r in paragraphs.repeated_paragraphs(corpus.frame(spark, [(d, t, "en", "s", 1) for d, t in rows])).filter("removed").collect():
+        gone[r.doc_id] = gone.get(r.doc_id, 0) + r.end - r.start
+    share = lambda d, passage: gone.get(d, 0) / len(passage.encode())
+    for k in range(1, 4):
+        assert share(10 * k, wrapped) > 0.7 and share(10 * k + 1, " ".join(verse[k % 3 :])) > 0.6 and share(10 * k + 2, plain) > 0.7
+    assert not any(d in gone for d in (0, 1, 2))
+
+
 def test_removal_and_empty(spark):
     frame = corpus.frame(spark, data(), _gone="clash")
     out = paragraphs.remove_paragraphs(frame.drop("_gone"))
