@@ -18,7 +18,8 @@ content hashes), go whole and take no part; a block sends repeated text once; an
 share is dealt on by single windows.  Blocks and shards have bounded sizes, so memory doesn't grow with the
 corpus.
 
-Edge cases: null texts are empty; texts under SPAN bytes keep all bytes; a null doc_id counts as larger than
+Strings are told apart by 64-bit hashes of their bytes (as sums of powers, mixed), which isn't proof against texts made
+to collide.  Edge cases: null texts are empty; texts under SPAN bytes keep all bytes; a null doc_id counts as larger than
 all others; rows that repeat (doc_id and text) don't remove each other; texts that share a doc_id don't
 either; an empty table gives no rows; extra columns are kept by ``remove_repeats``.  Cut texts are decoded
 without the bytes of characters that were cut in two.

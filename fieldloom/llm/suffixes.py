@@ -1,17 +1,20 @@
 """Suffix arrays by induced sorting, in vector steps, and permuted common prefixes.
 
 Suffixes are L (greater than the next one) or S; S suffixes after an L are leftmost-S, and sorting those
-induces the order of all others in two linear passes.  Within a bucket (one first symbol) a pass works in
-waves: all suffixes there so far put their predecessors into their buckets at once, in order; only runs of
-one symbol need more than one wave.
+induces the order of all others in two linear passes.  A pass takes each bucket (one first symbol) in one step:
+the suffixes that were put there, and those inside the runs of that symbol that they end (ordered by their distance
+from the run's end), put their predecessors into their buckets at once, in order.  So a run of millions of one
+symbol costs no more than its length.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Alphabets beyond this have more buckets than vector steps pay for; such (reduced) strings are sorted by doubling ranks.
+#: Alphabets beyond this have more buckets than vector steps pay for; (reduced) strings of so many names are induced suffix by suffix.
 WIDE = 1024
+#: Symbols that substrings are compared one by one, all at once; the few longer ones are compared whole.
+STEPWISE = 64
 
 
 def _s_types(t: np.ndarray) -> np.ndarray:
@@ -34,6 +37,18 @@ def _put(order: np.ndarray, free: np.ndarray, t: np.ndarray, suffixes: np.ndarra
     free[symbols[first]] += step * sizes
 
 
+def _with_runs(seeds: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of a bucket, from those that end its runs: all of them, in order, and those that start a run."""
+    length = runs[seeds]
+    if length.max(initial=1) == 1:
+        return seeds, seeds
+    which = np.repeat(np.arange(len(seeds)), length)
+    back = np.arange(len(which)) - np.repeat(np.cumsum(length) - length, length)
+    by = np.argsort(back, kind="stable")
+    every = (seeds[which] - back)[by]
+    return every, every[(back == length[which] - 1)[by]]
+
+
 def _induce(t: np.ndarray, small: np.ndarray, leftmost: np.ndarray, sigma: int) -> np.ndarray:
     """All suffixes, induced from the leftmost-S ones in the order given."""
     counts = np.bincount(t, minlength=sigma)
@@ -44,16 +59,19 @@ def _induce(t: np.ndarray, small: np.ndarray, leftmost: np.ndarray, sigma: int)
     symbols = t[leftmost]
     by = np.argsort(symbols, kind="stable")
     grouped, bounds = leftmost[by], np.searchsorted(symbols[by], np.arange(sigma + 1))
+    # how many equal symbols end at each place
+    index = np.arange(len(t))
+    runs = index - np.maximum.accumulate(np.where(np.diff(t, prepend=t[:1] + 1) != 0, index, 0)) + 1
 
     free = starts.copy()
     for c in used:
-        done = starts[c]
-        while done < free[c]:
-            now, done = order[done : free[c]], free[c]
-            before = now[now > 0] - 1
-            before = before[~small[before]]
-            if len(before):
-                _put(order, free, t, before, 1)
+        now, heads = _with_runs(order[starts[c] : free[c]], runs)
+        order[starts[c] : starts[c] + len(now)] = now
+        free[c] = starts[c] + len(now)
+        before = heads[heads > 0] - 1
+        before = before[t[before] > c]
+        if len(before):
+            _put(order, free, t, before, 1)
         now = grouped[bounds[c] : bounds[c + 1]]
         if len(now):
             _put(order, free, t, now[now > 0] - 1, 1)
@@ -62,13 +80,13 @@ def _induce(t: np.ndarray, small: np.ndarray, leftmost: np.ndarray, sigma: int)
     free = ends - 1
     order[0] = len(t) - 1
     for c in used[::-1]:
-        done = ends[c] - 1
-        while done > free[c]:
-            now, done = order[free[c] + 1 : done + 1][::-1], free[c]
-            before = now[now > 0] - 1
-            before = before[small[before]]
-            if len(before):
-                _put(order, free, t, before, -1)
+        now, heads = _with_runs(order[free[c] + 1 : ends[c]][::-1], runs)
+        order[ends[c] - len(now) : ends[c]] = now[::-1]
+        free[c] = ends[c] - 1 - len(now)
+        before = heads[heads > 0] - 1
+        before = before[t[before] < c]
+        if len(before):
+            _put(order, free, t, before, -1)
         now = order[starts[c] : l_ends[c]][::-1]
         before = now[now > 0] - 1
         before = before[small[before]]
@@ -77,30 +95,45 @@ def _induce(t: np.ndarray, small: np.ndarray, leftmost: np.ndarray, sigma: int)
     return order
 
 
-def _by_doubling(t: np.ndarray) -> np.ndarray:
-    n, rank, length = len(t), np.unique(t, return_inverse=True)[1].astype(np.int64), 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: max(n - length, 0)] = rank[length:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        ranked = np.cumsum(np.diff(key[order], prepend=key[order[:1]]) != 0)
-        rank = np.empty(n, np.int64)
-        rank[order] = ranked
-        if not n or ranked[-1] == n - 1:
-            return order
-        length *= 2
+def _induce_singly(t: np.ndarray, small: np.ndarray, leftmost: np.ndarray, sigma: int) -> np.ndarray:
+    """The same as ``_induce``, one suffix at a time: for strings whose buckets hold few suffixes each."""
+    ends = np.cumsum(np.bincount(t, minlength=sigma))
+    start = np.full(len(t), -1, np.int64)
+    symbols = t[leftmost]
+    by = np.argsort(symbols, kind="stable")
+    after = np.cumsum(np.bincount(symbols, minlength=sigma))
+    start[ends[symbols[by]] - after[symbols[by]] + np.arange(len(by))] = leftmost[by]
+    # the bucket of the suffix before, in the pass in which it is put; -1 for none, also for places still empty (-1)
+    rising, falling = (np.concatenate(([-1], np.where(which, t[:-1], -1), [-1])).tolist() for which in (~small[:-1], small[:-1]))
+    order, free = start.tolist(), np.append(0, ends[:-1]).tolist()
+    for i in order:  # what stands further on is put there by the loop itself
+        c = rising[i]
+        if c >= 0:
+            at = free[c]
+            order[at] = i - 1
+            free[c] = at + 1
+    free = (ends - 1).tolist()
+    for i in reversed(order):
+        c = falling[i]
+        if c >= 0:
+            at = free[c]
+            order[at] = i - 1
+            free[c] = at - 1
+    order[0] = len(order) - 1
+    return np.array(order, np.int64)
 
 
 def _equal_spans(t: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Whether t[a : a + length] and t[b : b + length] are equal, for each row."""
     same, left = np.ones(len(a), bool), np.arange(len(a))
-    for k in range(int(lengths.max(initial=0))):
+    for k in range(min(int(lengths.max(initial=0)), STEPWISE)):
         left = left[(lengths[left] > k)]
         left = left[same[left]]
         if not len(left):
             break
         same[left] = t[a[left] + k] == t[b[left] + k]
+    for k in left[same[left] & (lengths[left] > STEPWISE)].tolist():
+        same[k] = np.array_equal(t[a[k] : a[k] + lengths[k]], t[b[k] : b[k] + lengths[k]])
     return same
 
 
@@ -110,12 +143,11 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     t = np.append(t.astype(np.int64) + 1, 0)
     sigma = int(t.max()) + 1
-    if sigma > WIDE:
-        return _by_doubling(t)[1:]
-    t = t.astype(np.int16)
+    induce = _induce_singly if sigma > WIDE else _induce
+    t = t if sigma > WIDE else t.astype(np.int16)
     small = _s_types(t)
     leftmost = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    order = _induce(t, small, leftmost, sigma)
+    order = induce(t, small, leftmost, sigma)
     place = np.zeros(len(t), bool)
     place[leftmost] = True
     by_substring = order[place[order]]
@@ -132,7 +164,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         leftmost = leftmost[suffix_array(names)]
     else:
         leftmost = by_substring
-    return _induce(t, small, leftmost, sigma)[1:]
+    return induce(t, small, leftmost, sigma)[1:]
 
 
 def common_with_previous(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:

@@ -55,6 +55,40 @@ def test_matches_brute_force(spark, monkeypatch, seed, hot):
     assert key((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == key(plain(data))
 
 
+@pytest.mark.parametrize("wide", [1, 1024])
+def test_suffix_arrays(monkeypatch, wide):
+    """Both forms of the induction, on strings with few symbols, with many, and with runs."""
+    monkeypatch.setattr(suffixes, "WIDE", wide)
+    draw = np.random.default_rng(wide)
+    for trial in range(120):
+        t = draw.integers(0, int(draw.integers(1, 40)), int(draw.integers(0, 150)))
+        if trial % 3 == 0:
+            t = np.repeat(t, draw.integers(1, 100, len(t)))
+        want = sorted(range(len(t)), key=lambda i: t[i:].tolist())  # noqa: B023
+        assert suffixes.suffix_array(t).tolist() == want
+
+
+def test_long_runs_of_one_symbol_take_their_length():
+    import time
+
+    draw = np.random.default_rng(1)
+    t = np.concatenate((draw.integers(0, 27, 20_000), np.full(3_000_000, 5), draw.integers(0, 27, 20_000), np.full(1_000_000, 5)))
+    began = time.time()
+    order = suffixes.suffix_array(t)
+    assert time.time() - began < 60  # one step of a bucket for each symbol would take hours
+    assert (np.sort(order) == np.arange(len(t))).all()
+    some = draw.choice(len(t) - 1, 2000)
+    for i, j in zip(order[some], order[some + 1]):
+        n = min(200, len(t) - max(i, j))
+        assert t[i : i + n].tolist() <= t[j : j + n].tolist()
+
+
+def test_long_run_in_a_text(spark):
+    data = [(3, "=" * 60_000 + " one", "en", "s", 1), (5, "two " + "=" * 70_000, "en", "s", 1), (6, "x" * 49 + "=" * 49, "en", "s", 1)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(corpus.frame(spark, data), with_text=False).collect()}
+    assert got == {3: (60_004, 0, 0), 5: (70_004, 70_000, 1), 6: (98, 0, 0)}
+
+
 def test_texts_and_columns_stay(spark):
     data = repeats(4) + [(None, None, None, None, None)]
     frame = corpus.frame(spark, data, extra="e")
