@@ -1,6 +1,11 @@
 """Corpus pipeline: five training-data operators, one after another, over the documents.
 
 Each stage takes what its predecessor kept.  All stages but the last return the columns of documents.
+
+Edge cases, in all stages: null and empty texts are documents (the classifier scores them; they are similar to nothing,
+nothing is cut from them, and the mix, which takes words, takes none of them); rows with a null doc_id pass the first
+three stages and are mixed and packed; rows that repeat are one document for the near duplicates and documents of their
+own elsewhere; an empty table stays empty; extra columns are carried along, whatever their names, up to the packing.
 """
 
 from __future__ import annotations
@@ -51,7 +56,7 @@ STAGES = [
     ("best_fit_packing", packing_stage),
 ]
 
-#: SQL can't express the classifier, the suffix arrays or the tokenizer; tests/llm/test_pipeline.py has a plain version.
+#: SQL can't express the classifier, the suffix arrays or the tokenizer; tests/llm/test_warc_pipeline.py has plain versions.
 ORACLE_SQL = None
 
 
