@@ -39,11 +39,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .graph import components
+from .idfilter import id_filter, passes
 from .shingles import shingle_sets
 from .storage import materialize, shuffle_partitions
 
@@ -53,7 +54,7 @@ FRAGMENTS, SALT = 4, 500
 #: Shingles of one shard, about.
 SHARD_SHINGLES = 1 << 18
 #: Entries (class at a shingle) of a family that one task compares, about.
-PACK_ENTRIES = 1 << 16
+PACK_ENTRIES = 1 << 13
 #: Groups beyond this size are walked without their largest component.
 LARGE_GROUP = 64
 #: Classes that a shingle proposes to each of its classes in the first round, how many of a class' proposals are
@@ -61,8 +62,6 @@ LARGE_GROUP = 64
 NEIGHBOURS, PROPOSALS, TRIES = 8, 6, 2
 #: Pairs whose bitmaps are compared at once, about.
 CHUNK = 1 << 15
-#: Log2 of the bits of the filter by which documents find out whether their sets are wanted: 1 MB, whatever the corpus' size.
-FILTER_BITS = 23
 #: Log2 of the bits of the smallest and the largest bitmap; beyond the largest, bounds are looser and as safe.
 LEAST_BITS, MOST_BITS = 6, 16
 
@@ -93,23 +92,27 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
         yield low, *shingle_sets(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
 
 
+def _code() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def digest(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n_shingles, node, bits) of each row, and the sketch: log2 of the number of shingles in each hash cell."""
+    """(doc_id, code, n_shingles, node, bits) of each row (code tells texts apart), and the sketch: log2 of the number of shingles in each hash cell."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_shingles", "node", "bits", "slice", "counts"]
+        names = ["doc_id", "code", "n_shingles", "node", "bits", "slice", "counts"]
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             for low, h, at in _rows(batch):
                 n = len(at) - 1
                 sketch += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, n), pa.array(np.diff(at)), pa.array(_signatures(h, at)), pa.array(_bitmaps(h, at), pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, n), batch.column("code").slice(low, n), pa.array(np.diff(at)), pa.array(_signatures(h, at)), pa.array(_bitmaps(h, at), pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         for k, part in enumerate(np.split(sketch, 1 << (SKETCH_BITS - SLICE_BITS))):
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([part.astype("<u4").tobytes()])], names=names)
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([part.astype("<u4").tobytes()])], names=names)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = materialize(texts.mapInArrow(work, "doc_id long, n_shingles long, node long, bits binary, slice int, counts binary"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _code().alias("code"))
+    out = materialize(texts.mapInArrow(work, "doc_id long, code long, n_shingles long, node long, bits binary, slice int, counts binary"))
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x, "<u4").astype(np.uint64) for x in table.column("counts").to_pylist())
@@ -189,20 +192,30 @@ def _unpack(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return shingle[new], node[new], n[new], place[new]
 
 
+def _has_partner(shingle: np.ndarray, n: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Whether another class of the shingle (rows are in order of shingle and size) has a size that this place still allows."""
+    if not len(n):
+        return np.zeros(0, bool)
+    group = np.cumsum(np.diff(shingle, prepend=shingle[:1]) != 0) << 40
+    most = np.minimum(100 * n // PERCENT, (n - place) * (100 + PERCENT) // PERCENT - n)
+    low = np.searchsorted(group + n, group + -(-PERCENT * n // 100))
+    high = np.searchsorted(group + n, group + most, "right")
+    return high - low - (most >= n) > 0
+
+
 def shared_first_shingles(packed: DataFrame) -> DataFrame:
-    """Classes with a first shingle that another class has too: (shingle, node, n, place, partners).
+    """Classes with a first shingle that another class of a fitting size has too: (shard, shingle, node, n, place, partners).
 
     ``partners`` are fitting classes at that shingle: of the ``NEIGHBOURS`` before this one by size, and the
     first that is large enough.
     """
 
     def meet(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
         shingle, node, n, place = _unpack(table.column("packed").to_pylist())
-        same = np.zeros(len(shingle), bool)
-        same[1:] = shingle[1:] == shingle[:-1]
-        shared = same.copy()
-        shared[:-1] |= same[1:]
-        shingle, node, n, place = (x[shared] for x in (shingle, node, n, place))
+        for _ in range(2):  # those without partners leave others without any
+            kept = _has_partner(shingle, n, place)
+            shingle, node, n, place = (x[kept] for x in (shingle, node, n, place))
         group = np.cumsum(np.diff(shingle, prepend=shingle[:1] + np.uint64(1)) != 0) if len(shingle) else np.zeros(0, np.int64)
         index = np.arange(len(shingle))
         # rows are ordered by group and size: the first row of the group that is large enough, and the row just before
@@ -217,9 +230,9 @@ def shared_first_shingles(packed: DataFrame) -> DataFrame:
         fits, names = np.stack(fits, axis=1), np.stack(names, axis=1)
         bounds = np.concatenate(([0], np.cumsum(fits.sum(axis=1)))).astype(np.int32)
         found = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(names[fits], pa.int64()))
-        return pa.table({"shingle": pa.array(shingle.astype(np.int64)), "node": pa.array(node), "n": pa.array(n), "place": pa.array(place), "partners": found})
+        return pa.table({"shard": pa.array(np.full(len(node), shard), pa.int32()), "shingle": pa.array(shingle.astype(np.int64)), "node": pa.array(node), "n": pa.array(n), "place": pa.array(place), "partners": found})
 
-    return packed.groupBy("shard").applyInArrow(meet, "shingle long, node long, n long, place long, partners array<long>")
+    return packed.groupBy("shard").applyInArrow(meet, "shard int, shingle long, node long, n long, place long, partners array<long>")
 
 
 class Bitmaps:
@@ -267,28 +280,6 @@ def promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "votes").join(side("a"), "a").join(side("b"), "b").mapInArrow(work, "a long, b long, votes long")
 
 
-def _cell(ids: np.ndarray) -> np.ndarray:
-    return (tb.mix(ids.astype(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-
-
-def _filter(ids: DataFrame) -> np.ndarray:
-    """Bits (one of 2**FILTER_BITS for an id) of the ids in the first column, packed; made of one array per task."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.unique(np.concatenate([np.zeros(0, np.int64), *[_cell(b.column(0).to_numpy()) for b in batches]]))
-        yield pa.RecordBatch.from_arrays([pa.array(cells >> 14, pa.int32()), pa.array(cells & 16383, pa.int32())], names=["part", "cell"])
-
-    def gather(table: pa.Table) -> pa.Table:
-        bits = np.zeros(1 << 14, np.uint8)
-        bits[table.column("cell").to_numpy()] = 1
-        return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()])})
-
-    out = np.zeros((1 << (FILTER_BITS - 14), 1 << 11), np.uint8)
-    for r in ids.mapInArrow(mark, "part int, cell int").distinct().groupBy("part").applyInArrow(gather, "part int, bits binary").collect():
-        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.reshape(-1)
-
-
 def verify(docs: DataFrame, levels: np.ndarray, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose sets reach the threshold.
 
@@ -299,12 +290,11 @@ def verify(docs: DataFrame, levels: np.ndarray, classes: DataFrame, pairs: DataF
     pairs = pairs.join(salted, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
     sends = pairs.select("a", "salt", F.col("b").alias("node")).unionByName(pairs.select("a", "salt", F.col("a").alias("node")).distinct())
     sends = materialize(sends.join(classes.select("node", "doc_id"), "node"))
-    wanted, cuts = _filter(sends.select("doc_id").distinct()), pivots(levels)
+    wanted, cuts = id_filter(sends.select("doc_id").distinct()), pivots(levels)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cell = _cell(batch.column("doc_id").to_numpy())
-            batch = batch.filter(pa.array((wanted[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)))
+            batch = batch.filter(pa.array(passes(wanted, batch.column("doc_id").to_numpy())))
             for low, h, at in _rows(batch):
                 row = np.repeat(np.arange(len(at) - 1), np.diff(at))
                 fragment = np.searchsorted(cuts, order_keys(h, levels), "right")
@@ -337,21 +327,36 @@ def crossing_pairs(shared: DataFrame, found: DataFrame, classes: DataFrame, pack
     Only shingles with several components are looked at.  Their classes are grouped with those of similar
     size: band k holds sizes from (4/3)**k on, and each class also visits the band above its own.  Many groups
     are packed together, so that a task walks them in a few vector steps; shingles whose least component is the same
-    (a family) are dealt to as few packs as hold them, so that a pair isn't found too often.
+    (a family) are dealt to as few packs as hold them, so that a pair isn't found too often and a class' bitmap is
+    sent to few tasks.
 
     With ``tries``, only the pairs that have most slack, so many for each class.
     """
     rows = shared.drop("partners").join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").drop("_n")
     rows = rows.withColumn("component", F.coalesce("component", "node"))
-    several = rows.groupBy("shingle").agg(F.min("component").alias("family"), F.max("component").alias("_b"), F.count("*").alias("_m")).filter("family <> _b")
-    several = materialize(several.select("shingle", "family", "_m"))
-    salts = several.groupBy("family").agg(F.ceil(F.sum("_m") / PACK_ENTRIES).alias("salts"))
-    pack = F.pmod(F.xxhash64("family", F.pmod(F.xxhash64("shingle"), F.col("salts"))), F.lit(packs)).cast("int")
-    several = several.join(salts, "family").select("shingle", pack.alias("pack"))
-    rows = rows.join(several, "shingle").join(classes.select("node", "bits"), "node")
-    rows = rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int"))
-    rows = rows.withColumn("at", F.explode(F.array("band", F.col("band") + 1))).withColumn("own", F.col("band") == F.col("at")).drop("band")
-    pairs = rows.groupBy("pack").applyInArrow(lambda t: _crossing(t, tries), "a long, b long, slack long").groupBy("a", "b").agg(F.max("slack").alias("slack"))
+
+    def several(table: pa.Table) -> pa.Table:
+        """Entries at shingles with several components, and their pack."""
+        shingle, component = (table.column(x).to_numpy() for x in ("shingle", "component"))
+        order = np.lexsort((component, shingle))
+        shingle, component = shingle[order], component[order]
+        first = np.flatnonzero(np.diff(shingle, prepend=shingle[:1] - 1))
+        sizes = np.diff(np.append(first, len(shingle)))
+        family, last = component[first], component[first + sizes - 1]
+        apart = family != last
+        # a family has about as many entries in each shard
+        _, which = np.unique(family, return_inverse=True)
+        entries = np.bincount(which, sizes * apart)[which] * packs
+        salt = shingle[first].astype(np.uint64) % np.maximum(1, np.ceil(entries / PACK_ENTRIES)).astype(np.uint64)
+        pack = (tb.mix(tb.mix(family.astype(np.uint64)) + salt) % np.uint64(packs)).astype(np.int32)
+        keep = np.repeat(apart, sizes)
+        out = table.take(pa.array(order[keep])).select(["shingle", "node", "n", "place", "component"])
+        return out.add_column(0, "pack", pa.array(np.repeat(pack, sizes)[keep]))
+
+    rows = materialize(rows.groupBy("shard").applyInArrow(several, "pack int, shingle long, node long, n long, place long, component long"))
+    bits = rows.select(F.col("pack").alias("of"), F.col("node").alias("name")).distinct().join(classes.select(F.col("node").alias("name"), "bits"), "name")
+    pairs = rows.groupBy("pack").cogroup(bits.groupBy("of")).applyInArrow(lambda t, u: _crossing(t, u, tries), "a long, b long, slack long")
+    pairs = pairs.groupBy("a", "b").agg(F.max("slack").alias("slack"))
     if tries is None:
         return pairs.select("a", "b")
     each = pairs.select("a", "b", "slack", F.explode(F.array("a", "b")).alias("node"))
@@ -369,13 +374,17 @@ def _best(a: np.ndarray, b: np.ndarray, slack: np.ndarray, tries: int) -> np.nda
     return np.unique(np.concatenate(keep))
 
 
-def _crossing(table: pa.Table, tries: int | None) -> pa.Table:
-    """Possible links of different components in each group (shingle, at) of a pack of groups."""
-    shingle, at, node, n, place, component, own = (table.column(x).to_numpy() for x in ("shingle", "at", "node", "n", "place", "component", "own"))
+def _crossing(table: pa.Table, known: pa.Table, tries: int | None) -> pa.Table:
+    """Possible links of different components in each group (shingle, band) of a pack of groups, by the classes' bitmaps."""
+    shingle, node, n, place, component = (table.column(x).to_numpy() for x in ("shingle", "node", "n", "place", "component"))
+    band = np.floor(np.log(n) / np.log(100 / PERCENT)).astype(np.int64)
+    at, own = np.concatenate((band, band + 1)), np.repeat([True, False], len(n))
+    shingle, node, n, place, component = (np.tile(x, 2) for x in (shingle, node, n, place, component))
     order = np.lexsort((node, at, shingle))
     shingle, at, node, n, place, component, own = (x[order] for x in (shingle, at, node, n, place, component, own))
     names, first, which = np.unique(node, return_index=True, return_inverse=True)
-    bits = table.column("bits").combine_chunks().take(pa.array(order[first])).to_pylist()
+    spot = np.argsort(known.column("name").to_numpy())
+    bits = known.column("bits").take(pa.array(spot)).to_pylist()  # in the order of names
     bitmaps = Bitmaps(bits, n[first])
     new = np.ones(len(node), bool)
     new[1:] = (shingle[1:] != shingle[:-1]) | (at[1:] != at[:-1])
@@ -433,8 +442,8 @@ def _crossing(table: pa.Table, tries: int | None) -> pa.Table:
     return pa.table({"a": pa.array(names[a]), "b": pa.array(names[b]), "slack": pa.array(slack)})
 
 
-def similar_components(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+def labelled(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, code, n_shingles, node, component (null without words or doc_id) and component_id."""
     own, levels = digest(docs)
     per_node = own.filter("n_shingles > 0 and doc_id is not null").groupBy("node")
     classes = materialize(per_node.agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.first("bits").alias("bits")))
@@ -453,22 +462,30 @@ def similar_components(docs: DataFrame) -> DataFrame:
     found = materialize(components(links))
     placed = materialize(classes.join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component")))
     lowest = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = placed.join(lowest, "component").select("node", "component_id")
+    named = placed.join(lowest, "component").select("node", "component", "component_id")
     alone = F.when(F.col("n_shingles") == 0, F.col("doc_id"))
     out = own.drop("bits").join(named, "node", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce(alone, "component_id")))
-    return out.select("doc_id", "n_shingles", "component_id")
+    return out.withColumn("component", F.when(F.col("doc_id").isNotNull(), F.col("component"))).select("doc_id", "code", "n_shingles", "node", "component", "component_id")
+
+
+def similar_components(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    return labelled(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of similar documents: the smallest doc_id.
+    """``docs`` with one row of each group of similar texts: the one with the smallest doc_id.
 
-    Documents without words, and rows without doc_id, stay.
+    Documents without words, and rows without doc_id, stay.  Rows that share a doc_id are decided on by their own
+    texts; of rows equal in doc_id and text one stays.
     """
-    gone = similar_components(docs).filter("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").cast(dict(docs.dtypes)["doc_id"]).alias("doc_id")).distinct()
-    kept = docs.join(materialize(gone), "doc_id", "left_anti")
-    worded = F.col("text").rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull()
-    again = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("text"), F.xxhash64("text")))
-    return kept.withColumn("_again", F.when(worded, again).otherwise(1)).filter("_again = 1").select(*docs.columns)
+    rows = labelled(docs).filter("n_shingles > 0 and component is not null")
+    stays = materialize(rows.groupBy("component").agg(F.min(F.struct("doc_id", "code")).alias("s")).select(F.col("s.doc_id").alias("_d"), F.col("s.code").alias("_c")))
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull(), F.lit(False))
+    marked = docs.withColumns({"_d": F.col("doc_id").cast("long"), "_c": _code()})
+    kept = marked.filter(worded).join(stays, ["_d", "_c"], "left_semi")
+    again = F.row_number().over(Window.partitionBy("_d", "_c").orderBy("_d"))
+    return kept.withColumn("_again", again).filter("_again = 1").select(*docs.columns).unionByName(docs.filter(~worded))
 
 
 def op10_query(spark, sf_dir: str) -> DataFrame:

@@ -86,9 +86,11 @@ def test_compared_pairs_of_a_large_group():
     m, bits = len(sets), jaccard._bitmaps(np.concatenate(sets), at)
     component = np.where(draw.random(m) < 0.6, 0, np.arange(m)).astype(np.int64)
     rows = np.concatenate((np.arange(m), np.arange(0, m, 9)))
-    table = pa.table({"shingle": np.repeat([5, 6], [m, len(rows) - m]), "at": np.full(len(rows), 3), "node": rows * 10, "n": np.diff(at)[rows], "place": np.zeros(len(rows), np.int64), "component": component[rows], "own": np.ones(len(rows), bool), "bits": pa.array([bits[k] for k in rows], pa.binary())})
+    table = pa.table({"shingle": np.repeat([5, 6], [m, len(rows) - m]), "node": rows * 10, "n": np.diff(at)[rows], "place": np.zeros(len(rows), np.int64), "component": component[rows]})
+    order = draw.permutation(m)
+    known = pa.table({"name": order * 10, "bits": pa.array([bits[k] for k in order], pa.binary())})
     for tries in (None, 1):
-        got = jaccard._crossing(table, tries).to_pydict()
+        got = jaccard._crossing(table, known, tries).to_pydict()
         pairs = {(a // 10, b // 10): s for a, b, s in zip(got["a"], got["b"], got["slack"])}
         assert all(component[a] != component[b] and a < b for a, b in pairs)
         links = {(i, j) for i in range(m) for j in range(i + 1, m) if component[i] != component[j] and 100 * (k := len(np.intersect1d(sets[i], sets[j]))) >= 75 * (len(sets[i]) + len(sets[j]) - k)}
@@ -108,6 +110,14 @@ def test_keep_one_of_each(spark):
     assert sorted(i for i in ids if i is not None) == sorted(set(want.values())) and ids.count(None) == 1
 
 
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    draw = __import__("random").Random(3)
+    one, two, three = (corpus.sentence(draw, 30) for _ in range(3))
+    rows = [(1, one, "en", "s", 1), (2, one, "en", "s", 1), (2, two, "en", "s", 1), (2, two, "de", "s", 1), (3, two + " more", "en", "s", 1), (3, three, "en", "s", 1), (3, "", "en", "s", 0), (None, one, "en", "s", 1), (None, None, "en", "s", 0)]
+    got = [(r.doc_id, r.text) for r in jaccard.keep_one_of_each(corpus.frame(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(1, one), (2, two), (3, three), (3, ""), (None, one), (None, None)], key=str)
+
+
 def test_empty(spark):
     assert jaccard.similar_components(corpus.frame(spark, [])).count() == 0
 
