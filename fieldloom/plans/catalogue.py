@@ -11,6 +11,7 @@ from ..functions import text as tx
 from ..operators import contexts as ctx
 from ..operators import ids, reshape, rules, taxonomy
 from ..operators.reshape import TraitMap
+from ..sources import program as prog
 from ..sources import scratch, suggest
 from ..sources import tables as src
 from ..sources import triples as tri
@@ -741,13 +742,140 @@ e AS (SELECT *, max(r) OVER () AS n FROM d)
 SELECT error, CASE WHEN taxon = 'taxon 1' THEN 'Taxon one' ELSE 'T' || substr(taxon, 2) END AS taxon_name, taxon AS original_name, {_PAD} AS observation_id, trait_name, value, unit, entity_type, value_type, stage AS life_stage,
   pop AS population_id, ind AS individual_id, location_id, ctx AS treatment_context_id, '01' AS method_id FROM e""")
 def process_dataset(t):
+    built = _built(t)
+    out = built["traits"].withColumn("error", F.lit(None).cast("string")).unionByName(built["excluded_data"])
+    return out.select("error", "taxon_name", "original_name", "observation_id", "trait_name", "value", "unit", "entity_type", "value_type", "life_stage", "population_id", "individual_id", "location_id", "treatment_context_id", "method_id")
+
+
+def _built(t) -> db.Database:
+    """All orders as a dataset."""
     from .build import process_dataset as process
 
     data = t("orders").select(F.col("o_orderkey").alias("_row"), F.concat(F.lit("taxon "), (F.col("o_custkey") % 40).cast("string")).alias("taxon"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"), tx.number_text(F.col("o_totalprice")).alias("total"))
     definitions = {"price": {"type": "numeric", "units": "usd", "allowed_values_min": 20, "allowed_values_max": 3000}, "state": {"type": "categorical", "allowed_values_levels": {"f": "", "open": ""}}}
-    built = process(data.sparkSession, "orders", data, _DATASET, definitions, {"cents-usd": rules.parse_conversion("x/100")})
-    out = built["traits"].withColumn("error", F.lit(None).cast("string")).unionByName(built["excluded_data"])
-    return out.select("error", "taxon_name", "original_name", "observation_id", "trait_name", "value", "unit", "entity_type", "value_type", "life_stage", "population_id", "individual_id", "location_id", "treatment_context_id", "method_id")
+    return process(data.sparkSession, "orders", data, _DATASET, definitions, {"cents-usd": rules.parse_conversion("x/100")})
+
+
+@query("""SELECT * FROM (VALUES ('contributors', 1), ('methods', 2), ('contexts', 2), ('identifiers', 0)) v(name, n) UNION ALL SELECT 'locations', 7
+  UNION ALL SELECT 'taxonomic_updates', count(DISTINCT o_custkey % 40) - 1 FROM orders UNION ALL SELECT 'traits', count(*) FILTER (o_custkey % 40 <> 3 AND o_totalprice / 100 BETWEEN 20 AND 3000) + count(*) FILTER (o_custkey % 40 <> 3 AND o_orderstatus <> 'P') FROM orders""")
+def process_dataset_tables(t):
+    built = _built(t)
+    counts = [built[n].agg(F.count("*").cast("int").alias("n")).select(F.lit(n).alias("name"), "n") for n in ("contributors", "methods", "contexts", "identifiers", "locations", "taxonomic_updates", "traits")]
+    return db.bind_frames(counts)
+
+
+@query("""SELECT 'contributors' AS part, 'Doe' AS a, 'J' AS b, NULL AS c UNION ALL SELECT 'contexts', 'progress', 'finished', '01' UNION ALL SELECT 'contexts', 'progress', 'open', '02'
+  UNION ALL SELECT 'methods', 'price', 'ledger', 'J. Doe (2020) Orders.' UNION ALL SELECT 'methods', 'state', 'asked', 'J. Doe (2020) Orders.'
+  UNION ALL SELECT 'locations', n, 'latitude (deg)', v FROM (VALUES ('1-URGENT', '1'), ('2-HIGH', '3'), ('5-LOW', '5')) x(n, v) UNION ALL SELECT 'locations', n, 'longitude (deg)', v FROM (VALUES ('1-URGENT', '2'), ('2-HIGH', '4'), ('5-LOW', '6')) x(n, v)
+  UNION ALL SELECT 'locations', '5-LOW', 'unit', 'none'""")
+def process_dataset_details(t):
+    built = _built(t)
+    part = lambda n, *columns: built[n].select(F.lit(n).alias("part"), *[F.col(c).alias(x) for c, x in zip(columns, "abc")])
+    return db.bind_frames([part("contributors", "last_name", "given_name", "affiliation"), part("contexts", "context_property", "value", "link_vals"), part("methods", "trait_name", "methods", "source_primary_citation"), part("locations", "location_name", "location_property", "value")])
+
+
+@query("""SELECT DISTINCT o_orderpriority AS var_in, 'unknown' AS trait_name, 'unknown' AS unit_in FROM orders WHERE o_orderpriority <> '5-LOW' UNION ALL SELECT '5-LOW', 'kept', NULL""")
+def metadata_add_traits(t):
+    program = suggest.add_traits_from({"traits": [{"var_in": "5-LOW", "trait_name": "kept"}]}, t("orders"), long_column="o_orderpriority")
+    return reshape.records_to_rows(t("region").sparkSession, program["traits"]).select("var_in", "trait_name", "unit_in")
+
+
+@query("SELECT n_name AS location_name, 'n_regionkey' AS location_property, CAST(n_regionkey AS VARCHAR) AS value FROM nation UNION ALL SELECT n_name, 'n_nationkey', CAST(n_nationkey AS VARCHAR) FROM nation")
+def metadata_add_locations(t):
+    program = suggest.add_locations_from({}, t("nation"), "n_name", ["n_regionkey", "n_nationkey"])
+    rows = [{"location_name": n, "location_property": p, "value": v} for n, ps in program["locations"].items() for p, v in ps.items()]
+    return reshape.records_to_rows(t("region").sparkSession, rows)
+
+
+@query("""SELECT 'old' AS var_in, 'x' AS find, 'y' AS value UNION ALL SELECT DISTINCT 'o_orderstatus', o_orderstatus, 'unknown' FROM orders UNION ALL SELECT DISTINCT 'o_orderpriority', o_orderpriority, 'unknown' FROM orders""")
+def metadata_add_contexts(t):
+    program = suggest.add_contexts_from({"contexts": [{"context_property": "p", "category": "c", "var_in": "old", "values": [{"find": "x", "value": "y"}]}]}, t("orders"), ["o_orderstatus", "o_orderpriority"])
+    rows = [{"var_in": c["var_in"], "find": v["find"], "value": v["value"]} for c in program["contexts"] for v in c["values"]]
+    return reshape.records_to_rows(t("region").sparkSession, rows)
+
+
+@query("""SELECT n_name AS find, CASE WHEN n_nationkey % 4 = 0 THEN 'again' ELSE 'r' || n_regionkey END AS replace, 'genus' AS taxonomic_resolution FROM nation WHERE n_nationkey % 3 <> 0""")
+def metadata_taxonomic_changes(t):
+    program: dict = {}
+    nations = reshape.rows_to_records(t("nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey"))
+    program = prog.add_taxonomic_changes(program, [{"find": r["n_name"], "replace": f"r{r['n_regionkey']}", "reason": "x", "taxonomic_resolution": "genus"} for r in nations])
+    for r in nations:
+        if r["n_nationkey"] % 4 == 0:
+            program = prog.update_taxonomic_change(program, r["n_name"], "again", "y", "genus")
+        if r["n_nationkey"] % 3 == 0:
+            program = prog.remove_taxonomic_change(program, r["n_name"])
+    return reshape.records_to_rows(t("region").sparkSession, program["taxonomic_updates"]).select("find", "replace", "taxonomic_resolution")
+
+
+@query("""SELECT 'substitution' AS part, r_name AS a, 'x' AS b, 'y' AS c FROM region UNION ALL SELECT 'substitution', r_name, 'p', 'q' FROM region UNION ALL SELECT 'substitution', r_name, 'x', 'z' FROM region
+  UNION ALL SELECT 'exclusion', 'taxon_name', r_name, 'r' FROM region UNION ALL SELECT 'identifier', r_name, 'unknown', NULL FROM region""")
+def metadata_edits(t):
+    names = [r["r_name"] for r in reshape.rows_to_records(t("region").select("r_name").orderBy("r_name"))]
+    program: dict = {}
+    for n in names:
+        program = prog.add_substitution(prog.add_substitution(program, n, "x", "y"), n, "x", "ignored")
+        program = prog.exclude_observations(prog.exclude_observations(program, "taxon_name", n, "r"), "taxon_name", n, "r")
+    table = [{"d": "one", "t": n, "f": f, "r": r} for n in names for f, r in (("p", "q"), ("x", "z"))]
+    edited = prog.add_identifiers(prog.add_substitutions_table({"one": program}, table, "d", "t", "f", "r")[0]["one"], names)
+    rows = [{"part": "substitution", "a": s["trait_name"], "b": s["find"], "c": s["replace"]} for s in edited["substitutions"]]
+    rows += [{"part": "exclusion", "a": e["variable"], "b": e["find"], "c": e["reason"]} for e in edited["exclude_observations"]]
+    rows += [{"part": "identifier", "a": i["var_in"], "b": i["identifier_type"], "c": i["institution_code"]} for i in edited["identifiers"]]
+    return reshape.records_to_rows(t("region").sparkSession, rows)
+
+
+@query("SELECT 'N' || n_nationkey AS key, 'Misc' AS bibtype, 'A. ' || n_name || ' and B. Other' AS author, 'On ' || n_name AS title, CAST(1900 + n_nationkey AS VARCHAR) AS year FROM nation")
+def bibtex_roundtrip(t):
+    rows = reshape.rows_to_records(t("nation").select("n_nationkey", "n_name"))
+    text = "\n".join(prog.to_bibtex({"key": f"N{r['n_nationkey']}", "bibtype": "Misc", "author": f"A. {r['n_name']}, B. Other", "title": f"On {r['n_name']}", "year": 1900 + r["n_nationkey"]}) for r in rows)
+    return reshape.records_to_rows(t("region").sparkSession, prog.read_bibtex_entries(text)).select("key", "bibtype", "author", "title", "year")
+
+
+@query(f"SELECT l_orderkey, l_linenumber, unit, error, value FROM ({_SQL['pipeline_end_to_end']}) WHERE trait_name = 'quantity'")
+def streaming_ingest(t):
+    from ..streaming import ingest
+
+    spark = t("region").sparkSession
+    table = spark.createDataFrame([("quantity", "numeric", "kg", 0.0, 45000.0, None)], rules.DICTIONARY)
+    path = scratch.new_path(spark)
+    t("lineitem").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(t("lineitem").schema).parquet(f"{path}/in")
+    text = {"dataset_id": F.lit("d"), "taxon_name": F.concat_ws(" ", "l_orderkey", "l_linenumber"), "trait_name": F.lit("quantity"), "unit_in": F.lit("t"), "value_type": F.lit("raw"), "value": tx.number_text(F.col("l_quantity"))}
+    rows = ingest.harmonise_rows(stream.select(*[c.alias(n) for n, c in text.items()]), table, {"t-kg": rules.parse_conversion("x*1000")})
+    ingest.ingest(rows, f"{path}/rows", f"{path}/state").awaitTermination()
+    key = F.split("taxon_name", " ")
+    return spark.read.parquet(f"{path}/rows").select(key[0].cast("long").alias("l_orderkey"), key[1].cast("long").alias("l_linenumber"), "unit", "error", "value")
+
+
+# the text's last letter has the bytes E4 B8 AD, of which letters that may stand have the last two
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN [4] WHEN o_orderkey % 3 = 1 THEN [] END AS places FROM orders")
+def unsupported_positions(t):
+    text = F.when(F.col("o_orderkey") % 3 == 0, "abc中").when(F.col("o_orderkey") % 3 == 1, "café")
+    return t("orders").select("o_orderkey", tx.unsupported_bytes(text).alias("places"))
+
+
+@query("SELECT c_name AS location_name, CAST(c_nationkey AS DOUBLE) AS latitude, CAST(c_custkey AS DOUBLE) AS longitude FROM customer WHERE c_custkey % 3 > 0 AND c_nationkey % 2 = 0")
+def report_located(t):
+    df = t("customer").select("c_name", F.when(F.col("c_nationkey") % 2 == 0, F.col("c_nationkey")).alias("latitude (deg)"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_custkey")).alias("longitude (deg)"), F.lit("x").alias("soil"))
+    long = reshape.to_eav(df, ["c_name"], ["latitude (deg)", "longitude (deg)", "soil"], "location_property").withColumnRenamed("c_name", "location_name")
+    return reports.located(long, ["location_name"])
+
+
+@query(f"SELECT o_orderpriority, count(*) FILTER (percentile < 2.5 OR percentile > 97.5) / count(*) * 100 AS outlier_share FROM (SELECT o_orderpriority, row_number() OVER w / count(*) OVER (PARTITION BY o_orderpriority) * 100 AS percentile FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey)) GROUP BY 1")
+def report_outlier_share(t):
+    return reports.outlier_share(t("orders"), ["o_orderpriority"], "o_totalprice", ["o_orderkey"])
+
+
+@query("SELECT DISTINCT 'taxon ' || (o_custkey % 40) AS taxon_name, CASE WHEN o_custkey % 40 < 25 THEN (SELECT any_value(n_name) FROM nation WHERE n_nationkey = o_custkey % 40) ELSE '' END AS family FROM orders")
+def report_taxa(t):
+    names = t("orders").select(F.concat(F.lit("taxon "), (F.col("o_custkey") % 40).cast("string")).alias("taxon_name"))
+    taxa = t("nation").select(F.concat(F.lit("taxon "), F.col("n_nationkey").cast("string")).alias("taxon_name"), F.col("n_name").alias("family"))
+    return reports.unmatched_taxa(names, taxa, ["family"])
+
+
+@query("SELECT 'field' || n_nationkey AS key, 'unknown' AS value FROM nation WHERE n_regionkey = 2")
+def report_undescribed(t):
+    items = {f"field{r['n_nationkey']}": "unknown" if r["n_regionkey"] == 2 else r["n_name"] for r in reshape.rows_to_records(t("nation"))}
+    return reports.undescribed(reshape.list_to_rows(t("region").sparkSession, items))
 
 
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CASE WHEN n_regionkey <> 0 THEN CAST(n_regionkey AS VARCHAR) END AS n_regionkey FROM nation")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import to_number
 from ..operators.ranks import ranked
 
 
@@ -53,3 +54,27 @@ def name_changes(df: DataFrame, old: str, new: str) -> DataFrame:
     """Names that changed, with the edit distance."""
     changed = df.select(old, new).filter(F.col(old) != F.col(new)).distinct()
     return changed.withColumn("distance", F.levenshtein(old, new).cast("long"))
+
+
+def located(locations: DataFrame, keys: list[str]) -> DataFrame:
+    """Locations with both coordinates as numbers: keys, latitude, longitude."""
+    value = lambda p: F.max(F.when(F.col("location_property") == p, to_number(F.col("value"))))
+    wide = locations.groupBy(*keys).agg(value("latitude (deg)").alias("latitude"), value("longitude (deg)").alias("longitude"))
+    return wide.filter("latitude is not null and longitude is not null")
+
+
+def outlier_share(df: DataFrame, by: list[str], value: str, tie: list[str]) -> DataFrame:
+    """The share of rows of each group that lie more than 2.5 percent from the middle's ends, in percent."""
+    total = df.groupBy(*by).agg(F.count("*").alias("_all"))
+    far = outliers(df, by, value, tie).groupBy(*by).agg(F.count("*").alias("_far"))
+    return total.join(far, by, "left").select(*by, (F.coalesce("_far", F.lit(0)) / F.col("_all") * 100).alias("outlier_share"))
+
+
+def unmatched_taxa(names: DataFrame, taxa: DataFrame, columns: list[str]) -> DataFrame:
+    """Different names with columns of the taxa table, empty where the table hasn't got them."""
+    return names.select("taxon_name").distinct().join(taxa.select("taxon_name", *columns), "taxon_name", "left").fillna("", columns)
+
+
+def undescribed(metadata: DataFrame) -> DataFrame:
+    """(key, value) rows of a program's descriptions that are still to be written."""
+    return metadata.filter(F.col("value") == "unknown")
