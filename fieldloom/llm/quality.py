@@ -101,7 +101,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
                 value = (times * (SCALE / max(1, int(n[0])))).astype("<f4")
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(k, 1).cast(pa.int64()), batch.column("_label").slice(k, 1).cast(pa.int32()), pa.array([own.astype("<i4").tobytes()]), pa.array([value.tobytes()])], names=["doc_id", "label", "own", "value"])
 
-    got = sorted(texts.mapInArrow(count, "doc_id long, label int, own binary, value binary").toPandas().itertuples(index=False), key=lambda r: (hash(r.doc_id * 2654435761 % (1 << 32)), r.doc_id, r.own))
+    # one row for each chosen doc_id, however often the documents repeat it
+    counted = texts.mapInArrow(count, "doc_id long, label int, own binary, value binary")
+    counted = counted.groupBy("doc_id").agg(F.min(F.struct("label", "own", "value")).alias("_one")).select("doc_id", "_one.*")
+    got = sorted(counted.toPandas().itertuples(index=False), key=lambda r: (hash(r.doc_id * 2654435761 % (1 << 32)), r.doc_id, r.own))
     return fit([(np.frombuffer(r.own, "<i4").astype(np.int64), np.frombuffer(r.value, "<f4").astype(float), int(r.label)) for r in got])
 
 
