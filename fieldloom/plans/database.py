@@ -98,3 +98,14 @@ def find_taxon(traits: DataFrame, taxa: list[str], original_name: bool = False)
     """The datasets with each of some taxa: (taxon_name, dataset_id)."""
     name = "original_name" if original_name else "taxon_name"
     return traits.filter(F.col(name).isin(taxa)).select(F.col(name).alias("taxon_name"), "dataset_id").distinct()
+
+
+def tree(title: str, terms: list[str], indent: str = "") -> list[str]:
+    """A title and, below it, one branch for each term, as lines of text."""
+    marks = ["├──"] * (len(terms) - 1) + ["└──"] * min(1, len(terms))
+    return [f"{indent}{title}", *[f"{indent}{mark} {term}" for mark, term in zip(marks, terms)]]
+
+
+def outline(db: Database) -> str:
+    """The tables of a database and their columns, drawn as trees."""
+    return "\n".join(line for name, table in db.tables.items() for line in tree(name, table.columns))

@@ -186,6 +186,11 @@ def test_units_overrides_and_first_maps(spark, folder):
     assert {r.location_property for r in built["locations"].collect()} == {"latitude (deg)", "longitude (deg)", "unit"}
 
 
+def test_outline(spark):
+    db = database.Database({"taxa": spark.createDataFrame([], "a string, b string"), "none": spark.createDataFrame([], "x int").drop("x")})
+    assert database.outline(db) == "taxa\n├── a\n└── b\nnone" and database.tree("t", ["y"], "  ") == ["  t", "  └── y"]
+
+
 def test_ranks_in_ranges(spark):
     data = [("a" if k % 3 else None, k * 7919 % 1000) for k in range(1000)]
     got = ranks.ranked(spark.createDataFrame(data, "g string, x long").repartition(5), ["g"], ["x"], "n", "all").collect()
