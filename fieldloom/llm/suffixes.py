@@ -9,6 +9,8 @@ symbol costs no more than its length.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
 #: Alphabets beyond this have more buckets than vector steps pay for; (reduced) strings of so many names are induced suffix by suffix.
@@ -60,8 +62,9 @@ def _induce(t: np.ndarray, small: np.ndarray, leftmost: np.ndarray, sigma: int)
     by = np.argsort(symbols, kind="stable")
     grouped, bounds = leftmost[by], np.searchsorted(symbols[by], np.arange(sigma + 1))
     # how many equal symbols end at each place
-    index = np.arange(len(t))
-    runs = index - np.maximum.accumulate(np.where(np.diff(t, prepend=t[:1] + 1) != 0, index, 0)) + 1
+    index = np.arange(len(t), dtype=np.int32)
+    runs = index - np.maximum.accumulate(np.where(np.diff(t, prepend=t[:1] + 1) != 0, index, np.int32(0))) + 1
+    del index
 
     free = starts.copy()
     for c in used:
@@ -95,6 +98,13 @@ def _induce(t: np.ndarray, small: np.ndarray, leftmost: np.ndarray, sigma: int)
     return order
 
 
+def _numbers(values: np.ndarray) -> array:
+    """Numbers below 2**31 as a Python array, which takes four bytes each and gives plain integers."""
+    out = array("i")
+    out.frombytes(values.astype(np.int32).tobytes())
+    return out
+
+
 def _induce_singly(t: np.ndarray, small: np.ndarray, leftmost: np.ndarray, sigma: int) -> np.ndarray:
     """The same as ``_induce``, one suffix at a time: for strings whose buckets hold few suffixes each."""
     ends = np.cumsum(np.bincount(t, minlength=sigma))
@@ -104,15 +114,15 @@ def _induce_singly(t: np.ndarray, small: np.ndarray, leftmost: np.ndarray, sigma
     after = np.cumsum(np.bincount(symbols, minlength=sigma))
     start[ends[symbols[by]] - after[symbols[by]] + np.arange(len(by))] = leftmost[by]
     # the bucket of the suffix before, in the pass in which it is put; -1 for none, also for places still empty (-1)
-    rising, falling = (np.concatenate(([-1], np.where(which, t[:-1], -1), [-1])).tolist() for which in (~small[:-1], small[:-1]))
-    order, free = start.tolist(), np.append(0, ends[:-1]).tolist()
+    toward = lambda which: _numbers(np.concatenate(([-1], np.where(which, t[:-1], -1), [-1])))
+    order, free, rising = _numbers(start), _numbers(np.append(0, ends[:-1])), toward(~small[:-1])
     for i in order:  # what stands further on is put there by the loop itself
         c = rising[i]
         if c >= 0:
             at = free[c]
             order[at] = i - 1
             free[c] = at + 1
-    free = (ends - 1).tolist()
+    free, falling = _numbers(ends - 1), toward(small[:-1])
     for i in reversed(order):
         c = falling[i]
         if c >= 0:
@@ -120,7 +130,7 @@ def _induce_singly(t: np.ndarray, small: np.ndarray, leftmost: np.ndarray, sigma
             order[at] = i - 1
             free[c] = at - 1
     order[0] = len(order) - 1
-    return np.array(order, np.int64)
+    return np.frombuffer(order, np.int32).astype(np.int64)
 
 
 def _equal_spans(t: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
