@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from . import textbytes as tb
 
 FILTER_BITS, PART_BITS = 23, 14
+#: Rows that are filtered at once: whole texts, so not too many.
+ROWS = 1024
 
 
 def _cells(ids: np.ndarray) -> np.ndarray:
@@ -50,6 +52,8 @@ def only_wanted(df: DataFrame, bits: np.ndarray, column: str = "doc_id") -> Data
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(passes(bits, batch.column(batch.schema.get_field_index(column)).to_numpy())))
+            for low in range(0, batch.num_rows, ROWS):
+                part = batch.slice(low, ROWS)
+                yield part.filter(pa.array(passes(bits, part.column(part.schema.get_field_index(column)).to_numpy())))
 
     return df.filter(f"`{column}` is not null").mapInArrow(work, df.schema)

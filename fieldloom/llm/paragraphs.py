@@ -150,20 +150,23 @@ def places(docs: DataFrame) -> DataFrame:
 
 
 def band_messages(docs: DataFrame, shards: int) -> DataFrame:
-    """(shard, packed): band keys with class, packed by shard; each class once a slice."""
+    """(shard, packed): band keys with class, packed by shard; each class once a task."""
     entry = np.dtype([("key", "<u8"), ("class", "<i8")])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for batch in batches:
             data, offsets = tb.text_bytes(batch.column("text"))
-            for low, high in tb.slices(offsets, 1 << 21):
+            for low, high in tb.slices(offsets, 1 << 19):
                 base = offsets[low]
                 part = data[base : offsets[high]]
                 _, _, start, end, _ = cut(part, offsets[low : high + 1] - base)
                 if not len(start):
                     continue
                 code, h, at = classes_of(part, start, end)
-                _, once = np.unique(code, return_index=True)
+                once = np.array([c not in sent and not sent.add(c) for c in code.tolist()], bool)
+                if not once.any():
+                    continue
                 keys = band_keys(h, at)[once]
                 out = np.empty(keys.size, entry)
                 out["key"], out["class"] = keys.reshape(-1), np.repeat(code[once], BANDS)
