@@ -60,6 +60,8 @@ LARGE_GROUP = 64
 #: Classes that a shingle proposes to each of its classes in the first round, how many of a class' proposals are
 #: compared by bitmap, and how many each class tries in a round.
 NEIGHBOURS, PROPOSALS, TRIES = 8, 6, 2
+#: Classes that a task remembers to have sent, about.
+REMEMBERED = 1 << 18
 #: Pairs whose bitmaps are compared at once, about.
 CHUNK = 1 << 15
 #: Log2 of the bits of the smallest and the largest bitmap; beyond the largest, bounds are looser and as safe.
@@ -158,6 +160,8 @@ def first_shingles(docs: DataFrame, levels: np.ndarray, shards: int) -> DataFram
             for _, h, at in _rows(batch):
                 sizes, nodes = np.diff(at), _signatures(h, at)
                 once = np.array([x not in sent and not sent.add(x) for x in nodes.tolist()], bool)  # copies in this task send nothing
+                if len(sent) > REMEMBERED:  # forgetting only sends a class again
+                    sent.clear()
                 row = np.repeat(np.arange(len(sizes)), sizes)
                 order = np.lexsort((h, levels[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], row))
                 place = np.arange(len(h)) - at[row]

@@ -57,6 +57,8 @@ ROWS, RECALL = 3, 0.99
 BANDS = bands_for(ROWS, RECALL)
 #: A class is hot if it has more than this part of all places; so there are fewer hot classes than this.
 HOT_SHARE = 1000
+#: Classes that a task remembers to have sent, about.
+REMEMBERED = 1 << 18
 #: Classes on each side of a block of pairs; sets that are sent to a task at once, about.
 BLOCK, PACKED = 256, 1 << 12
 _SEEDS = np.random.default_rng(5).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -165,6 +167,8 @@ def band_messages(docs: DataFrame, shards: int) -> DataFrame:
                     continue
                 code, h, at = classes_of(part, start, end)
                 once = np.array([c not in sent and not sent.add(c) for c in code.tolist()], bool)
+                if len(sent) > REMEMBERED:  # forgetting only sends a class again
+                    sent.clear()
                 if not once.any():
                     continue
                 keys = band_keys(h, at)[once]
