@@ -16,10 +16,13 @@ QUERIES = {
     "op5_paragraph_dedup": ("paragraphs", "op5_query"),
     "op9_warc_revisits": ("warc", "op9_query"),
     "op8_mixing": ("mixing", "op8_query"),
+    "op11_chat_formatting": ("chat", "op11_query"),
+    "op12_whitening": ("whitening", "op12_query"),
+    "op13_periodic_runs": ("periodic", "op13_query"),
 }
 
 #: Query name: module whose ORACLE_SQL gives its rows.
-ORACLES = {"op6_topk_search": "topk", "op9_warc_revisits": "warc"}
+ORACLES = {"op6_topk_search": "topk", "op9_warc_revisits": "warc", "op11_chat_formatting": "chat"}
 
 
 def queries() -> dict:

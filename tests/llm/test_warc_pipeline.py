@@ -105,7 +105,7 @@ def test_mix_keeps_worded_twins_and_null_ids(spark):
 
 
 def test_registry_and_guard(tmp_path):
-    assert [sorted(k.split("_")[0] for k in registry.QUERIES)] == [sorted(f"op{n}" for n in range(1, 11))]
+    assert [sorted(k.split("_")[0] for k in registry.QUERIES)] == [sorted(f"op{n}" for n in range(1, 14))]
     assert set(registry.ORACLES) <= set(registry.QUERIES)
     root = Path(corpus_pipeline.__file__).parent
     for name in ("__spark_entry__.py", "fieldloom"):
