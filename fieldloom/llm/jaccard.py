@@ -46,6 +46,7 @@ from . import textbytes as tb
 from .graph import components
 from .idfilter import id_filter, passes
 from .shingles import shingle_sets
+from .columns import aside
 from .storage import materialize, shuffle_partitions
 
 PERCENT = 75
@@ -483,13 +484,14 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     Documents without words, and rows without doc_id, stay.  Rows that share a doc_id are decided on by their own
     texts; of rows equal in doc_id and text one stays.
     """
+    docs, back = aside(docs, "doc_id", "text")
     rows = labelled(docs).filter("n_shingles > 0 and component is not null")
     stays = materialize(rows.groupBy("component").agg(F.min(F.struct("doc_id", "code")).alias("s")).select(F.col("s.doc_id").alias("_d"), F.col("s.code").alias("_c")))
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull(), F.lit(False))
     marked = docs.withColumns({"_d": F.col("doc_id").cast("long"), "_c": _code()})
     kept = marked.filter(worded).join(stays, ["_d", "_c"], "left_semi")
     again = F.row_number().over(Window.partitionBy("_d", "_c").orderBy("_d"))
-    return kept.withColumn("_again", again).filter("_again = 1").select(*docs.columns).unionByName(docs.filter(~worded))
+    return back(kept.withColumn("_again", again).filter("_again = 1").select(*docs.columns).unionByName(docs.filter(~worded)))
 
 
 def op10_query(spark, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import aside
 from .storage import materialize
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -79,14 +80,14 @@ def judge(docs: DataFrame, limit: int = LINE_LIMIT, depleted: float = DEPLETED)
 
 def remove_lines(docs: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
     """``docs`` with all boilerplate lines cut from the texts; all columns and rows stay."""
-    columns = docs.columns
+    docs, back = aside(docs, "doc_id", "text", "source")
     docs = docs.withColumn("_row", F.monotonically_increasing_id())
     docs = materialize(docs)
     frequent = materialize(frequent_lines(document_numbers(docs), limit))
     here = docs.select("_row", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: line_hash(x, F.col("source"))))).alias("h"))
     drop = here.join(frequent, "h").groupBy("_row").agg(F.collect_set("h").alias("_drop"))
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_drop", line_hash(x, F.col("source")))), "\n")
-    return docs.join(drop, "_row", "left").withColumn("text", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept)).select(*columns)
+    return docs.join(drop, "_row", "left").withColumn("text", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept)).transform(back)
 
 
 def op3_query(spark, sf_dir: str) -> DataFrame:

@@ -41,6 +41,7 @@ from . import textbytes as tb
 from .graph import components
 from .idfilter import id_filter, only_wanted
 from .shingles import shingle_sets
+from .columns import aside
 from .storage import materialize, shuffle_partitions
 
 MIN_WORDS, MIN_RUN, PERCENT = 8, 25, 75
@@ -63,7 +64,7 @@ REMEMBERED = 1 << 18
 BLOCK, PACKED = 256, 1 << 12
 _SEEDS = np.random.default_rng(5).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _STEP = np.uint64(0x9FB21C651E98DF25)
-_PLACE = "doc_id long, number int, start int, end int, words int, class long"
+_PLACE = "doc_id long, code long, number int, start int, end int, words int, class long"
 
 
 def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -131,12 +132,13 @@ def band_keys(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def places(docs: DataFrame) -> DataFrame:
-    """All paragraphs with enough words: where they stand and their class."""
+    """All paragraphs with enough words: where they stand and their class; ``code`` is a hash of the whole text."""
+    docs = docs if "code" in docs.columns else docs.withColumn("code", F.xxhash64("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tb.text_bytes(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy()
+            ids, texts = batch.column("doc_id").to_numpy(), batch.column("code").to_numpy()
             for low, high in tb.slices(offsets, 1 << 19):
                 base = offsets[low]
                 part = data[base : offsets[high]]
@@ -145,8 +147,8 @@ def places(docs: DataFrame) -> DataFrame:
                     continue
                 code = classes_of(part, start, end)[0]
                 inner = offsets[low:high][row] - base
-                columns = [pa.array(ids[low + row]), *[pa.array((x).astype(np.int32)) for x in (number, start - inner, end - inner, words)], pa.array(code)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "number", "start", "end", "words", "class"])
+                columns = [pa.array(ids[low + row]), pa.array(texts[low + row]), *[pa.array((x).astype(np.int32)) for x in (number, start - inner, end - inner, words)], pa.array(code)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "code", "number", "start", "end", "words", "class"])
 
     return docs.mapInArrow(work, _PLACE)
 
@@ -331,7 +333,12 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     doc_id, number (among the document's paragraphs), start and end (bytes of the text), words, first_doc and
     first_number (the cluster's paragraph that stays), removed.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
+    return clustered_paragraphs(docs).drop("code")
+
+
+def clustered_paragraphs(docs: DataFrame) -> DataFrame:
+    """The same, and ``code``, which tells the texts of rows that share a doc_id apart."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("code")).filter("doc_id is not null and text is not null")
     own = materialize(places(docs))
     total = own.count()
     shards = max(shuffle_partitions(docs.sparkSession), total * BANDS >> 18)
@@ -346,18 +353,19 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     rest = own.join(F.broadcast(stays.filter(many).select("class")), "class", "left_anti").join(stays.filter(~many).drop("n"), "class")
     out = own.join(hot, "class").unionByName(rest).drop("class").distinct()
     out = out.withColumn("repeat", (F.col("doc_id") != F.col("first_doc")) | (F.col("number") != F.col("first_number")))
-    mine = Window.partitionBy("doc_id").orderBy("number", "start")
+    mine = Window.partitionBy("doc_id", "code").orderBy("number", "start")
     gap = F.coalesce((F.col("number") != F.lag("number").over(mine) + 1) | ~F.lag("repeat").over(mine) | ~F.col("repeat"), F.lit(True))
     out = out.withColumn("run", F.sum(gap.cast("int")).over(mine))
-    run = F.sum(F.when(F.col("repeat"), F.col("words")).otherwise(0)).over(Window.partitionBy("doc_id", "run"))
-    return out.withColumn("removed", F.col("repeat") & (run >= MIN_RUN)).select("doc_id", "number", "start", "end", "words", "first_doc", "first_number", "removed")
+    run = F.sum(F.when(F.col("repeat"), F.col("words")).otherwise(0)).over(Window.partitionBy("doc_id", "code", "run"))
+    return out.withColumn("removed", F.col("repeat") & (run >= MIN_RUN)).select("doc_id", "code", "number", "start", "end", "words", "first_doc", "first_number", "removed")
 
 
 def remove_paragraphs(docs: DataFrame) -> DataFrame:
-    """``docs`` without the removed paragraphs; all columns and rows stay."""
-    gone = repeated_paragraphs(docs).filter("removed").groupBy(F.col("doc_id").alias("_d")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_gone"))
+    """``docs`` without the removed paragraphs; all columns and rows stay.  Rows that share a doc_id lose what their own texts repeat."""
+    docs, back = aside(docs, "doc_id", "text")
+    gone = clustered_paragraphs(docs).filter("removed").groupBy(F.col("doc_id").alias("_d"), F.col("code").alias("_t")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_gone"))
     names = docs.columns
-    joined = docs.join(materialize(gone), F.col("doc_id") == F.col("_d"), "left").drop("_d")
+    joined = docs.join(materialize(gone), (F.col("doc_id") == F.col("_d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_t")), "left").drop("_d", "_t")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -369,7 +377,7 @@ def remove_paragraphs(docs: DataFrame) -> DataFrame:
                 texts.append(None if text is None else raw.decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
 
-    return joined.mapInArrow(work, docs.schema)
+    return back(joined.mapInArrow(work, docs.schema))
 
 
 def op5_query(spark, sf_dir: str) -> DataFrame:

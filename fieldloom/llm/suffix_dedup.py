@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
+from .columns import aside
 from .storage import materialize, shuffle_partitions
 from .suffixes import common_with_previous, suffix_array
 
@@ -316,8 +317,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
     Columns of those names are replaced.  Without ``with_text`` texts are dropped and not sent back.
     """
-    spark = docs.sparkSession
-    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256")
+    spark, (docs, back) = docs.sparkSession, aside(docs, "doc_id", "text")
     docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
     columns = [c for c in docs.columns if with_text or c != "text"]
     fields = [f for f in docs.schema.fields if f.name in columns]
@@ -351,7 +351,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     runs = at_blocks(beside(replies, ["shared", "hot"]), lambda a, b: send_runs(a, b, shards), _ddl(_RUNS))
     ranges = runs.groupBy("shard").applyInArrow(resolve, _ddl(_RANGES))
     added = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
-    return at_blocks(beside(ranges, ["rows", "starts", "ends"]), lambda a, b: cut(a, b, columns, with_text), T.StructType(fields + added))
+    out = at_blocks(beside(ranges, ["rows", "starts", "ends"]), lambda a, b: cut(a, b, columns, with_text), T.StructType(fields + added))
+    return back(out if with_text else out.withColumn("text", F.lit(None).cast("string")), *[f.name for f in added]).drop(*([] if with_text else ["text"]))
 
 
 def op1_query(spark, sf_dir: str) -> DataFrame:
