@@ -14,14 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm import jaccard, mixing, packing, quality, suffix_dedup
-from fieldloom.llm.storage import materialize
+from fieldloom.llm.columns import aside
+from fieldloom.llm.storage import materialize, release, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.score_quality(docs, model, column="_quality")
-    return scored.filter(F.col("_quality") >= quality.THRESHOLD).select(*docs.columns)
+    own, back = aside(docs, "doc_id", "text")
+    return back(quality.score_quality(own, model, column="_quality").filter(F.col("_quality") >= quality.THRESHOLD))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +32,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def repeated_substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the strings that start in a smaller document too; n_chars follows the text."""
-    cut = suffix_dedup.remove_repeats(docs)
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return cut.select(*docs.columns)
+    own, back = aside(docs, "doc_id", "text")
+    cut = back(suffix_dedup.remove_repeats(own))
+    return cut.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else cut
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,10 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; each stage's result is written and read again."""
+    """All stages over the documents of ``sf_dir``; each stage's result is written and read again, and what it wrote on its way goes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
+        before = written()
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
             docs = materialize(docs)
+            release(spark, before)
     return docs
