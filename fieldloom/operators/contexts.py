@@ -32,10 +32,10 @@ def map_contexts(df: DataFrame, rules: DataFrame, columns: list[str]) -> DataFra
     return df
 
 
-def context_ids(df: DataFrame, category: str, mapped: list[str]) -> DataFrame:
+def context_ids(df: DataFrame, category: str, mapped: list[str], source: DataFrame | None = None) -> DataFrame:
     """Adds ``<category>_id``: sorted padded number of the combined values (missing ones as NA); null if all are missing."""
     known = F.coalesce(*[F.col(c) for c in mapped]).isNotNull()
-    return dense_id(df, paste(mapped, "_"), f"{category}_id", ["dataset_id"], where=known)
+    return dense_id(df, paste(mapped, "_"), f"{category}_id", ["dataset_id"], where=known, source=source)
 
 
 def context_links(df: DataFrame, category: str, mapped: dict[str, str], row: str = "_row") -> DataFrame:
@@ -45,7 +45,12 @@ def context_links(df: DataFrame, category: str, mapped: dict[str, str], row: str
     """
     link = f"{category}_id"
     each = F.explode(F.array(*[F.struct(F.lit(p).alias("context_property"), F.col(c).alias("value")) for c, p in mapped.items()]))
-    rows = df.select("dataset_id", row, F.col(link).alias("id"), each.alias("e")).select("dataset_id", row, "id", "e.*").filter("value is not null and id is not null")
+    return linked(df.select("dataset_id", row, F.col(link).alias("id"), each.alias("e")).select("dataset_id", row, "id", "e.*"), link, row)
+
+
+def linked(rows: DataFrame, link: str, row: str) -> DataFrame:
+    """The same from rows (dataset_id, ``row``, id, context_property, value)."""
+    rows = rows.filter("value is not null and id is not null")
     first = rows.groupBy("dataset_id", "context_property", "value", "id").agg(F.min(row).alias("first"))
     ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "id"))), lambda x: x["id"]), ", ")
     return first.groupBy("dataset_id", "context_property", "value").agg(ids.alias("link_vals")).withColumn("link_id", F.lit(link))

@@ -30,7 +30,7 @@ def wide_to_long(df: DataFrame, maps: list[TraitMap], keep: list[str], vocabular
     """One row per row and trait map, in the order of the maps: trait_index, trait_name, unit_in, methods, value.
 
     Values that are null stay (they are flagged later).  Several maps may read one column.  A map's
-    overrides replace the columns they name, by a column of the data (nulls included) or by a constant.
+    overrides and unit replace the columns they name, by a column of the data (nulls included) or by a constant.
     """
     maps = [m for m in maps if m.trait_name is not None]
     if lost := [m.var_in for m in maps if m.var_in not in df.columns]:
@@ -39,7 +39,7 @@ def wide_to_long(df: DataFrame, maps: list[TraitMap], keep: list[str], vocabular
     one = lambda k, m: F.struct(
         F.lit(k).alias("trait_index"),
         F.lit(m.trait_name).alias("trait_name"),
-        F.lit(m.unit_in).cast("string").alias("unit_in"),
+        (F.col("unit_in").cast("string") if m.unit_in is None and "unit_in" in df.columns else column_or_constant(df.columns, m.unit_in, vocabulary)).alias("unit_in"),
         F.lit(m.methods).cast("string").alias("methods"),
         F.col(f"`{m.var_in}`").cast("string").alias("value"),
         *[(column_or_constant(df.columns, m.overrides[f], vocabulary) if f in m.overrides else F.col(f).cast("string") if f in df.columns else F.lit(None).cast("string")).alias(f) for f in fields],
@@ -64,7 +64,11 @@ def map_long(df: DataFrame, maps: list[TraitMap], trait: str, vocabulary: tuple[
                 new = column_or_constant(df.columns, m.overrides[name], vocabulary)
                 chain = chain.when(F.col("trait_index") == k, new) if chain is not None else F.when(F.col("trait_index") == k, new)
         out = out.withColumn(name, chain.otherwise(value))
-    return out.withColumns({"trait_name": F.col("_trait"), "unit_in": F.coalesce("_unit", "unit_in") if "unit_in" in df.columns else F.col("_unit"), "methods": F.col("_methods")}).drop("_var", "_trait", "_unit", "_methods")
+    unit = F.coalesce("_unit", "unit_in") if "unit_in" in df.columns else F.col("_unit")
+    for k, m in enumerate(known):
+        if m.unit_in is not None and m.unit_in in df.columns and m.unit_in not in vocabulary:
+            unit = F.when(F.col("trait_index") == k, F.col(f"`{m.unit_in}`").cast("string")).otherwise(unit)
+    return out.withColumns({"trait_name": F.col("_trait"), "unit_in": unit, "methods": F.col("_methods")}).drop("_var", "_trait", "_unit", "_methods")
 
 
 def conform(df: DataFrame, columns: list[str]) -> DataFrame:

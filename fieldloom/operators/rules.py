@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import all_tokens_in, has_unsupported_characters, is_in, number_text, to_number
+from ..functions.text import all_tokens_in, has_unsupported_characters, is_in, to_number
+from .units import NO_CONVERSION, RANGE_TYPES, Conversion, check_conversions, convert_units, parse_conversion, read_conversions  # noqa: F401
 
-RANGE_TYPES = ["range", "bin"]
 TIME_TRAITS = ["flowering_time", "fruiting_time"]
 
 #: The messages of the error flags.
@@ -23,7 +20,6 @@ UNSUPPORTED_VALUE = "Unsupported trait value"
 TIME_LETTERS = "Time can only contain Y & Ns"
 TIME_LENGTH = "Times must be length 12"
 NOT_NUMERIC = "Value does not convert to numeric"
-NO_CONVERSION = "Missing unit conversion"
 OUT_OF_RANGE = "Value out of allowable range"
 
 
@@ -44,11 +40,18 @@ def compose(rules: list[tuple[str, str | None]]) -> dict[str, tuple[str | None,
     return out
 
 
+def rule_text(x) -> str | None:
+    """A text of a program as data has it: numbers with 15 digits, as YAML may read a text as a number."""
+    if x is None or isinstance(x, str):
+        return x
+    return str(x).upper() if isinstance(x, bool) else f"{x:.15g}" if isinstance(x, float) else str(x)
+
+
 def substitute(df: DataFrame, rules: list[tuple[str, str, str | None]], trait: str = "trait_name", value: str = "value") -> DataFrame:
     """Values replaced by rules (trait, find, replace); both sides are compared in lower case."""
     if not rules:
         return df
-    low = lambda x: None if x is None else str(x).lower()
+    low = lambda x: None if x is None else rule_text(x).lower()
     rows = []
     for name in dict.fromkeys(t for t, _, _ in rules):
         rows += [(name, k, v) for k, (v, _) in compose([(low(f), low(r)) for t, f, r in rules if t == name]).items()]
@@ -59,7 +62,7 @@ def substitute(df: DataFrame, rules: list[tuple[str, str, str | None]], trait: s
 
 def exclusions(rules: list[tuple[str, str, str]]) -> list[tuple[str, str]]:
     """(variable, text) of exclusion rules; ``find`` may list several texts, separated by a comma and a space."""
-    return [(v, " ".join(x.split())) for v, find, *_ in rules for x in find.split(", ")]
+    return [(v, " ".join(x.split())) for v, find, *_ in rules for x in rule_text(find).split(", ")]
 
 
 def flag_excluded(df: DataFrame, rules: list[tuple[str, str, str]], trait_names: set[str]) -> Column:
@@ -107,60 +110,3 @@ def range_error(error: Column) -> Column:
     number = to_number(F.col("value"))
     outside = (F.col("_type") == "numeric") & ~is_in(F.col("value_type"), RANGE_TYPES) & ((number < F.col("_min")) | (number > F.col("_max")))
     return F.when(error.isNotNull(), error).when(outside, OUT_OF_RANGE)
-
-
-@dataclass(frozen=True)
-class Conversion:
-    """A unit conversion: x, or ``reciprocal`` over x, times or divided by numbers in order."""
-
-    steps: tuple[tuple[str, float], ...]
-    reciprocal: float | None = None
-
-
-def parse_conversion(text: str) -> Conversion:
-    """Reads ``x*a``, ``x/a``, chains of them, ``a/x`` and ``a/x*b``; anything else is an error, and nothing is evaluated."""
-    text = re.sub(r"\s+", "", text)
-    number = r"\d+\.?\d*(?:[eE][+-]?\d+)?"
-    if not (m := re.fullmatch(rf"(?:({number})/)?\(?x\)?((?:[*/]{number})*)", text)):
-        raise ValueError(f"not a product or quotient of x and numbers: {text}")
-    return Conversion(tuple((s, float(n)) for s, n in re.findall(rf"([*/])({number})", m[2])), float(m[1]) if m[1] else None)
-
-
-def convert_units(df: DataFrame, conversions: dict[str, Conversion]) -> DataFrame:
-    """Values in the dictionary's units, and ``unit``; rows must have dictionary columns and ``error``.
-
-    Values whose unit fits stay as written.  Both ends of a range or bin (``lo--hi``) are converted and not
-    swapped.  Rows in error keep value and unit.  Categorical traits have no unit, in error or not.
-    Factors are plain columns, and each step is a column of its own, so that rows stay in generated code and no
-    expression holds another many times.
-    """
-    key = F.concat_ws("-", F.coalesce("unit_in", F.lit("NA")), F.coalesce("_units", F.lit("NA")))
-    numeric = F.col("error").isNull() & (F.col("_type") == "numeric")
-    same = F.coalesce(F.col("unit_in") == F.col("_units"), F.lit(False))
-    most = max([1, *[len(c.steps) for c in conversions.values()]])
-    rows = [(k, c.reciprocal, *[x for n in range(most) for x in (c.steps[n] if n < len(c.steps) else (None, None))]) for k, c in conversions.items()]
-    table = df.sparkSession.createDataFrame(rows, "_key string, _reciprocal double, " + ", ".join(f"_sign{n} string, _by{n} double" for n in range(most)))
-    out = df.withColumns({"_change": F.coalesce(numeric & ~same, F.lit(False)), "_wanted": key})
-    out = out.join(table, F.col("_wanted") == F.col("_key"), "left").withColumn("_known", F.col("_key").isNotNull() & F.col("_change"))
-
-    def converted(x: Column) -> Column:
-        x = F.when(F.col("_reciprocal").isNull(), x).when(x == 0, float("inf")).otherwise(F.col("_reciprocal") / x)
-        for n in range(most):
-            x = F.when(F.col(f"_sign{n}") == "*", x * F.col(f"_by{n}")).when(F.col(f"_sign{n}") == "/", x / F.col(f"_by{n}")).otherwise(x)
-        return x
-
-    two = is_in(F.col("value_type"), RANGE_TYPES)
-    out = out.withColumn("_number", F.when(F.col("_known") & ~two, to_number(F.col("value"))))
-    out = out.withColumn("_number", converted(F.col("_number")))
-    both = F.transform(F.split("value", "--"), lambda p: number_text(converted(to_number(p))))
-    out = out.withColumn("_new", F.when(F.col("_known") & two, F.array_join(both, "--")).otherwise(number_text(F.col("_number"))))
-    return out.withColumns({
-        "unit": F.when(F.col("_type") == "categorical", F.lit(None)).when(F.col("_known"), F.col("_units")).otherwise(F.col("unit_in")),
-        "value": F.when(F.col("_known"), F.col("_new")).otherwise(F.col("value")),
-        "error": F.when(F.col("_change") & ~F.col("_known"), NO_CONVERSION).otherwise(F.col("error")),
-    }).drop("_change", "_wanted", "_key", "_reciprocal", "_known", "_number", "_new", *[f"_{x}{n}" for n in range(most) for x in ("sign", "by")])
-
-
-def read_conversions(rows: list[dict]) -> dict[str, Conversion]:
-    """Conversions by ``from-to`` from rows of unit_from, unit_to and function (text, parsed and never evaluated)."""
-    return {f"{r['unit_from']}-{r['unit_to']}": parse_conversion(r["function"]) for r in rows}

@@ -49,6 +49,11 @@ def taxonomic_updates_table(df: DataFrame, taxa: DataFrame | None, excluded: lis
         spark = df.sparkSession
         gone = spark.createDataFrame([(x,) for x in excluded], "n string").select(standardise_name(F.col("n")).alias("aligned_name")).distinct()
         rows = rows.join(gone, "aligned_name", "left_anti").select(*rows.columns)
+    return with_list(rows, taxa)
+
+
+def with_list(rows: DataFrame, taxa: DataFrame | None) -> DataFrame:
+    """Name changes (dataset_id, original_name, aligned_name, taxonomic_resolution) with what the list has of the aligned name."""
     if taxa is None:
         return rows.withColumn("taxon_name", F.col("aligned_name"))
     more = [c for c in taxa.columns if c.startswith("aligned_name_")]

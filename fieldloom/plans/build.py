@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_in, separate_and_sort
@@ -35,7 +35,7 @@ def dictionary_frame(spark: SparkSession, definitions: dict) -> DataFrame:
 
 def trait_maps(program: dict) -> list[TraitMap]:
     fixed = {"var_in", "trait_name", "unit_in", "methods"}
-    return [TraitMap(str(t["var_in"]), t.get("trait_name"), t.get("unit_in"), t.get("methods"), {k: str(v) for k, v in t.items() if k not in fixed and v is not None}) for t in program.get("traits") or []]
+    return [TraitMap(str(t["var_in"]), t.get("trait_name"), rules.rule_text(t.get("unit_in")), t.get("methods"), {k: rules.rule_text(v) for k, v in t.items() if k not in fixed and v is not None}) for t in program.get("traits") or []]
 
 
 def vocabulary(schema: dict) -> tuple[str, ...]:
@@ -58,13 +58,13 @@ def process_dataset(
 
     # parse: dataset-level fields by column or constant, then one row per measurement
     raw = data.columns
-    context_rules = [(dataset_id, c["context_property"], c["category"], c["var_in"], v.get("find"), v.get("value"), v.get("description"), n * 1000 + k) for n, c in enumerate(program.get("contexts") or []) for k, v in enumerate(c.get("values") or [{}])]
+    context_rules = [(dataset_id, c["context_property"], c["category"], c["var_in"], *[rules.rule_text(v.get(k)) for k in ("find", "value", "description")], n * 1000 + k) for n, c in enumerate(program.get("contexts") or []) for k, v in enumerate(c.get("values") or [{}])]
     context_columns = list(dict.fromkeys(r[3] for r in context_rules))
     identifiers = program.get("identifiers") or []
     fields = {f: column_or_constant(raw, None if about.get(f) is None else str(about[f])) for f in DATASET_FIELDS}
     fields["taxon_name"] = column_or_constant(raw, about.get("taxon_name"))
     keep = {c: F.col(f"`{c}`") for c in [*context_columns, *[i["var_in"] for i in identifiers]] if c in raw}
-    sources = {m.var_in for m in maps} | {v for m in maps for v in m.overrides.values()} | {about.get("trait_name"), about.get("value")}
+    sources = {m.var_in for m in maps} | {v for m in maps for v in [*m.overrides.values(), m.unit_in]} | {about.get("trait_name"), about.get("value")}
     keep |= {c: F.col(f"`{c}`") for c in raw if c in sources and c not in fields}
     frame = data.select(F.lit(dataset_id).alias("dataset_id"), "_row", *[v.alias(k) for k, v in {**keep, **fields}.items()])
     frame = ids.parsing_ids(frame, "individual_id" if about.get("individual_id") in raw else None, is_long)
@@ -78,24 +78,33 @@ def process_dataset(
         long = long.withColumn("_order", F.col("trait_index").cast("long") * (1 << 40) + F.col("_row"))
     long = long.withColumn("value", F.lower("value"))
 
-    # contexts on the long frame
-    links = None
+    # contexts on the long frame: all values are mapped, then the categories' ids are made of the written rows
+    links, in_use = None, {}
     table = spark.createDataFrame(context_rules, ctx.CONTEXT_COLUMNS)
     for category in ctx.CATEGORIES:
         properties = {c["var_in"]: c["context_property"] for c in program.get("contexts") or [] if c["category"] == category}
         properties = {v: p for v, p in properties.items() if v in long.columns}
-        if not properties:
+        if properties:
+            in_use[category] = properties
+        else:
             long = long.withColumn(f"{category}_id", F.lit(None).cast("string"))
-            continue
+    long = scratch.keep(long) if in_use else long
+    written = long
+    for category, properties in in_use.items():
         for v in properties:  # a context without values takes those of the data
             if not any(r[3] == v and (r[4] is not None or r[5] is not None) for r in context_rules):
-                found = ctx.values_from_data(long, v, "_order")
-                table = table.filter(F.col("var_in") != v).unionByName(found.select(F.lit(dataset_id).alias("dataset_id"), F.lit(properties[v]).alias("context_property"), F.lit(category).alias("category"), F.lit(v).alias("var_in"), F.col("value").alias("find"), "value", F.lit(None).cast("string").alias("description"), F.row_number().over(Window.orderBy("first")).alias("rule")))
+                found = ctx.values_from_data(written, v, "_order")
+                table = table.filter(F.col("var_in") != v).unionByName(found.select(F.lit(dataset_id).alias("dataset_id"), F.lit(properties[v]).alias("context_property"), F.lit(category).alias("category"), F.lit(v).alias("var_in"), F.col("value").alias("find"), "value", F.lit(None).cast("string").alias("description"), F.lit(0).alias("rule")))
         long = ctx.map_contexts(long, table, list(properties))
-        mapped_columns = {f"{v}_mapped": p for v, p in properties.items()}
-        long = ctx.context_ids(long, category, list(mapped_columns))
-        own_links = ctx.context_links(long, category, mapped_columns, "_order")
-        links = own_links if links is None else links.unionByName(own_links)
+    if in_use:
+        table, written = scratch.keep(table), scratch.keep(long)
+        long = written
+        for category, properties in in_use.items():
+            long = ctx.context_ids(long, category, [f"{v}_mapped" for v in properties], written)
+        long = scratch.keep(long)
+        for category, properties in in_use.items():
+            own_links = ctx.context_links(long, category, {f"{v}_mapped": p for v, p in properties.items()}, "_order")
+            links = own_links if links is None else links.unionByName(own_links)
     contexts = ctx.contexts_table(table, links) if links is not None else spark.createDataFrame([], ", ".join(f"{c} string" for c in TABLES["contexts"]))
 
     long = rules.substitute(long, [(s["trait_name"], s["find"], s["replace"]) for s in program.get("substitutions") or []])
@@ -120,12 +129,13 @@ def process_dataset(
     excluded = [(e["variable"], e["find"], e.get("reason")) for e in program.get("exclude_observations") or []]
     long = long.withColumn("error", rules.value_error(rules.flag_excluded(long, excluded, mapped)))
     long = rules.convert_units(long, conversions).withColumn("error", rules.range_error(F.col("error")))
-    long = ids.population_ids(long, "_order")
-    long = ids.individual_ids(long, "_order")
-    long = ids.observation_ids(long.withColumn("original_name", F.lit(None).cast("string")))
+    # ids build on each other: each starts from written rows, so that none computes those before it again
+    long = ids.population_ids(scratch.keep(long), "_order")
+    long = ids.individual_ids(scratch.keep(long), "_order")
+    long = ids.observation_ids(scratch.keep(long.withColumn("original_name", F.lit(None).cast("string"))))
     flagged = F.col("repeat_measurements_id").cast("string").isin("TRUE", "True", "true")
     long = ids.repeat_measurement_ids(long, flagged, "_order")
-    updates = [(u["find"], u["replace"], u.get("taxonomic_resolution")) for u in program.get("taxonomic_updates") or []]
+    updates = [(rules.rule_text(u["find"]), rules.rule_text(u["replace"]), u.get("taxonomic_resolution")) for u in program.get("taxonomic_updates") or []]
     long = taxonomy.update_names(long, updates)
     long = long.withColumn("value", F.when(F.col("error").isNull(), separate_and_sort(F.col("value"))).otherwise(F.col("value")))
     long = long.withColumn("value_type", F.when(is_in(F.col("value_type"), VALUE_TYPES), F.col("value_type")))
@@ -163,7 +173,7 @@ def process_dataset(
         "identifiers": identifier_rows(long, identifiers),
     }
     metadata = {dataset_id: {**program, "related_identifiers": [{"relation_type": "isCompiledBy", "resource_type": "software", "identifier": "fieldloom"}]}}
-    return Database(tables, sources=program.get("source") or {}, definitions=definitions, schema=schema, metadata=metadata)
+    return Database(tables, sources={dataset_id: program.get("source") or {}}, definitions=definitions, schema=schema, metadata=metadata)
 
 
 def identifier_rows(long: DataFrame, identifiers: list[dict]) -> DataFrame:
@@ -176,21 +186,26 @@ def identifier_rows(long: DataFrame, identifiers: list[dict]) -> DataFrame:
     return rows.filter("identifier_value is not null and observation_id is not null").distinct()
 
 
-def methods_table(spark: SparkSession, methods: DataFrame, program: dict, dataset_id: str) -> DataFrame:
-    """Each trait's methods beside the dataset's descriptions, sources and people (full joins on dataset_id)."""
+def method_details(dataset_id: str, program: dict) -> dict:
+    """What a program says of all methods of its dataset: description, sampling, sources, people."""
     about, source, people = (program.get(k) or {} for k in ("dataset", "source", "contributors"))
     of = lambda kind: [s for k, s in source.items() if k.startswith(kind)]
-    text = lambda xs, f: "; ".join(f(x) for x in xs) or None
+    text = lambda xs, f, between="; ": between.join(f(x) for x in xs) or None
     described = {"dataset_id": dataset_id, "description": about.get("description"), "sampling_strategy": about.get("sampling_strategy")}
-    cited = {"dataset_id": dataset_id, "source_primary_key": text(of("primary"), lambda s: s["key"]), "source_primary_type": text(of("primary"), lambda s: s["bibtype"]), "source_primary_citation": text(of("primary"), prog.citation), "source_secondary_key": text(of("secondary"), lambda s: s["key"]), "source_secondary_citation": text(of("secondary"), prog.citation), "source_original_dataset_key": text(of("original"), lambda s: s["key"]), "source_original_dataset_citation": text(of("original"), prog.citation)}
-    named = {"data_collectors": text([p for p in people.get("data_collectors") or [] if p.get("last_name")], lambda p: f"{p.get('given_name')} {p['last_name']}"), "assistants": people.get("assistants"), "dataset_curators": people.get("dataset_curators")}
-    one = lambda d: spark.createDataFrame([tuple(None if v is None else str(v) for v in d.values())], ", ".join(f"{k} string" for k in d))
-    out = methods.join(one(described), "dataset_id", "full").join(one({**cited, **named}), "dataset_id", "full")
-    return conform(out, TABLES["methods"])
+    cited = {"source_primary_key": text(of("primary"), lambda s: s["key"]), "source_primary_type": text(of("primary"), lambda s: s["bibtype"]), "source_primary_citation": text(of("primary"), prog.citation), "source_secondary_key": text(of("secondary"), lambda s: s["key"]), "source_secondary_citation": text(of("secondary"), prog.citation), "source_original_dataset_key": text(of("original"), lambda s: s["key"]), "source_original_dataset_citation": text(of("original"), prog.citation)}
+    named = lambda p: f"{p.get('given_name')} {p['last_name']}" + (f" ({p['additional_role']})" if p.get("additional_role") else "")
+    return {**described, **cited, "data_collectors": text([p for p in people.get("data_collectors") or [] if p.get("last_name")], named, ", "), "assistants": people.get("assistants"), "dataset_curators": people.get("dataset_curators")}
+
+
+def methods_table(spark: SparkSession, methods: DataFrame, program: dict, dataset_id: str) -> DataFrame:
+    """Each trait's methods beside the dataset's descriptions, sources and people (a full join on dataset_id)."""
+    details = method_details(dataset_id, program)
+    one = spark.createDataFrame([tuple(None if v is None else str(v) for v in details.values())], ", ".join(f"{k} string" for k in details))
+    return conform(methods.join(one, "dataset_id", "full"), TABLES["methods"])
 
 
 def build(spark: SparkSession, folder: str, dataset_ids: list[str] | None, definitions: dict, conversions: dict, schema: dict | None = None, taxa: DataFrame | None = None, hooks: dict[str, Callable] | None = None) -> Database:
-    """A compilation: every dataset of a folder that has both its files, bound into one database."""
+    """A compilation of every dataset of a folder that has both its files, each built apart; see ``compilation.build_many`` for many."""
     from ..sources.tables import canonical_text, read_csv_text
 
     out = []

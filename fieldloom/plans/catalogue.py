@@ -320,6 +320,39 @@ def unit_conversion_range(t):
     return _converted(t, "range")
 
 
+#: Formulas of units, and what they are in SQL.
+_FORMULAS = {
+    "x*10": "x * 10", "x*1/1000": "x * 1 / 1000", "x*.01": "x * 0.01", "x*-1": "x * -1", "x*-1000": "x * -1000", "1/x": "1 / x", "1000/x": "1000 / x", "1/x*1000": "1 / x * 1000", "x/14.0067": "x / 14.0067",
+    "x*1000/30.973761": "x * 1000 / 30.973761", "x*1/4.3": "x * 1 / 4.3", "(x-32)/1.8": "(x - 32) / 1.8", "x*1.8+32": "x * 1.8 + 32", "100-x": "100 - x", "(1/1000)*x": "(CAST(1 AS DOUBLE) / 1000) * x", "-x/2": "-x / 2", "x*1e-06": "x * CAST(1e-06 AS DOUBLE)",
+}
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(printf('%.15g', CASE l_orderkey % " + str(len(_FORMULAS)) + " " + " ".join(f"WHEN {k} THEN {f}" for k, f in enumerate(_FORMULAS.values())) + """ END) AS DOUBLE) AS value, 'kg' AS unit
+  FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS x FROM lineitem) WHERE l_linenumber < 6""")
+def unit_formulas(t):
+    """Every form of a formula, over all measurements; formulas that can't be read are left out, and told."""
+    rows = [{"unit_from": f"u{k}", "unit_to": "kg", "function": f} for k, f in enumerate(_FORMULAS)] + [{"unit_from": "bad", "unit_to": "kg", "function": "x*x"}]
+    table = t("region").sparkSession.createDataFrame([("mass", "numeric", "kg", None, None, None)], rules.DICTIONARY)
+    unit = F.when(F.col("l_linenumber") < 6, F.concat(F.lit("u"), (F.col("l_orderkey") % len(_FORMULAS)).cast("string"))).otherwise("bad")
+    df = t("lineitem").select("l_orderkey", "l_linenumber", F.lit("mass").alias("trait_name"), unit.alias("unit_in"), F.lit("raw").alias("value_type"), tx.number_text(F.col("l_quantity")).alias("value"), F.lit(None).cast("string").alias("error"))
+    out = rules.convert_units(rules.with_dictionary(df, table), rules.read_conversions(rows))
+    return out.filter("error is null").select("l_orderkey", "l_linenumber", tx.to_number(F.col("value")).alias("value"), "unit")
+
+
+@query("""SELECT l_orderkey, l_linenumber, trait_name, CASE WHEN u = 't' THEN printf('%.15g', x * 1000) ELSE printf('%.15g', x) END AS value, CASE WHEN trait_name = 'price' THEN 'usd' WHEN u IN ('kg', 't') THEN 'kg' ELSE u END AS unit,
+  CASE WHEN trait_name = 'mass' AND (u IS NULL OR u NOT IN ('kg', 't')) THEN 'Missing unit conversion' END AS error
+  FROM (SELECT l_orderkey, l_linenumber, 'mass' AS trait_name, CAST(l_quantity AS DOUBLE) AS x, CASE l_orderkey % 4 WHEN 0 THEN 'kg' WHEN 1 THEN 't' WHEN 2 THEN 'stone' END AS u FROM lineitem
+    UNION ALL SELECT l_orderkey, l_linenumber, 'price', CAST(l_extendedprice AS DOUBLE), 'usd' FROM lineitem)""")
+def unit_columns(t):
+    """Units that a column of the data gives, row by row."""
+    k = F.col("l_orderkey") % 4
+    df = t("lineitem").withColumns({"l_quantity": tx.number_text(F.col("l_quantity")), "l_extendedprice": tx.number_text(F.col("l_extendedprice")), "measured in": F.when(k == 0, "kg").when(k == 1, "t").when(k == 2, "stone")})
+    table = t("region").sparkSession.createDataFrame([("mass", "numeric", "kg", None, None, None), ("price", "numeric", "usd", None, None, None)], rules.DICTIONARY)
+    long = reshape.wide_to_long(df, [TraitMap("l_quantity", "mass", "measured in"), TraitMap("l_extendedprice", "price", "usd")], ["l_orderkey", "l_linenumber"])
+    long = rules.with_dictionary(long.withColumns({"value_type": F.lit("raw"), "error": F.lit(None).cast("string")}), table)
+    return rules.convert_units(long, _CONVERSIONS).select("l_orderkey", "l_linenumber", "trait_name", "value", "unit", "error")
+
+
 # --- identifiers
 
 _PAD = "lpad(CAST(r AS VARCHAR), CAST(greatest(2, ceil(log10(n)), length(CAST(r AS VARCHAR))) AS INTEGER), '0')"
@@ -495,7 +528,7 @@ _METHODS = {
 @query(f"""WITH f AS (SELECT c_mktsegment AS trait_name, 'method ' || (c_nationkey % 3) AS methods, min(c_custkey) AS f FROM customer GROUP BY ALL),
 g AS (SELECT *, row_number() OVER (PARTITION BY trait_name ORDER BY f) AS r, count(*) OVER (PARTITION BY trait_name) AS n FROM f)
 SELECT 'd' AS dataset_id, trait_name, methods, {_PAD} AS method_id, 'market survey' AS description, 'all customers' AS sampling_strategy, 'Doe_2020' AS source_primary_key,
-  'J. Doe, A. Roe (2020) Markets. Trade, 3, 1-2.' AS source_primary_citation, NULL AS source_secondary_key, 'J Doe; A Roe' AS data_collectors, 'Poe' AS dataset_curators FROM g""")
+  'J. Doe, A. Roe (2020) Markets. Trade, 3, 1-2.' AS source_primary_citation, NULL AS source_secondary_key, 'J Doe, A Roe' AS data_collectors, 'Poe' AS dataset_curators FROM g""")
 def methods_full_join(t):
     from .build import methods_table
 
@@ -756,6 +789,51 @@ def _built(t) -> db.Database:
     return process(data.sparkSession, "orders", data, _DATASET, definitions, {"cents-usd": rules.parse_conversion("x/100")})
 
 
+_MANY_SQL = f"""WITH o AS (SELECT 'set' || (o_custkey % 3) AS d, o_orderkey AS k, 'taxon ' || (o_custkey % 40) AS taxon, o_orderpriority AS loc, o_orderstatus AS st, CAST(o_totalprice AS DOUBLE) AS x FROM orders),
+c AS (SELECT *, CASE WHEN d = 'set0' THEN CASE st WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' END WHEN d = 'set1' THEN st END AS cv FROM o),
+cr AS (SELECT d, cv, row_number() OVER (PARTITION BY d ORDER BY cv) AS r, count(*) OVER (PARTITION BY d) AS n FROM (SELECT DISTINCT d, cv FROM c WHERE cv IS NOT NULL)),
+ci AS (SELECT c.*, CASE WHEN cr.r IS NOT NULL THEN {_PAD} END AS ctx FROM c LEFT JOIN cr ON c.d = cr.d AND c.cv = cr.cv),
+pk AS (SELECT *, loc || 'NA' || coalesce(ctx, 'NA') AS pkey FROM ci),
+pf AS (SELECT d, pkey, row_number() OVER (PARTITION BY d ORDER BY min(k)) AS r, count(*) OVER (PARTITION BY d) AS n FROM pk GROUP BY d, pkey),
+p AS (SELECT pk.*, {_PAD} AS pop FROM pk JOIN pf USING (d, pkey)),
+i AS (SELECT *, row_number() OVER (PARTITION BY d, taxon, pop ORDER BY k) AS r, count(*) OVER (PARTITION BY d, taxon, pop) AS n FROM p),
+j AS (SELECT d, k, taxon, loc, st, x, ctx, pop, {_PAD} AS ind FROM i),
+l AS (SELECT d, k, taxon, loc, ctx, pop, ind, 'price' AS trait_name, CASE WHEN d = 'set2' AND taxon = 'taxon 5' THEN 'Observation excluded in metadata' WHEN d = 'set1' THEN CASE WHEN st = 'P' THEN 'Missing unit conversion' END END AS error, x, st,
+    concat_ws('-', taxon, pop, ind, 'NA', 'individual', CASE WHEN d = 'set0' AND loc = '2-HIGH' THEN 'adult' ELSE 'NA' END, 'NA', 'NA', 'field', 'NA', 'NA') AS okey FROM j),
+q AS (SELECT *, dense_rank() OVER (PARTITION BY d ORDER BY okey) AS r FROM l),
+e AS (SELECT *, max(r) OVER (PARTITION BY d) AS n FROM q)
+SELECT d AS dataset_id, k AS o_orderkey, error, CASE WHEN d = 'set0' THEN CASE WHEN taxon = 'taxon 3' THEN 'Taxon three' ELSE 'T' || substr(taxon, 2) END ELSE taxon END AS taxon_name, {_PAD} AS observation_id,
+  printf('%.15g', CASE WHEN d = 'set0' THEN x / 100 WHEN d = 'set1' AND st = 'F' THEN x / 100 ELSE x END) AS value, CASE WHEN d = 'set2' AND taxon <> 'taxon 5' THEN 'usd' WHEN d = 'set2' THEN 'usd' WHEN d = 'set0' OR st <> 'P' THEN 'usd' ELSE 'pounds' END AS unit,
+  pop AS population_id, ind AS individual_id, ctx AS plot_context_id, CASE WHEN d = 'set0' AND loc IN ('1-URGENT', '2-HIGH') THEN CASE loc WHEN '1-URGENT' THEN '01' ELSE '02' END END AS location_id FROM e"""
+
+
+def _many(t) -> db.Database:
+    """All orders as three datasets of different programs, built in one plan."""
+    from . import compilation
+
+    status = F.col("o_orderstatus")
+    rows = t("orders").select(
+        F.concat(F.lit("set"), (F.col("o_custkey") % 3).cast("string")).alias("set"), F.col("o_orderkey").alias("_row"), F.col("o_orderkey").alias("order_key"), F.concat(F.lit("taxon "), (F.col("o_custkey") % 40).cast("string")).alias("taxon"),
+        F.col("o_orderpriority").alias("priority"), status.alias("status"), tx.number_text(F.col("o_totalprice")).alias("total"), F.when(status == "F", "cents").when(status == "O", "usd").otherwise("pounds").alias("currency"))
+    price = lambda unit: [{"var_in": "total", "unit_in": unit, "trait_name": "price", "entity_type": "individual", "value_type": "raw", "basis_of_value": "measurement", "methods": "ledger", "measurement_remarks": "order_key"}]
+    plot = {"context_property": "progress", "category": "plot_context", "var_in": "status"}
+    base = {"dataset": {"data_is_long_format": False, "taxon_name": "taxon", "location_name": "priority", "basis_of_record": "field"}, "source": _DATASET["source"], "contributors": _DATASET["contributors"]}
+    programs = {
+        "set0": {**base, "traits": price("cents"), "contexts": [{**plot, "values": [{"find": "F", "value": "finished"}, {"find": "O", "value": "open"}]}], "locations": {"1-URGENT": {"latitude (deg)": 1}, "2-HIGH": {"latitude (deg)": 3, "life_stage": "adult"}}, "taxonomic_updates": [{"find": "taxon 3", "replace": "Taxon three", "reason": "x"}]},
+        "set1": {**base, "traits": price("currency"), "contexts": [plot]},
+        "set2": {**base, "traits": price("usd"), "exclude_observations": [{"variable": "taxon_name", "find": "taxon 5", "reason": "x"}]},
+    }
+    columns = {d: [c for c in rows.columns if c not in ("set", "_row")] for d in programs}
+    return compilation.compile_datasets(rows.sparkSession, compilation.cells_of(rows, "set"), columns, programs, {"price": {"type": "numeric", "units": "usd"}}, {"cents-usd": rules.parse_conversion("x/100")})
+
+
+@query(_MANY_SQL)
+def build_many(t):
+    built = _many(t)
+    out = built["traits"].withColumn("error", F.lit(None).cast("string")).unionByName(built["excluded_data"])
+    return out.select("dataset_id", F.col("measurement_remarks").cast("long").alias("o_orderkey"), "error", "taxon_name", "observation_id", "value", "unit", "population_id", "individual_id", "plot_context_id", "location_id")
+
+
 @query("""SELECT * FROM (VALUES ('contributors', 1), ('methods', 2), ('contexts', 2), ('identifiers', 0)) v(name, n) UNION ALL SELECT 'locations', 7
   UNION ALL SELECT 'taxonomic_updates', count(DISTINCT o_custkey % 40) - 1 FROM orders UNION ALL SELECT 'traits', count(*) FILTER (o_custkey % 40 <> 3 AND o_totalprice / 100 BETWEEN 20 AND 3000) + count(*) FILTER (o_custkey % 40 <> 3 AND o_orderstatus <> 'P') FROM orders""")
 def process_dataset_tables(t):
