@@ -834,6 +834,22 @@ def build_many(t):
     return out.select("dataset_id", F.col("measurement_remarks").cast("long").alias("o_orderkey"), "error", "taxon_name", "observation_id", "value", "unit", "population_id", "individual_id", "plot_context_id", "location_id")
 
 
+@query("""SELECT 'set' || (o_custkey % 5) AS dataset_id, CAST(o_orderkey AS VARCHAR) AS o_orderkey, CASE WHEN o_custkey % 5 = 1 THEN printf('%.15g', CAST(o_totalprice AS DOUBLE) / 100) ELSE printf('%.15g', CAST(o_totalprice AS DOUBLE)) END AS value,
+  CASE o_custkey % 5 WHEN 1 THEN 'built again' WHEN 3 THEN 'built again' ELSE 'kept' END AS change FROM orders WHERE o_custkey % 5 <> 4 AND NOT (o_custkey % 5 = 3 AND o_orderkey % 7 = 0)""")
+def incremental_build(t):
+    """A database of five datasets, updated after one program and one dataset's rows changed, and one dataset went."""
+    from . import compilation, incremental
+
+    orders = t("orders").select(F.concat(F.lit("set"), (F.col("o_custkey") % 5).cast("string")).alias("set"), F.col("o_orderkey").alias("_row"), F.col("o_orderkey").alias("order_key"), F.col("o_orderpriority").alias("taxon"), tx.number_text(F.col("o_totalprice")).alias("total"))
+    spark, path = orders.sparkSession, scratch.new_path(orders.sparkSession)
+    program = lambda unit: {"dataset": {"data_is_long_format": False, "taxon_name": "taxon", "measurement_remarks": "order_key"}, "traits": [{"var_in": "total", "unit_in": unit, "trait_name": "price", "entity_type": "species", "value_type": "raw"}]}
+    now = lambda rows, programs: incremental.update(compilation.cells_of(rows, "set"), dict.fromkeys(programs, ["order_key", "taxon", "total"]), programs, path, {"price": {"type": "numeric", "units": "usd"}}, {"cents-usd": rules.parse_conversion("x/100")})
+    now(orders, {f"set{k}": program("usd") for k in range(5)})
+    changes = now(orders.filter("not (set = 'set3' and order_key % 7 = 0) and set <> 'set4'"), {f"set{k}": program("cents" if k == 1 else "usd") for k in range(4)})
+    told = reshape.records_to_rows(spark, [{"dataset_id": d, "change": "built again"} for d in changes.built] + [{"dataset_id": d, "change": "kept"} for d in changes.kept])
+    return src.read_database(spark, path)["traits"].join(told, "dataset_id", "left").select("dataset_id", F.col("measurement_remarks").alias("o_orderkey"), "value", "change")
+
+
 @query("""SELECT * FROM (VALUES ('contributors', 1), ('methods', 2), ('contexts', 2), ('identifiers', 0)) v(name, n) UNION ALL SELECT 'locations', 7
   UNION ALL SELECT 'taxonomic_updates', count(DISTINCT o_custkey % 40) - 1 FROM orders UNION ALL SELECT 'traits', count(*) FILTER (o_custkey % 40 <> 3 AND o_totalprice / 100 BETWEEN 20 AND 3000) + count(*) FILTER (o_custkey % 40 <> 3 AND o_orderstatus <> 'P') FROM orders""")
 def process_dataset_tables(t):
