@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,17 +44,33 @@ def vocabulary(schema: dict) -> tuple[str, ...]:
     return tuple(dict.fromkeys([*ENTITY_TYPES, *VALUE_TYPES, *VALUE_BASES, *RECORD_BASES, *[v for s in schema.values() if isinstance(s, dict) for v in (s.get("values") or {})]]))
 
 
-def process_dataset(
-    spark: SparkSession, dataset_id: str, data: DataFrame, program: dict, definitions: dict, conversions: dict[str, rules.Conversion],
-    schema: dict | None = None, taxa: DataFrame | None = None, hook: Callable[[DataFrame], DataFrame] | None = None, filter_missing: bool = True,
-) -> Database:
-    """One dataset's tables.  ``data`` has text columns and ``_row``; ``hook`` is its custom step."""
+@dataclass(frozen=True)
+class Parsed:
+    """A dataset's rows as they are before flags and units, one a measurement, and its contexts."""
+
+    dataset_id: str
+    program: dict
+    long: DataFrame
+    contexts: DataFrame
+    maps: list[TraitMap]
+
+
+@dataclass(frozen=True)
+class Processed:
+    """A dataset's harmonised rows with their errors and ids, written, and its locations; names are not looked up yet."""
+
+    parsed: Parsed
+    long: DataFrame
+    methods: DataFrame
+    locations: DataFrame
+    filter_missing: bool = True
+
+
+def parse_dataset(spark: SparkSession, dataset_id: str, data: DataFrame, program: dict, schema: dict | None = None) -> Parsed:
+    """Fields by column or constant, one row per measurement, contexts, substitutions."""
     schema, about = schema or {}, program.get("dataset") or {}
     is_long = str(about.get("data_is_long_format")).lower() in ("true", "yes")
-    data = hook(data) if hook else data
     maps = trait_maps(program)
-    mapped = {m.trait_name for m in maps}
-    dictionary = dictionary_frame(spark, {k: v for k, v in definitions.items() if k in mapped})
     terms = vocabulary(schema)
 
     # parse: dataset-level fields by column or constant, then one row per measurement
@@ -109,6 +126,15 @@ def process_dataset(
 
     long = rules.substitute(long, [(s["trait_name"], s["find"], s["replace"]) for s in program.get("substitutions") or []])
 
+    return Parsed(dataset_id, program, long, contexts, maps)
+
+
+def process_parsed(parsed: Parsed, definitions: dict, conversions: dict[str, rules.Conversion], filter_missing: bool = True) -> Processed:
+    """Locations, flags, units, ids, name updates."""
+    dataset_id, program, long, maps = parsed.dataset_id, parsed.program, parsed.long, parsed.maps
+    spark, mapped = long.sparkSession, {m.trait_name for m in maps}
+    dictionary = dictionary_frame(spark, {k: v for k, v in definitions.items() if k in mapped})
+
     # locations
     places = [(dataset_id, str(n), str(p), None if v is None else str(v)) for n, ps in (program.get("locations") or {}).items() for p, v in (ps or {}).items()]
     if len(places) <= 1:
@@ -146,6 +172,15 @@ def process_dataset(
     long = long.drop("method_id").join(renamed, (F.col("trait_name") == F.col("_m_trait_name")) & F.col("methods").eqNullSafe(F.col("_m_methods")), "left").withColumn("method_id", F.col("_m_method_id"))
     # all tables below fan out from these rows: written once, so that a compilation holds none in memory
     long = scratch.keep(long.drop(*[c for c in long.columns if c.startswith("_m_")]))
+    return Processed(parsed, long, methods, locations, filter_missing)
+
+
+def finish_dataset(processed: Processed, definitions: dict, schema: dict | None = None, taxa: DataFrame | None = None) -> Database:
+    """Accepted names and the tables of a dataset."""
+    long, methods, locations, filter_missing = processed.long, processed.methods, processed.locations, processed.filter_missing
+    dataset_id, program, contexts = processed.parsed.dataset_id, processed.parsed.program, processed.parsed.contexts
+    spark, schema, identifiers = long.sparkSession, schema or {}, program.get("identifiers") or []
+    excluded = [(e["variable"], e["find"], e.get("reason")) for e in program.get("exclude_observations") or []]
     if filter_missing:
         long = long.filter(F.coalesce(F.col("error") != rules.MISSING_VALUE, F.lit(True)))
 
@@ -176,6 +211,15 @@ def process_dataset(
     return Database(tables, sources={dataset_id: program.get("source") or {}}, definitions=definitions, schema=schema, metadata=metadata)
 
 
+def process_dataset(
+    spark: SparkSession, dataset_id: str, data: DataFrame, program: dict, definitions: dict, conversions: dict[str, rules.Conversion],
+    schema: dict | None = None, taxa: DataFrame | None = None, hook: Callable[[DataFrame], DataFrame] | None = None, filter_missing: bool = True,
+) -> Database:
+    """One dataset's tables.  ``data`` has text columns and ``_row``; ``hook`` is its custom step."""
+    parsed = parse_dataset(spark, dataset_id, hook(data) if hook else data, program, schema)
+    return finish_dataset(process_parsed(parsed, definitions, conversions, filter_missing), definitions, schema, taxa)
+
+
 def identifier_rows(long: DataFrame, identifiers: list[dict]) -> DataFrame:
     """Identifiers of observations: different rows with a value and an observation."""
     known = [i for i in identifiers if i["var_in"] in long.columns]

@@ -721,6 +721,30 @@ def validate_program(t):
     return failures(_PROGRAM, t("orders").select([F.col(c).cast("string").alias(c) for c in t("orders").columns]), {"size": {"type": "numeric"}})
 
 
+@query("""SELECT o_orderkey || ',' || o_orderpriority AS record FROM orders WHERE o_orderkey % 97 = 0 UNION ALL SELECT o_orderkey || ',' || o_orderpriority || ',' || o_orderstatus || ',more' FROM orders WHERE o_orderkey % 101 = 0 AND o_orderkey % 97 <> 0""")
+def corrupt_records(t):
+    """Rows of CSV files that are shorter or longer than their header, over many files."""
+    k, spark, path = F.col("o_orderkey"), t("region").sparkSession, scratch.new_path(t("region").sparkSession)
+    line = F.when(k % 97 == 0, F.concat_ws(",", k, "o_orderpriority")).when(k % 101 == 0, F.concat_ws(",", k, "o_orderpriority", "o_orderstatus", F.lit("more"))).otherwise(F.concat_ws(",", k, "o_orderpriority", "o_orderstatus"))
+    # each file starts with its header
+    lines = t("orders").select((F.col("o_custkey") % 8).alias("file"), k.alias("row"), line.alias("value"))
+    lines = lines.unionByName(spark.range(8).select(F.col("id").alias("file"), F.lit(-1).cast("long").alias("row"), F.lit("order,priority,status").alias("value")))
+    lines.repartitionByRange(8, "file").sortWithinPartitions("file", "row").select("file", "value").write.partitionBy("file").text(path)
+    return src.corrupt_rows(spark, [f"{path}/file={n}" for n in range(8)]).select("record")
+
+
+@query("""SELECT * FROM (VALUES ('price', '12345678'), ('taxon_name', 'taxon 99')) v(variable, value) UNION ALL SELECT 'state', 'x' UNION ALL SELECT 'location_name', 'nowhere'""")
+def validate_exclusions(t):
+    """Texts that a program excludes but the parsed rows lack."""
+    from .build import parse_dataset
+    from .validate import parsed_exclusions
+
+    data = t("orders").select(F.col("o_orderkey").alias("_row"), F.concat(F.lit("taxon "), (F.col("o_custkey") % 40).cast("string")).alias("taxon"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"), tx.number_text(F.col("o_totalprice")).alias("total"))
+    wrong = [("price", "12345678"), ("state", "f, x"), ("taxon_name", "taxon 3, taxon 99"), ("location_name", "5-LOW, nowhere")]
+    program = {**_DATASET, "exclude_observations": [{"variable": v, "find": f, "reason": "r"} for v, f in wrong]}
+    return parsed_exclusions(parse_dataset(data.sparkSession, "orders", data, program).long, program)
+
+
 @query("""SELECT DISTINCT 'https://x/' || n_nationkey AS subject, p AS predicate, o AS object FROM (SELECT n_nationkey, 'https://p/name' AS p, '"' || n_name || '"' AS o FROM nation UNION ALL SELECT n_nationkey, 'https://p/region', '<https://r/' || n_regionkey || '>' FROM nation)""")
 def triples(t):
     df = t("nation").withColumn("region", F.concat(F.lit("https://r/"), F.col("n_regionkey").cast("string")))

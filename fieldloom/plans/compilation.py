@@ -17,7 +17,7 @@ import csv
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_in, number_text, paste, separate_and_sort, standardise_name, to_number
@@ -26,7 +26,7 @@ from ..operators import ids, rules, taxonomy
 from ..operators.reshape import conform
 from ..sources import program as prog
 from ..sources import scratch
-from ..sources.tables import MISSING_TOKENS
+from ..sources.tables import MISSING_TOKENS, in_file_order, scan_places
 from . import build as single
 from .build import DATASET_FIELDS, LOCATION_FIELDS
 from .database import TABLES, VALUE_TYPES, Database, bind_databases, value_type_order
@@ -62,12 +62,7 @@ def read_cells(spark: SparkSession, files: dict[str, str], headers: dict[str, li
     width = max([1, *map(len, headers.values())])
     columns = [f"c{k}" for k in range(width)]
     raw = spark.read.schema(", ".join(f"{c} string" for c in columns)).option("header", False).option("multiLine", multi_line).option("escape", '"').csv(list(files.values()))
-    raw = scratch.keep(raw.select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.array(*columns).alias("_cells")))
-    # rows of a block are numbered one after another; blocks, few, are summed
-    blocks = raw.groupBy("_path", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.select(F.col("_path").alias("_p"), F.col("_block").alias("_b"), "_first", before.alias("_before"))
-    rows = raw.join(blocks, (F.col("_path") == F.col("_p")) & (F.col("_block") == F.col("_b"))).withColumn("_row", F.col("_before") + F.col("_id") - F.col("_first"))
+    rows = in_file_order(scratch.keep(raw.select(*scan_places(), F.array(*columns).alias("_cells"))))
     known = spark.createDataFrame([(d, f"{Path(p).parent.name}/{Path(p).name}", headers[d]) for d, p in files.items()], "dataset_id string, _name string, _header array<string>")
     name = F.array_join(F.slice(F.split(F.url_decode("_path"), "/"), -2, 2), "/")
     rows = rows.filter("_row > 0").join(known, name == F.col("_name"))

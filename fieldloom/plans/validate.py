@@ -6,21 +6,22 @@ DataFrame; ``check_folder`` and ``check_build`` cover the files and the built ta
 
 from __future__ import annotations
 
-import csv
-import io
 import re
 from collections import Counter
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 from pathlib import Path
 
 import yaml
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import EXCEPTION_LETTERS, unsupported_bytes
 from ..operators.rules import exclusions
+from ..sources import scratch
 from ..sources.program import DATASET_FIELDS, SECTIONS, read_program
+from ..sources.tables import corrupt_rows
 from .database import ENTITY_TYPES, RECORD_BASES, TABLES, VALUE_BASES, VALUE_TYPES, Database, pivot_duplicates
 from .hooks import apply_steps
 
@@ -82,8 +83,8 @@ def failures(program: dict, data: DataFrame, dictionary: dict, schema: dict | No
     return reduce(DataFrame.unionByName, [wrong.select(F.lit(name).alias("rule"), "value") for name, wrong in _data_rules(program, data, schema)], out)
 
 
-def check_folder(folder: str | Path) -> list[tuple[str, bool, str]]:
-    """(rule, ok, detail) of the rules on a dataset's files."""
+def check_folder(folder: str | Path, spark: SparkSession | None = None, multi_line: bool = True) -> list[tuple[str, bool, str]]:
+    """(rule, ok, detail) of the rules on a dataset's files.  The data is scanned by Spark, see ``corrupt_rows``."""
     folder = Path(folder)
     here = sorted(p.name for p in folder.iterdir()) if folder.exists() else []
     out = [("folder: both files", [f for f in FOLDER[:2] if f not in here]), ("folder: nothing else", [f for f in here if f not in FOLDER])]
@@ -98,9 +99,8 @@ def check_folder(folder: str | Path) -> list[tuple[str, bool, str]]:
         except yaml.YAMLError as error:
             out.append(("metadata: parses", [str(error).split("\n")[0]]))
     if "data.csv" in here:
-        lines = (folder / "data.csv").read_text(encoding="utf-8", errors="replace")
-        rows = list(csv.reader(io.StringIO(lines)))
-        out.append(("data: rows are as long as the header", [f"row {n + 1}" for n, r in enumerate(rows[1:]) if r and len(r) != len(rows[0])]))
+        wrong = corrupt_rows(spark or SparkSession.active(), str(folder / "data.csv"), multi_line).orderBy("file", "row").limit(SHOWN).collect()
+        out.append(("data: rows are as long as the header", [f"row {r.row}" for r in wrong]))
     return [(name, not wrong, ", ".join(map(str, wrong[:SHOWN]))) for name, wrong in out]
 
 
@@ -128,6 +128,72 @@ def check_build(build: Callable[[], Database]) -> list[tuple[str, bool, str]]:
     return [(name, not wrong, ", ".join(wrong)) for name, wrong in found]
 
 
+#: Stages of a build, in order.
+STAGES = ["configure", "parse", "process", "taxonomy"]
+
+
+def check_stages(
+    dataset_id: str, data: DataFrame, program: dict, definitions: dict, conversions: dict, schema: dict | None = None, taxa: DataFrame | None = None, hook: Callable[[DataFrame], DataFrame] | None = None,
+) -> list[tuple[str, bool, str]]:
+    """(rule, ok, detail) of a build that is run stage by stage: one finding a stage, and those on what it gave.
+
+    A stage that fails leaves the later ones undone, which their findings say.
+    """
+    from . import build
+
+    spark, out, failed = data.sparkSession, [], None
+
+    def stage(name: str, work: Callable):
+        nonlocal failed
+        if failed:
+            out.append((f"build: {name} runs", False, f"not run, as {failed} failed"))
+            return None
+        try:
+            done = work()
+        except Exception as error:  # whatever a stage raises is its finding
+            failed = name
+            out.append((f"build: {name} runs", False, str(error).split("\n")[0][:200]))
+            return None
+        out.append((f"build: {name} runs", True, ""))
+        return done
+
+    def configure() -> DataFrame:
+        used = {m.trait_name for m in build.trait_maps(program)}
+        build.dictionary_frame(spark, {k: v for k, v in definitions.items() if k in used}).count()
+        return hook(data) if hook else data
+
+    def parse(frame: DataFrame) -> build.Parsed:
+        done = build.parse_dataset(spark, dataset_id, frame, program, schema)
+        return replace(done, long=scratch.keep(done.long))
+
+    frame = stage("configure", configure)
+    parsed = stage("parse", lambda: parse(frame))
+    processed = stage("process", lambda: build.process_parsed(parsed, definitions, conversions))
+    built = stage("taxonomy", lambda: (db := build.finish_dataset(processed, definitions, schema, taxa), db["traits"].isEmpty())[0])
+    if parsed:
+        for name, wrong in (("parsed: values are plain text", parsed_text(parsed.long)), ("parsed: exclusions are in the data", parsed_exclusions(parsed.long, program))):
+            some = [" ".join(x for x in r if x) for r in wrong.limit(SHOWN).collect()]
+            out.append((name, not some, ", ".join(sorted(some))))
+    return out + (check_build(lambda: built)[1:] if built else [])
+
+
+def parsed_text(long: DataFrame) -> DataFrame:
+    """(trait_name, value): different values of parsed rows that aren't ASCII."""
+    return long.filter(F.size(unsupported_bytes(F.col("value"), "")) > 0).select("trait_name", "value").distinct()
+
+
+def parsed_exclusions(long: DataFrame, program: dict) -> DataFrame:
+    """(variable, value): texts that a program excludes but parsed rows lack, in a trait's values or another column."""
+    spark, traits = long.sparkSession, {t.get("trait_name") for t in program.get("traits") or []}
+    listed = exclusions([(e["variable"], e["find"], e.get("reason")) for e in program.get("exclude_observations") or []])
+    wanted = spark.createDataFrame([(v, x) for v, x in dict.fromkeys(listed)], "variable string, value string")
+    columns = sorted({v for v, _ in listed} - traits)
+    # a value of a trait, or the text of a listed column, each once
+    have = [long.filter(F.col("trait_name").isin([v for v, _ in listed])).select(F.col("trait_name").alias("variable"), "value").distinct()]
+    have += [long.select(F.lit(c).alias("variable"), F.col(c).cast("string").alias("value")).distinct() for c in columns if c in long.columns]
+    return wanted.join(reduce(DataFrame.unionByName, have), ["variable", "value"], "left_anti").select("variable", "value")
+
+
 def _program_rules(program: dict, columns: list[str], dictionary: dict, schema: dict | None) -> list[tuple[str, list[str]]]:
     """The rules that need no data, with all values that fail."""
     out: list[tuple[str, list[str]]] = []

@@ -6,11 +6,12 @@ import shutil
 from pathlib import Path
 
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import number_text, to_number
 from ..plans.database import TABLES, Database
+from . import scratch
 from .program import to_bibtex
 
 #: Texts that stand for a missing value.
@@ -30,6 +31,39 @@ def read_csv_text(spark: SparkSession, path: str, multi_line: bool = True) -> Da
     return out.withColumn("_row", F.monotonically_increasing_id())
 
 
+def in_file_order(rows: DataFrame) -> DataFrame:
+    """Adds ``_row``, from 0 in each file, to rows as scanned with _path, _block and _id, and written.
+
+    ``_id`` is Spark's increasing id of the scan: rows of a block are numbered one after another; blocks, few, are summed.
+    """
+    blocks = rows.groupBy("_path", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select(F.col("_path").alias("_p"), F.col("_block").alias("_b"), "_first", before.alias("_before"))
+    out = rows.join(blocks, (F.col("_path") == F.col("_p")) & (F.col("_block") == F.col("_b")))
+    return out.withColumn("_row", F.col("_before") + F.col("_id") - F.col("_first")).drop("_p", "_b", "_first", "_before")
+
+
+def scan_places() -> list:
+    """Columns of a scan that tell where its rows stand; see ``in_file_order``."""
+    return [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id")]
+
+
+def corrupt_rows(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
+    """(file, row, record) of the rows of CSV files that don't fit their header: longer, shorter, or badly quoted.
+
+    ``row`` is the row's number in its file, from 1 after the header; all files have the first one's header.  The scan
+    is permissive and distributed: no row stops it, and without ``multi_line`` large files are read in parts.
+    """
+    options = {"header": True, "multiLine": multi_line, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    names = spark.read.options(header=True, multiLine=multi_line, escape='"').csv(path).columns
+    schema = ", ".join([*[f"c{k} string" for k in range(len(names))], "_corrupt_record string"])
+    rows = spark.read.schema(schema).options(**options).csv(path)
+    # all columns are read, as those that aren't would not be checked
+    seen = F.coalesce(*[F.col(f"c{k}") for k in range(len(names))]).isNotNull() if names else F.lit(False)
+    rows = scratch.keep(rows.select(*scan_places(), F.col("_corrupt_record").alias("record"), seen.alias("_seen")))
+    return in_file_order(rows).filter("record is not null").select(F.col("_path").alias("file"), (F.col("_row") + 1).alias("row"), "record")
+
+
 def canonical_text(df: DataFrame, skip: tuple[str, ...] = ("_row",)) -> DataFrame:
     """Texts as typed reading would print them.
 
