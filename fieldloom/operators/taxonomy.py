@@ -83,6 +83,16 @@ def establishment_means(distribution: Column) -> Column:
     return F.when(naturalised == 0, "native").when((mixed > 0) | (naturalised < places), "native and naturalised").otherwise("naturalised")
 
 
+#: Ranks below species, and those above genus.
+LOWER_RANKS, HIGHER_RANKS = ["subspecies", "variety", "form"], ["family", "order", "class", "phylum", "kingdom"]
+
+
+def genus_of(name: Column) -> Column:
+    """The first word, or the first two of a hybrid genus (``x Name``)."""
+    return F.when(word(name, 1) == "x", F.coalesce(word(name, 1, 2), name)).otherwise(word(name, 1))
+
+
 def match_name(name: Column, rank: Column) -> Column:
-    """The part of a name to look up, by the rank it is resolved to: 1, 2 or 3 words."""
-    return F.when(is_in(rank, ["genus", "family"]), word(name, 1)).when(rank == "species", word(name, 1, 2)).otherwise(F.coalesce(word(name, 1, 3), name))
+    """The part of a name to look up: the genus of one resolved to genus or family; no notes in brackets."""
+    noted = name.contains("[")
+    return F.when(is_in(rank, ["genus", "family"]), genus_of(name)).when(noted & (rank == "species"), word(name, 1, 2)).when(noted & is_in(rank, LOWER_RANKS), word(name, 1, 3)).otherwise(name)

@@ -236,7 +236,7 @@ def method_details(dataset_id: str, program: dict) -> dict:
     of = lambda kind: [s for k, s in source.items() if k.startswith(kind)]
     text = lambda xs, f, between="; ": between.join(f(x) for x in xs) or None
     described = {"dataset_id": dataset_id, "description": about.get("description"), "sampling_strategy": about.get("sampling_strategy")}
-    cited = {"source_primary_key": text(of("primary"), lambda s: s["key"]), "source_primary_type": text(of("primary"), lambda s: s["bibtype"]), "source_primary_citation": text(of("primary"), prog.citation), "source_secondary_key": text(of("secondary"), lambda s: s["key"]), "source_secondary_citation": text(of("secondary"), prog.citation), "source_original_dataset_key": text(of("original"), lambda s: s["key"]), "source_original_dataset_citation": text(of("original"), prog.citation)}
+    cited = {"source_primary_key": text(of("primary"), lambda s: s["key"]), "source_primary_type": text(of("primary"), lambda s: s["bibtype"]), "source_primary_citation": prog.citations(of("primary")), "source_secondary_key": text(of("secondary"), lambda s: s["key"]), "source_secondary_citation": prog.citations(of("secondary")), "source_original_dataset_key": text(of("original"), lambda s: s["key"]), "source_original_dataset_citation": prog.citations(of("original"))}
     named = lambda p: f"{p.get('given_name')} {p['last_name']}" + (f" ({p['additional_role']})" if p.get("additional_role") else "")
     return {**described, **cited, "data_collectors": text([p for p in people.get("data_collectors") or [] if p.get("last_name")], named, ", "), "assistants": people.get("assistants"), "dataset_curators": people.get("dataset_curators")}
 

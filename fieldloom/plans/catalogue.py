@@ -528,7 +528,7 @@ _METHODS = {
 @query(f"""WITH f AS (SELECT c_mktsegment AS trait_name, 'method ' || (c_nationkey % 3) AS methods, min(c_custkey) AS f FROM customer GROUP BY ALL),
 g AS (SELECT *, row_number() OVER (PARTITION BY trait_name ORDER BY f) AS r, count(*) OVER (PARTITION BY trait_name) AS n FROM f)
 SELECT 'd' AS dataset_id, trait_name, methods, {_PAD} AS method_id, 'market survey' AS description, 'all customers' AS sampling_strategy, 'Doe_2020' AS source_primary_key,
-  'J. Doe, A. Roe (2020) Markets. Trade, 3, 1-2.' AS source_primary_citation, NULL AS source_secondary_key, 'J Doe, A Roe' AS data_collectors, 'Poe' AS dataset_curators FROM g""")
+  'J. Doe and A. Roe. "Markets".   _Trade_ 3 (2020), pp. 1-2.' AS source_primary_citation, NULL AS source_secondary_key, 'J Doe, A Roe' AS data_collectors, 'Poe' AS dataset_curators FROM g""")
 def methods_full_join(t):
     from .build import methods_table
 
@@ -751,6 +751,53 @@ def triples(t):
     return tri.triples(df, F.concat(F.lit("https://x/"), F.col("n_nationkey").cast("string")), {"n_name": "https://p/name", "region": "https://p/region"})
 
 
+_TERMS = [("prefLabel", "p_name"), ("comment", "concat('about ', p_name)"), ("broader", "concat('size', p_size)"), ("exactMatch", "concat('brand:', p_brand)"), ("datatype", "'xsd:double'"), ("inScheme", "'any'"), ("created", "concat('2020-01-', lpad(cast(p_size % 28 + 1 as string), 2, '0'))")]
+
+
+@query("""SELECT DISTINCT CASE WHEN p_partkey = 1 THEN '<https://v>' ELSE '<https://v#' || p_partkey || '>' END AS subject, '<https://p#' || p || '>' AS predicate, o AS object FROM (
+  SELECT p_partkey, 'prefLabel' AS p, '"' || trim(unnest(string_split(p_name, ' '))) || '"@en' AS o FROM part UNION ALL SELECT p_partkey, 'comment', '"about ' || p_name || '"@en' FROM part
+  UNION ALL SELECT p_partkey, 'broader', '<https://v#size' || p_size || '>' FROM part UNION ALL SELECT p_partkey, 'exactMatch', CASE WHEN p_brand LIKE '%1' THEN '<NA>' ELSE '<https://b/' || p_brand || '>' END FROM part
+  UNION ALL SELECT p_partkey, 'datatype', '<xsd:double>' FROM part UNION ALL SELECT p_partkey, 'inScheme', '<https://v>' FROM part
+  UNION ALL SELECT p_partkey, 'created', '"2020-01-' || lpad(CAST(p_size % 28 + 1 AS VARCHAR), 2, '0') || '"^^<xsd:date>' FROM part)""")
+def triples_typed(t):
+    """All six kinds of objects, names looked up in a table of identifiers."""
+    part = t("part")
+    pairs = F.explode(F.array(*[F.struct(F.lit(f"https://p#{p}").alias("predicate"), (F.replace("p_name", F.lit(" "), F.lit("; ")) if p == "prefLabel" else F.expr(x)).alias("value")) for p, x in _TERMS]))
+    rows = part.select(F.when(F.col("p_partkey") == 1, "v").otherwise(F.col("p_partkey").cast("string")).alias("subject"), pairs.alias("e")).select("subject", "e.*")
+    known = part.filter("p_brand not like '%1'").select(F.concat(F.lit("brand:"), "p_brand").alias("identifier"), F.concat(F.lit("https://b/"), "p_brand").alias("entity"))
+    return tri.typed_triples(rows, known, "https://v", "v")
+
+
+@query("""WITH u AS (SELECT p_partkey AS k, p_size, split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', 2) AS w2 FROM part),
+n AS (SELECT w2 AS aligned, min(CASE p_size % 4 WHEN 0 THEN 'genus' WHEN 1 THEN 'species' END) AS res FROM u GROUP BY 1),
+one AS (SELECT w2 AS name, 'A' || min(k) AS id, CASE WHEN min(k) % 2 = 0 THEN 'synonym' ELSE 'accepted' END AS status, min(k) AS k FROM u WHERE k % 3 = 0 GROUP BY 1),
+two AS (SELECT w1 AS name, 'B' || min(k) AS id FROM u GROUP BY 1), two2 AS (SELECT w2 AS name, 'C' || min(k) AS id FROM u WHERE k % 3 = 1 GROUP BY 1),
+m AS (SELECT n.aligned, n.res, split_part(aligned, ' ', 1) AS g, CASE WHEN res = 'genus' THEN split_part(aligned, ' ', 1) ELSE aligned END AS key FROM n)
+SELECT m.aligned AS aligned_name, m.aligned AS taxon_name, coalesce(CASE WHEN one.name IS NOT NULL THEN 'species' END, CASE WHEN two.name IS NOT NULL THEN 'genus' WHEN two2.name IS NOT NULL THEN 'species' END, m.res) AS taxon_rank,
+  CASE WHEN one.name IS NOT NULL THEN 'one' WHEN two.name IS NOT NULL OR two2.name IS NOT NULL THEN 'two' END AS taxonomic_dataset, coalesce(one.status, 'unknown') AS taxonomic_status,
+  CASE WHEN m.res = 'genus' THEN NULL WHEN one.name IS NOT NULL THEN one.id ELSE two2.id END AS taxon_id, m.g AS genus, 'B' || g.k AS taxon_id_genus, al.id AS aligned_name_taxon_id,
+  CASE WHEN m.res = 'genus' THEN NULL ELSE m.aligned END AS binomial
+FROM m LEFT JOIN one ON one.name = m.key LEFT JOIN two ON two.name = m.key LEFT JOIN two2 ON two2.name = m.key LEFT JOIN one al ON al.name = m.aligned LEFT JOIN (SELECT w1, min(k) AS k FROM u GROUP BY 1) g ON g.w1 = m.g
+WHERE coalesce(m.res, one.name, two.name, two2.name) IS NOT NULL""")
+def taxon_list(t):
+    """A list of names built from two reference lists, in order of priority."""
+    from ..operators.taxon_list import build_taxon_list
+
+    k, w1, w2 = F.col("p_partkey"), F.split("p_name", " ")[0], tx.word(F.col("p_name"), 1, 2)
+    part = t("part").select(k.alias("k"), "p_size", w1.alias("w1"), w2.alias("w2"))
+    updates = part.select(F.col("k").cast("string").alias("original_name"), F.col("w2").alias("aligned_name"), F.when(F.col("p_size") % 4 == 0, "genus").when(F.col("p_size") % 4 == 1, "species").alias("taxonomic_resolution"))
+    first = lambda df, name: df.groupBy(F.col(name).alias("canonical_name")).agg(F.min("k").alias("k"))
+    listed = lambda df, mark, rank, status: df.select("canonical_name", F.lit(rank).alias("taxon_rank"), F.col("canonical_name").alias("accepted_name"), F.concat(F.lit(mark), F.col("k").cast("string")).alias("taxon_id"), status.alias("taxonomic_status"), "k")
+    one = listed(first(part.filter("k % 3 = 0"), "w2"), "A", "species", F.when(F.col("k") % 2 == 0, "synonym").otherwise("accepted"))
+    none = F.lit(None).cast("string")
+    two = listed(first(part, "w1"), "B", "genus", none).unionByName(listed(first(part.filter("k % 3 = 1"), "w2"), "C", "species", none))
+    genera = first(part, "w1").select(F.col("canonical_name").alias("genus"), F.concat(F.lit("B"), F.col("k").cast("string")).alias("taxon_id"))
+    nothing = t("region").limit(0).select(none.alias("family"), none.alias("taxon_id"))
+    ranks = t("region").limit(0).select(none.alias("taxon_name"), none.alias("taxon_rank"))
+    out = build_taxon_list(updates, ranks, [("one", one), ("two", two)], genera, nothing, order="k")
+    return out.select("aligned_name", "taxon_name", "taxon_rank", "taxonomic_dataset", "taxonomic_status", "taxon_id", "genus", "taxon_id_genus", "aligned_name_taxon_id", "binomial")
+
+
 _FLAGSHIP_MAPS = [TraitMap("l_quantity", "quantity", "t"), TraitMap("l_extendedprice", "price", "usd"), TraitMap("l_discount", "discount", "ratio"), TraitMap("l_tax", "unlisted", "ratio")]
 
 
@@ -883,7 +930,7 @@ def process_dataset_tables(t):
 
 
 @query("""SELECT 'contributors' AS part, 'Doe' AS a, 'J' AS b, NULL AS c UNION ALL SELECT 'contexts', 'progress', 'finished', '01' UNION ALL SELECT 'contexts', 'progress', 'open', '02'
-  UNION ALL SELECT 'methods', 'price', 'ledger', 'J. Doe (2020) Orders.' UNION ALL SELECT 'methods', 'state', 'asked', 'J. Doe (2020) Orders.'
+  UNION ALL SELECT 'methods', 'price', 'ledger', 'J. Doe. "Orders".   (2020).' UNION ALL SELECT 'methods', 'state', 'asked', 'J. Doe. "Orders".   (2020).'
   UNION ALL SELECT 'locations', n, 'latitude (deg)', v FROM (VALUES ('1-URGENT', '1'), ('2-HIGH', '3'), ('5-LOW', '5')) x(n, v) UNION ALL SELECT 'locations', n, 'longitude (deg)', v FROM (VALUES ('1-URGENT', '2'), ('2-HIGH', '4'), ('5-LOW', '6')) x(n, v)
   UNION ALL SELECT 'locations', '5-LOW', 'unit', 'none'""")
 def process_dataset_details(t):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import re
 from pathlib import Path
+from urllib.parse import quote
 
 import yaml
 
@@ -149,14 +150,57 @@ def from_bibtex_people(bib: dict) -> dict:
     return {k: " and ".join(map(str, v)) if k in ("author", "editor") and isinstance(v, (list, tuple)) else v for k, v in bib.items()}
 
 
+def authors(text: str) -> str:
+    """Names with initials before the family name: ``A. Doe``, ``A. Doe and B. Roe``, ``A. Doe, B. Roe, and C. Poe``.
+
+    Names are given first, are separated by ``and`` or commas.
+    """
+    names = [n.split() for n in re.split(r"\s+and\s+|\s*,\s*", text.strip()) if n]
+    short = [" ".join([*(f"{part[0]}." for part in n[:-1]), n[-1]]) for n in names]
+    if len(short) < 3:
+        return " and ".join(short)
+    return ", ".join(short[:-1]) + ", and " + short[-1]
+
+
+#: What a thesis is called by the type of its entry.
+THESES = {"phdthesis": "PhD thesis", "mastersthesis": "MA thesis", "thesis": None}
+
+
 def citation(bib: dict) -> str:
-    """A citation text: authors (year) title. where, volume(number), pages. DOI."""
-    where = bib.get("journal") or bib.get("booktitle") or bib.get("institution") or bib.get("publisher")
-    volume = (str(bib["volume"]) if bib.get("volume") else "") + (f"({bib['number']})" if bib.get("number") else "")
-    tail = ", ".join(str(x) for x in (where, volume, bib.get("pages")) if x)
-    author = ", ".join(str(bib.get("author", "")).split(" and "))
-    text = f"{author} ({bib.get('year')}) {bib.get('title')}. {tail}".strip()
-    return (text.rstrip(".") + ".") + (f" https://doi.org/{bib['doi']}" if bib.get("doi") else "")
+    """A citation in the form of its type of entry, as markdown; what is missing or unknown is left out."""
+    kind = str(bib.get("bibtype") or "Misc").lower()
+    f = {k: str(v).strip() for k, v in bib.items() if v is not None and str(v).strip().lower() not in ("", "unknown")}
+    quoted, emphasised = (mark + f.get("title", "") + mark for mark in ('"', "_"))
+    pages = f.get("pages", "").replace("--", "-")
+    pages = f"pp. {pages}" if re.search(r"[-,]", pages) else f"p. {pages}" if pages else None
+    listed = lambda *parts: ", ".join(p for p in parts if p)
+    publisher = f.get("institution") or f.get("school") or f.get("publisher")
+    if kind == "article":
+        issue = ".".join(f[k] for k in ("volume", "number") if k in f)
+        where = " ".join(x for x in (f"_{f['journal']}_" if "journal" in f else "", issue, f"({f['year']})" if "year" in f else "") if x)
+        parts = [quoted, "  " + listed(where, pages)]
+    elif kind in ("conference", "inproceedings", "incollection", "inbook"):
+        parts = [quoted, f"In: _{f['booktitle']}_" if "booktitle" in f else None, listed(publisher, f.get("year"), pages)]
+    elif kind == "techreport":
+        parts = [emphasised, "Tech. rep." + (f" {f['number']}." if "number" in f else ""), listed(publisher, f.get("year"), pages)]
+    elif kind in THESES:
+        parts = [quoted, f.get("type") or THESES[kind], listed(publisher, f.get("year"))]
+    elif kind == "unpublished":
+        parts = [quoted, f.get("year")]
+    else:
+        parts = [emphasised, listed(publisher, f.get("year"), pages)]
+    text = " ".join((p if p.endswith(".") else f"{p}.") for p in [authors(f.get("author", "")), *parts] if p and p.strip())
+    for name, link in (("doi", "https://doi.org/{}"), ("url", "{}")):
+        if name in f and not (name == "url" and "doi" in f):
+            target = link.format(quote(f[name], safe="") if name == "doi" else f[name])
+            text += f"  {name}:  [{f[name]}]({target})."
+    return text
+
+
+def citations(entries: list[dict]) -> str | None:
+    """Several citations in one text, separated by semicolons."""
+    texts = [citation(e) for e in entries]
+    return "; ".join([*(t.removesuffix(".") for t in texts[:-1]), texts[-1]]) if texts else None
 
 
 def add_substitution(program: dict, trait: str, find: str, replace: str | None) -> dict:

@@ -21,6 +21,35 @@ def triples(df: DataFrame, subject: Column, predicates: dict[str, str], separato
     return long.select("subject", "predicate", typed_object(F.col("value"), F.col("predicate"), dates).alias("object")).distinct()
 
 
+def typed_triples(rows: DataFrame, identifiers: DataFrame, base: str, name: str, separator: str = "; ") -> DataFrame:
+    """Triples of rows (subject, predicate, value), in which the predicate decides what kind of object a value is.
+
+    ``base`` is the IRI of the vocabulary, whose terms are ``<base#term>``; ``identifiers`` is (identifier, entity): the
+    IRI of each prefixed name (``prefix:name``).  Texts with several values are split.
+
+    - descriptions, labels and comments are English texts;
+    - other values without a colon are terms of the vocabulary, those with one are looked up (``<NA>`` if unknown);
+    - datatypes stand as they are, schemes are the vocabulary itself, dates of creation are typed dates.
+
+    The subject ``name`` is the vocabulary itself.
+    """
+    each = rows.filter("value is not null").select("subject", "predicate", F.explode(F.split("value", separator)).alias("value")).withColumn("value", F.trim("value"))
+    known = identifiers.groupBy(F.col("identifier").alias("_identifier")).agg(F.min("entity").alias("_entity"))
+    each = each.join(known, F.col("value") == F.col("_identifier"), "left")
+    value, predicate = F.col("value"), F.col("predicate")
+    iri = lambda x: F.concat(F.lit("<"), x, F.lit(">"))
+    kind = (
+        F.when(predicate.contains("created"), F.concat(F.lit('"'), value, F.lit('"^^<xsd:date>')))
+        .when(predicate.contains("inScheme"), F.lit(f"<{base}>"))
+        .when(predicate.contains("#datatype"), iri(value))
+        .when(predicate.rlike("description|[Ll]abel|[Cc]omment"), F.concat(F.lit('"'), value, F.lit('"@en')))
+        .when(value.contains(":"), iri(F.coalesce("_entity", F.lit("NA"))))
+        .otherwise(F.concat(F.lit(f"<{base}#"), value, F.lit(">")))
+    )
+    subject = F.when(F.col("subject") == name, F.lit(f"<{base}>")).otherwise(F.concat(F.lit(f"<{base}#"), F.col("subject"), F.lit(">")))
+    return each.select(subject.alias("subject"), iri(predicate).alias("predicate"), kind.alias("object")).distinct()
+
+
 def write_nquads(df: DataFrame, graph: str, path: str) -> None:
     iri = lambda c: F.concat(F.lit("<"), F.col(c), F.lit(">"))
     df.select(F.concat_ws(" ", iri("subject"), iri("predicate"), F.col("object"), F.lit(f"<{graph}>"), F.lit("."))).write.text(path)

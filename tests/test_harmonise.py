@@ -85,7 +85,7 @@ def test_errors_and_links(built):
     assert {(r.identifier_value, r.institution_code) for r in built["identifiers"].collect()} >= {("v1", "HERB")}
     assert [r.last_name for r in built["contributors"].filter("dataset_id = 'Doe_2020'").collect()] == ["Doe"]
     m = built["methods"].filter("dataset_id = 'Doe_2020' and trait_name = 'leaf_area'").first()
-    assert m.method_id == "01" and m.source_primary_citation == "J. Doe, A. Roe (2020) Leaves. Trees, 3, 1-2."
+    assert m.method_id == "01" and m.source_primary_citation == 'J. Doe and A. Roe. "Leaves".   _Trees_ 3 (2020), pp. 1-2.'
     assert {t.taxon_name: t.taxon_rank for t in built["taxa"].collect()}["Banksia serrata"] == "species"
     for name, columns in database.TABLES.items():
         assert name == "taxa" or built[name].columns == columns
