@@ -181,9 +181,10 @@ def eav_to_wide(t):
     return reshape.from_eav(df, ["o_custkey"], ["F", "O"])
 
 
-@query("SELECT * FROM (VALUES ('a', '1'), ('b', NULL), ('c', 'x')) v(key, value)")
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS key, CASE WHEN n_regionkey > 0 THEN n_name END AS value FROM nation")
 def list_to_key_value(t):
-    return reshape.list_to_rows(t("region").sparkSession, {"a": 1, "b": None, "c": "x"})
+    items = {r["n_nationkey"]: r["n_name"] if r["n_regionkey"] > 0 else None for r in reshape.rows_to_records(t("nation"))}
+    return reshape.list_to_rows(t("region").sparkSession, items)
 
 
 @query("SELECT p_partkey, unnest(list_distinct(string_split(p_name, ' '))) AS token FROM part")
@@ -921,6 +922,24 @@ def incremental_build(t):
     return src.read_database(spark, path)["traits"].join(told, "dataset_id", "left").select("dataset_id", F.col("measurement_remarks").alias("o_orderkey"), "value", "change")
 
 
+@query("""SELECT 'set' || (o_custkey % 3) AS dataset_id, CAST(o_orderkey AS VARCHAR) AS o_orderkey, printf('%.15g', CAST(o_totalprice AS DOUBLE) / 100) AS value, lpad(CAST(r AS VARCHAR), CAST(greatest(2, ceil(log10(n))) AS INTEGER), '0') AS observation_id
+  FROM (SELECT *, dense_rank() OVER (PARTITION BY o_custkey % 3 ORDER BY o_orderpriority) AS r FROM orders) JOIN (SELECT o_custkey % 3 AS d, count(DISTINCT o_orderpriority) AS n FROM orders GROUP BY 1) ON d = o_custkey % 3""")
+def streaming_build(t):
+    """Three datasets whose rows arrive in micro-batches, each batch building those that it touches."""
+    from ..streaming import ingest
+    from . import compilation
+
+    orders = t("orders").select(F.concat(F.lit("set"), (F.col("o_custkey") % 3).cast("string")).alias("set"), F.col("o_orderkey").alias("_row"), F.col("o_orderkey").alias("order_key"), F.col("o_orderpriority").alias("taxon"), tx.number_text(F.col("o_totalprice")).alias("total"))
+    spark, path = orders.sparkSession, scratch.new_path(orders.sparkSession)
+    rows = compilation.cells_of(orders, "set")
+    rows.repartition(2, "_row").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    program = {"dataset": {"data_is_long_format": False, "taxon_name": "taxon", "measurement_remarks": "order_key"}, "traits": [{"var_in": "total", "unit_in": "cents", "trait_name": "price", "entity_type": "species", "value_type": "raw"}]}
+    names = [f"set{k}" for k in range(3)]
+    ingest.build_batches(stream, dict.fromkeys(names, ["order_key", "taxon", "total"]), dict.fromkeys(names, program), f"{path}/db", f"{path}/state", {"price": {"type": "numeric", "units": "usd"}}, {"cents-usd": rules.parse_conversion("x/100")}).awaitTermination()
+    return src.read_database(spark, f"{path}/db")["traits"].select("dataset_id", F.col("measurement_remarks").alias("o_orderkey"), "value", "observation_id")
+
+
 @query("""SELECT * FROM (VALUES ('contributors', 1), ('methods', 2), ('contexts', 2), ('identifiers', 0)) v(name, n) UNION ALL SELECT 'locations', 7
   UNION ALL SELECT 'taxonomic_updates', count(DISTINCT o_custkey % 40) - 1 FROM orders UNION ALL SELECT 'traits', count(*) FILTER (o_custkey % 40 <> 3 AND o_totalprice / 100 BETWEEN 20 AND 3000) + count(*) FILTER (o_custkey % 40 <> 3 AND o_orderstatus <> 'P') FROM orders""")
 def process_dataset_tables(t):

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators import rules, taxonomy
 from ..sources import program as prog
-from ..sources.tables import read_database
+from ..sources.tables import file_system, read_database
 from . import compilation
 
 STATE = "_fingerprints"
@@ -62,33 +62,31 @@ def fingerprints(rows: DataFrame, columns: dict[str, list[str]], programs: dict[
 
 def known_fingerprints(spark: SparkSession, path: str) -> dict[str, str]:
     """What the database at a path was built from; nothing if there is none."""
-    if not _files(spark, f"{path}/{STATE}")[0].exists(_files(spark, f"{path}/{STATE}")[1]):
+    files, where = file_system(spark, f"{path}/{STATE}")
+    if not files.exists(where):
         return {}
     return {r["dataset_id"]: r["fingerprint"] for r in spark.read.parquet(f"{path}/{STATE}").collect()}
 
 
-def _files(spark: SparkSession, path: str) -> tuple:
-    """Hadoop's file system of a path, and the path there."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
 def _delete_partitions(spark: SparkSession, table: str, datasets: list[str]) -> None:
     escape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
     for d in datasets:
-        files, where = _files(spark, f"{table}/dataset_id={escape(d)}")
+        files, where = file_system(spark, f"{table}/dataset_id={escape(d)}")
         files.delete(where, True)
 
 
 def update(
     rows: DataFrame, columns: dict[str, list[str]], programs: dict[str, dict], path: str, definitions: dict, conversions: dict[str, rules.Conversion],
-    schema: dict | None = None, taxa: DataFrame | None = None,
+    schema: dict | None = None, taxa: DataFrame | None = None, partial: bool = False,
 ) -> Changes:
-    """Brings the database at ``path`` (see ``sources.tables.write_database``) up to date with rows and programs."""
+    """Brings the database at ``path`` (see ``sources.tables.write_database``) up to date with rows and programs.
+
+    With ``partial``, rows and programs are some datasets' only; the others of the database stay.
+    """
     spark = rows.sparkSession
     now, before = fingerprints(rows, columns, programs, definitions, conversions, schema, taxa), known_fingerprints(spark, path)
     built = sorted(d for d in now if now[d] != before.get(d))
-    gone = sorted(d for d in before if d not in now)
+    gone = [] if partial else sorted(d for d in before if d not in now)
     changes = Changes(built, gone, sorted(d for d in now if d not in built))
     if not built and not gone:
         return changes
@@ -108,7 +106,8 @@ def update(
         listed = taxa.withColumn("_list", F.monotonically_increasing_id())
         names = taxonomy.taxa_table(names, listed, "_list").drop("_list")
     names.distinct().write.mode("overwrite").parquet(f"{path}/taxa")
-    spark.createDataFrame(sorted(now.items()), "dataset_id string, fingerprint string").coalesce(1).write.mode("overwrite").parquet(f"{path}/{STATE}")
+    state = {**before, **now} if partial else now
+    spark.createDataFrame(sorted(state.items()), "dataset_id string, fingerprint string").coalesce(1).write.mode("overwrite").parquet(f"{path}/{STATE}")
     return changes
 
 

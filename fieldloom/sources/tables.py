@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
-from pathlib import Path
-
 import yaml
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -93,24 +90,38 @@ def write_plaintext(db: Database, path: str, one_file: bool = False) -> None:
     """A database as CSV tables (missing values are empty), YAML documents, ``sources.bib`` and ``build_info.md``.
 
     Each table is a folder of parts, which all executors write; with ``one_file``, for small databases, one CSV file.
-    The tables go to ``path`` through Spark; the documents are small and written by the driver.
+    All go to the store of ``path``; the documents are small and written by the driver.
     """
-    if Path(path).exists():
-        shutil.rmtree(path)
-    Path(path).mkdir(parents=True)
+    spark = next(iter(db.tables.values())).sparkSession
+    files, top = file_system(spark, path)
+    files.delete(top, True)
     for name in PLAINTEXT_TABLES:
         if name in db.tables:
             target = f"{path}/{name}.csv"
             table = db[name].coalesce(1) if one_file else db[name]
             table.write.option("header", True).option("emptyValue", "").option("nullValue", "").csv(f"{target}.parts" if one_file else target)
             if one_file:
-                (part,) = Path(f"{target}.parts").glob("part-*.csv")
-                part.rename(target)
-                shutil.rmtree(f"{target}.parts")
+                parts = file_system(spark, f"{target}.parts/part-*.csv")[1]
+                files.rename(files.globStatus(parts)[0].getPath(), file_system(spark, target)[1])
+                files.delete(parts.getParent(), True)
     for name in ("definitions", "schema", "metadata"):
-        Path(path, f"{name}.yml").write_text(yaml.safe_dump(getattr(db, name), sort_keys=False, allow_unicode=True))
-    Path(path, "sources.bib").write_text("\n".join(to_bibtex(s) for s in {s["key"]: s for s in _entries(db.sources)}.values()), encoding="utf-8")
-    Path(path, "build_info.md").write_text("".join(f"- {k}: {v}\n" for k, v in db.build_info.items()), encoding="utf-8")
+        write_document(spark, f"{path}/{name}.yml", yaml.safe_dump(getattr(db, name), sort_keys=False, allow_unicode=True))
+    write_document(spark, f"{path}/sources.bib", "\n".join(to_bibtex(s) for s in {s["key"]: s for s in _entries(db.sources)}.values()))
+    write_document(spark, f"{path}/build_info.md", "".join(f"- {k}: {v}\n" for k, v in db.build_info.items()))
+
+
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system of a path, whatever store that is in, and the path there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def write_document(spark: SparkSession, path: str, text: str) -> None:
+    """A small text as one file of the store."""
+    files, where = file_system(spark, path)
+    out = files.create(where, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
 
 
 def _entries(sources: dict) -> list[dict]:
