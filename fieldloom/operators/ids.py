@@ -57,13 +57,15 @@ def population_ids(df: DataFrame, row: str = "_row") -> DataFrame:
 def individual_ids(df: DataFrame, row: str = "_row") -> DataFrame:
     """individual_id within taxon and population, from the mapped column or, if it is empty, from parsing_id."""
     mapped = df.groupBy(F.col("dataset_id").alias("_d")).agg((F.count("individual_id") > 0).alias("_mapped"))
-    record = Window.partitionBy("dataset_id", "parsing_id")
     df = df.join(mapped, F.col("dataset_id").eqNullSafe(F.col("_d"))).drop("_d")
-    df = df.withColumn("_any", F.bool_or(F.when(F.col("value").isNotNull(), F.col("entity_type").contains("individual"))).over(record))
+    # whether a record has a value of an individual: combined before the shuffle, as a record can be a whole taxon
+    one = F.bool_or(F.when(F.col("value").isNotNull(), F.col("entity_type").contains("individual")))
+    records = df.groupBy(F.col("dataset_id").alias("_d"), F.col("parsing_id").alias("_p")).agg(one.alias("_any"))
+    df = df.join(records, F.col("dataset_id").eqNullSafe(F.col("_d")) & F.col("parsing_id").eqNullSafe(F.col("_p"))).drop("_d", "_p")
     given = F.when(F.col("individual_id").isNull() & (F.col("entity_type") == "individual"), F.col("parsing_id")).otherwise(F.col("individual_id"))
     df = df.withColumn("individual_id", F.when(F.col("_mapped"), given).when(F.col("_any"), F.col("parsing_id")))
     group = ["dataset_id", "taxon_name", "population_id"]
-    df = dense_id(df, F.col("individual_id"), "_code", group, row)
+    df = dense_id(df, F.col("individual_id"), "_code", group, row, many=True)
     code = F.when(F.col("entity_type") == "individual", F.col("_code")).when(F.col("entity_type").isNull(), F.concat(F.lit("entity_unk"), F.col("_code")))
     return df.withColumn("individual_id", code).drop("_mapped", "_any", "_code")
 

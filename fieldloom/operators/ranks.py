@@ -8,12 +8,21 @@ from pyspark.sql import functions as F
 from ..sources.scratch import keep
 
 
+#: So many rows are numbered by one window, as a single task can sort them all, whatever the groups.
+FEW = 200_000
+
+
 def ranked(df: DataFrame, by: list[str], order: list[str], number: str, total: str) -> DataFrame:
     """Adds ``number``, from 1 in ``order`` within each group ``by``, and ``total``, the group's rows (both long).
 
     Rows are dealt to ranges of (group, order), so that no task sorts a whole group; the ranges' numbers of rows,
-    few, are summed.  Rows that are equal in ``order`` may be numbered either way.
+    few, are summed.  Rows that are equal in ``order`` may be numbered either way.  The rows are written first: they are
+    counted, sampled for the ranges and read again.
     """
+    df = keep(df)
+    if df.count() <= FEW:
+        group = Window.partitionBy(*by)
+        return df.withColumn(number, F.row_number().over(group.orderBy(*order)).cast("long")).withColumn(total, F.count("*").over(group))
     spread = keep(df.repartitionByRange(*[F.col(c) for c in [*by, *order]]).withColumn("_part", F.spark_partition_id()))
     counts = spread.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
     group = Window.partitionBy(*by)

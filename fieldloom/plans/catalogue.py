@@ -678,6 +678,26 @@ def report_edit_distance(t):
     return reports.name_changes(t("part"), "p_brand", "p_type")
 
 
+@query(f"SELECT DISTINCT CASE event_type WHEN 'click' THEN 'habit' END AS trait_name, CASE WHEN event_id % 7 = 0 THEN 'café' WHEN event_id % 7 = 1 THEN 'small steel' WHEN event_id % 7 = 2 THEN 'YYNN' WHEN event_id % 7 = 3 THEN 'yyyynnnnyyyy' WHEN event_id % 7 = 4 THEN '12x' ELSE CAST(user_id AS VARCHAR) END AS value FROM ({_SQL['error_lattice']}) JOIN events USING (event_id) WHERE error = 'Unsupported trait value'")
+def report_unaligned(t):
+    return reports.unaligned_values(_lattice(t))
+
+
+@query("SELECT c_custkey AS location_id, c_name AS location_name, c_mktsegment AS soil, CASE WHEN c_nationkey % 2 = 0 THEN CAST(c_nationkey AS VARCHAR) END AS rain FROM customer")
+def report_more_properties(t):
+    wide = t("customer").select(F.col("c_custkey").alias("location_id"), F.col("c_name").alias("location_name"), F.col("c_acctbal").alias("latitude (deg)"), F.col("c_mktsegment").alias("soil"), F.when(F.col("c_nationkey") % 2 == 0, F.col("c_nationkey")).alias("rain"))
+    long = reshape.to_eav(wide, ["location_id", "location_name"], ["latitude (deg)", "soil", "rain"], "location_property")
+    return reports.more_properties(long, ["latitude (deg)", "longitude (deg)", "description"], ["latitude (deg)", "soil", "rain"])
+
+
+@query("""SELECT 'd' || n_regionkey AS dataset_id, 'letter' AS context_property, 'plot_context' AS category, string_agg(n_name || '=' || lower(n_name) || ':' || (n_nationkey % 3 + 1), '; ' ORDER BY n_name) AS listed, CAST(count(*) AS INTEGER) AS n_values FROM nation GROUP BY n_regionkey""")
+def report_contexts(t):
+    ids_used = F.when(F.col("n_nationkey") % 3 == 0, "01").when(F.col("n_nationkey") % 3 == 1, "01, 02").otherwise("01, 02, 05")
+    rows = t("nation").select(F.concat(F.lit("d"), F.col("n_regionkey").cast("string")).alias("dataset_id"), F.lit("letter").alias("context_property"), F.lit("plot_context").alias("category"), F.col("n_name").alias("value"), F.lower("n_name").alias("description"), ids_used.alias("link_vals"))
+    listed = F.array_join(F.transform("values", lambda v: F.concat(v["value"], F.lit("="), v["description"], F.lit(":"), v["n_ids"].cast("string"))), "; ")
+    return reports.contexts_by_property(rows).select("dataset_id", "context_property", "category", listed.alias("listed"), "n_values")
+
+
 # --- validation, triples, pipeline
 
 @query("SELECT DISTINCT c_mktsegment AS value FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')")

@@ -90,7 +90,12 @@ def pivot_duplicates(traits: DataFrame, keys: list[str] = PIVOT_KEYS) -> DataFra
     return traits.groupBy(*dict.fromkeys([*keys, "trait_name"])).agg(F.count("*").alias("number_of_duplicates")).filter("number_of_duplicates > 1")
 
 
-def pivots_wider(traits: DataFrame, keys: list[str] = PIVOT_KEYS) -> bool:
+#: What tells values of a trait apart in a wide table.
+WIDE_KEYS = "dataset_id observation_id value_type repeat_measurements_id method_id method_context_id".split()
+
+
+def pivots_wider(traits: DataFrame, keys: list[str] = WIDE_KEYS) -> bool:
+    """Whether each trait has one value at most for the keys of a row of a wide table."""
     return pivot_duplicates(traits, keys).isEmpty()
 
 

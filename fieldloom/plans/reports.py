@@ -78,3 +78,24 @@ def unmatched_taxa(names: DataFrame, taxa: DataFrame, columns: list[str]) -> Dat
 def undescribed(metadata: DataFrame) -> DataFrame:
     """(key, value) rows of a program's descriptions that are still to be written."""
     return metadata.filter(F.col("value") == "unknown")
+
+
+def unaligned_values(excluded: DataFrame, error: str = "Unsupported trait value") -> DataFrame:
+    """The different values of each trait that aren't among its allowed ones."""
+    return excluded.filter(F.col("error") == error).select("trait_name", "value").distinct()
+
+
+def more_properties(locations: DataFrame, main: list[str], properties: list[str]) -> DataFrame:
+    """Locations with a column for each of the properties that aren't ``main``; those without any are left out.
+
+    The properties are given (a program lists them), so that the data isn't read to find them.
+    """
+    rest = [p for p in properties if p not in main]
+    wide = locations.filter(F.col("location_property").isin(rest)).groupBy("location_id", "location_name")
+    return wide.agg(*[F.max(F.when(F.col("location_property") == p, F.col("value"))).alias(p) for p in rest])
+
+
+def contexts_by_property(contexts: DataFrame) -> DataFrame:
+    """Each context property with its values and what they mean, sorted, as one list; and how many ids use them."""
+    one = F.struct("value", "description", F.size(F.split("link_vals", ", ")).alias("n_ids"))
+    return contexts.groupBy("dataset_id", "context_property", "category").agg(F.array_sort(F.collect_list(one)).alias("values")).withColumn("n_values", F.size("values"))

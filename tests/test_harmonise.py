@@ -191,7 +191,9 @@ def test_outline(spark):
     assert database.outline(db) == "taxa\n├── a\n└── b\nnone" and database.tree("t", ["y"], "  ") == ["  t", "  └── y"]
 
 
-def test_ranks_in_ranges(spark):
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_ranks_in_ranges(spark, monkeypatch, few):
+    monkeypatch.setattr(ranks, "FEW", few)
     data = [("a" if k % 3 else None, k * 7919 % 1000) for k in range(1000)]
     got = ranks.ranked(spark.createDataFrame(data, "g string, x long").repartition(5), ["g"], ["x"], "n", "all").collect()
     for g in ("a", None):
