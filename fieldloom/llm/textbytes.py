@@ -11,9 +11,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-# tasks' large buffers go back to the system when they are done with, and are not kept for later ones
-pa.set_memory_pool(pa.system_memory_pool())
-
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
