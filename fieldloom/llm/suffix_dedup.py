@@ -249,6 +249,7 @@ def resolve(table: pa.Table) -> pa.Table:
     target = np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())
     joined = np.zeros(int((size + 1).sum()), np.int16)
     joined[target] = data[source].astype(np.int16) + 1
+    del source, target, data, texts, h, bounds, ends, which  # the sorting below is what takes most memory
     order = suffix_array(joined)
     windows = size - SPAN + 1
     begin = np.cumsum(windows) - windows
@@ -261,6 +262,7 @@ def resolve(table: pa.Table) -> pa.Table:
     owner = np.repeat(lowest, size + 1)
     earliest = np.zeros(len(joined), np.int64)
     earliest[order] = np.minimum.reduceat(owner[order], np.flatnonzero(~alike))[group]
+    del order, group, owner, alike, inside
 
     # windows of all places; those go whose string starts in a smaller document
     place_block = np.repeat(np.arange(len(rows)), [len(x) for x in rows])

@@ -17,12 +17,14 @@ import numpy as np
 WIDE = 1024
 #: Symbols that substrings are compared one by one, all at once; the few longer ones are compared whole.
 STEPWISE = 64
+#: Suffixes whose common prefixes are computed at once.
+AT_ONCE = 1 << 20
 
 
 def _s_types(t: np.ndarray) -> np.ndarray:
     """Which suffixes are S; the last symbol is smaller than all others and alone."""
     step = t[1:] - t[:-1]
-    at = np.where(step != 0, np.arange(len(step)), len(step))
+    at = np.where(step != 0, np.arange(len(step), dtype=np.int32), np.int32(len(step)))
     nearest = np.minimum.accumulate(at[::-1])[::-1]
     return np.append(step[nearest] > 0, True)
 
@@ -151,16 +153,17 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     """Starts of the suffixes of a string of small non-negative integers, in order; a prefix comes first."""
     if not len(t):
         return np.zeros(0, np.int64)
-    t = np.append(t.astype(np.int64) + 1, 0)
-    sigma = int(t.max()) + 1
-    induce = _induce_singly if sigma > WIDE else _induce
-    t = t if sigma > WIDE else t.astype(np.int16)
+    sigma = int(t.max()) + 2
+    induce, kind = (_induce_singly, np.int64) if sigma > WIDE else (_induce, np.int16)
+    t = np.append(t.astype(kind) + kind(1), kind(0))
     small = _s_types(t)
     leftmost = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     order = induce(t, small, leftmost, sigma)
+    # what follows holds a few numbers a symbol; each goes as soon as the next step has what it needs
     place = np.zeros(len(t), bool)
     place[leftmost] = True
     by_substring = order[place[order]]
+    del order, place
     # substrings run from one leftmost-S position to the next; equal ones get one name
     lengths = np.zeros(len(t), np.int64)
     lengths[leftmost] = np.diff(np.append(leftmost, len(t) - 1)) + 1
@@ -170,7 +173,9 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     name = np.zeros(len(t), np.int64)
     name[by_substring] = np.cumsum(np.concatenate(([0], ~same)))
     names = name[leftmost]
+    del lengths, name, same, a, b
     if names.max(initial=0) < len(leftmost) - 1:
+        del by_substring
         leftmost = leftmost[suffix_array(names)]
     else:
         leftmost = by_substring
@@ -182,16 +187,18 @@ def common_with_previous(text: np.ndarray, order: np.ndarray, length: int) -> np
 
     Computed in text order (permuted), eight bytes at a time; all suffixes must have that many bytes.
     """
-    before = np.full(len(text), -1, np.int64)
+    before = np.full(len(text), -1, np.int32)
     before[order[1:]] = order[:-1]
-    at = np.flatnonzero(before >= 0)
+    every = np.flatnonzero(before >= 0)
     padded = np.concatenate((text, np.zeros(8, np.uint8)))
     words = np.ndarray((len(text),), "<u8", padded, strides=(1,))
     tail = np.uint64((1 << (8 * (length % 8))) - 1)
-    for k in range(0, length, 8):
-        mine, other = words[at + k], words[before[at] + k]
-        same = (mine ^ other) & tail == 0 if k + 8 > length else mine == other
-        at = at[same]
     reaches = np.zeros(len(text), bool)
-    reaches[at] = True
+    for low in range(0, len(every), AT_ONCE):
+        at = every[low : low + AT_ONCE]
+        for k in range(0, length, 8):
+            mine, other = words[at + k], words[before[at] + k]
+            same = (mine ^ other) & tail == 0 if k + 8 > length else mine == other
+            at = at[same]
+        reaches[at] = True
     return reaches[order]
