@@ -9,13 +9,14 @@ strings of SPAN bytes always meet, and only those that can have an equal:
    with those that another document has too.
 2. Runs.  Consecutive windows with one anchor are a run.  Blocks send the text of the runs whose anchor is
    shared to the anchor's shard, each different text once, with all places where it stands.
-3. Suffix arrays.  A shard joins its texts into one string and sorts its suffixes by induced sorting.
+3. Suffix arrays.  A shard takes its texts in parts of bounded size, again by their anchors, joins each part's into
+   one string and sorts its suffixes by induced sorting.
    Permuted common prefixes of SPAN bytes tell which suffixes begin alike, and the smallest doc_id among those
    decides which windows go.  Shards reply with byte ranges, and blocks cut them.
 
 Skew: blocks are dealt by hashes of doc_id; exact copies of a smaller document are found first (by counts of
 content hashes), go whole and take no part; a block sends repeated text once; an anchor that very many blocks
-share is dealt on by single windows.  Blocks and shards have bounded sizes, so memory doesn't grow with the
+share is dealt on by single windows.  Blocks, shards and parts have bounded sizes, so memory doesn't grow with the
 corpus.
 
 Strings are told apart by 64-bit hashes of their bytes (as sums of powers, mixed), which isn't proof against texts made
@@ -43,6 +44,8 @@ from .suffixes import common_with_previous, suffix_array
 SPAN, GRAM = 50, 20
 #: Bytes of text of a block and of a shard, about.
 BLOCK_BYTES, SHARD_BYTES = 3 << 20, 8 << 20
+#: Bytes of different texts that a shard sorts at once, about; the sorting takes some 30 bytes of memory for each.
+PART_BYTES = 1 << 20
 #: Blocks that share an anchor before its windows are dealt one by one.
 HOT_BLOCKS = 2000
 LAST = (1 << 63) - 1
@@ -111,6 +114,11 @@ def _shard(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h & _LOW) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
+def _part(h: np.ndarray) -> np.ndarray:
+    """Of a shard's 256 parts; the lowest bits, which choose neither the anchor nor the shard."""
+    return (h & np.uint64(0xFF)).astype(np.uint8)
+
+
 def _short(h: np.ndarray) -> np.ndarray:
     """The upper 48 bits; the lower ones choose the shard."""
     return h >> np.uint64(16)
@@ -148,7 +156,7 @@ def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
 
 _ASKS = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("single", pa.binary()), ("several", pa.binary())])
 _REPLY = pa.schema([("block", pa.int32()), ("shared", pa.binary()), ("hot", pa.binary())])
-_RUNS = pa.schema([("shard", pa.int32()), ("block", pa.int32()), *[(x, pa.binary()) for x in ("lengths", "texts", "counts", "ids", "rows", "starts")]])
+_RUNS = pa.schema([("shard", pa.int32()), ("block", pa.int32()), *[(x, pa.binary()) for x in ("lengths", "texts", "parts", "counts", "ids", "rows", "starts")]])
 _RANGES = pa.schema([("block", pa.int32()), ("rows", pa.binary()), ("starts", pa.binary()), ("ends", pa.binary())])
 
 
@@ -212,27 +220,53 @@ def send_runs(docs: pa.Table, right: pa.Table, shards: int) -> pa.Table:
         g = np.where(warm, text, g)
     shard = _shard(g, shards)
     order = np.lexsort((block.ids[row] if len(row) else row, text, shard))
-    shard, text, start, end, row = shard[order], text[order], start[order], end[order], row[order]
+    shard, g, text, start, end, row = shard[order], g[order], text[order], start[order], end[order], row[order]
     raw, number, out = block.data, docs.column("_block")[0].as_py(), []
     for s, a, b in _cuts(shard):
         first = np.flatnonzero(np.diff(text[a:b], prepend=text[a : a + 1] + np.uint64(1))) + a
         counts = np.diff(np.append(first, b))
         size = end[first] - start[first]
         source = np.repeat(start[first] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        packed = (size.astype("<i4"), raw[source], counts.astype("<i4"), block.ids[row[a:b]].astype("<i8"), row[a:b].astype("<i4"), (start[a:b] - block.offsets[row[a:b]]).astype("<i4"))
+        packed = (size.astype("<i4"), raw[source], _part(g[first]), counts.astype("<i4"), block.ids[row[a:b]].astype("<i8"), row[a:b].astype("<i4"), (start[a:b] - block.offsets[row[a:b]]).astype("<i4"))
         out.append((s, number, *[x.tobytes() for x in packed]))
     return _table(_RUNS, out)
 
 
+def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each row, n of them."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def earliest(data: np.ndarray, start: np.ndarray, size: np.ndarray, lowest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts, by where they start in ``data``: places in one string, and by place the smallest doc_id that has the window there.
+
+    ``lowest``: the smallest doc_id that has each text.
+    """
+    # one string: the texts, each followed by a separator below all bytes
+    at = np.cumsum(size + 1) - size - 1
+    joined = np.zeros(int((size + 1).sum()), np.int16)
+    joined[_spread(at, size)] = data[_spread(start, size)].astype(np.int16) + 1
+    order = suffix_array(joined)
+    inside = np.zeros(len(joined), bool)
+    inside[_spread(at, size - SPAN + 1)] = True
+    order = order[inside[order]]
+    alike = common_with_previous(np.maximum(joined - 1, 0).astype(np.uint8), order, SPAN)
+    alike[:1] = False
+    owner = np.repeat(lowest, size + 1)
+    out = np.zeros(len(joined), np.int64)
+    out[order] = np.minimum.reduceat(owner[order], np.flatnonzero(~alike))[np.cumsum(~alike) - 1]
+    return at, out
+
+
 def resolve(table: pa.Table) -> pa.Table:
     """Step 3, shard: the byte ranges that go, for each block."""
     get = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
-    lengths, texts, counts, ids, rows, starts = (get(n, k) for n, k in (("lengths", "<i4"), ("texts", np.uint8), ("counts", "<i4"), ("ids", "<i8"), ("rows", "<i4"), ("starts", "<i4")))
+    lengths, texts, parts, counts, ids, rows, starts = (get(n, k) for n, k in (("lengths", "<i4"), ("texts", np.uint8), ("parts", np.uint8), ("counts", "<i4"), ("ids", "<i8"), ("rows", "<i4"), ("starts", "<i4")))
     sizes = np.concatenate(lengths).astype(np.int64)
     data = np.concatenate(texts)
-    ends = np.cumsum(sizes)
+    del texts
+    bounds = np.append(0, np.cumsum(sizes))
     h = np.zeros(len(sizes), np.uint64)
-    bounds = np.append(ends - sizes, ends[-1:])
     for low, high in tb.slices(bounds, 1 << 20):
         base = bounds[low]
         h[low:high] = tb.span_hashes(data[base : bounds[high]], bounds[low:high] - base, bounds[low + 1 : high + 1] - base)
@@ -241,45 +275,31 @@ def resolve(table: pa.Table) -> pa.Table:
     place_id = np.concatenate(ids)
     lowest = np.full(len(first), LAST, np.int64)
     np.minimum.at(lowest, place_text, place_id)
+    del h, which, counts, ids
 
-    # one string: the different texts, each followed by a separator below all bytes
-    size = sizes[first]
-    at = np.cumsum(size + 1) - size - 1
-    source = np.repeat((ends - sizes)[first] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    target = np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    joined = np.zeros(int((size + 1).sum()), np.int16)
-    joined[target] = data[source].astype(np.int16) + 1
-    del source, target, data, texts, h, bounds, ends, which  # the sorting below is what takes most memory
-    order = suffix_array(joined)
-    windows = size - SPAN + 1
-    begin = np.cumsum(windows) - windows
-    inside = np.zeros(len(joined), bool)
-    inside[np.repeat(at - begin, windows) + np.arange(windows.sum())] = True
-    order = order[inside[order]]
-    alike = common_with_previous(np.maximum(joined - 1, 0).astype(np.uint8), order, SPAN)
-    alike[:1] = False
-    group = np.cumsum(~alike) - 1
-    owner = np.repeat(lowest, size + 1)
-    earliest = np.zeros(len(joined), np.int64)
-    earliest[order] = np.minimum.reduceat(owner[order], np.flatnonzero(~alike))[group]
-    del order, group, owner, alike, inside
-
-    # windows of all places; those go whose string starts in a smaller document
-    place_block = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    n = windows[place_text]
+    # parts of the shard, as many at once as make up a string of some size; equal windows are in one part
+    part, size, source = np.concatenate(parts)[first], sizes[first], bounds[:-1][first]
     out = []
-    edges = np.cumsum(n)
-    for low, high in tb.slices(np.append(0, edges), 1 << 21):
-        own = slice(low, high)
-        k = n[own]
-        offset = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-        goes = earliest[np.repeat(at[place_text[own]], k) + offset] < np.repeat(place_id[own], k)
-        head = goes & ((offset == 0) | ~np.concatenate(([False], goes[:-1])))
-        tail = goes & np.concatenate((~goes[1:] | (offset[1:] == 0), [True]))
-        place = np.repeat(np.arange(low, high), k)[head]
-        out.append((place, offset[head], offset[tail] + SPAN))
+    for least, after in tb.slices(np.append(0, np.cumsum(np.bincount(part, size, 256).astype(np.int64))), PART_BYTES):
+        mine = (part >= least) & (part < after)
+        if not mine.any():
+            continue
+        at = np.zeros(len(size), np.int64)
+        at[mine], ids = earliest(data, source[mine], size[mine], lowest[mine])
+        # windows of all places; those go whose string starts in a smaller document
+        places = np.flatnonzero(mine[place_text])
+        windows = size[place_text[places]] - SPAN + 1
+        for low, high in tb.slices(np.append(0, np.cumsum(windows)), 1 << 19):
+            own, k = places[low:high], windows[low:high]
+            offset = _spread(np.zeros(len(k), np.int64), k)
+            goes = ids[_spread(at[place_text[own]], k)] < np.repeat(place_id[own], k)
+            head = goes & ((offset == 0) | ~np.concatenate(([False], goes[:-1])))
+            tail = goes & np.concatenate((~goes[1:] | (offset[1:] == 0), [True]))
+            out.append((np.repeat(own, k)[head], offset[head], offset[tail] + SPAN))
     place, start, end = (np.concatenate(x) for x in zip(*out))
-    block = place_block[place]
+    order = np.argsort(place, kind="stable")
+    place, start, end = place[order], start[order], end[order]
+    block = np.repeat(np.arange(len(rows)), [len(x) for x in rows])[place]
     row, base = np.concatenate(rows)[place], np.concatenate(starts)[place]
     blocks = table.column("block").to_pylist()
     return _table(_RANGES, [(blocks[b], row[a:z].astype("<i4").tobytes(), (base[a:z] + start[a:z]).astype("<i4").tobytes(), (base[a:z] + end[a:z]).astype("<i4").tobytes()) for b, a, z in _cuts(block)])

@@ -105,3 +105,45 @@ def test_suffix_array(seed):
     draw = random.Random(seed)
     s = [draw.randint(0, draw.choice([1, 2, 5, 200, 5000])) for _ in range(draw.randint(0, 150))]
     assert suffixes.suffix_array(np.array(s, np.int64)).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+
+
+def shard(docs):
+    """All runs of blocks of documents, as one shard gets them."""
+    import pyarrow as pa
+
+    blocks = [pa.table({"doc_id": [d for d, _ in b], "text": [t for _, t in b], "_content": [hashlib.md5(t.encode()).digest() for _, t in b], "_block": pa.array([n] * len(b), pa.int32())}) for n, b in enumerate(docs)]
+    right = pa.schema([("doc_id", pa.int64()), ("_content", pa.binary()), ("shared", pa.binary()), ("hot", pa.binary())])
+    asks = pa.concat_tables([suffix_dedup.ask(b, right.empty_table(), 1) for b in blocks])
+    replies = {r["block"]: r for r in suffix_dedup.reply(asks, 2000).to_pylist()}
+    beside = lambda n: pa.Table.from_pylist([{"shared": replies[n]["shared"], "hot": replies[n]["hot"]}] if n in replies else [], right)
+    return pa.concat_tables([suffix_dedup.send_runs(b, beside(n), 1) for n, b in enumerate(blocks)])
+
+
+def ranges(table):
+    out = set()
+    for r in table.to_pylist():
+        out |= {(r["block"], *x) for x in zip(*(np.frombuffer(r[c], "<i4").tolist() for c in ("rows", "starts", "ends")))}
+    return out
+
+
+def test_a_shard_is_sorted_in_parts(monkeypatch):
+    """An executor was stopped over its memory; a shard was sorted whole, and the sorting takes most of it."""
+    draw = random.Random(5)
+    passages = ["".join(draw.choices("abcdefgh ", k=1000)) for _ in range(60)]
+    runs = shard([[(1000 * b + k, p + str(b) + passages[-k]) for k, p in enumerate(passages)] for b in range(2)])
+    lengths = []
+    sort = suffix_dedup.suffix_array
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda t: lengths.append(len(t)) or sort(t))
+    whole = ranges(suffix_dedup.resolve(runs))
+    assert len(lengths) == 1 and len(whole) > 100
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 1 << 15, raising=False)
+    assert ranges(suffix_dedup.resolve(runs)) == whole
+    assert sum(lengths[1:]) == lengths[0] and max(lengths[1:]) < 1.2 * (1 << 15)
+
+
+def test_parts_of_one_anchor_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 1)
+    monkeypatch.setattr(suffix_dedup, "HOT_BLOCKS", 2)
+    data = repeats(6)[:40]
+    got = suffix_dedup.remove_repeats(corpus.frame(spark, data), with_text=False)
+    assert key((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == key(plain(data))
