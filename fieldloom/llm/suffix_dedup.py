@@ -182,14 +182,18 @@ def reply(table: pa.Table, hot_blocks: int) -> pa.Table:
     """Step 1, shard: to each block the hashes that other rows have too, and those that very many blocks have."""
     singles = [_unpack48(x) for x in table.column("single").to_pylist()]
     several = [_unpack48(x) for x in table.column("several").to_pylist()]
-    g, count = np.unique(np.concatenate(singles + several), return_counts=True)
-    shared = g[(count > 1) | np.isin(g, np.concatenate(several))]
-    hot = g[count > hot_blocks]
+    # all blocks' hashes are looked up at once: to go through a shard's hashes for each block takes blocks x shards x their size
+    every = np.concatenate(singles + several)
+    g, which, count = np.unique(every, return_inverse=True, return_counts=True)
+    bounds = np.cumsum([0] + [len(x) for x in singles + several])
+    shared, hot = count > 1, count > hot_blocks
+    shared[which[bounds[len(singles)] :]] = True
+    shared, hot = shared[which], hot[which] if hot.any() else None
     out = []
-    for block, mine, more in zip(table.column("block").to_pylist(), singles, several):
-        own = mine[np.isin(mine, shared)]
-        warm = np.concatenate((mine, more))
-        warm = warm[np.isin(warm, hot)] if len(hot) else hot
+    for k, block in enumerate(table.column("block").to_pylist()):
+        mine, more = (slice(bounds[n], bounds[n + 1]) for n in (k, len(singles) + k))
+        own = every[mine][shared[mine]]
+        warm = own[:0] if hot is None else np.concatenate([every[x][hot[x]] for x in (mine, more)])
         if len(own) or len(warm):
             out.append((block, _pack48(own), _pack48(warm)))
     return _table(_REPLY, out)

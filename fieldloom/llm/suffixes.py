@@ -1,7 +1,8 @@
 """Suffix arrays by induced sorting, in vector steps, and permuted common prefixes.
 
 Suffixes are L (greater than the next one) or S; S suffixes after an L are leftmost-S, and sorting those
-induces the order of all others in two linear passes.  A pass takes each bucket (one first symbol) in one step:
+induces the order of all others in two linear passes.  They are sorted by the names of their substrings, which are
+told apart as packed integers (long ones by such passes too).  A pass takes each bucket (one first symbol) in one step:
 the suffixes that were put there, and those inside the runs of that symbol that they end (ordered by their distance
 from the run's end), put their predecessors into their buckets at once, in order.  So a run of millions of one
 symbol costs no more than its length.
@@ -17,6 +18,8 @@ import numpy as np
 WIDE = 1024
 #: Symbols that substrings are compared one by one, all at once; the few longer ones are compared whole.
 STEPWISE = 64
+#: Times that substrings are compared by as many symbols as go into 64 bits; if some are alike beyond, they are sorted by induction.
+ROUNDS = 16
 #: Suffixes whose common prefixes are computed at once.
 AT_ONCE = 1 << 20
 
@@ -149,6 +152,54 @@ def _equal_spans(t: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarra
     return same
 
 
+def _by_substring(t: np.ndarray, leftmost: np.ndarray, lengths: np.ndarray, sigma: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Leftmost-S suffixes in the order of their substrings, and which differ from the one before; None if long ones are alike.
+
+    Substrings are packed into integers, as many symbols as go into 64 bits at a time; those that are alike so far go on.
+    One that ends is greater than one that goes on: its last symbol is S, the other's L.
+    """
+    bits = int(sigma).bit_length()
+    many, past = 64 // bits, np.int64((1 << bits) - 1)
+    padded = np.append(t, np.zeros(many, t.dtype))
+
+    def packed(rows: np.ndarray, done: int) -> np.ndarray:
+        out, at, left = np.zeros(len(rows), np.uint64), leftmost[rows] + done, lengths[rows] - done
+        at = np.where(left > 0, at, 0)
+        for k in range(many):
+            out = (out << np.uint64(bits)) | np.where(left > k, padded[at + k], past).astype(np.uint64)
+        return out
+
+    by = np.argsort(first := packed(np.arange(len(leftmost)), 0))
+    first = first[by]
+    new = np.append(True, first[1:] != first[:-1])
+    places = np.arange(len(by))
+    for done in range(many, many * ROUNDS + 1, many):
+        alike = ~new[places]
+        alike[:-1] |= ~new[places[1:]] & (places[1:] == places[:-1] + 1)
+        places = places[alike]
+        places = places[lengths[by[places]] >= done]
+        if not len(places):
+            return by, new
+        rows, group = by[places], np.cumsum(new[places])
+        key = packed(rows, done)
+        order = np.lexsort((key, group))
+        by[places], key = rows[order], key[order]
+        new[places[1:]] |= key[1:] != key[:-1]
+    return None
+
+
+def _by_induction(t: np.ndarray, leftmost: np.ndarray, lengths: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same from an order of all suffixes that is induced from the leftmost-S ones, whatever the lengths."""
+    number = np.full(len(t), -1, np.int64)
+    number[leftmost] = np.arange(len(leftmost))
+    by = number[order]
+    by = by[by >= 0]
+    a, b = by[:-1], by[1:]
+    same = (lengths[a] == lengths[b]) & (lengths[a] > 1)
+    same[same] = _equal_spans(t, leftmost[a[same]], leftmost[b[same]], lengths[a[same]])
+    return by, np.append(True, ~same)
+
+
 def suffix_array(t: np.ndarray) -> np.ndarray:
     """Starts of the suffixes of a string of small non-negative integers, in order; a prefix comes first."""
     if not len(t):
@@ -158,27 +209,17 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     t = np.append(t.astype(kind) + kind(1), kind(0))
     small = _s_types(t)
     leftmost = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    order = induce(t, small, leftmost, sigma)
-    # what follows holds a few numbers a symbol; each goes as soon as the next step has what it needs
-    place = np.zeros(len(t), bool)
-    place[leftmost] = True
-    by_substring = order[place[order]]
-    del order, place
     # substrings run from one leftmost-S position to the next; equal ones get one name
-    lengths = np.zeros(len(t), np.int64)
-    lengths[leftmost] = np.diff(np.append(leftmost, len(t) - 1)) + 1
-    a, b = by_substring[:-1], by_substring[1:]
-    same = (lengths[a] == lengths[b]) & (lengths[a] > 1)
-    same[same] = _equal_spans(t, a[same], b[same], lengths[a[same]])
-    name = np.zeros(len(t), np.int64)
-    name[by_substring] = np.cumsum(np.concatenate(([0], ~same)))
-    names = name[leftmost]
-    del lengths, name, same, a, b
+    lengths = np.diff(np.append(leftmost, len(t) - 1)) + 1
+    by, new = _by_substring(t, leftmost, lengths, sigma) or _by_induction(t, leftmost, lengths, induce(t, small, leftmost, sigma))
+    del lengths
+    names = np.zeros(len(leftmost), np.int64)
+    names[by] = np.cumsum(new) - 1
     if names.max(initial=0) < len(leftmost) - 1:
-        del by_substring
+        del by, new
         leftmost = leftmost[suffix_array(names)]
     else:
-        leftmost = by_substring
+        leftmost = leftmost[by]
     return induce(t, small, leftmost, sigma)[1:]
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -147,3 +148,46 @@ def test_parts_of_one_anchor_match_brute_force(spark, monkeypatch):
     data = repeats(6)[:40]
     got = suffix_dedup.remove_repeats(corpus.frame(spark, data), with_text=False)
     assert key((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == key(plain(data))
+
+
+def test_a_shard_looks_up_all_blocks_hashes_at_once():
+    """The CPU time was over its budget; for each block, a shard went through the hashes of all blocks."""
+    import time
+
+    import pyarrow as pa
+
+    draw = np.random.default_rng(7)
+    pool = np.unique(draw.integers(0, 1 << 48, 1 << 18).astype(np.uint64))
+    blocks = [np.unique(draw.choice(pool, 200)) for _ in range(2000)]
+    table = pa.table({"block": pa.array(range(2000), pa.int32()), "single": [suffix_dedup._pack48(x[:150]) for x in blocks], "several": [suffix_dedup._pack48(x[150:]) for x in blocks]})
+    began = time.process_time()
+    got = {r["block"]: r for r in suffix_dedup.reply(table, 8).to_pylist()}
+    assert time.process_time() - began < 5  # 0.07 here; 63 with a pass for each block
+    count = Counter(np.concatenate(blocks).tolist())
+    several = set(np.concatenate([x[150:] for x in blocks]).tolist())
+    for k, x in enumerate(blocks):
+        own = [h for h in x[:150].tolist() if count[h] > 1 or h in several]
+        warm = [h for h in x.tolist() if count[h] > 8]
+        assert suffix_dedup._unpack48(got[k]["shared"]).tolist() == own
+        assert suffix_dedup._unpack48(got[k]["hot"]).tolist() == warm
+
+
+def test_a_string_is_induced_once(monkeypatch):
+    """The CPU time was over its budget; each string was induced twice, the first time for its substrings' names only."""
+    draw = random.Random(8)
+    t = np.frombuffer(" ".join(corpus.sentence(draw, 12) for _ in range(60)).encode(), np.uint8).astype(np.int64)
+    want = sorted(range(len(t)), key=lambda i: t[i:].tolist())
+    lengths = []
+    for name in ("_induce", "_induce_singly"):
+        monkeypatch.setattr(suffixes, name, lambda t, *rest, work=getattr(suffixes, name): lengths.append(len(t)) or work(t, *rest))
+    assert suffixes.suffix_array(t).tolist() == want
+    assert len(lengths) == len(set(lengths)) > 1
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 2])
+def test_long_substrings_are_named_by_induction(monkeypatch, rounds):
+    monkeypatch.setattr(suffixes, "ROUNDS", rounds, raising=False)
+    draw = np.random.default_rng(rounds)
+    for trial in range(60):
+        t = np.tile(np.repeat(draw.integers(0, [3, 200, 5000][trial % 3], 12), draw.integers(1, 40, 12)), 3)
+        assert suffixes.suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())  # noqa: B023
