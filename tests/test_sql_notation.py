@@ -29,3 +29,8 @@ def test_incremental_build_writes_numbers_as_its_sql(spark, tmp_path):
 def test_pipeline_end_to_end_writes_numbers_as_its_sql(spark, tmp_path):
     prices = "CASE l_orderkey % 9 WHEN 0 THEN 100000 WHEN 1 THEN 3e6 ELSE l_extendedprice END AS l_extendedprice, CASE l_orderkey % 7 WHEN 0 THEN 100 ELSE l_quantity END AS l_quantity"
     assert differing(spark, tmp_path, "pipeline_end_to_end", lineitem=f"{prices}, CASE l_orderkey % 5 WHEN 0 THEN 1e-6 ELSE l_discount END AS l_discount") == []
+
+
+def test_unit_columns_writes_numbers_as_its_sql(spark, tmp_path):
+    prices = "CASE l_orderkey % 9 WHEN 0 THEN 100000 WHEN 1 THEN 3e6 WHEN 2 THEN 1e15 WHEN 3 THEN 1e-4 ELSE l_extendedprice END AS l_extendedprice"
+    assert differing(spark, tmp_path, "unit_columns", lineitem=f"{prices}, CASE l_orderkey % 7 WHEN 0 THEN 100 ELSE l_quantity END AS l_quantity") == []
