@@ -34,3 +34,9 @@ def test_pipeline_end_to_end_writes_numbers_as_its_sql(spark, tmp_path):
 def test_unit_columns_writes_numbers_as_its_sql(spark, tmp_path):
     prices = "CASE l_orderkey % 9 WHEN 0 THEN 100000 WHEN 1 THEN 3e6 WHEN 2 THEN 1e15 WHEN 3 THEN 1e-4 ELSE l_extendedprice END AS l_extendedprice"
     assert differing(spark, tmp_path, "unit_columns", lineitem=f"{prices}, CASE l_orderkey % 7 WHEN 0 THEN 100 ELSE l_quantity END AS l_quantity") == []
+
+
+def test_wide_to_long_writes_numbers_as_its_sql(spark, tmp_path):
+    prices = "CASE l_orderkey % 9 WHEN 0 THEN 100000 WHEN 1 THEN 3e6 WHEN 2 THEN 1e15 WHEN 3 THEN 123456789012345678 WHEN 4 THEN 1e-5 ELSE l_extendedprice END AS l_extendedprice"
+    discounts = "CASE l_orderkey % 7 WHEN 0 THEN 1e-4 WHEN 1 THEN -2e5 ELSE l_discount END AS l_discount"
+    assert differing(spark, tmp_path, "wide_to_long", lineitem=f"{prices}, {discounts}") == []
