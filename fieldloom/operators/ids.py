@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_in, pad_id, paste
+from ..sources.scratch import keep
 from .ranks import ranked
 
 POPULATION_ENTITIES = ["individual", "population", "metapopulation"]
@@ -18,28 +19,37 @@ OBSERVATION_KEY = ["taxon_name", "population_id", "individual_id", "temporal_con
 REPEAT_KEY = ["dataset_id", "observation_id", "trait_name", "value_type", "method_id", "method_context_id"]
 
 
-def dense_id(df: DataFrame, key: Column, name: str, by: list[str], first_seen: str | None = None, prefix: str = "", where: Column | None = None, many: bool = False, source: DataFrame | None = None) -> DataFrame:
+def dense_id(df: DataFrame, key: Column, name: str, by: list[str], first_seen: str | None = None, prefix: str = "", where: Column | None = None, many: bool = False, source: DataFrame | None = None, sparse: bool = False) -> DataFrame:
     """Adds ``name``: the padded number of each row's key among the keys of its group.
 
     Keys are numbered in order of their text or, with ``first_seen`` (a column that orders rows), of their
     first row.  Rows outside ``where`` count for the numbering only if where is None, and get no id.
     The keys are those of ``source``, if given: the same rows, read more cheaply (several ids of one written frame then
-    don't compute each other).
+    don't compute each other).  With ``sparse``, rows without a key don't take part in the join: in it all of them would
+    meet in few tasks.
     """
     text = key.cast("string") if where is None else F.when(where, key.cast("string"))
     keyed = None if source is None else source.withColumn("_key", text)
     df = df.withColumn("_key", text)
-    order = F.min(first_seen) if first_seen else F.min("_key")
-    keys = (df if keyed is None else keyed).filter(F.col("_key").isNotNull()).groupBy(*by, "_key").agg(order.alias("_order"))
+    keys = (df if keyed is None else keyed).filter(F.col("_key").isNotNull())
+    keys = keys.groupBy(*by, "_key").agg(F.min(first_seen).alias("_order")) if first_seen else keys.select(*by, "_key").distinct().withColumn("_order", F.col("_key"))
     if many:
         keys = ranked(keys, by, ["_order"], "_id", "_n")
     else:
+        keys = keep(keys)  # few: read back, Spark knows their size when it plans the join
         window = Window.partitionBy(*by)
         keys = keys.withColumn("_id", F.row_number().over(window.orderBy("_order"))).withColumn("_n", F.count("*").over(window))
     keys = keys.select(*[F.col(b).alias(f"_by_{b}") for b in by], F.col("_key").alias("_key2"), F.concat(F.lit(prefix), pad_id(F.col("_id"), F.col("_n"))).alias("_new"))
-    same = [F.col(b).eqNullSafe(F.col(f"_by_{b}")) for b in by] + [F.col("_key") == F.col("_key2")]
-    out = df.join(keys, same, "left").withColumn(name, F.col("_new"))
-    return out.drop("_key", "_key2", "_new", *[f"_by_{b}" for b in by])
+    own = [f"_by_{b}" for b in by]
+    same = [F.col(b).eqNullSafe(F.col(o)) for b, o in zip(by, own)] + [F.col("_key") == F.col("_key2")]
+    if many:
+        # rows are sorted for the join by a hash first: long texts that start alike are slow to compare
+        keys = keys.withColumn("_mark2", F.xxhash64(*own, "_key2"))
+        df, same = df.withColumn("_mark", F.xxhash64(*by, "_key")), [F.col("_mark") == F.col("_mark2"), *same]
+    out = (df.filter("_key is not null") if sparse else df).join(keys, same, "left").drop("_key2", "_mark2", *own)
+    if sparse:
+        out = out.unionByName(df.filter("_key is null").withColumn("_new", F.lit(None).cast("string")))
+    return out.withColumn(name, F.col("_new")).drop("_key", "_new", "_mark")
 
 
 def population_ids(df: DataFrame, row: str = "_row") -> DataFrame:
@@ -56,18 +66,27 @@ def population_ids(df: DataFrame, row: str = "_row") -> DataFrame:
 
 def individual_ids(df: DataFrame, row: str = "_row") -> DataFrame:
     """individual_id within taxon and population, from the mapped column or, if it is empty, from parsing_id."""
-    mapped = df.groupBy(F.col("dataset_id").alias("_d")).agg((F.count("individual_id") > 0).alias("_mapped"))
-    df = df.join(mapped, F.col("dataset_id").eqNullSafe(F.col("_d"))).drop("_d")
-    # whether a record has a value of an individual: combined before the shuffle, as a record can be a whole taxon
-    one = F.bool_or(F.when(F.col("value").isNotNull(), F.col("entity_type").contains("individual")))
-    records = df.groupBy(F.col("dataset_id").alias("_d"), F.col("parsing_id").alias("_p")).agg(one.alias("_any"))
-    df = df.join(records, F.col("dataset_id").eqNullSafe(F.col("_d")) & F.col("parsing_id").eqNullSafe(F.col("_p"))).drop("_d", "_p")
-    given = F.when(F.col("individual_id").isNull() & (F.col("entity_type") == "individual"), F.col("parsing_id")).otherwise(F.col("individual_id"))
-    df = df.withColumn("individual_id", F.when(F.col("_mapped"), given).when(F.col("_any"), F.col("parsing_id")))
+    entity, nowhere = F.col("entity_type"), F.col("population_id").isNull()
+    # of rows without a population only those of datasets where one of them gets a code count for the numbering
+    coded = nowhere & (entity.isNull() | (entity == "individual"))
+    about = keep(df.groupBy(F.col("dataset_id").alias("_d")).agg((F.count("individual_id") > 0).alias("_mapped"), F.bool_or(coded).alias("_coded")))
+    df = df.join(about, F.col("dataset_id").eqNullSafe(F.col("_d"))).drop("_d")
+    # a record counts that has a value of an individual; most rows show it themselves, the others look for their record
+    shown = F.coalesce(F.col("value").isNotNull() & entity.contains("individual"), F.lit(False))
+    counts, asks = ~nowhere | F.col("_coded"), ~F.col("_mapped") & ~shown
+    given = F.when(F.col("individual_id").isNull() & (entity == "individual"), F.col("parsing_id")).otherwise(F.col("individual_id"))
+    one = F.when(F.col("_mapped"), given).when(shown, F.col("parsing_id"))
+    asking = df.filter(counts & asks)
+    out = df.withColumn("individual_id", F.when(counts, one))
+    if not asking.isEmpty():
+        # combined before the shuffle, as a record can be a whole taxon
+        records = df.filter(~F.col("_mapped") & shown).select(F.col("dataset_id").alias("_d"), F.col("parsing_id").alias("_p")).distinct().withColumn("_any", F.lit(True))
+        asking = asking.join(records, F.col("dataset_id").eqNullSafe(F.col("_d")) & F.col("parsing_id").eqNullSafe(F.col("_p")), "left")
+        out = out.filter(~(counts & asks)).unionByName(asking.withColumn("individual_id", F.when(F.col("_any"), F.col("parsing_id"))).drop("_d", "_p", "_any"))
     group = ["dataset_id", "taxon_name", "population_id"]
-    df = dense_id(df, F.col("individual_id"), "_code", group, row, many=True)
+    df = dense_id(out, F.col("individual_id"), "_code", group, row, many=True, sparse=True)
     code = F.when(F.col("entity_type") == "individual", F.col("_code")).when(F.col("entity_type").isNull(), F.concat(F.lit("entity_unk"), F.col("_code")))
-    return df.withColumn("individual_id", code).drop("_mapped", "_any", "_code")
+    return df.withColumn("individual_id", code).drop("_mapped", "_coded", "_code")
 
 
 def observation_ids(df: DataFrame) -> DataFrame:

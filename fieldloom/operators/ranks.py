@@ -23,11 +23,12 @@ def ranked(df: DataFrame, by: list[str], order: list[str], number: str, total: s
     if df.count() <= FEW:
         group = Window.partitionBy(*by)
         return df.withColumn(number, F.row_number().over(group.orderBy(*order)).cast("long")).withColumn(total, F.count("*").over(group))
-    spread = keep(df.repartitionByRange(*[F.col(c) for c in [*by, *order]]).withColumn("_part", F.spark_partition_id()))
-    counts = spread.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
+    # sorted within its range, a row's number there is that of the increasing id
+    spread = keep(df.repartitionByRange(*[F.col(c) for c in [*by, *order]]).sortWithinPartitions(*by, *order).withColumn("_place", F.monotonically_increasing_id()))
+    spread = spread.withColumn("_part", F.shiftright("_place", 33))
+    counts = keep(spread.groupBy(*by, "_part").agg(F.count("*").alias("_n"), F.min("_place").alias("_first")))
     group = Window.partitionBy(*by)
     before = F.coalesce(F.sum("_n").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select(*[F.col(b).alias(f"_by_{b}") for b in by], F.col("_part").alias("_range"), before.alias("_before"), F.sum("_n").over(group).alias(total))
-    own = spread.withColumn("_own", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)))
-    same = [F.col(b).eqNullSafe(F.col(f"_by_{b}")) for b in by] + [F.col("_part") == F.col("_range")]
-    return own.join(counts, same).withColumn(number, F.col("_before") + F.col("_own")).select(*df.columns, number, total)
+    counts = counts.select(*[F.col(b).alias(f"_by_{b}") for b in by], F.col("_part").alias("_range"), (before - F.col("_first") + 1).alias("_before"), F.sum("_n").over(group).alias(total))
+    same = [F.col("_part") == F.col("_range")] + [F.col(b).eqNullSafe(F.col(f"_by_{b}")) for b in by]
+    return spread.join(keep(counts), same).withColumn(number, F.col("_before") + F.col("_place")).select(*df.columns, number, total)

@@ -6,23 +6,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_in, standardise_name, word
+from ..sources.scratch import keep, rule_table
 from .reshape import first_per_key
 from .rules import compose
 
 
-def update_names(df: DataFrame, updates: list[tuple[str, str, str | None]]) -> DataFrame:
+#: So many different names are standardised once each and sent to all tasks; of more, each row's is.
+FEW_NAMES = 100_000
+
+
+def update_names(df: DataFrame, updates: list[tuple[str, str, str | None]], source: DataFrame | None = None) -> DataFrame:
     """original_name, updated taxon_name and taxonomic_resolution by updates (find, replace, resolution).
 
     Updates apply in sequence; names that none hits are standardised, but only if there are updates at all.
+    ``source`` has the same names, read more cheaply.
     """
     df = df.withColumn("original_name", F.col("taxon_name"))
     if not updates or any(u[0] is None for u in updates):
         return df.withColumn("taxonomic_resolution", F.lit(None).cast("string"))
     rows = [(k, name, updates[last][2]) for k, (name, last) in compose([(f, r) for f, r, _ in updates]).items()]
-    table = df.sparkSession.createDataFrame(rows, "_find string, _to string, _resolution string")
+    table = rule_table(df.sparkSession, rows, "_find string, _to string, _resolution string")
     out = df.join(table, F.col("taxon_name") == F.col("_find"), "left")
-    hit = F.col("_find").isNotNull()
-    return out.withColumns({"taxon_name": F.when(hit, F.col("_to")).otherwise(standardise_name(F.col("taxon_name"))), "taxonomic_resolution": F.col("_resolution")}).drop("_find", "_to", "_resolution")
+    hit, standard = F.col("_find").isNotNull(), standardise_name(F.col("taxon_name"))
+    if source is not None:
+        names = keep(source.select(F.col("taxon_name").alias("_name")).filter("_name is not null").distinct())
+        if names.count() <= FEW_NAMES:
+            names = F.broadcast(names.withColumn("_standard", standardise_name(F.col("_name"))))
+            out, standard = out.join(names, F.col("taxon_name") == F.col("_name"), "left"), F.col("_standard")
+    return out.withColumns({"taxon_name": F.when(hit, F.col("_to")).otherwise(standard), "taxonomic_resolution": F.col("_resolution")}).drop("_find", "_to", "_resolution", "_name", "_standard")
 
 
 def accept_names(df: DataFrame, taxa: DataFrame) -> DataFrame:
@@ -46,8 +57,7 @@ def taxonomic_updates_table(df: DataFrame, taxa: DataFrame | None, excluded: lis
     """The different name changes of a dataset, with the list's ids, without names that were excluded."""
     rows = df.select("dataset_id", "original_name", F.col("taxon_name").alias("aligned_name"), "taxonomic_resolution").distinct()
     if excluded:
-        spark = df.sparkSession
-        gone = spark.createDataFrame([(x,) for x in excluded], "n string").select(standardise_name(F.col("n")).alias("aligned_name")).distinct()
+        gone = rule_table(df.sparkSession, [(x,) for x in excluded], "n string").select(standardise_name(F.col("n")).alias("aligned_name")).distinct()
         rows = rows.join(gone, "aligned_name", "left_anti").select(*rows.columns)
     return with_list(rows, taxa)
 

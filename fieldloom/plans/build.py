@@ -31,7 +31,7 @@ def dictionary_frame(spark: SparkSession, definitions: dict) -> DataFrame:
         levels = d.get("allowed_values_levels")
         number = lambda k: None if d.get(k) is None else float(d[k])  # noqa: B023, E731
         rows.append((name, d.get("type"), d.get("units"), number("allowed_values_min"), number("allowed_values_max"), [str(k) for k in levels] if levels else None))
-    return spark.createDataFrame(rows, rules.DICTIONARY)
+    return scratch.rule_table(spark, rows, rules.DICTIONARY)
 
 
 def trait_maps(program: dict) -> list[TraitMap]:
@@ -44,6 +44,11 @@ def vocabulary(schema: dict) -> tuple[str, ...]:
     return tuple(dict.fromkeys([*ENTITY_TYPES, *VALUE_TYPES, *VALUE_BASES, *RECORD_BASES, *[v for s in schema.values() if isinstance(s, dict) for v in (s.get("values") or {})]]))
 
 
+def gives(program: dict, field: str) -> bool:
+    """Whether a program gives a field at all, for its dataset or for a trait."""
+    return any(x.get(field) is not None for x in [program.get("dataset") or {}, *(program.get("traits") or [])])
+
+
 @dataclass(frozen=True)
 class Parsed:
     """A dataset's rows as they are before flags and units, one a measurement, and its contexts."""
@@ -53,6 +58,7 @@ class Parsed:
     long: DataFrame
     contexts: DataFrame
     maps: list[TraitMap]
+    absent: tuple[str, ...] = ()  # fields that the program doesn't give, of which the rows have nulls only
 
 
 @dataclass(frozen=True)
@@ -96,7 +102,7 @@ def parse_dataset(spark: SparkSession, dataset_id: str, data: DataFrame, program
     long = long.withColumn("value", F.lower("value"))
 
     # contexts on the long frame: all values are mapped, then the categories' ids are made of the written rows
-    links, in_use = None, {}
+    links, in_use, absent = None, {}, [f for f in DATASET_FIELDS if not gives(program, f)]
     table = spark.createDataFrame(context_rules, ctx.CONTEXT_COLUMNS)
     for category in ctx.CATEGORIES:
         properties = {c["var_in"]: c["context_property"] for c in program.get("contexts") or [] if c["category"] == category}
@@ -105,20 +111,22 @@ def parse_dataset(spark: SparkSession, dataset_id: str, data: DataFrame, program
             in_use[category] = properties
         else:
             long = long.withColumn(f"{category}_id", F.lit(None).cast("string"))
-    long = scratch.keep(long) if in_use else long
+            absent.append(f"{category}_id")
+    long = scratch.keep(long, absent) if in_use else long
     written = long
     for category, properties in in_use.items():
         for v in properties:  # a context without values takes those of the data
             if not any(r[3] == v and (r[4] is not None or r[5] is not None) for r in context_rules):
                 found = ctx.values_from_data(written, v, "_order")
                 table = table.filter(F.col("var_in") != v).unionByName(found.select(F.lit(dataset_id).alias("dataset_id"), F.lit(properties[v]).alias("context_property"), F.lit(category).alias("category"), F.lit(v).alias("var_in"), F.col("value").alias("find"), "value", F.lit(None).cast("string").alias("description"), F.lit(0).alias("rule")))
-        long = ctx.map_contexts(long, table, list(properties))
     if in_use:
-        table, written = scratch.keep(table), scratch.keep(long)
-        long = written
+        table = scratch.keep(table)
+        for properties in in_use.values():
+            long = ctx.map_contexts(long, table, list(properties))
+        long = written = scratch.keep(long, absent)
         for category, properties in in_use.items():
             long = ctx.context_ids(long, category, [f"{v}_mapped" for v in properties], written)
-        long = scratch.keep(long)
+        long = scratch.keep(long, absent)
         for category, properties in in_use.items():
             own_links = ctx.context_links(long, category, {f"{v}_mapped": p for v, p in properties.items()}, "_order")
             links = own_links if links is None else links.unionByName(own_links)
@@ -126,7 +134,7 @@ def parse_dataset(spark: SparkSession, dataset_id: str, data: DataFrame, program
 
     long = rules.substitute(long, [(s["trait_name"], s["find"], s["replace"]) for s in program.get("substitutions") or []])
 
-    return Parsed(dataset_id, program, long, contexts, maps)
+    return Parsed(dataset_id, program, long, contexts, maps, tuple(absent))
 
 
 def process_parsed(parsed: Parsed, definitions: dict, conversions: dict[str, rules.Conversion], filter_missing: bool = True) -> Processed:
@@ -136,42 +144,52 @@ def process_parsed(parsed: Parsed, definitions: dict, conversions: dict[str, rul
     dictionary = dictionary_frame(spark, {k: v for k, v in definitions.items() if k in mapped})
 
     # locations
+    absent = {*parsed.absent, "location_id"}
     places = [(dataset_id, str(n), str(p), None if v is None else str(v)) for n, ps in (program.get("locations") or {}).items() for p, v in (ps or {}).items()]
     if len(places) <= 1:
         places = []
     locations = ctx.locations_table(spark.createDataFrame(places, "dataset_id string, location_name string, location_property string, value string"))
     if places:
-        long = ctx.attach_locations(long, locations)
+        long = ctx.attach_locations(long, F.broadcast(locations))
+        absent.discard("location_id")
         over = [f for f in LOCATION_FIELDS if any(p == f for _, _, p, _ in places)]
         if over:
-            long = ctx.override_by_location(long, locations, over)
+            long = ctx.override_by_location(long, F.broadcast(locations), over)
+            absent -= set(over)
             locations = locations.filter(~F.col("location_property").isin(over))
     else:
         long = long.withColumn("location_id", F.lit(None).cast("string"))
 
     # flags, units, ids, names
+    absent |= {c for c in TABLES["traits"] if c not in long.columns} - {"unit"}
     long = long.withColumns({c: F.lit(None).cast("string") for c in TABLES["traits"] if c not in long.columns})
     long = rules.with_dictionary(long, dictionary)
     excluded = [(e["variable"], e["find"], e.get("reason")) for e in program.get("exclude_observations") or []]
     long = long.withColumn("error", rules.value_error(rules.flag_excluded(long, excluded, mapped)))
     long = rules.convert_units(long, conversions).withColumn("error", rules.range_error(F.col("error")))
+    # what is needed from here on: rows are written and shuffled several times
+    needed = {*TABLES["traits"], "location_name", "_row", "_order", "trait_index", "parsing_id", "error", "methods", *[i["var_in"] for i in program.get("identifiers") or []]}
+    long = long.drop(*[c for c in long.columns if c not in needed])
     # ids build on each other: each starts from written rows, so that none computes those before it again
-    long = ids.population_ids(scratch.keep(long), "_order")
-    long = ids.individual_ids(scratch.keep(long), "_order")
-    long = ids.observation_ids(scratch.keep(long.withColumn("original_name", F.lit(None).cast("string"))))
-    flagged = F.col("repeat_measurements_id").cast("string").isin("TRUE", "True", "true")
-    long = ids.repeat_measurement_ids(long, flagged, "_order")
+    long = ids.population_ids(scratch.keep(long, absent), "_order")
+    long = ids.individual_ids(scratch.keep(long, absent - {"population_id"}), "_order")
+    absent -= {"population_id", "individual_id"}
+    written = scratch.keep(long.withColumn("original_name", F.lit(None).cast("string")), absent | {"original_name"})
+    long = ids.observation_ids(written)
+    if gives(program, "repeat_measurements_id"):
+        flagged = F.col("repeat_measurements_id").cast("string").isin("TRUE", "True", "true")
+        long = ids.repeat_measurement_ids(long, flagged, "_order")
     updates = [(rules.rule_text(u["find"]), rules.rule_text(u["replace"]), u.get("taxonomic_resolution")) for u in program.get("taxonomic_updates") or []]
-    long = taxonomy.update_names(long, updates)
+    long = taxonomy.update_names(long, updates, written)
     long = long.withColumn("value", F.when(F.col("error").isNull(), separate_and_sort(F.col("value"))).otherwise(F.col("value")))
     long = long.withColumn("value_type", F.when(is_in(F.col("value_type"), VALUE_TYPES), F.col("value_type")))
 
     listed = spark.createDataFrame([(dataset_id, m.trait_name, m.methods, k) for k, m in enumerate(maps) if m.trait_name] or [], "dataset_id string, trait_name string, methods string, _row int")
     methods = ids.method_ids(listed)
     renamed = methods.select(*[F.col(c).alias(f"_m_{c}") for c in methods.columns])
-    long = long.drop("method_id").join(renamed, (F.col("trait_name") == F.col("_m_trait_name")) & F.col("methods").eqNullSafe(F.col("_m_methods")), "left").withColumn("method_id", F.col("_m_method_id"))
+    long = long.drop("method_id").join(F.broadcast(renamed), (F.col("trait_name") == F.col("_m_trait_name")) & F.col("methods").eqNullSafe(F.col("_m_methods")), "left").withColumn("method_id", F.col("_m_method_id"))
     # all tables below fan out from these rows: written once, so that a compilation holds none in memory
-    long = scratch.keep(long.drop(*[c for c in long.columns if c.startswith("_m_")]))
+    long = scratch.keep(long.drop(*[c for c in long.columns if c.startswith("_m_")]), absent - {"observation_id", "method_id", "original_name"})
     return Processed(parsed, long, methods, locations, filter_missing)
 
 

@@ -134,7 +134,7 @@ def specification(dataset_id: str, program: dict, columns: list[str], terms: tup
 
 
 def _rows(spark: SparkSession, rows: list, columns: str) -> DataFrame:
-    return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns.split()))
+    return scratch.rule_table(spark, rows, ", ".join(f"{c} string" for c in columns.split()))
 
 
 def substitution_rows(spark: SparkSession, programs: dict[str, dict]) -> DataFrame:
@@ -196,7 +196,7 @@ def measurements(rows: DataFrame, specifications: DataFrame) -> DataFrame:
     """One row per row and trait map of its dataset: fields, value, contexts by category, identifiers; see ``build.process_dataset``."""
     spec = specifications.withColumnRenamed("dataset_id", "_d")
     fields = [*DATASET_FIELDS, "taxon_name"]
-    df = rows.join(spec, F.col("dataset_id") == F.col("_d"))
+    df = rows.join(F.broadcast(spec), F.col("dataset_id") == F.col("_d"))
     df = df.select(
         "dataset_id", "_row", "cells", "is_long", "maps", "contexts", "context_rules", *[_taken(F.col("cells"), F.col("fields")[f]).alias(f) for f in fields],
         F.col("fields")["individual_id"]["column"].isNotNull().alias("_given"), F.try_element_at("cells", "trait_column").alias("_trait"), F.try_element_at("cells", "value_column").alias("_value"),
@@ -282,9 +282,9 @@ def compile_datasets(
     places = [(d, str(n), str(k), rules.rule_text(v)) for d, p in programs.items() for n, ps in (p.get("locations") or {}).items() for k, v in (ps or {}).items()]
     several = {d for d in programs if sum(p[0] == d for p in places) > 1}
     locations = ctx.locations_table(_rows(spark, [p for p in places if p[0] in several], "dataset_id location_name location_property value"))
-    long = ctx.attach_locations(long, locations)
+    long = ctx.attach_locations(long, F.broadcast(locations))
     if over := [f for f in LOCATION_FIELDS if any(p[2] == f and p[0] in several for p in places)]:
-        long = ctx.override_by_location(long, locations, over)
+        long = ctx.override_by_location(long, F.broadcast(locations), over)
         locations = locations.filter(~F.col("location_property").isin(over))
 
     long = long.withColumns({c: F.lit(None).cast("string") for c in TABLES["traits"] if c not in long.columns})
@@ -297,7 +297,7 @@ def compile_datasets(
     long = ids.observation_ids(scratch.keep(long.withColumn("original_name", F.lit(None).cast("string"))))
     flagged = F.col("repeat_measurements_id").cast("string").isin("TRUE", "True", "true")
     long = ids.repeat_measurement_ids(long, flagged, "_order")
-    updated = spark.createDataFrame([(s[0], s[9]) for s in specs], "_d string, _updated boolean")
+    updated = scratch.rule_table(spark, [(s[0], s[9]) for s in specs], "_d string, _updated boolean")
     long = update_names(long, update_rows(spark, programs), updated)
     long = long.withColumn("value", F.when(F.col("error").isNull(), separate_and_sort(F.col("value"))).otherwise(F.col("value")))
     long = long.withColumn("value_type", F.when(is_in(F.col("value_type"), VALUE_TYPES), F.col("value_type")))
@@ -307,7 +307,7 @@ def compile_datasets(
     found = methods.select(*[F.col(c).alias(f"_{c}") for c in methods.columns])
     numbers = listed.join(found, (F.col("dataset_id") == F.col("_dataset_id")) & (F.col("trait_name") == F.col("_trait_name")) & F.col("methods").eqNullSafe(F.col("_methods")))
     numbers = numbers.select(F.col("dataset_id").alias("_d"), F.col("_row").alias("_k"), F.col("_method_id").alias("_method"))
-    long = long.join(numbers, (F.col("dataset_id") == F.col("_d")) & (F.col("trait_index") == F.col("_k")), "left").withColumn("method_id", F.col("_method")).drop("_d", "_k", "_method")
+    long = long.join(F.broadcast(numbers), (F.col("dataset_id") == F.col("_d")) & (F.col("trait_index") == F.col("_k")), "left").withColumn("method_id", F.col("_method")).drop("_d", "_k", "_method")
     long = scratch.keep(long)
     if filter_missing:
         long = long.filter(F.coalesce(F.col("error") != rules.MISSING_VALUE, F.lit(True)))
