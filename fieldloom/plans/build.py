@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from ..operators import ids, reshape, rules, taxonomy
 from ..operators.reshape import TraitMap, column_or_constant, conform
 from ..sources import program as prog
 from ..sources import scratch
-from .database import ENTITY_TYPES, RECORD_BASES, TABLES, VALUE_BASES, VALUE_TYPES, Database, bind_databases, value_type_order
+from .database import ENTITY_TYPES, RECORD_BASES, TABLES, VALUE_BASES, VALUE_TYPES, Database, LaterTables, bind_databases, value_type_order
 
 #: Fields that a program may give for a whole dataset or for a trait.
 DATASET_FIELDS = "entity_type value_type basis_of_value replicates basis_of_record life_stage source_id measurement_remarks collection_date individual_id location_name repeat_measurements_id unit_in".split()
@@ -101,7 +102,7 @@ def parse_dataset(spark: SparkSession, dataset_id: str, data: DataFrame, program
         long = long.withColumn("_order", F.col("trait_index").cast("long") * (1 << 40) + F.col("_row"))
     long = long.withColumn("value", F.lower("value"))
 
-    # contexts on the long frame: all values are mapped, then the categories' ids are made of the written rows
+    # contexts on the long frame, which is written once: values are mapped, then the categories' ids are made, by small tables
     links, in_use, absent = None, {}, [f for f in DATASET_FIELDS if not gives(program, f)]
     table = spark.createDataFrame(context_rules, ctx.CONTEXT_COLUMNS)
     for category in ctx.CATEGORIES:
@@ -123,10 +124,9 @@ def parse_dataset(spark: SparkSession, dataset_id: str, data: DataFrame, program
         table = scratch.keep(table)
         for properties in in_use.values():
             long = ctx.map_contexts(long, table, list(properties))
-        long = written = scratch.keep(long, absent)
+        written = long
         for category, properties in in_use.items():
             long = ctx.context_ids(long, category, [f"{v}_mapped" for v in properties], written)
-        long = scratch.keep(long, absent)
         for category, properties in in_use.items():
             own_links = ctx.context_links(long, category, {f"{v}_mapped": p for v, p in properties.items()}, "_order")
             links = own_links if links is None else links.unionByName(own_links)
@@ -137,6 +137,38 @@ def parse_dataset(spark: SparkSession, dataset_id: str, data: DataFrame, program
     return Parsed(dataset_id, program, long, contexts, maps, tuple(absent))
 
 
+class ProcessedLater:
+    """The same as ``Processed``, but the rows are harmonised only when they are asked for."""
+
+    def __init__(self, parsed: Parsed, definitions: dict, conversions: dict[str, rules.Conversion], filter_missing: bool) -> None:
+        self.parsed, self.filter_missing, self._rest = parsed, filter_missing, (definitions, conversions)
+        self.methods, self.locations = program_methods(parsed.long.sparkSession, parsed), program_locations(parsed.long.sparkSession, parsed)
+
+    @cached_property
+    def long(self) -> DataFrame:
+        return process_parsed(self.parsed, *self._rest, self.filter_missing).long
+
+
+PLACES = "dataset_id string, location_name string, location_property string, value string"
+
+
+def listed_places(dataset_id: str, program: dict) -> list[tuple]:
+    """(dataset_id, location, property, value) of a program that describes more than one property."""
+    places = [(dataset_id, str(n), str(p), None if v is None else str(v)) for n, ps in (program.get("locations") or {}).items() for p, v in (ps or {}).items()]
+    return places if len(places) > 1 else []
+
+
+def program_locations(spark: SparkSession, parsed: Parsed) -> DataFrame:
+    """The locations table; properties that replace fields of the measurements are not in it."""
+    locations = ctx.locations_table(spark.createDataFrame(listed_places(parsed.dataset_id, parsed.program), PLACES))
+    return locations.filter(~F.col("location_property").isin(LOCATION_FIELDS))
+
+
+def program_methods(spark: SparkSession, parsed: Parsed) -> DataFrame:
+    listed = [(parsed.dataset_id, m.trait_name, m.methods, k) for k, m in enumerate(parsed.maps) if m.trait_name]
+    return ids.method_ids(spark.createDataFrame(listed, "dataset_id string, trait_name string, methods string, _row int"))
+
+
 def process_parsed(parsed: Parsed, definitions: dict, conversions: dict[str, rules.Conversion], filter_missing: bool = True) -> Processed:
     """Locations, flags, units, ids, name updates."""
     dataset_id, program, long, maps = parsed.dataset_id, parsed.program, parsed.long, parsed.maps
@@ -145,10 +177,8 @@ def process_parsed(parsed: Parsed, definitions: dict, conversions: dict[str, rul
 
     # locations
     absent = {*parsed.absent, "location_id"}
-    places = [(dataset_id, str(n), str(p), None if v is None else str(v)) for n, ps in (program.get("locations") or {}).items() for p, v in (ps or {}).items()]
-    if len(places) <= 1:
-        places = []
-    locations = ctx.locations_table(spark.createDataFrame(places, "dataset_id string, location_name string, location_property string, value string"))
+    places = listed_places(dataset_id, program)
+    locations = ctx.locations_table(spark.createDataFrame(places, PLACES))
     if places:
         long = ctx.attach_locations(long, F.broadcast(locations))
         absent.discard("location_id")
@@ -156,7 +186,6 @@ def process_parsed(parsed: Parsed, definitions: dict, conversions: dict[str, rul
         if over:
             long = ctx.override_by_location(long, F.broadcast(locations), over)
             absent -= set(over)
-            locations = locations.filter(~F.col("location_property").isin(over))
     else:
         long = long.withColumn("location_id", F.lit(None).cast("string"))
 
@@ -184,47 +213,47 @@ def process_parsed(parsed: Parsed, definitions: dict, conversions: dict[str, rul
     long = long.withColumn("value", F.when(F.col("error").isNull(), separate_and_sort(F.col("value"))).otherwise(F.col("value")))
     long = long.withColumn("value_type", F.when(is_in(F.col("value_type"), VALUE_TYPES), F.col("value_type")))
 
-    listed = spark.createDataFrame([(dataset_id, m.trait_name, m.methods, k) for k, m in enumerate(maps) if m.trait_name] or [], "dataset_id string, trait_name string, methods string, _row int")
-    methods = ids.method_ids(listed)
+    methods = program_methods(spark, parsed)
     renamed = methods.select(*[F.col(c).alias(f"_m_{c}") for c in methods.columns])
     long = long.drop("method_id").join(F.broadcast(renamed), (F.col("trait_name") == F.col("_m_trait_name")) & F.col("methods").eqNullSafe(F.col("_m_methods")), "left").withColumn("method_id", F.col("_m_method_id"))
     # all tables below fan out from these rows: written once, so that a compilation holds none in memory
     long = scratch.keep(long.drop(*[c for c in long.columns if c.startswith("_m_")]), absent - {"observation_id", "method_id", "original_name"})
-    return Processed(parsed, long, methods, locations, filter_missing)
+    return Processed(parsed, long, methods, program_locations(spark, parsed), filter_missing)
 
 
-def finish_dataset(processed: Processed, definitions: dict, schema: dict | None = None, taxa: DataFrame | None = None) -> Database:
-    """Accepted names and the tables of a dataset."""
-    long, methods, locations, filter_missing = processed.long, processed.methods, processed.locations, processed.filter_missing
+def finish_dataset(processed: Processed | ProcessedLater, definitions: dict, schema: dict | None = None, taxa: DataFrame | None = None) -> Database:
+    """Accepted names and the tables of a dataset; of rows that are processed later, tables that ask for them are made later."""
+    methods, locations = processed.methods, processed.locations
     dataset_id, program, contexts = processed.parsed.dataset_id, processed.parsed.program, processed.parsed.contexts
-    spark, schema, identifiers = long.sparkSession, schema or {}, program.get("identifiers") or []
+    spark, schema, identifiers = locations.sparkSession, schema or {}, program.get("identifiers") or []
     excluded = [(e["variable"], e["find"], e.get("reason")) for e in program.get("exclude_observations") or []]
-    if filter_missing:
-        long = long.filter(F.coalesce(F.col("error") != rules.MISSING_VALUE, F.lit(True)))
+    if taxa is not None and "_list" not in taxa.columns:
+        taxa = taxa.withColumn("_list", F.monotonically_increasing_id())
+
+    def rows() -> DataFrame:
+        missing = F.coalesce(F.col("error") != rules.MISSING_VALUE, F.lit(True))
+        return processed.long.filter(missing) if processed.filter_missing else processed.long
+
+    def good() -> DataFrame:
+        found = rows().filter("error is null")
+        return found if taxa is None else taxonomy.accept_names(found, taxa)
 
     order = [F.col("observation_id").asc_nulls_last(), F.col("trait_name").asc_nulls_last(), value_type_order(), F.col("_order")]
-    good, bad = long.filter("error is null"), long.filter("error is not null")
-    traits = good.orderBy(*order)
-    names = good.select("taxon_name")
-    if taxa is not None:
-        taxa = taxa.withColumn("_list", F.monotonically_increasing_id()) if "_list" not in taxa.columns else taxa
-        traits = taxonomy.accept_names(good, taxa).orderBy(*order)
-        names = traits.select("taxon_name")
     people = [{**p} for p in (program.get("contributors") or {}).get("data_collectors") or [] if p.get("last_name")]
-    rows = [tuple([dataset_id, *[p.get(k) for k in PEOPLE]]) for p in people]
+    named = [tuple([dataset_id, *[p.get(k) for k in PEOPLE]]) for p in people]
     gone = [t for v, t in rules.exclusions(excluded) if v == "taxon_name"]
-    updates_table = taxonomy.taxonomic_updates_table(long, taxa.drop("_list") if taxa is not None else None, gone)
-    tables = {
-        "traits": conform(traits, TABLES["traits"]),
-        "locations": locations,
-        "contexts": contexts,
-        "methods": methods_table(spark, methods, program, dataset_id),
-        "excluded_data": conform(bad, TABLES["excluded_data"]),
-        "taxonomic_updates": conform(updates_table, TABLES["taxonomic_updates"]),
-        "taxa": taxonomy.taxa_table(names, taxa, "_list").drop("_list") if taxa is not None else names.distinct(),
-        "contributors": spark.createDataFrame(rows, ", ".join(f"{c} string" for c in TABLES["contributors"])),
-        "identifiers": identifier_rows(long, identifiers),
+    makers = {
+        "traits": lambda: conform(good().orderBy(*order), TABLES["traits"]),
+        "locations": lambda: locations,
+        "contexts": lambda: contexts,
+        "methods": lambda: methods_table(spark, methods, program, dataset_id),
+        "excluded_data": lambda: conform(rows().filter("error is not null"), TABLES["excluded_data"]),
+        "taxonomic_updates": lambda: conform(taxonomy.taxonomic_updates_table(rows(), taxa.drop("_list") if taxa is not None else None, gone), TABLES["taxonomic_updates"]),
+        "taxa": lambda: taxonomy.taxa_table(good().select("taxon_name"), taxa, "_list").drop("_list") if taxa is not None else good().select("taxon_name").distinct(),
+        "contributors": lambda: spark.createDataFrame(named, ", ".join(f"{c} string" for c in TABLES["contributors"])),
+        "identifiers": lambda: identifier_rows(rows(), identifiers),
     }
+    tables = LaterTables(makers) if isinstance(processed, ProcessedLater) else {n: make() for n, make in makers.items()}
     metadata = {dataset_id: {**program, "related_identifiers": [{"relation_type": "isCompiledBy", "resource_type": "software", "identifier": "fieldloom"}]}}
     return Database(tables, sources={dataset_id: program.get("source") or {}}, definitions=definitions, schema=schema, metadata=metadata)
 
@@ -233,9 +262,12 @@ def process_dataset(
     spark: SparkSession, dataset_id: str, data: DataFrame, program: dict, definitions: dict, conversions: dict[str, rules.Conversion],
     schema: dict | None = None, taxa: DataFrame | None = None, hook: Callable[[DataFrame], DataFrame] | None = None, filter_missing: bool = True,
 ) -> Database:
-    """One dataset's tables.  ``data`` has text columns and ``_row``; ``hook`` is its custom step."""
+    """One dataset's tables.  ``data`` has text columns and ``_row``; ``hook`` is its custom step.
+
+    Measurements are harmonised when a table of them is asked for; contexts, methods, locations and people need none of it.
+    """
     parsed = parse_dataset(spark, dataset_id, hook(data) if hook else data, program, schema)
-    return finish_dataset(process_parsed(parsed, definitions, conversions, filter_missing), definitions, schema, taxa)
+    return finish_dataset(ProcessedLater(parsed, definitions, conversions, filter_missing), definitions, schema, taxa)
 
 
 def identifier_rows(long: DataFrame, identifiers: list[dict]) -> DataFrame:

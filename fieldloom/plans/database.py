@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -29,9 +30,30 @@ RECORD_BASES = "field field_experiment captive_cultivated lab preserved_specimen
 PIVOT_KEYS = "dataset_id taxon_name original_name observation_id value_type repeat_measurements_id method_id method_context_id".split()
 
 
+class LaterTables(Mapping):
+    """Tables by name, each made when it is first asked for."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]) -> None:
+        self._makers, self._made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __contains__(self, name: object) -> bool:
+        return name in self._makers
+
+    def __iter__(self):
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
 @dataclass(frozen=True)
 class Database:
-    tables: dict[str, DataFrame]
+    tables: Mapping[str, DataFrame]
     sources: dict = field(default_factory=dict)
     definitions: dict = field(default_factory=dict)
     schema: dict = field(default_factory=dict)
